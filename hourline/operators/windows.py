@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import exp
+from operator import add
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,9 +62,22 @@ def batches(windows, size: int, length: int, delay=0, min_index=0, max_index=Non
     return windows.withColumn("batch_id", batch).filter(inside & (batch < F.greatest(served, F.lit(1))))
 
 
-def sample_windows(windows, fraction: float, seed: int) -> DataFrame:
-    """Random windows with replacement."""
-    return windows.sample(withReplacement=True, fraction=fraction, seed=seed)
+def sample_windows(windows, fraction: float, seed: int, keys=KEYS, ts="ts") -> DataFrame:
+    """Random windows with replacement, about ``fraction`` of the rows in all.
+
+    Each row is drawn a Poisson number of times, read off a hash of its key and the seed. A lost
+    task therefore draws the same rows again, however they are partitioned.
+    """
+    digest = F.md5(F.concat_ws("|", *keys, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(seed)))
+    uniform = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
+    copies, term, total = [], exp(-fraction), exp(-fraction)
+    while term > 1e-12:
+        copies.append((uniform >= F.lit(total)).cast("int"))
+        term *= fraction / len(copies)
+        total += term
+    drawn = reduce(add, copies)
+    rows = windows.withColumn("draw", F.sequence(F.lit(1), F.greatest(drawn, F.lit(1))))
+    return rows.filter(drawn > 0).withColumn("draw", F.explode("draw"))
 
 
 def hopping_frames(df, size: int, hop: int, keys=KEYS, ts="ts", value="value") -> DataFrame:

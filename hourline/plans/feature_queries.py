@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from hourline.operators import clean, lags, reshape, scale, shapes, splits, windows
@@ -213,10 +215,27 @@ def window_batches(spark, folder):
     return tidy(windows.batches(frames, 168, 24).select("series", "ts", "batch_id"))
 
 
-@query("sample_windows")
+def _poisson_sql(u, mean):
+    """Inverse distribution function of the Poisson law as a sum of threshold tests."""
+    tests, k, total = [], 0, math.exp(-mean)
+    while mean ** k / math.factorial(k) * math.exp(-mean) > 1e-12:
+        tests.append(f"({u} >= {total!r}::DOUBLE)::INT")
+        k += 1
+        total += mean ** k / math.factorial(k) * math.exp(-mean)
+    return " + ".join(tests)
+
+
+@query(
+    "sample_windows",
+    f"""WITH {INDEXED_SQL}, u AS (
+      SELECT series, ts,
+        ('0x' || md5(series || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|7')[1:12])::BIGINT / {16 ** 12}::DOUBLE AS u
+      FROM indexed WHERE rn >= 24)
+    SELECT series, ts, unnest(range(1, {_poisson_sql('u', 0.25)} + 1))::BIGINT AS draw, 24::BIGINT AS steps FROM u""",
+)
 def sample_windows(spark, folder):
     frames = windows.lookback(w.hourly_load(spark, folder), ["value"], 24)
-    return tidy(windows.sample_windows(frames, 0.25, seed=7).select("series", "ts", F.size("window").alias("steps")))
+    return tidy(windows.sample_windows(frames, 0.25, seed=7).select("series", "ts", "draw", F.size("window").alias("steps")))
 
 
 @query(
