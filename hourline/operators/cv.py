@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hourline.functions.dates import epoch_second, hours_interval
 from hourline.operators.lags import calendar_lag
-from hourline.operators.segments import SEG, attach_totals
+from hourline.operators.segments import attach_totals
 
 KEYS = ("series",)
 HOUR = 3600
@@ -49,7 +49,7 @@ def training_interval(ts, initial: int, period: int, horizon: int) -> Column:
 
 def _ranged(df, keys, ts):
     stamp = F.col(ts)
-    return attach_totals(df, keys, ts, mins={"_first": stamp}, maxs={"_last": stamp}).drop("_start", "_n", SEG)
+    return attach_totals(df, keys, ts, mins={"_first": stamp}, maxs={"_last": stamp})
 
 
 def cutoffs(df, initial_hours, period_hours, horizon_hours, keys=KEYS, ts="ts") -> DataFrame:

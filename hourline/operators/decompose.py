@@ -18,7 +18,7 @@ from hourline.functions.dates import HOLIDAY_NAMES, epoch_second, hours_interval
 from hourline.operators.calendar import holiday_table
 from hourline.operators.cv import cutoff_count, cutoff_rows, cutoff_ts, training_interval
 from hourline.operators.linear import cross_products, dot, solve
-from hourline.operators.segments import SEG, attach_series, attach_totals, segment_of
+from hourline.operators.segments import attach_series, attach_totals, segment_of
 
 KEYS = ("series",)
 Z80 = 1.2815515655446004  # fixed value: half-width of the central 80 % of a standard normal
@@ -79,12 +79,15 @@ def design(df, model: Additive, ts="ts") -> DataFrame:
 def future_frame(df, periods: int, step_hours=1, keys=KEYS, ts="ts") -> DataFrame:
     """(keys, ts): the history stamps followed by ``periods`` more, ``step_hours`` apart."""
     history = df.select(*keys, ts)
-    if periods == 0:
-        return history
+    return history.unionByName(future_rows(df, periods, step_hours, keys, ts)) if periods else history
+
+
+def future_rows(df, periods: int, step_hours=1, keys=KEYS, ts="ts") -> DataFrame:
+    """(keys, ts): the ``periods`` stamps after the last one of each series."""
     last = df.groupBy(*keys).agg(F.max(ts).alias("_end"))
     step = hours_interval(step_hours)
     ahead = F.sequence(F.col("_end") + step, F.col("_end") + hours_interval(step_hours * periods), step)
-    return history.unionByName(last.select(*keys, F.explode(ahead).alias(ts)))
+    return last.select(*keys, F.explode(ahead).alias(ts))
 
 
 def _components(scored, model: Additive, keys, ts, scale="_scale") -> list:
@@ -111,12 +114,12 @@ def decompose(
     observed = df.filter(F.col(value).isNotNull()).select(*keys, ts, value)
     frame = observed
     if periods:
-        ahead = future_frame(observed, periods, step_hours, keys, ts).join(observed, [*keys, ts], "left_anti")
+        ahead = future_rows(observed, periods, step_hours, keys, ts)
         frame = observed.unionByName(ahead, allowMissingColumns=True)
     stamp = F.when(F.col(value).isNotNull(), F.col(ts))
     ranged = attach_totals(
         frame, keys, ts, mins={"_first": stamp}, maxs={"_last": stamp, "_peak": F.abs(value)}
-    ).drop("_start", "_n", SEG)
+    )
     scaled = ranged.withColumn("_scale", F.when(F.col("_peak") > 0, F.col("_peak")).otherwise(F.lit(1.0)))
     rows = design(scaled, model, ts)
     train = rows.filter(F.col(value).isNotNull()).withColumn("y", F.col(value) / F.col("_scale"))
@@ -140,7 +143,7 @@ def cross_validate(
     ranged = attach_totals(
         df.filter(F.col(value).isNotNull()).select(*keys, ts, value), keys, ts,
         mins={"_first": stamp}, maxs={"_last": stamp},
-    ).drop("_start", "_n", SEG)
+    )
     # the y scale comes from the initial window only, which every cutoff may see
     early = stamp <= F.col("_first") + hours_interval(initial_hours)
     peak = ranged.groupBy(*keys).agg(F.max(F.when(early, F.abs(value))).alias("_peak"))

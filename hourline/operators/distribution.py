@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourline.operators.segments import SIZE, attach_totals
+from hourline.operators.segments import SIZE, attach_totals, raw_piece
 
 KEYS = ("series",)
 
@@ -22,6 +22,7 @@ def _with_limits(df, columns, keys, ts):
         df, keys, ts,
         mins={f"_lo_{c}": F.col(c) for c in columns},
         maxs={f"_hi_{c}": F.col(c) for c in columns},
+        piece=raw_piece(ts, *columns), keep=(SIZE,),
     )
 
 

@@ -20,7 +20,8 @@ def cross_products(rows, keys, x="x", y="y") -> DataFrame:
     ``x`` is an ARRAY<DOUBLE> of one length for all rows, ``y`` a DOUBLE; rows must be free of NULL.
     """
     keys = list(keys)
-    kept = rows.select(*keys, F.array_append(x, F.col(y)).alias("_xy"))
+    # rows of one series side by side, so that a batch holds few series
+    kept = rows.select(*keys, F.array_append(x, F.col(y)).alias("_xy")).sortWithinPartitions(*keys)
     schema = T.StructType([*(kept.schema[k] for k in keys), T.StructField("_part", T.ArrayType(T.DoubleType()))])
 
     def reduce_batches(batches):

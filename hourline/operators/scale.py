@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourline.operators.clean import fill_zero
-from hourline.operators.segments import SEG, SIZE, attach_totals
+from hourline.operators.segments import attach_totals
 from hourline.operators.splits import walk_forward_rows
 
 KEYS = ("series",)
@@ -17,7 +17,7 @@ def _scaler_state(df, columns, fit, keys, ts):
         df, keys, ts,
         mins={f"{c}_min": F.when(fit, F.col(c)) for c in columns},
         maxs={f"{c}_max": F.when(fit, F.col(c)) for c in columns},
-    ).drop("_start", SIZE, SEG)
+    )
 
 
 def _width(column):

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from hourline.functions.dates import epoch_day
 
 SEG = "_seg"          # segment number: epoch day / segment width
+START = "_start"      # rows of the series before this segment
 RN = "_rn"            # 0-based row position in the series
 SIZE = "_n"           # rows in the series
 CHUNK = "_chunk"      # chunk number: row position / chunk size
@@ -35,14 +36,24 @@ def segment_of(ts: str, days: int = SEGMENT_DAYS) -> Column:
     return F.floor(epoch_day(F.col(ts)) / F.lit(days))
 
 
-def segment_totals(df, keys, ts, days=SEGMENT_DAYS, sums=None, mins=None, maxs=None) -> DataFrame:
-    """One row per (keys, segment): its first row position, the series size, and series-wide totals.
+def raw_piece(ts: str, *columns: str) -> Column:
+    """Piece number for rows that are not unique by (series, ts): hour of time x 64 hash buckets.
 
-    Rows are pre-aggregated to segments on the map side; the window runs on the summary only.
+    For raw observations only totals make sense, not positions, so any cut will do.
+    """
+    hours = epoch_day(F.col(ts)).cast("bigint") * 24 + F.hour(ts)
+    return hours * 64 + F.pmod(F.xxhash64(ts, *columns), F.lit(64))
+
+
+def segment_totals(df, keys, piece: Column, sums=None, mins=None, maxs=None) -> DataFrame:
+    """One row per (keys, piece): its first row position, the series size, and series-wide totals.
+
+    Rows are pre-aggregated to pieces on the map side; the window runs on the summary only. Each of
+    ``sums`` / ``mins`` / ``maxs`` maps a new column to the expression to fold.
     """
     folds = [(F.sum, sums or {}), (F.min, mins or {}), (F.max, maxs or {})]
     named = [(fold, name, expr) for fold, exprs in folds for name, expr in exprs.items()]
-    partial = df.groupBy(*keys, segment_of(ts, days).alias(SEG)).agg(
+    partial = df.groupBy(*keys, piece.alias(SEG)).agg(
         F.count(F.lit(1)).alias("_rows"), *[fold(expr).alias(name) for fold, name, expr in named]
     )
     series = W.partitionBy(*keys)
@@ -50,25 +61,30 @@ def segment_totals(df, keys, ts, days=SEGMENT_DAYS, sums=None, mins=None, maxs=N
     return partial.select(
         *keys,
         SEG,
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"),
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias(START),
         F.sum("_rows").over(series).alias(SIZE),
         *[fold(name).over(series).alias(name) for fold, name, _ in named],
     )
 
 
-def attach_totals(df, keys, ts, days=SEGMENT_DAYS, sums=None, mins=None, maxs=None) -> DataFrame:
-    """Every row with its series-wide totals, joined on (keys, segment). Rows with a NULL ts drop out."""
-    totals = segment_totals(df, keys, ts, days, sums, mins, maxs)
-    return df.withColumn(SEG, segment_of(ts, days)).join(totals, [*keys, SEG])
+def attach_totals(df, keys, ts, sums=None, mins=None, maxs=None, piece=None, keep=()) -> DataFrame:
+    """Every row with its series-wide totals, joined on (keys, piece); the default piece is a segment.
+
+    Of the helper columns only those in ``keep`` stay. Rows with a NULL ts drop out.
+    """
+    cut = segment_of(ts) if piece is None else piece
+    totals = segment_totals(df, keys, cut, sums, mins, maxs)
+    out = df.withColumn(SEG, cut).join(totals, [*keys, SEG])
+    return out.drop(*[c for c in (SEG, START, SIZE) if c not in keep])
 
 
-def index_rows(df, keys, ts, days=SEGMENT_DAYS, sums=None, mins=None, maxs=None) -> DataFrame:
+def index_rows(df, keys, ts, sums=None, mins=None, maxs=None) -> DataFrame:
     """Every row with its exact position ``_rn`` (by ts, from 0) and the series size ``_n``."""
     inside = W.partitionBy(*keys, SEG).orderBy(ts)
     return (
-        attach_totals(df, keys, ts, days, sums, mins, maxs)
-        .withColumn(RN, F.col("_start") + F.row_number().over(inside) - 1)
-        .drop("_start", SEG)
+        attach_totals(df, keys, ts, sums, mins, maxs, keep=(SEG, START, SIZE))
+        .withColumn(RN, F.col(START) + F.row_number().over(inside) - 1)
+        .drop(START, SEG)
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from hourline.sources.files import ensure_checkpoint_dir
 
-TRAIN = F.col("split") == "train"
+TRAIN = "split = 'train'"
 
 
 def _pipeline(features, estimator) -> Pipeline:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hourline.operators import cv, decompose, lags, naive, recursive, shapes, spectral, splits, trees
+from hourline.plans import ridge_sql as rs
 from hourline.plans import workload as w
 from hourline.plans.catalog import query, tidy
 from hourline.sources import files
@@ -80,17 +81,17 @@ def labelled_features(spark, folder):
     return table.repartition("series", F.year("ts")).sortWithinPartitions("series", "ts")
 
 
-SCORED = ["series", "ts", "split", F.col("value").alias("actual"), "pred"]
+SCORED = ["series", "ts", "split", "value AS actual", "pred"]
 
 
 @query("tree_forecast")
 def tree_forecast(spark, folder):
-    return tidy(trees.tree_forecast(labelled_features(spark, folder), FEATURES).select(*SCORED))
+    return tidy(trees.tree_forecast(labelled_features(spark, folder), FEATURES).selectExpr(*SCORED))
 
 
 @query("gbt_forecast")
 def gbt_forecast(spark, folder):
-    return tidy(trees.gbt_forecast(labelled_features(spark, folder), FEATURES, rounds=20).select(*SCORED))
+    return tidy(trees.gbt_forecast(labelled_features(spark, folder), FEATURES, rounds=20).selectExpr(*SCORED))
 
 
 @query("quantile_gbt")
@@ -122,18 +123,56 @@ def model_roundtrip(spark, folder):
 CV = dict(initial_hours=365 * 24, period_hours=100 * 24, horizon_hours=28 * 24)
 
 
-@query("decompose")
+DAILY_MODEL = decompose.Additive()
+HOURLY_MODEL = decompose.Additive(
+    seasons={"monthly": (30.5, 3), "weekly": (7.0, 3), "daily": (1.0, 4)}, changepoint_prior_scale=0.001
+)
+
+
+def _decompose_sql(source, name, model, future, digits):
+    p = len(model.penalty())
+    at, parts = 1, []
+    for group, width in model.groups().items():
+        parts.append(f"round({rs.dot_sql('x', 'coef', at, width)} * peak, {digits}) AS {group}")
+        at += width
+    yhat = rs.dot_sql("x", "coef", 1, p)
+    return f"""WITH RECURSIVE {source}, {w.HOLIDAYS_SQL}, {rs.NAMED_DAYS_SQL},
+    span AS (SELECT series, min(ts) AS f, max(ts) AS l, max(abs(value)) AS peak FROM {name} GROUP BY 1),
+    frame AS (
+      SELECT series, ts, value FROM {name}
+      UNION ALL SELECT series, unnest(generate_series(l + {future[0]}, l + {future[1]}, {future[0]})), NULL FROM span),
+    designed AS (
+      SELECT fr.series, fr.ts, fr.value, peak, {rs.design_sql(model, 'fr.ts')} AS x
+      FROM frame fr JOIN span USING (series) LEFT JOIN named_days d ON d.ds = fr.ts::DATE),
+    train AS (SELECT series, list_append(x, value / peak) AS xy FROM designed WHERE value IS NOT NULL),
+    {rs.gram_sql('gram', 'train', 'series', p)}, {rs.penalty_sql(model.penalty())},
+    cells AS (
+      SELECT g.series, g.i, g.j, g.v + CASE WHEN g.i = g.j THEN w ELSE 0 END AS v FROM gram g JOIN penalty USING (i)),
+    {rs.solve_sql('fit', 'cells', 'series', p)},
+    scored AS (SELECT *, {yhat} * peak AS yhat FROM designed JOIN fit USING (series)),
+    spread AS (
+      SELECT series, sqrt(avg((value - yhat) ** 2)) AS s FROM scored WHERE value IS NOT NULL GROUP BY 1)
+    SELECT series, ts, value, {", ".join(parts)}, round(yhat, {digits}) AS yhat,
+           round(yhat - 1.2815515655446004::DOUBLE * s, {digits}) AS yhat_lower,
+           round(yhat + 1.2815515655446004::DOUBLE * s, {digits}) AS yhat_upper
+    FROM scored JOIN spread USING (series)"""
+
+
+@query(
+    "decompose",
+    _decompose_sql(w.DAILY_LOAD_SQL, "daily_load", DAILY_MODEL, ("INTERVAL 1 DAY", "INTERVAL 30 DAY"), 2),
+)
 def decompose_query(spark, folder):
-    out = decompose.decompose(w.daily_load(spark, folder), periods=30, step_hours=24)
-    return tidy(out, 4)
+    return tidy(decompose.decompose(w.daily_load(spark, folder), DAILY_MODEL, periods=30, step_hours=24), 2)
 
 
-@query("decompose_hourly")
+@query(
+    "decompose_hourly",
+    _decompose_sql(w.HOURLY_LOAD_SQL, "hourly_load", HOURLY_MODEL, ("INTERVAL 1 HOUR", "INTERVAL 168 HOUR"), 4),
+)
 def decompose_hourly(spark, folder):
     """Hourly load with daily and weekly terms and a 30.5-day term."""
-    seasons = {"monthly": (30.5, 3), "weekly": (7.0, 3), "daily": (1.0, 4)}
-    model = decompose.Additive(seasons=seasons, changepoint_prior_scale=0.001)
-    return tidy(decompose.decompose(w.hourly_load(spark, folder), model, periods=168), 4)
+    return tidy(decompose.decompose(w.hourly_load(spark, folder), HOURLY_MODEL, periods=168), 4)
 
 
 @query(
@@ -196,9 +235,40 @@ def cv_metrics(spark, folder):
     return tidy(scores.withColumn("mse", F.col("mse") / 1e6), 4)
 
 
-@query("cv_additive")
+def _cv_additive_sql(model):
+    p = len(model.penalty())
+    return f"""WITH RECURSIVE {CUTOFFS_SQL}, {w.HOLIDAYS_SQL}, {rs.NAMED_DAYS_SQL},
+    peaks AS (
+      SELECT series, f, l, max(abs(value)) AS peak FROM daily_load JOIN span USING (series)
+      WHERE ts <= f + INTERVAL 365 DAY GROUP BY ALL),
+    designed AS (
+      SELECT a.series, a.ts, a.value, peak, {rs.design_sql(model, 'a.ts')} AS x
+      FROM daily_load a JOIN peaks USING (series) LEFT JOIN named_days d ON d.ds = a.ts::DATE),
+    stretch AS (
+      SELECT d.series, max(c.k) AS k, any_value(list_append(x, value / peak)) AS xy
+      FROM designed d JOIN cuts c ON c.series = d.series AND d.ts <= c.cutoff GROUP BY d.series, d.ts),
+    {rs.gram_sql('part', 'stretch', 'series, k', p)},
+    gram AS (
+      SELECT series, k, i, j, sum(v) OVER (PARTITION BY series, i, j ORDER BY k DESC) AS v FROM part),
+    {rs.penalty_sql(model.penalty())},
+    cells AS (
+      SELECT g.series, g.k, g.i, g.j, g.v + CASE WHEN g.i = g.j THEN w ELSE 0 END AS v FROM gram g JOIN penalty USING (i)),
+    {rs.solve_sql('fit', 'cells', 'series, k', p)},
+    spread AS (
+      SELECT c.series, c.k, sqrt(avg((value - peak * {rs.dot_sql('x', 'coef', 1, p)}) ** 2)) AS s
+      FROM cuts c JOIN fit USING (series, k) JOIN designed d ON d.series = c.series AND d.ts <= c.cutoff GROUP BY 1, 2),
+    cv AS (
+      SELECT c.series, c.cutoff, d.ts, d.value AS actual, peak * {rs.dot_sql('x', 'coef', 1, p)} AS pred, s
+      FROM cuts c JOIN fit USING (series, k) JOIN spread USING (series, k)
+      JOIN designed d ON d.series = c.series AND d.ts > c.cutoff AND d.ts <= c.cutoff + INTERVAL 28 DAY)
+    SELECT series, cutoff, ts, actual, round(pred, 2) AS pred,
+           round(pred - 1.2815515655446004::DOUBLE * s, 2) AS lower,
+           round(pred + 1.2815515655446004::DOUBLE * s, 2) AS upper FROM cv"""
+
+
+@query("cv_additive", _cv_additive_sql(DAILY_MODEL))
 def cv_additive(spark, folder):
-    return tidy(decompose.cross_validate(w.daily_load(spark, folder), **CV), 4)
+    return tidy(decompose.cross_validate(w.daily_load(spark, folder), **CV), 2)
 
 
 # --- recursive forecasts ---------------------------------------------------------------------
@@ -218,12 +288,38 @@ def recursive_ar1(spark, folder):
     return tidy(recursive.recursive_forecast(w.hourly_load(spark, folder), 1, 48), 5)
 
 
-@query("recursive_forecast")
+def _ar_sql(rows, p, horizon):
+    """CTEs for an AR(p) model of ``rows`` (series, t, value, n): ``f`` holds the growing histories."""
+    lagged = "list_prepend(1.0::DOUBLE, list_reverse(list(b.value ORDER BY b.t)))"
+    weights = " + ".join(f"coef[{j + 1}] * h[len(h) - {j - 1}]" for j in range(1, p + 1))
+    return f"""lagged AS (
+      SELECT a.series, a.t, list_append({lagged}, any_value(a.value)) AS xy
+      FROM {rows} a JOIN {rows} b ON a.series = b.series AND b.t BETWEEN a.t - {p} AND a.t - 1
+      WHERE a.t >= {p} GROUP BY a.series, a.t),
+    {rs.gram_sql('gram', 'lagged', 'series', p + 1)}, {rs.solve_sql('fit', 'gram', 'series', p + 1)},
+    f AS (
+      SELECT series, 0 AS step, coef, h FROM fit JOIN (
+        SELECT series, list(value ORDER BY t) AS h FROM {rows} WHERE t >= n - {p} GROUP BY 1) USING (series)
+      UNION ALL SELECT series, step + 1, coef, list_append(h, coef[1] + {weights}) FROM f WHERE step < {horizon})"""
+
+
+@query(
+    "recursive_forecast",
+    f"""WITH RECURSIVE {INDEXED_SQL}, {_ar_sql('x', 24, 168)}
+    SELECT series, step::BIGINT AS step, round(h[len(h)], 5) AS pred FROM f WHERE step > 0""",
+)
 def recursive_forecast(spark, folder):
     return tidy(recursive.recursive_forecast(w.hourly_load(spark, folder), 24, 168), 5)
 
 
-@query("forecast_tail")
+@query(
+    "forecast_tail",
+    f"""WITH RECURSIVE {INDEXED_SQL}, hist AS (SELECT series, t, value, n - 48 AS n FROM x WHERE t < n - 48),
+    {_ar_sql('hist', 24, 48)}
+    SELECT series, 'history' AS role, (t - n + 48)::BIGINT AS pos, value FROM x WHERE t BETWEEN n - 98 AND n - 48
+    UNION ALL SELECT series, 'actual', (t - n + 48)::BIGINT, value FROM x WHERE t >= n - 48
+    UNION ALL SELECT series, 'forecast', (step - 1)::BIGINT, round(h[len(h)], 5) FROM f WHERE step > 0""",
+)
 def forecast_tail(spark, folder):
     return tidy(recursive.forecast_tail(w.hourly_load(spark, folder), 48, 24), 5)
 
