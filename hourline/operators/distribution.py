@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourline.operators.segments import SIZE, attach_totals, raw_piece
+from hourline.operators.segments import SIZE, attach_raw_totals
 
 KEYS = ("series",)
 
@@ -18,11 +18,10 @@ def _bin(column: str, bins: int) -> Column:
 
 
 def _with_limits(df, columns, keys, ts):
-    return attach_totals(
-        df, keys, ts,
+    return attach_raw_totals(
+        df.select(*keys, ts, *columns), keys, ts,
         mins={f"_lo_{c}": F.col(c) for c in columns},
         maxs={f"_hi_{c}": F.col(c) for c in columns},
-        piece=raw_piece(ts, *columns), keep=(SIZE,),
     )
 
 

@@ -17,6 +17,9 @@ that bound holds however the rows are spread over the series.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,7 +48,36 @@ def raw_piece(ts: str, *columns: str) -> Column:
     return hours * 64 + F.pmod(F.xxhash64(ts, *columns), F.lit(64))
 
 
-def segment_totals(df, keys, piece: Column, sums=None, mins=None, maxs=None) -> DataFrame:
+def attach_raw_totals(df, keys, ts, sums=None, mins=None, maxs=None, broadcast_rows=10_000) -> DataFrame:
+    """Totals next to raw observations, which are too many to shuffle.
+
+    The totals are computed first and counted: up to ``broadcast_rows`` series they are broadcast and
+    the observations stay where they are; beyond that both sides meet by piece.
+    """
+    folds = [(F.sum, sums or {}), (F.min, mins or {}), (F.max, maxs or {})]
+    totals = df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias(SIZE),
+        *[fold(expr).alias(name) for fold, exprs in folds for name, expr in exprs.items()],
+    )
+    head = totals.limit(broadcast_rows + 1).collect()
+    if len(head) <= broadcast_rows:
+        small = df.sparkSession.createDataFrame(head, totals.schema)
+        return df.join(F.broadcast(small), list(keys))
+    used = [c for c in df.columns if c not in (*keys, ts)]
+    return attach_totals(df, keys, ts, sums, mins, maxs, piece=raw_piece(ts, *used), keep=(SIZE,))
+
+
+def in_pieces(df, keys, piece: Column) -> DataFrame:
+    """Adds the piece number; rows without key or stamp drop out.
+
+    Joins below use this frame twice. The explicit filter is what Catalyst would infer for one side
+    of the join only, and keeps both sides equal, so that they share one scan and aggregation.
+    """
+    cut = df.withColumn(SEG, piece)
+    return cut.filter(reduce(and_, [F.col(c).isNotNull() for c in [*keys, SEG]]))
+
+
+def segment_totals(cut, keys, sums=None, mins=None, maxs=None) -> DataFrame:
     """One row per (keys, piece): its first row position, the series size, and series-wide totals.
 
     Rows are pre-aggregated to pieces on the map side; the window runs on the summary only. Each of
@@ -53,7 +85,7 @@ def segment_totals(df, keys, piece: Column, sums=None, mins=None, maxs=None) ->
     """
     folds = [(F.sum, sums or {}), (F.min, mins or {}), (F.max, maxs or {})]
     named = [(fold, name, expr) for fold, exprs in folds for name, expr in exprs.items()]
-    partial = df.groupBy(*keys, piece.alias(SEG)).agg(
+    partial = cut.groupBy(*keys, SEG).agg(
         F.count(F.lit(1)).alias("_rows"), *[fold(expr).alias(name) for fold, name, expr in named]
     )
     series = W.partitionBy(*keys)
@@ -72,9 +104,8 @@ def attach_totals(df, keys, ts, sums=None, mins=None, maxs=None, piece=None, kee
 
     Of the helper columns only those in ``keep`` stay. Rows with a NULL ts drop out.
     """
-    cut = segment_of(ts) if piece is None else piece
-    totals = segment_totals(df, keys, cut, sums, mins, maxs)
-    out = df.withColumn(SEG, cut).join(totals, [*keys, SEG])
+    cut = in_pieces(df, keys, segment_of(ts) if piece is None else piece)
+    out = cut.join(segment_totals(cut, keys, sums, mins, maxs), [*keys, SEG])
     return out.drop(*[c for c in (SEG, START, SIZE) if c not in keep])
 
 
@@ -120,13 +151,13 @@ def with_past_days(df, ts, reach: int, days=SEGMENT_DAYS) -> DataFrame:
     return df.withColumn(SEG, F.explode(copies)).withColumn(HALO, F.col(SEG) != own)
 
 
-def attach_series(df, per_series, keys, piece: Column, how="inner") -> DataFrame:
+def attach_series(df, per_series, keys, piece: Column) -> DataFrame:
     """Join one-row-per-series data to all rows on (keys, piece) rather than on keys.
 
     ``piece`` cuts a series into parts of bounded size, such as ``segment_of(ts)``. ``per_series`` is
     first copied to the pieces its series has (a join of summaries), so the big join has no key
     heavier than one piece.
     """
-    cut = df.withColumn(SEG, piece)
+    cut = in_pieces(df, keys, piece)
     spread = cut.select(*keys, SEG).distinct().join(per_series, list(keys))
-    return cut.join(spread, [*keys, SEG], how).drop(SEG)
+    return cut.join(spread, [*keys, SEG]).drop(SEG)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -94,7 +95,7 @@ def dtw_kmeans(shapes, k=4, iters=100, w=4, r=5, keys=KEYS) -> tuple[DataFrame,
                 for row in mean_shapes(assign_clusters(shapes, used, w, r)).collect()
             }
             centroids = [moved.get(c, used[c]) for c in range(len(used))]
-            if centroids == used:
+            if np.allclose(centroids, used, rtol=1e-12, atol=0.0):
                 break
     finally:
         shapes.unpersist()

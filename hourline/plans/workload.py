@@ -18,7 +18,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _sums(df, series, ts, value) -> DataFrame:
-    return df.groupBy(series.alias("series"), ts.alias("ts")).agg(F.round(F.sum(value), 2).alias("value"))
+    """One row per series and step. The NULL filter also keeps the value in every use of the frame, so
+    that two branches of one plan share a single scan and aggregation (a reused exchange)."""
+    sums = df.groupBy(series.alias("series"), ts.alias("ts")).agg(F.round(F.sum(value), 2).alias("value"))
+    return sums.filter(F.col("value").isNotNull())
 
 
 def hourly_load(spark, folder) -> DataFrame:
