@@ -185,13 +185,13 @@ def weather_rejects(spark, folder):
     "weather_hourly",
     f"""WITH {w.DIRTY_OBS_SQL}
     SELECT date_trunc('hour', strptime(date_s, '%Y-%m-%d %H:%M')) AS ts,
-           round(avg(trim(drybulb_s)::BIGINT), 6) AS drybulb, round(avg(humidity_s::BIGINT), 6) AS humidity
+           round(avg(trim(drybulb_s)::BIGINT), 9) AS drybulb, round(avg(humidity_s::BIGINT), 9) AS humidity
     FROM dirty_obs WHERE kind = 'view' AND regexp_full_match(trim(drybulb_s), '[+-]?[0-9]+') GROUP BY 1""",
 )
 def weather_hourly(spark, folder):
     good, _ = _observations(spark, folder)
     named = good.select("ts", F.col("drybulb_s").alias("drybulb"), F.col("humidity_s").alias("humidity"))
-    return tidy(clean.hourly_mean(named, ["drybulb", "humidity"]))
+    return tidy(clean.hourly_mean(named, ["drybulb", "humidity"]), 9)
 
 
 @query("filter_eq", "SELECT event_id, ts, value FROM events WHERE event_type = 'purchase'")
@@ -371,7 +371,7 @@ def profile_hourly(spark, folder):
     "pivot_mean",
     """SELECT date_trunc('hour', ts) AS ts,
       """ + ",\n      ".join(
-        f"round(avg(value) FILTER (WHERE event_type = '{k}'), 6) AS \"{k}\""
+        f"round(avg(value) FILTER (WHERE event_type = '{k}'), 9) AS \"{k}\""
         for k in ("click", "error", "purchase", "signup", "view")
     ) + " FROM events GROUP BY 1",
 )
@@ -380,12 +380,12 @@ def pivot_mean(spark, folder):
 
     events = w.table(spark, folder, "events").withColumn("ts", hour_start(F.col("ts")))
     kinds = ["click", "error", "purchase", "signup", "view"]
-    return tidy(reshape.pivot_mean(events, ["ts"], "event_type", kinds, "value"))
+    return tidy(reshape.pivot_mean(events, ["ts"], "event_type", kinds, "value"), 9)
 
 
 @query(
     "long_mean",
-    "SELECT event_type AS series, date_trunc('hour', ts) AS ts, round(avg(value), 6) AS value FROM events GROUP BY 1, 2",
+    "SELECT event_type AS series, date_trunc('hour', ts) AS ts, round(avg(value), 9) AS value FROM events GROUP BY 1, 2",
 )
 def long_mean(spark, folder):
 
@@ -393,7 +393,7 @@ def long_mean(spark, folder):
     events = w.table(spark, folder, "events").select(
         F.col("event_type").alias("series"), hour_start(F.col("ts")).alias("ts"), "value"
     )
-    return tidy(reshape.long_mean(events, ["series"], "ts", "value"))
+    return tidy(reshape.long_mean(events, ["series"], "ts", "value"), 9)
 
 
 @query(

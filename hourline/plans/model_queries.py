@@ -306,10 +306,10 @@ def _ar_sql(rows, p, horizon):
 @query(
     "recursive_forecast",
     f"""WITH RECURSIVE {INDEXED_SQL}, {_ar_sql('x', 24, 168)}
-    SELECT series, step::BIGINT AS step, round(h[len(h)], 5) AS pred FROM f WHERE step > 0""",
+    SELECT series, step::BIGINT AS step, round(h[len(h)], 3) AS pred FROM f WHERE step > 0""",
 )
 def recursive_forecast(spark, folder):
-    return tidy(recursive.recursive_forecast(w.hourly_load(spark, folder), 24, 168), 5)
+    return tidy(recursive.recursive_forecast(w.hourly_load(spark, folder), 24, 168), 3)
 
 
 @query(
@@ -318,10 +318,10 @@ def recursive_forecast(spark, folder):
     {_ar_sql('hist', 24, 48)}
     SELECT series, 'history' AS role, (t - n + 48)::BIGINT AS pos, value FROM x WHERE t BETWEEN n - 98 AND n - 48
     UNION ALL SELECT series, 'actual', (t - n + 48)::BIGINT, value FROM x WHERE t >= n - 48
-    UNION ALL SELECT series, 'forecast', (step - 1)::BIGINT, round(h[len(h)], 5) FROM f WHERE step > 0""",
+    UNION ALL SELECT series, 'forecast', (step - 1)::BIGINT, round(h[len(h)], 3) FROM f WHERE step > 0""",
 )
 def forecast_tail(spark, folder):
-    return tidy(recursive.forecast_tail(w.hourly_load(spark, folder), 48, 24), 5)
+    return tidy(recursive.forecast_tail(w.hourly_load(spark, folder), 48, 24), 3)
 
 
 # --- weekly shapes ---------------------------------------------------------------------------

@@ -67,12 +67,12 @@ def r2(spark, folder):
 
 @query(
     "pinball",
-    B + """SELECT series, round(avg(greatest(0.95::DOUBLE * (actual - upper), (0.95 - 1)::DOUBLE * (actual - upper))), 4) AS pinball
+    B + """SELECT series, round(avg(greatest(0.95::DOUBLE * (actual - upper), (0.95 - 1)::DOUBLE * (actual - upper))), 7) AS pinball
     FROM banded GROUP BY 1""",
 )
 def pinball(spark, folder):
     rows = banded(spark, folder).drop("pred").withColumnRenamed("upper", "pred")
-    return tidy(metrics.pinball(rows, 0.95), 4)
+    return tidy(metrics.pinball(rows, 0.95), 7)
 
 
 @query(
