@@ -71,25 +71,25 @@ WEEKDAY_HOLIDAYS = [
 HOLIDAY_NAMES = [h[0] for h in FIXED_HOLIDAYS + WEEKDAY_HOLIDAYS]
 
 
-def nth_weekday(year: Column, month: int, weekday: str, n: int) -> Column:
-    first = F.make_date(year, F.lit(month), F.lit(1))
+def _nth_weekday(year: str, month: int, weekday: str, n: int) -> str:
+    first = f"make_date({year}, {month}, 1)"
     if n < 0:
-        return F.next_day(F.date_sub(F.last_day(first), 7), weekday)
-    return F.date_add(F.next_day(F.date_sub(first, 1), weekday), 7 * (n - 1))
+        return f"next_day(date_sub(last_day({first}), 7), '{weekday}')"
+    return f"date_add(next_day(date_sub({first}, 1), '{weekday}'), {7 * (n - 1)})"
 
 
-def holidays_of_year(year: Column) -> Column:
-    """ARRAY<STRUCT<ds, holiday>>: each holiday, plus its weekday stand-in when it falls on a weekend."""
+def holidays_of_year(year: str) -> Column:
+    """ARRAY<STRUCT<ds, holiday>> for a year column: each holiday, plus its weekday stand-in when it
+    falls on a weekend.
+
+    Written as SQL text: building it from some hundred column objects takes longer than running it.
+    """
     entries = []
     for name, month, day in FIXED_HOLIDAYS:
-        date = F.make_date(year, F.lit(month), F.lit(day))
-        shift = F.when(F.weekday(date) == 5, -1).when(F.weekday(date) == 6, 1)
-        entries.append(F.struct(date.alias("ds"), F.lit(name).alias("holiday")))
-        entries.append(
-            F.struct(F.date_add(date, shift).alias("ds"), F.lit(f"{name} (Observed)").alias("holiday"))
-        )
-    for name, month, weekday, n in WEEKDAY_HOLIDAYS:
-        entries.append(
-            F.struct(nth_weekday(year, month, weekday, n).alias("ds"), F.lit(name).alias("holiday"))
-        )
-    return F.filter(F.array(*entries), lambda h: h["ds"].isNotNull())
+        date = f"make_date({year}, {month}, {day})"
+        shift = f"CASE weekday({date}) WHEN 5 THEN -1 WHEN 6 THEN 1 END"
+        entries.append((date, name))
+        entries.append((f"date_add({date}, {shift})", f"{name} (Observed)"))
+    entries += [(_nth_weekday(year, *rule), name) for name, *rule in WEEKDAY_HOLIDAYS]
+    structs = ", ".join(f'named_struct(\'ds\', {date}, \'holiday\', "{name}")' for date, name in entries)
+    return F.expr(f"filter(array({structs}), h -> h.ds IS NOT NULL)")

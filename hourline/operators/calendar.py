@@ -23,12 +23,13 @@ def holidays_in(years: DataFrame) -> DataFrame:
     year is generated too and cut back.
     """
     spans = years.select("year", F.explode(F.array(F.col("year"), F.col("year") + 1)).alias("y"))
-    days = spans.select("year", F.inline(holidays_of_year(F.col("y"))))
+    days = spans.select("year", F.inline(holidays_of_year("y")))
     return days.filter(F.year("ds") == F.col("year")).select("ds", "holiday")
 
 
 def holiday_table(spark: SparkSession, from_year=FIRST_YEAR, to_year=LAST_YEAR) -> DataFrame:
-    return holidays_in(spark.range(from_year, to_year + 1).select(F.col("id").cast("int").alias("year")))
+    years = spark.range(from_year, to_year + 1, numPartitions=1)
+    return holidays_in(years.select(F.col("id").cast("int").alias("year")))
 
 
 def holiday_flags(df, holidays: DataFrame | None = None, ts="ts") -> DataFrame:
@@ -37,8 +38,10 @@ def holiday_flags(df, holidays: DataFrame | None = None, ts="ts") -> DataFrame:
     The holiday dimension is broadcast: its size depends on the year span only, never on the data.
     """
     if holidays is None:
-        holidays = holiday_table(df.sparkSession)
-    days = holidays.groupBy("ds").agg(F.lit(1).alias("_h"))
+        days = holiday_table(df.sparkSession).select("ds")  # the ten rules never share a date
+    else:
+        days = holidays.select("ds").distinct()
+    days = days.withColumn("_h", F.lit(1))
     joined = df.withColumn("ds", F.to_date(ts)).join(F.broadcast(days), "ds", "left").drop("ds")
     weekend = (F.weekday(F.col(ts)) > 4).cast("int")
     return joined.withColumns(

@@ -57,23 +57,21 @@ def design(df, model: Additive, ts="ts") -> DataFrame:
     t = F.try_divide(epoch_second(F.col(ts)) - epoch_second(F.col("_first")), span)
     t = F.coalesce(t, F.lit(0.0))
     days = epoch_second(F.col(ts)) / F.lit(86400.0)
-    terms = [F.lit(1.0), F.col("_t")]
+    # SQL text, because some sixty terms built as column objects take seconds to assemble
+    terms = ["1.0D", "_t"]
     for j in range(1, model.changepoints + 1):
-        at = model.changepoint_range * j / model.changepoints
-        terms.append(F.greatest(F.col("_t") - F.lit(at), F.lit(0.0)))
+        terms.append(f"greatest(_t - {model.changepoint_range * j / model.changepoints!r}D, 0.0D)")
     for period, order in model.seasons.values():
         for k in range(1, order + 1):
-            angle = F.lit(2 * pi * k / period) * F.col("_days")
-            terms += [F.cos(angle), F.sin(angle)]
+            terms += [f"{wave}({2 * pi * k / period!r}D * _days)" for wave in ("cos", "sin")]
     out = df.withColumns({"_t": t, "_days": days})
     if model.holidays:
         # one name per day; its size depends on the calendar only
-        named = holiday_table(df.sparkSession).groupBy("ds").agg(
-            F.min(F.regexp_replace("holiday", r" \(Observed\)$", "")).alias("_holiday")
-        )
+        name = F.regexp_replace("holiday", r" \(Observed\)$", "")
+        named = holiday_table(df.sparkSession).select("ds", name.alias("_holiday"))
         out = out.withColumn("ds", F.to_date(ts)).join(F.broadcast(named), "ds", "left").drop("ds")
-        terms += [F.coalesce(F.col("_holiday") == name, F.lit(False)).cast("double") for name in HOLIDAY_NAMES]
-    return out.withColumn("x", F.array(*terms)).drop("_t", "_days", "_holiday")
+        terms += [f'CAST(_holiday <=> "{name}" AS DOUBLE)' for name in HOLIDAY_NAMES]
+    return out.withColumn("x", F.expr(f"array({', '.join(terms)})")).drop("_t", "_days", "_holiday")
 
 
 def future_frame(df, periods: int, step_hours=1, keys=KEYS, ts="ts") -> DataFrame:
@@ -153,7 +151,8 @@ def cross_validate(
     train = train.withColumn("y", F.col(value) / F.col("_scale"))
     cells = cross_products(train, [*keys, "_k"])
     # zero cells for every cutoff, so that a stretch without rows still passes the sum on
-    width = (len(model.penalty()) + 1) ** 2
+    p = len(model.penalty())
+    width = (p + 1) * (p + 2) // 2
     series = ranged.groupBy(*keys).agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
     cuts = series.select(
         *keys, "_last", F.explode(F.sequence(F.lit(0).cast("bigint"), cutoff_count(*spec) - 1)).alias("_k")

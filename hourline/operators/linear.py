@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 
 def cross_products(rows, keys, x="x", y="y") -> DataFrame:
-    """(keys, pos, value): the upper-left [X y]'[X y] matrix, flattened by rows and summed.
+    """(keys, pos, value): the upper triangle of [X y]'[X y], numbered by rows, summed over the rows.
 
     ``x`` is an ARRAY<DOUBLE> of one length for all rows, ``y`` a DOUBLE; rows must be free of NULL.
     """
@@ -28,7 +28,8 @@ def cross_products(rows, keys, x="x", y="y") -> DataFrame:
         for batch in batches:
             for key, group in batch.groupby(keys, sort=False):
                 m = np.stack(group["_xy"].to_numpy())
-                yield pd.DataFrame([[*key, (m.T @ m).ravel()]], columns=[*keys, "_part"])
+                upper = (m.T @ m)[np.triu_indices(m.shape[1])]
+                yield pd.DataFrame([[*key, upper]], columns=[*keys, "_part"])
 
     partial = kept.mapInPandas(reduce_batches, schema)
     cells = partial.select(*keys, F.posexplode("_part").alias("pos", "value"))
@@ -48,7 +49,9 @@ def solve(products, keys, penalty: list[float]) -> DataFrame:
     def ridge(flat: pd.Series) -> pd.DataFrame:
         out = []
         for cells in flat:
-            full = np.asarray(cells, dtype=float).reshape(p + 1, p + 1)
+            full = np.zeros((p + 1, p + 1))
+            full[np.triu_indices(p + 1)] = cells
+            full = full + np.triu(full, 1).T
             a, b = full[:p, :p], full[:p, p]
             coef = np.linalg.lstsq(a + np.diag(diagonal), b, rcond=None)[0]
             rss = full[p, p] - 2 * coef @ b + coef @ a @ coef
