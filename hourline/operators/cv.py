@@ -83,7 +83,7 @@ def cv_seasonal_naive(
     known = df.select(*keys, F.col(ts).alias("_base"), F.col(value).alias("pred"))
     forecast = ahead.join(known, [*keys, "_base"])
 
-    diffs = _ranged(calendar_lag(df.select(*keys, ts, value), {"_old": (value, season_days)}, keys, ts), keys, ts)
+    diffs = calendar_lag(rows, {"_old": (value, season_days)}, keys, ts)
     sq = (F.col(value) - F.col("_old")) ** 2
     stretch = (
         diffs.withColumn("k", training_interval(ts, *spec)).filter((F.col("k") >= 0) & sq.isNotNull())

@@ -8,7 +8,9 @@ series, and all cutoffs of a cross-validation, are fitted in one distributed pas
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from math import pi
+from operator import add
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -88,17 +90,21 @@ def future_rows(df, periods: int, step_hours=1, keys=KEYS, ts="ts") -> DataFrame
     return last.select(*keys, F.explode(ahead).alias(ts))
 
 
-def _components(scored, model: Additive, keys, ts, scale="_scale") -> list:
-    """Component columns, forecast and bounds from ``x``, ``coef``, ``rss``, ``n``."""
-    columns, at = [], 1
+def _predict(scored, model: Additive, keep) -> DataFrame:
+    """``keep``, the component columns, their sum and its bounds, from ``x`` and the fit of the row."""
+    parts, at = [], 1
     for name, width in model.groups().items():
         part = dot(F.slice("x", at, width), F.slice("coef", at, width))
-        columns.append((part * F.col(scale)).alias(name))
+        parts.append((part * F.col("_scale")).alias(name))
         at += width
-    yhat = dot(F.col("x"), F.col("coef")) * F.col(scale)
-    sigma = F.sqrt(F.col("rss") / F.col("n")) * F.col(scale)
-    bounds = [(yhat - Z80 * sigma).alias("yhat_lower"), (yhat + Z80 * sigma).alias("yhat_upper")]
-    return [*columns, yhat.alias("yhat"), *bounds]
+    sigma = F.sqrt(F.col("rss") / F.col("n")) * F.col("_scale")
+    yhat = reduce(add, [F.col(name) for name in model.groups()])
+    return (
+        scored.select(*keep, *parts, sigma.alias("_sigma"))
+        .withColumn("yhat", yhat)
+        .withColumns({"yhat_lower": F.col("yhat") - Z80 * F.col("_sigma"), "yhat_upper": F.col("yhat") + Z80 * F.col("_sigma")})
+        .drop("_sigma")
+    )
 
 
 def decompose(
@@ -123,7 +129,7 @@ def decompose(
     train = rows.filter(F.col(value).isNotNull()).withColumn("y", F.col(value) / F.col("_scale"))
     fit = solve(cross_products(train, keys), keys, model.penalty())
     scored = attach_series(rows, fit, keys, segment_of(ts))
-    return scored.select(*keys, ts, value, *_components(scored, model, keys, ts))
+    return _predict(scored, model, [*keys, ts, value])
 
 
 def cross_validate(
@@ -164,9 +170,9 @@ def cross_validate(
     fit = solve(products, [*keys, "_k"], model.penalty())
     ahead = rows.withColumn("_k", F.explode(cutoff_rows(ts, *spec)))
     scored = ahead.join(fit, [*keys, "_k"])
-    _, _, horizon = spec
-    parts = _components(scored, model, keys, ts)[-3:]
-    return scored.select(
-        *keys, cutoff_ts(F.col("_k"), period_hours, horizon).alias("cutoff"), ts,
-        F.col(value).alias("actual"), *parts,
-    ).withColumnsRenamed({"yhat": "pred", "yhat_lower": "lower", "yhat_upper": "upper"})
+    cutoff = cutoff_ts(F.col("_k"), period_hours, horizon_hours).alias("cutoff")
+    out = _predict(scored, model, [*keys, cutoff, ts, F.col(value).alias("actual")])
+    return out.select(
+        *keys, "cutoff", ts, "actual", F.col("yhat").alias("pred"),
+        F.col("yhat_lower").alias("lower"), F.col("yhat_upper").alias("upper"),
+    )

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,12 +27,22 @@ def cross_products(rows, keys, x="x", y="y") -> DataFrame:
 
     def reduce_batches(batches):
         for batch in batches:
-            for key, group in batch.groupby(keys, sort=False):
-                m = np.stack(group["_xy"].to_numpy())
-                upper = (m.T @ m)[np.triu_indices(m.shape[1])]
-                yield pd.DataFrame([[*key, upper]], columns=[*keys, "_part"])
+            if batch.num_rows == 0:
+                continue
+            # the list column is one flat buffer: rows become a matrix without touching each of them
+            lists = batch.column(batch.num_columns - 1)
+            m = lists.flatten().to_numpy().reshape(batch.num_rows, -1)
+            upper = np.triu_indices(m.shape[1])
+            names = batch.select(keys).to_pandas()
+            members = names.groupby(keys, sort=False).indices
+            parts = [(m[rows].T @ m[rows])[upper] for rows in members.values()]
+            first = pa.array([rows[0] for rows in members.values()])
+            yield pa.RecordBatch.from_arrays(
+                [*(c.take(first) for c in batch.select(keys).columns), pa.array(parts, pa.list_(pa.float64()))],
+                names=[*keys, "_part"],
+            )
 
-    partial = kept.mapInPandas(reduce_batches, schema)
+    partial = kept.mapInArrow(reduce_batches, schema)
     cells = partial.select(*keys, F.posexplode("_part").alias("pos", "value"))
     return cells.groupBy(*keys, "pos").agg(F.sum("value").alias("value"))
 

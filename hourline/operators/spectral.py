@@ -39,33 +39,28 @@ def fourier_extrapolate(
 
     slope = F.try_divide(n * s("tx") - s("t") * s("x"), n * s("tt") - s("t") * s("t"))
     model = fit.withColumn("_slope", F.coalesce(slope, F.lit(0.0)) if detrend else F.lit(0.0))
-    pairs = [
-        F.struct(
-            F.lit(float(k)).alias("k"),
-            (2 / n * (s(f"xc{k}") - s("slope") * s(f"tc{k}"))).alias("c"),
-            (2 / n * (s(f"xs{k}") - s("slope") * s(f"ts{k}"))).alias("s"),
-        )
-        for k in angles
-    ]
-    mean = (s("x") - s("slope") * s("t")) / n
+    weights = {}
+    for k in angles:
+        weights[f"_c{k}"] = 2 / n * (s(f"xc{k}") - s("slope") * s(f"tc{k}"))
+        weights[f"_s{k}"] = 2 / n * (s(f"xs{k}") - s("slope") * s(f"ts{k}"))
     model = model.select(
-        *keys, SIZE, "_slope", mean.alias("_mean"),
-        (F.array(*pairs) if pairs else F.expr("array()")).alias("_pairs"),
+        *keys, SIZE, "_slope", ((s("x") - s("slope") * s("t")) / n).alias("_mean"),
+        *[weight.alias(name) for name, weight in weights.items()],
     )
     # two steps: starts of runs first, spread over the tasks, then the points of each run
     last = F.col(SIZE) + n_predict - 1
-    runs = model.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(OUT_ROWS).cast("bigint"))))
-    points = runs.repartition(*keys, "_from").withColumn(
-        "pos", F.explode(F.sequence("_from", F.least(F.col("_from") + OUT_ROWS - 1, last)))
+    starts = F.sequence(F.lit(0).cast("bigint"), last, F.lit(OUT_ROWS).cast("bigint"))
+    runs = model.withColumn("_from", F.explode(starts)).repartition(*keys, "_from")
+    points = runs.withColumn("pos", F.explode(F.sequence("_from", F.least(F.col("_from") + OUT_ROWS - 1, last))))
+    # plain columns rather than an array, so that the sum is compiled
+    wave = " + ".join(
+        ["_mean", "_slope * pos"]
+        + [
+            f"_c{k} * cos({2 * pi!r}D * (pos * {k} % {SIZE}) / {SIZE}) + _s{k} * sin({2 * pi!r}D * (pos * {k} % {SIZE}) / {SIZE})"
+            for k in angles
+        ]
     )
-    size, pos = F.col(SIZE).cast("double"), F.col("pos").cast("double")
-
-    def add(total, pair):
-        angle = F.lit(2 * pi) * F.pmod(pos * pair["k"], size) / size
-        return total + pair["c"] * F.cos(angle) + pair["s"] * F.sin(angle)
-
-    wave = F.aggregate("_pairs", F.col("_mean"), add) if pairs else F.col("_mean")
-    return points.select(*keys, "pos", (wave + F.col("_slope") * pos).alias("value"))
+    return points.select(*keys, "pos", F.expr(wave).alias("value"))
 
 
 def acf(df, lags=48, keys=KEYS, ts="ts", value="value") -> DataFrame:
