@@ -92,10 +92,9 @@ def future_rows(df, periods: int, step_hours=1, keys=KEYS, ts="ts") -> DataFrame
 
 def _predict(scored, model: Additive, keep) -> DataFrame:
     """``keep``, the component columns, their sum and its bounds, from ``x`` and the fit of the row."""
-    parts, at = [], 1
+    parts, at = [], 0
     for name, width in model.groups().items():
-        part = dot(F.slice("x", at, width), F.slice("coef", at, width))
-        parts.append((part * F.col("_scale")).alias(name))
+        parts.append((dot("x", "coef", at, width) * F.col("_scale")).alias(name))
         at += width
     sigma = F.sqrt(F.col("rss") / F.col("n")) * F.col("_scale")
     yhat = reduce(add, [F.col(name) for name in model.groups()])

@@ -34,9 +34,11 @@ def cross_products(rows, keys, x="x", y="y") -> DataFrame:
             m = lists.flatten().to_numpy().reshape(batch.num_rows, -1)
             upper = np.triu_indices(m.shape[1])
             names = batch.select(keys).to_pandas()
-            members = names.groupby(keys, sort=False).indices
-            parts = [(m[rows].T @ m[rows])[upper] for rows in members.values()]
-            first = pa.array([rows[0] for rows in members.values()])
+            # sorted rows: each series is one run
+            starts = np.flatnonzero(~names.duplicated().to_numpy())
+            runs = [m[lo:hi] for lo, hi in zip(starts, [*starts[1:], len(m)])]
+            parts = [(run.T @ run)[upper] for run in runs]
+            first = pa.array(starts)
             yield pa.RecordBatch.from_arrays(
                 [*(c.take(first) for c in batch.select(keys).columns), pa.array(parts, pa.list_(pa.float64()))],
                 names=[*keys, "_part"],
@@ -74,6 +76,7 @@ def solve(products, keys, penalty: list[float]) -> DataFrame:
     return matrices.withColumn("_fit", ridge("_m")).select(*keys, "_fit.*")
 
 
-def dot(x, coef):
-    """Row-wise product of two array columns of one length."""
-    return F.aggregate(F.zip_with(x, coef, lambda a, b: a * b), F.lit(0.0), lambda t, v: t + v)
+def dot(x: str, coef: str, start: int, width: int):
+    """Row-wise sum of products of two array columns over ``width`` places from ``start`` (0-based)."""
+    places = ", ".join(str(i) for i in range(start, start + width))
+    return F.expr(f"aggregate(array({places}), 0.0D, (t, i) -> t + {x}[i] * {coef}[i])")

@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from hourline.operators.linear import cross_products, solve
 from hourline.operators.segments import RN, SIZE, index_rows
-from hourline.operators.windows import lookback
+from hourline.operators.windows import row_lags
 
 KEYS = ("series",)
 
 
 def fit_ar(df, p: int, ridge=0.0, keys=KEYS, ts="ts", value="value") -> DataFrame:
     """(keys, coef): constant and weights of the last p rows, newest first."""
-    windows = lookback(df, [value], p, keys, ts)
-    lags = F.transform(F.reverse("window"), lambda w: w[value])
-    rows = windows.select(*keys, F.concat(F.array(F.lit(1.0)), lags).alias("x"), F.col(value).alias("y"))
+    rows = row_lags(df, p, keys, ts, value).select(
+        *keys, F.array(F.lit(1.0), *[f"lag_{k}" for k in range(1, p + 1)]).alias("x"), F.col(value).alias("y")
+    )
     return solve(cross_products(rows, keys), keys, [0.0] + [ridge] * p).select(*keys, "coef")
 
 

@@ -48,6 +48,17 @@ def window_target(
     return out.drop(CHUNK, HALO)
 
 
+def row_lags(df, count: int, keys=KEYS, ts="ts", value="value") -> DataFrame:
+    """Each row with the values 1..count rows before it as plain columns ``lag_1`` .. ``lag_<count>``.
+
+    The flat form of ``lookback`` for one column; the first ``count`` rows of a series drop out.
+    """
+    chunks = with_chunks(index_rows(df.select(*keys, ts, value), keys, ts), count)
+    ordered = chunk_window(keys)
+    lagged = chunks.withColumns({f"lag_{k}": F.lag(value, k).over(ordered) for k in range(1, count + 1)})
+    return lagged.filter(~F.col(HALO) & (F.col(RN) >= count)).drop(CHUNK, HALO, RN, SIZE)
+
+
 def batches(windows, size: int, length: int, delay=0, min_index=0, max_index=None) -> DataFrame:
     """Adds ``batch_id`` to rows that still carry position and series size; one ordered epoch.
 

@@ -277,11 +277,11 @@ def rescale_units(spark, folder):
 
 @query(
     "project_region",
-    "SELECT event_id, ts AS \"Hour_End\", value AS \"COAST\" FROM events",
+    "SELECT event_id, ts AS \"hour_end\", value AS \"region_1\" FROM events",
 )
 def project_region(spark, folder):
-    events = w.table(spark, folder, "events").withColumnsRenamed({"ts": "Hour_End", "value": "COAST"})
-    return events.select("event_id", "Hour_End", "COAST")
+    events = w.table(spark, folder, "events").withColumnsRenamed({"ts": "hour_end", "value": "region_1"})
+    return events.select("event_id", "hour_end", "region_1")
 
 
 @query(

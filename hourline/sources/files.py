@@ -71,7 +71,7 @@ def audit_files(spark, path, sep=",") -> DataFrame:
     return lines.groupBy("file", "n_fields").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def read_load(spark, path, schema, ts="Hour_End", fmt="yyyy-MM-dd HH:mm:ss") -> DataFrame:
+def read_load(spark, path, schema, ts="hour_end", fmt="yyyy-MM-dd HH:mm:ss") -> DataFrame:
     """A load table whose stamp column is text."""
     df = read_series(spark, path, schema)
     return df.withColumn(ts, parse_ts(F.col(ts), fmt)).withColumnRenamed(ts, "ts")

@@ -141,18 +141,18 @@ def test_ragged_files(spark, tmp_path):
     for width, name in ((102, "narrow"), (103, "wide")):
         header = ",".join(f"h{i}" for i in range(width))
         row = ",".join(["T", "01/02/2012"] + [str(float(i)) for i in range(96)] + ["9"] * (width - 98))
-        (tmp_path / f"{name}_Profiles.csv").write_text(f"{header}\n{row}\n")
-    pattern = str(tmp_path / "*Profiles*.csv")
+        (tmp_path / f"{name}.csv").write_text(f"{header}\n{row}\n")
+    pattern = str(tmp_path / "*.csv")
     rows = files.read_ragged(spark, pattern).collect()
     assert [r["seg_4"] for r in rows] == [0.0, 0.0] and [r["seg_99"] for r in rows] == [95.0, 95.0]
     audit = {r["file"].rsplit("/", 1)[1]: (r["n_fields"], r["lines"]) for r in files.audit_files(spark, pattern).collect()}
-    assert audit == {"narrow_Profiles.csv": (102, 2), "wide_Profiles.csv": (103, 2)}
+    assert audit == {"narrow.csv": (102, 2), "wide.csv": (103, 2)}
 
 
 def test_load_file_with_text_stamps(spark, tmp_path):
-    (tmp_path / "load.csv").write_text("Hour_End,COAST\n2016-01-01 01:00:00,7000.5\n2016-01-01 02:00:00,\n")
-    df = files.read_load(spark, str(tmp_path / "load.csv"), "Hour_End STRING, COAST DOUBLE")
-    scaled = clean.rescale_units(clean.drop_null_rows(df), ["COAST"])
+    (tmp_path / "load.csv").write_text("hour_end,region_1\n2016-01-01 01:00:00,7000.5\n2016-01-01 02:00:00,\n")
+    df = files.read_load(spark, str(tmp_path / "load.csv"), "hour_end STRING, region_1 DOUBLE")
+    scaled = clean.rescale_units(clean.drop_null_rows(df), ["region_1"])
     assert [tuple(r) for r in scaled.collect()] == [(dt.datetime(2016, 1, 1, 1), 7.0005)]
 
 
