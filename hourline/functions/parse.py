@@ -9,8 +9,13 @@ from hourline.functions.dates import hours_interval
 
 
 def parse_ts(text: Column, fmt: str = "yyyy-MM-dd HH:mm") -> Column:
-    """Text to zone-free timestamp; NULL when the text does not match."""
-    return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+    """Text to zone-free timestamp; NULL when the text does not match.
+
+    The tolerant parser only decides whether the text matches: its own result passes through the
+    session time zone, which moves wall clocks that a clock change skips.
+    """
+    matches = F.try_to_timestamp(text, F.lit(fmt)).isNotNull()
+    return F.when(matches, F.to_timestamp_ntz(text, F.lit(fmt)))
 
 
 def date_hour_ts(date: Column, hour: Column, date_fmt: str = "MM/dd/yyyy") -> Column:

@@ -79,7 +79,7 @@ def sample_windows(windows, fraction: float, seed: int, keys=KEYS, ts="ts") -> D
     Each row is drawn a Poisson number of times, read off a hash of its key and the seed. A lost
     task therefore draws the same rows again, however they are partitioned.
     """
-    digest = F.md5(F.concat_ws("|", *keys, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"), F.lit(seed)))
+    digest = F.md5(F.concat_ws("|", *keys, F.col(ts).cast("string"), F.lit(seed)))
     uniform = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
     copies, term, total = [], exp(-fraction), exp(-fraction)
     while term > 1e-12:

@@ -167,5 +167,11 @@ def test_zone_independence(spark, frame):
         assert first_column(df.select(hour_start(F.col("ts")))) == [
             dt.datetime(2016, 3, 13, 2), dt.datetime(2016, 11, 6, 1),
         ]
+        text = spark.createDataFrame([("2016-03-13 02:30",), ("2016-13-01 02:30",)], "t STRING")
+        assert first_column(text.select(parse_ts(F.col("t")))) == [dt.datetime(2016, 3, 13, 2, 30), None]
+        stamps = spark.createDataFrame([("03/12/2016 24:00",), ("03/13/2016 02:00",)], "t STRING")
+        assert first_column(stamps.select(fix_hour24(F.col("t")))) == [
+            dt.datetime(2016, 3, 13), dt.datetime(2016, 3, 13, 2),
+        ]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
