@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
 from hourline.functions.dates import hour_start
 from hourline.functions.parse import fix_hour24, fix_thousands, parse_ts
 from hourline.operators import clean, reshape, splits
@@ -241,7 +240,11 @@ def time_block(spark, folder):
     return tidy(clean.time_block(w.hourly_load(spark, folder), "2024-01-08 00:00:00", "2024-01-14 23:00:00"))
 
 
-@query("drop_null_rows", f"WITH {w.DUP_LOAD_SQL} SELECT series, ts, round(value, 2) AS value, ord::BIGINT AS ord FROM dup_load WHERE value IS NOT NULL")
+@query(
+    "drop_null_rows",
+    f"""WITH {w.DUP_LOAD_SQL}
+    SELECT series, ts, round(value, 2) AS value, ord::BIGINT AS ord FROM dup_load WHERE value IS NOT NULL""",
+)
 def drop_null_rows(spark, folder):
     return tidy(clean.drop_null_rows(w.dup_load(spark, folder)), 2)
 

@@ -123,7 +123,11 @@ def features(spark, folder):
     return tidy(lags.features(w.hourly_load(spark, folder)))
 
 
-@query("feature_groups", f"WITH {FEATURES_SQL} SELECT series, ts, value, drybulb, humidity, prev_day, prev_week_day, prev_day_mean FROM feature_rows")
+@query(
+    "feature_groups",
+    f"""WITH {FEATURES_SQL}
+    SELECT series, ts, value, drybulb, humidity, prev_day, prev_week_day, prev_day_mean FROM feature_rows""",
+)
 def feature_groups(spark, folder):
     full = lags.features(w.hourly_load(spark, folder), weather=w.hourly_weather(spark, folder))
     return tidy(lags.feature_groups(full, ["weather", "lag"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hourline.operators import cv, decompose, lags, naive, recursive, shapes, spectral, splits, trees
+from hourline.operators import cv, decompose, lags, recursive, shapes, spectral, splits, trees
 from hourline.plans import ridge_sql as rs
 from hourline.plans import workload as w
 from hourline.plans.catalog import query, tidy
