@@ -62,26 +62,29 @@ def _needed(n: F.Column) -> F.Column:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", max_seeds: int = MAX_SEEDS) -> DataFrame:
     """(doc, content, item, n_words, n_found): each document and the items it leaks. ``content`` is the
     text's hash and ``n_found`` the most words found in one window."""
-    items = benchmark.select(col(item_col).alias("item"), F.explode(F.array(words(col(item_text_col)))).alias("w"))
-    places = _places(items.withColumn("n", F.size("w")), "item", "n")
-    seeds = stored(places.select("h", "item", "n", F.col("at").alias("item_at")), "seeds")
+    split = benchmark.select(col(item_col).alias("item"), F.explode(F.array(words(col(item_text_col)))).alias("w"))
+    items = stored(split.distinct().select("item", F.xxhash64("w").alias("item_hash"), "w"), "items")
+    places = _places(items.withColumn("n", F.size("w")), "item", "item_hash", "n")
+    seeds = stored(places.select("h", "item", "item_hash", "n", F.col("at").alias("item_at")), "seeds")
     texts = docs.select(col(id_col).alias("doc"), F.xxhash64(col(text_col).cast("string")).alias("content"), F.explode(F.array(words(col(text_col)))).alias("w"))
     n_blocks = max(1, -(-seeds.count() // max_seeds))
     blocks = [seeds.filter(F.pmod(F.xxhash64("h"), F.lit(n_blocks)) == b) for b in range(n_blocks)]
     found = reduce(DataFrame.unionByName, [_hits(texts, block) for block in blocks])
-    return _verified(found, stored(items, "items"))
+    return _verified(found, items)
 
 
 def _hits(texts: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(doc, content, item, lie, near): the place of the item's first word in the document, which may be
+    """(doc, content, item, item_hash, lie, near): the place of the item's first word in the document, which may be
     before its beginning, and the document's words from there on, as many as the item has."""
     met = _places(texts, "doc", "content").join(F.broadcast(seeds), "h")  # max_seeds rows at most
     lie = F.col("at") - F.col("item_at")
-    return met.select("doc", "content", "item", lie.alias("lie"), F.slice("w", F.greatest(lie, F.lit(0)) + 1, F.col("n")).alias("near"))
+    return met.select("doc", "content", "item", "item_hash", lie.alias("lie"), F.slice("w", F.greatest(lie, F.lit(0)) + 1, F.col("n")).alias("near"))
 
 
 def _verified(hits: DataFrame, items: DataFrame) -> DataFrame:
-    lies = hits.groupBy("doc", "content", "item", "lie").agg(F.first("near").alias("near")).join(items, "item")
+    lies = hits.groupBy("doc", "content", "item", "item_hash", "lie").agg(F.first("near").alias("near"))
+    named = items.select(F.col("item").alias("named"), F.col("item_hash").alias("hash"), "w")
+    lies = lies.join(named, (F.col("item_hash") == F.col("hash")) & F.col("item").eqNullSafe(F.col("named")))
     n = F.size("w")
     window = F.least(n, F.lit(WINDOW))
     same = F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.coalesce((F.get("near", j + F.least("lie", F.lit(0))) == F.get("w", j)).cast("int"), F.lit(0)))

@@ -59,10 +59,11 @@ _RAW, _ASIDE, _VOID, _INLINE, _NAMES = map(frozenset, (RAW, ASIDE, VOID, INLINE,
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"  # comments, declarations
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?P<close>>|\Z|(?=[\"']))",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:[\"'][^>]*)?(?:>|\Z)",
     re.S,
 )
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_EMPTY = re.compile(r"""(?:^|[\s"'])/$""")  # "<div/>", but not "<a href=/>"
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
@@ -117,7 +118,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if not tag:
             continue
         if tag in _RAW and not found["end"]:
-            if not found["rest"].endswith("/"):
+            if not _EMPTY.search(found["rest"]):
                 close = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else len(page)
             continue
@@ -135,7 +136,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                         out.extend([("", 0, inside > 0)] * WINDOW)
                     if name == tag:
                         break
-        elif tag not in _VOID and not found["rest"].endswith("/"):
+        elif tag not in _VOID and not _EMPTY.search(found["rest"]):
             is_outside = _outside(tag, found["rest"])
             if is_outside and not outside:
                 end_line()
