@@ -7,7 +7,7 @@ its fields left open. Two lines share a template exactly if they agree in at lea
 and what differs stands together; so a recurring line is found with any one passage of it changed.
 
 A template recurs if lines of different documents fit it. Its lines are dropped from every document
-but the first, by id. Templates are hashed to 96 bits and counted with a map-side combine, so a line
+but the first, by id. Templates are hashed (32 bits for the leaf, 64 for the rest) and counted with a map-side combine, so a line
 that a third of all documents hold is one row from each task; a line costs a handful of keys, and only
 texts that lose lines are written anew.
 
@@ -31,46 +31,56 @@ BLOCKS = 5
 
 
 def fields(line: F.Column) -> F.Column:
-    """A line's fields; those with a digit are variable."""
-    plain = F.trim(F.translate(line, "\t\r\f\v", "    "))
-    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"\S*[0-9]\S*", "<*>")).otherwise(plain)
-    return F.split(masked, " +")
+    """A line's fields; those with a digit are variable. Most lines need no rewriting."""
+    spaced = F.translate(line, "\t\r\f\v", "    ")
+    masked = F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", "<*>")
+    plain = F.when(line.rlike("[0-9\t\r\f\x0b]"), masked).otherwise(line)
+    return F.array_remove(F.split(plain, " "), "")
 
 
-def template_keys(f: F.Column) -> F.Column:
-    """The templates that a line with the fields ``f`` fits, as (x, y) hashes."""
+def template_keys(f: F.Column, hashes: F.Column) -> F.Column:
+    """The templates that a line with the fields ``f`` fits, as (leaf, rest).
+
+    The leaf is the line's place in the tree: its number of fields and the leading ones. The rest is
+    the exclusive-or of the other fields' hashes, each salted with its place, so leaving a block open
+    costs the block's fields only.
+    """
     n = F.size(f)
     width = (n / BLOCKS).cast("int")
 
-    def key(open_block: F.Column | int, *parts: F.Column) -> F.Column:
-        row = [n, F.lit(open_block) if isinstance(open_block, int) else open_block, *parts]
-        return F.struct(F.xxhash64(*row).alias("x"), F.hash(*row).alias("y"))
+    def mixed(values: F.Column) -> F.Column:
+        return F.aggregate(values, F.lit(0).cast("bigint"), lambda x, h: x.bitwiseXOR(h))
 
+    whole = mixed(hashes)
     starts = F.sequence(F.lit(LEADING), n - 1, width)
-    generalised = F.transform(starts, lambda s: key(s, F.slice(f, F.lit(1), s), F.slice(f, s + width + 1, n)))
-    exact = F.array(key(0, f))
-    return F.when(n < MIN_FIELDS, exact).otherwise(F.concat(exact, generalised))
+    generalised = F.transform(starts, lambda s: F.xxhash64(s, whole.bitwiseXOR(mixed(F.slice(hashes, s + 1, width)))))
+    exact = F.array(F.xxhash64(F.lit(0), whole))
+    leaf = F.hash(n, F.slice(f, F.lit(1), F.least(n, F.lit(LEADING))))
+    return F.struct(leaf.alias("leaf"), F.when(n < MIN_FIELDS, exact).otherwise(F.concat(exact, generalised)).alias("rests"))
 
 
 def _line_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, content, k, x, y): a row for each line and template; content tells rows of one id apart."""
     rows = docs.select(F.coalesce(col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), col(text_col).cast("string").alias("text"))
     lines = rows.select("doc", F.xxhash64("text").alias("content"), F.posexplode(F.split("text", "\n", -1)).alias("k", "line"))
-    parsed = lines.filter(F.col("line").rlike(r"\S")).select("doc", "content", "k", F.explode(F.array(fields(F.col("line")))).alias("f"))
-    return parsed.select("doc", "content", "k", F.explode(template_keys(F.col("f"))).alias("key")).select("doc", "content", "k", "key.x", "key.y")
+    # exploding an array of one keeps Spark from working out the fields again for each use
+    parsed = lines.select("doc", "content", "k", F.explode(F.array(fields(F.col("line")))).alias("f")).filter(F.size("f") > 0)
+    hashed = parsed.select("doc", "content", "k", "f", F.explode(F.array(F.transform("f", lambda t, i: F.xxhash64(t, i)))).alias("h"))
+    keyed = hashed.select("doc", "content", "k", F.explode(F.array(template_keys(F.col("f"), F.col("h")))).alias("t"))
+    return keyed.select("doc", "content", "k", F.explode("t.rests").alias("x"), F.col("t.leaf").alias("y"))
 
 
-def recurring_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def recurring_templates(keys: DataFrame) -> DataFrame:
     """(x, y, first): templates that several documents hold, and the first of these."""
-    keys = _line_keys(docs, id_col, text_col)
     spans = keys.groupBy("x", "y").agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
     return spans.filter("first < last").select("x", "y", "first")
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dropped_col: str | None = None) -> DataFrame:
     """``docs`` without recurring lines; ``dropped_col`` names a further column with their number."""
-    templates = stored(recurring_templates(docs, id_col, text_col), "templates")
-    hits = _line_keys(docs, id_col, text_col).join(templates, ["x", "y"]).filter("first < doc")
+    keys = stored(_line_keys(docs, id_col, text_col), "line-keys")  # parsing costs more than reading this
+    templates = stored(recurring_templates(keys), "templates")
+    hits = keys.join(templates, ["x", "y"]).filter("first < doc")
     gone = hits.groupBy("doc", "content").agg(F.collect_set("k").alias("gone"))  # numbers of one text's lines
     row = docs.select(F.coalesce(col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("doc"), F.xxhash64(col(text_col).cast("string")).alias("content"), F.struct("*").alias("row"))
     met = row.join(gone, ["doc", "content"], "left").select("row", "gone")
