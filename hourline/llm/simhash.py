@@ -1,14 +1,23 @@
 """SimHash near-copies with BK-trees.
 
-Every text gets a 64-bit SimHash of its word shingles. Equal fingerprints are one node, so a group of
-exact copies costs one row whatever its size. Two fingerprints that differ in at most ``radius`` bits
-differ in at most that many of ``radius + 2`` bit blocks and so agree on two of them: each fingerprint
-goes to the shard of every pair of blocks, and a BK-tree in each shard finds the links inside it,
-following only edges within the radius. That loses no link. Of each shard only a spanning forest
-leaves, never all pairs, and the forests' components are those of all links.
+Every text gets a 64-bit SimHash of its word shingles. Fingerprints are compared inside shards only: a
+BK-tree in each shard follows the edges within the radius. The trees are built where their shard's rows
+are. They are not broadcast: all trees together grow with the corpus, so that no size bound could be
+given for them.
 
-The trees are built where their shard's rows are. They are not broadcast: all trees together grow
-with the corpus, so that no size bound could be given for them.
+``near_copies`` links fingerprints that differ in at most ``radius`` bits, all of them: such two differ
+in at most ``radius`` of ``radius + 2`` bit blocks and so agree on two, and each pair of blocks makes a
+shard. Equal fingerprints are one node, so a group of exact copies costs one row whatever its size. Of
+each shard only a spanning forest leaves, never all pairs, and the forests' components are those of
+all links.
+
+``similar_groups`` links texts whose shingle sets have a Jaccard similarity of 0.8 or more, which
+fingerprints can only propose: such texts differ in about ten bits and up to ``REACH``, too many for
+blocks. Its shards are ``TABLES`` fixed choices of ``KEY_BITS`` bits; each text proposes its nearest
+partners in each shard, and proposals are decided on the whole shingle sets. Fingerprints at 11 bits
+meet in some shard with probability 0.998, at 13 with 0.97, at 15 with 0.9, and groups are found through any of
+their pairs. Texts of a few shingles are found less often: a single one turns many of their bits. A shard of over ``CROWD`` members is parted by further bits: it is a dense group, in which
+each text has many partners.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, which links
 like any other; a text with fewer words than a shingle counts as one shingle. Repeated rows give
@@ -29,30 +38,42 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from hourline.llm.bktree import links
+from hourline.llm.bktree import LEAF, BkTree, links
 from hourline.llm.components import connected_components
 from hourline.llm.frames import col, stored, utf8
 
 SHINGLE = 5
+SIMILARITY = 0.8
 RADIUS = 3
 SEED = 42
+#: Bits that similar texts differ in at most, but for a few in a hundred of those close to SIMILARITY.
+#: Of unlike texts one pair in a hundred thousand is that near.
+REACH = 15
+TABLES, KEY_BITS, CROWD, PARTNERS = 64, 12, 1 << 14, 2
 #: Shingles whose bits are counted at once.
 _STEP = 1 << 14
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The SimHash of a UTF-8 text: bit k is 1 if it is set in over half of the shingles' hashes."""
-    words = text.lower().split()  # A-Z only, and ASCII white space, as these are bytes
+def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 of each word shingle of a UTF-8 text, repeats included, some thousands at a time. Words are
+    parted by ASCII white space, A-Z count as a-z; fewer words than a shingle count as one."""
+    words = text.lower().split()  # bytes: ASCII only
     if not words:
-        return 0
+        return
     joined, n = b" ".join(words), max(1, len(words) - shingle + 1)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = [0, *(ends + 1).tolist()]
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
-    counts = np.zeros(64, np.int64)
     for k in range(0, n, _STEP):
-        hashes = np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[k : min(k + _STEP, n)], stops[k : k + _STEP], strict=False)], dtype="<u8")
+        yield np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[k : min(k + _STEP, n)], stops[k : k + _STEP], strict=False)], dtype="<u8")
+
+
+def fingerprint(text: bytes, shingle: int) -> int:
+    """The SimHash of a UTF-8 text: bit k is 1 if it is set in over half of the shingles' hashes."""
+    counts, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, shingle):
         counts += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
@@ -131,13 +152,140 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return named.select(F.col("id").alias(id_col), text, F.col("least").alias("component_id"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs``, all columns, with one row of each near-copy group."""
-    content = F.xxhash64(*[col(c) for c in docs.columns])
-    key = F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), content.alias("content"))
-    slim = docs.select(key.alias("key"), col(text_col).cast("string").alias("text"))
-    rows = stored(fingerprints(slim, "key", "text", shingle), "fingerprints")
-    first = _least_of_groups(rows, radius).select("least.*").distinct()
-    tagged = docs.select(col(id_col).alias("id"), content.alias("content"), F.struct("*").alias("row"))
-    kept = tagged.join(first.select(F.col("id").alias("first_id"), F.col("content").alias("first_content")), (F.col("content") == F.col("first_content")) & F.col("id").eqNullSafe(F.col("first_id")))
-    return kept.dropDuplicates(["first_id", "first_content"]).select("row.*")
+def _tables() -> list[int]:
+    """The key bits of each table, as masks."""
+    rng = np.random.default_rng(SEED)
+    masks = [sum(1 << int(b) for b in rng.choice(64, KEY_BITS, replace=False)) for _ in range(TABLES)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _nearest(prints: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, earlier member) for the PARTNERS nearest earlier members of the same shard in REACH.
+
+    Members come by shard. Those of small shards are compared by their distance in the list, all shards
+    at once; large ones have a BK-tree each.
+    """
+    n = len(prints)
+    begins = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1))
+    sizes = np.diff(np.append(begins, n))
+    size = np.repeat(sizes, sizes)
+    far = 65
+    best, partner = np.full((PARTNERS, n), far), np.full((PARTNERS, n), -1)
+
+    def offer(members: np.ndarray, earlier: np.ndarray, distance: np.ndarray) -> None:
+        for rank in range(PARTNERS):
+            nearer = distance < best[rank, members]
+            at = members[nearer]
+            best[rank, at], distance[nearer] = distance[nearer], best[rank, at]
+            partner[rank, at], earlier[nearer] = earlier[nearer], partner[rank, at]
+
+    small = np.flatnonzero(size <= LEAF)
+    for step in range(1, LEAF):
+        here = small[(size[small] > step) & (small >= step)]
+        here = here[shard[here] == shard[here - step]]
+        if not len(here):
+            break
+        distance = np.bitwise_count(prints[here] ^ prints[here - step]).astype(np.int64)
+        near = distance <= REACH
+        offer(here[near], here[near] - step, distance[near])
+    for begin, length in zip(begins[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
+        for group in _parted(prints, np.arange(begin, begin + length)):
+            for ones, twos in BkTree(prints, group).near(prints, group, REACH):
+                earlier = twos < ones
+                ones, twos = ones[earlier], twos[earlier]
+                distance = np.bitwise_count(prints[ones] ^ prints[twos]).astype(np.int64)
+                order = np.lexsort((distance, ones))
+                ones, twos, distance = ones[order], twos[order], distance[order]
+                place = np.arange(len(ones)) - np.searchsorted(ones, ones)
+                for rank in range(PARTNERS):
+                    some = place == rank
+                    offer(ones[some], twos[some], distance[some])
+    found = [np.flatnonzero(p >= 0) for p in partner]
+    return np.concatenate(found), np.concatenate([p[f] for p, f in zip(partner, found, strict=True)])
+
+
+def _parted(prints: np.ndarray, members: np.ndarray, bit: int = 0) -> Iterator[np.ndarray]:
+    """A crowd by further bits, until each part has CROWD members or the bits end; then cut in order."""
+    if len(members) <= CROWD:
+        yield members
+    elif bit < 64:
+        one = (prints[members] >> np.uint64(bit * 37 % 64) & np.uint64(1)).astype(bool)
+        for part in (members[~one], members[one]):
+            if len(part):
+                yield from _parted(prints, part, bit + 1)
+    else:  # equal fingerprints of different texts
+        for k in range(0, len(members), CROWD - 1):
+            yield members[k : k + CROWD]  # neighbours share a member
+
+
+def _proposals(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of texts (content, fingerprint) that may be similar, each pair once."""
+    keys = F.explode(F.array(*[F.struct(F.lit(t).cast("smallint").alias("t"), F.col("fingerprint").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for t, m in enumerate(_tables())]))
+    dealt = nodes.select("content", "fingerprint", keys.alias("k")).select("k.*", "fingerprint", "content").repartition("t", "key").sortWithinPartitions("t", "key", "fingerprint", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None  # the last shard of a batch may go on in the next one
+        for batch in batches:
+            columns = [c.to_numpy() for c in batch.columns]
+            if held is not None:
+                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+            new = (np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)
+            last = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
+            held = [c[last:] for c in columns]
+            if last:
+                yield pairs([c[:last] for c in columns])
+        if held is not None and len(held[0]):
+            yield pairs(held)
+
+    def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
+        t, key, prints, content = columns
+        shard = np.cumsum(np.append(0, (np.diff(t) != 0) | (np.diff(key) != 0)))
+        crowded = np.isin(shard, np.flatnonzero(np.bincount(shard) > 1))
+        ones, twos = _nearest(prints[crowded].view(np.uint64), shard[crowded]) if crowded.any() else (np.empty(0, int), np.empty(0, int))
+        a, b = content[crowded][ones], content[crowded][twos]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
+
+
+def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """(content, shingles): the distinct shingle hashes of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(t, shingle)])).view("<i8") for t in utf8(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["content", "shingles"])
+
+    return texts.mapInArrow(run, "content BIGINT, shingles ARRAY<BIGINT>")
+
+
+def _content(text: F.Column) -> F.Column:
+    """A text's hash; texts without words are all alike."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return F.when(text.rlike("[^ \\t-\\r]"), F.xxhash64(text)).otherwise(F.lit(0).cast("bigint"))
+
+
+def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """(content, group): texts by hash (see ``_content``) and their group, named by one of its texts.
+    Texts that are similar to no other are left out."""
+    texts = docs.select(_content(col(text_col)).alias("content"), col(text_col).cast("string").alias("text"))
+    nodes = stored(fingerprints(texts, "content", "text", shingle).select(F.col("id").alias("content"), "fingerprint"), "fingerprints").distinct()
+    proposed = stored(_proposals(nodes), "proposals")
+    asked = proposed.select(F.col("a").alias("content")).unionByName(proposed.select(F.col("b").alias("content"))).distinct()
+    wanted = texts.join(asked, "content").dropDuplicates(["content"])
+    sets = stored(_shingle_sets(wanted, shingle), "shingles")
+    both = proposed.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("sum")).filter(F.col("n") >= F.lit(similarity) * (F.col("sum") - F.col("n")))
+    return connected_components(alike.select("a", "b")).select(F.col("node").alias("content"), F.col("component").alias("group"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each group of similar texts."""
+    groups = stored(similar_groups(docs, text_col, shingle, similarity), "groups")
+    key = F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), F.xxhash64(*[col(c) for c in docs.columns]).alias("row"))
+    slim = docs.select(key.alias("key"), _content(col(text_col)).alias("content")).join(groups, "content", "left")
+    first = slim.groupBy(F.coalesce("group", "content").alias("group")).agg(F.min("key").alias("key")).select(F.col("key.id").alias("first_id"), F.col("key.row").alias("first_row"))
+    tagged = docs.select(col(id_col).alias("id"), F.xxhash64(*[col(c) for c in docs.columns]).alias("hash"), F.struct("*").alias("row"))
+    kept = tagged.join(stored(first, "first"), (F.col("hash") == F.col("first_row")) & F.col("id").eqNullSafe(F.col("first_id")))
+    return kept.dropDuplicates(["first_id", "first_row"]).select("row.*")
