@@ -93,3 +93,23 @@ def holidays_of_year(year: str) -> Column:
     entries += [(_nth_weekday(year, *rule), name) for name, *rule in WEEKDAY_HOLIDAYS]
     structs = ", ".join(f'named_struct(\'ds\', {date}, \'holiday\', "{name}")' for date, name in entries)
     return F.expr(f"filter(array({structs}), h -> h.ds IS NOT NULL)")
+
+
+def holiday_name(day: str) -> Column:
+    """The holiday that a DATE expression falls on, stand-ins included, or NULL; for any year.
+
+    A stand-in is the Friday before a fixed date on Saturday or the Monday after one on Sunday. The
+    rules read the date itself, so there is no table of years to join.
+    """
+    number = {"Mon": 0, "Thu": 3}
+    tests = []
+    for name, month, dom in FIXED_HOLIDAYS:
+        for shift, weekday in ((0, None), (1, 4), (-1, 0)):
+            date = f"date_add({day}, {shift})" if shift else day
+            test = f"month({date}) = {month} AND day({date}) = {dom}"
+            tests.append((test if weekday is None else f"{test} AND weekday({day}) = {weekday}", name))
+    for name, month, weekday, n in WEEKDAY_HOLIDAYS:
+        nth = f"month(date_add({day}, 7)) <> {month}" if n < 0 else f"day({day}) BETWEEN {7 * n - 6} AND {7 * n}"
+        tests.append((f"month({day}) = {month} AND weekday({day}) = {number[weekday]} AND {nth}", name))
+    cases = " ".join(f'WHEN {test} THEN "{name}"' for test, name in tests)
+    return F.expr(f"CASE {cases} END")

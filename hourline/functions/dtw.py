@@ -56,14 +56,23 @@ def dtw_distance(a: Column, b: Column, w: int = 4) -> Column:
 def nearest_centroid(shape: Column, centroids: list[list[float]], w: int = 4, r: int = 5) -> Column:
     """STRUCT<cluster, dist>: the centroid with the smallest DTW distance, the first one on ties.
 
-    DTW runs only for rows whose lower bound beats the best distance so far. The centroids travel in
-    the function: k vectors of one shape's length.
+    DTW runs only for rows whose lower bound beats the best distance so far; the bound holds only if
+    its envelope is as wide as the band, so ``r`` must be ``w`` or more. The centroids travel in the
+    function: k vectors of one shape's length. A shape that is NULL, of another length, or holds a
+    NULL or NaN has no nearest centroid (both fields NULL).
     """
+    if r < w:
+        raise ValueError(f"the envelope r = {r} must be at least the band w = {w}")
     centres = np.asarray(centroids, dtype=float)
 
     @F.pandas_udf("cluster int, dist double")
     def assign(shapes: pd.Series) -> pd.DataFrame:
-        x = np.stack(shapes)
+        whole = shapes.map(lambda s: s is not None and len(s) == centres.shape[1])
+        usable = np.flatnonzero(whole & shapes.where(whole, None).map(lambda s: s is not None and bool(np.isfinite(np.asarray(s, dtype=float)).all())))
+        out = pd.DataFrame({"cluster": pd.array([None] * len(shapes), dtype="Int32"), "dist": pd.array([None] * len(shapes), dtype="Float64")})
+        if not len(usable):
+            return out
+        x = np.stack([np.asarray(s, dtype=float) for s in shapes.iloc[usable]])
         best = np.full(len(x), np.inf)
         cluster = np.full(len(x), -1, dtype=np.int32)
         for c, centre in enumerate(centres):
@@ -74,7 +83,8 @@ def nearest_centroid(shape: Column, centroids: list[list[float]], w: int = 4, r:
             closer = dist < best[open_rows]
             best[open_rows[closer]] = dist[closer]
             cluster[open_rows[closer]] = c
-        return pd.DataFrame({"cluster": cluster, "dist": best})
+        out.loc[usable, "cluster"], out.loc[usable, "dist"] = cluster, best
+        return out
 
     return assign(shape)
 

@@ -29,13 +29,18 @@ def date_hour_ts(date: Column, hour: Column, date_fmt: str = "MM/dd/yyyy") -> Co
 
 
 def fix_hour24(stamp: Column, date_fmt: str = "MM/dd/yyyy") -> Column:
-    """``12/31/2016 24:00`` -> 2017-01-01 00:00; other hours and minutes as written."""
+    """``12/31/2016 24:00`` -> 2017-01-01 00:00; other hours and minutes as written.
+
+    NULL unless the hour is 0 to 24, the minute 0 to 59, and 0 in hour 24.
+    """
     parts = F.split(F.trim(stamp), " +")
     clock = F.split(F.get(parts, F.lit(1)), ":")
-    minutes = F.coalesce(F.get(clock, F.lit(1)).try_cast("int"), F.lit(0))
-    return date_hour_ts(F.get(parts, F.lit(0)), F.get(clock, F.lit(0)).try_cast("int"), date_fmt) + (
-        F.make_dt_interval(F.lit(0), F.lit(0), minutes)
-    )
+    written = F.get(clock, F.lit(1))
+    hour = F.get(clock, F.lit(0)).try_cast("int")
+    minute = F.when(written.isNull(), F.lit(0)).otherwise(written.try_cast("int"))
+    valid = hour.between(0, 24) & minute.between(0, 59) & ((hour < 24) | (minute == 0))
+    stamped = date_hour_ts(F.get(parts, F.lit(0)), hour, date_fmt) + F.make_dt_interval(F.lit(0), F.lit(0), minute)
+    return F.when(valid, stamped)
 
 
 def fix_thousands(text: Column) -> Column:

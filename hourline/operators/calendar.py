@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourline.functions.dates import calendar_columns, holidays_of_year
-
-# Holiday dimension used by default: about 11 rows a year, so its size is fixed by these two years.
-FIRST_YEAR, LAST_YEAR = 1970, 2100
+from hourline.functions.dates import calendar_columns, holiday_name, holidays_of_year
 
 
 def calendar_features(df, ts="ts", only: list[str] | None = None) -> DataFrame:
@@ -27,7 +24,7 @@ def holidays_in(years: DataFrame) -> DataFrame:
     return days.filter(F.year("ds") == F.col("year")).select("ds", "holiday")
 
 
-def holiday_table(spark: SparkSession, from_year=FIRST_YEAR, to_year=LAST_YEAR) -> DataFrame:
+def holiday_table(spark: SparkSession, from_year: int, to_year: int) -> DataFrame:
     years = spark.range(from_year, to_year + 1, numPartitions=1)
     return holidays_in(years.select(F.col("id").cast("int").alias("year")))
 
@@ -35,18 +32,14 @@ def holiday_table(spark: SparkSession, from_year=FIRST_YEAR, to_year=LAST_YEAR)
 def holiday_flags(df, holidays: DataFrame | None = None, ts="ts") -> DataFrame:
     """Adds ``holiday_flag`` and ``off_flag`` = weekend or holiday.
 
-    The holiday dimension is broadcast: its size depends on the year span only, never on the data.
+    By default the federal rules are read off each row's own date. Another calendar is a frame of dates
+    (``ds``), which Spark joins by its size.
     """
     if holidays is None:
-        days = holiday_table(df.sparkSession).select("ds")  # the ten rules never share a date
+        flagged = df.withColumn("_ds", F.to_date(ts)).withColumn("_h", holiday_name("_ds").isNotNull().cast("int"))
     else:
-        days = holidays.select("ds").distinct()
-    days = days.withColumn("_h", F.lit(1))
-    joined = df.withColumn("ds", F.to_date(ts)).join(F.broadcast(days), "ds", "left").drop("ds")
+        days = holidays.select(F.col("ds").alias("_ds")).distinct().withColumn("_h", F.lit(1))
+        flagged = df.withColumn("_ds", F.to_date(ts)).join(days, "_ds", "left")
+    holiday = F.coalesce(F.col("_h"), F.lit(0))
     weekend = (F.weekday(F.col(ts)) > 4).cast("int")
-    return joined.withColumns(
-        {
-            "holiday_flag": F.coalesce(F.col("_h"), F.lit(0)),
-            "off_flag": F.greatest(weekend, F.coalesce(F.col("_h"), F.lit(0))),
-        }
-    ).drop("_h")
+    return flagged.withColumns({"holiday_flag": holiday, "off_flag": F.greatest(weekend, holiday)}).drop("_h", "_ds")

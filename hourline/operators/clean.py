@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 from operator import and_, or_
 
@@ -92,17 +93,25 @@ def other_years(df, year: int, ts="ts") -> DataFrame:
     return df.filter((F.col(ts) < low) | (F.col(ts) >= high))
 
 
-def slice_period(df, start: str, end: str, ts="ts") -> DataFrame:
-    """Partial-date slice with both ends included: '2010', '2010-01' or '2010-01-31' (or an hour)."""
+def _period(label: str) -> tuple[dt.datetime, dt.datetime]:
+    """First moment of a period and of the one after it: a year, month, day, or hour of a day."""
+    day, _, hour = label.strip().replace("T", " ").partition(" ")
+    parts = [int(p) for p in day.split("-")]
+    first = dt.datetime(*(parts + [1, 1])[:3])
+    if hour:
+        if len(parts) < 3 or not hour.isdigit():
+            raise ValueError(f"not a period: {label!r}")
+        first += dt.timedelta(hours=int(hour))
+        return first, first + dt.timedelta(hours=1)
+    if len(parts) == 3:
+        return first, first + dt.timedelta(days=1)
+    year, month = (parts[0] + 1, 1) if len(parts) == 1 else (parts[0] + parts[1] // 12, parts[1] % 12 + 1)
+    return first, dt.datetime(year, month, 1)
 
-    def first(label):
-        parts = label.split("-")
-        return "-".join(parts + ["01"] * (3 - len(parts)))
 
-    stop = F.lit(first(end)).cast("date")
-    step = {1: F.add_months(stop, 12), 2: F.add_months(stop, 1), 3: F.date_add(stop, 1)}
-    low = F.lit(first(start)).cast("date").cast("timestamp_ntz")
-    high = step[len(end.split("-"))].cast("timestamp_ntz")
+def slice_period(df, start: str, end: str, ts="ts") -> DataFrame:
+    """Partial-date slice with both ends included: '2010', '2010-01', '2010-01-31' or '2010-01-31 05'."""
+    low, high = (F.lit(str(x)).cast("timestamp_ntz") for x in (_period(start)[0], _period(end)[1]))
     return df.filter((F.col(ts) >= low) & (F.col(ts) < high))
 
 

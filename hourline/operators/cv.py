@@ -67,6 +67,8 @@ def cv_seasonal_naive(
 ) -> DataFrame:
     """(keys, cutoff, ts, actual, pred, lower, upper) of the seasonal-naive forecast at each cutoff.
 
+    A row of the horizon without a value to repeat keeps its place with a NULL forecast.
+
     The forecast is the value at the last stamp of the same season at or before the cutoff. The band
     is the root mean square of the seasonal differences known at the cutoff, from running sums over
     the stretches between cutoffs.
@@ -81,7 +83,7 @@ def cv_seasonal_naive(
     back_days = (F.ceil(gap / season) * season_days).cast("int")
     ahead = ahead.withColumn("_base", F.col(ts) - F.make_dt_interval(back_days))
     known = df.select(*keys, F.col(ts).alias("_base"), F.col(value).alias("pred"))
-    forecast = ahead.join(known, [*keys, "_base"])
+    forecast = ahead.join(known, [*keys, "_base"], "left")
 
     diffs = calendar_lag(rows, {"_old": (value, season_days)}, keys, ts)
     sq = (F.col(value) - F.col("_old")) ** 2
@@ -94,7 +96,7 @@ def cv_seasonal_naive(
     spread = grid.select(
         *keys, "k", F.sqrt(F.try_divide(F.sum("_sq").over(older), F.sum("_m").over(older))).alias("_s")
     )
-    out = forecast.join(spread, [*keys, "k"])
+    out = forecast.join(spread, [*keys, "k"], "left")
     return out.select(
         *keys, "cutoff", ts, F.col(value).alias("actual"), "pred",
         (F.col("pred") - Z80 * F.col("_s")).alias("lower"), (F.col("pred") + Z80 * F.col("_s")).alias("upper"),
@@ -102,12 +104,15 @@ def cv_seasonal_naive(
 
 
 def cv_metrics(cv, keys=(), ts="ts") -> DataFrame:
-    """Scores by distance from the cutoff (``horizon_hours``): mse, rmse, mae, mape, coverage."""
+    """Scores by distance from the cutoff (``horizon_hours``): mse, rmse, mae, mape, coverage.
+
+    ``n`` rows have a forecast and ``n_missing`` have none."""
     e = F.col("actual") - F.col("pred")
     horizon = (epoch_second(F.col(ts)) - epoch_second(F.col("cutoff"))) / HOUR
     inside = (F.col("actual") >= F.col("lower")) & (F.col("actual") <= F.col("upper"))
     return cv.groupBy(*keys, horizon.alias("horizon_hours")).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count(e).alias("n"),
+        F.count_if(e.isNull()).alias("n_missing"),
         F.avg(e * e).alias("mse"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         F.avg(F.abs(e)).alias("mae"),

@@ -13,13 +13,11 @@ from math import pi
 from operator import add
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hourline.functions.dates import HOLIDAY_NAMES, epoch_second, hours_interval
-from hourline.operators.calendar import holiday_table
+from hourline.functions.dates import HOLIDAY_NAMES, epoch_second, holiday_name, hours_interval
 from hourline.operators.cv import cutoff_count, cutoff_rows, cutoff_ts, training_interval
-from hourline.operators.linear import cross_products, dot, solve
+from hourline.operators.linear import cross_products, dot, solve, solve_running
 from hourline.operators.segments import attach_series, attach_totals, segment_of
 
 KEYS = ("series",)
@@ -68,10 +66,7 @@ def design(df, model: Additive, ts="ts") -> DataFrame:
             terms += [f"{wave}({2 * pi * k / period!r}D * _days)" for wave in ("cos", "sin")]
     out = df.withColumns({"_t": t, "_days": days})
     if model.holidays:
-        # one name per day; its size depends on the calendar only
-        name = F.regexp_replace("holiday", r" \(Observed\)$", "")
-        named = holiday_table(df.sparkSession).select("ds", name.alias("_holiday"))
-        out = out.withColumn("ds", F.to_date(ts)).join(F.broadcast(named), "ds", "left").drop("ds")
+        out = out.withColumn("_ds", F.to_date(ts)).withColumn("_holiday", holiday_name("_ds")).drop("_ds")
         terms += [f'CAST(_holiday <=> "{name}" AS DOUBLE)' for name in HOLIDAY_NAMES]
     return out.withColumn("x", F.expr(f"array({', '.join(terms)})")).drop("_t", "_days", "_holiday")
 
@@ -154,19 +149,12 @@ def cross_validate(
     rows = attach_series(design(ranged, model, ts), peak, keys, segment_of(ts))
     train = rows.withColumn("_k", training_interval(ts, *spec)).filter(F.col("_k") >= 0)
     train = train.withColumn("y", F.col(value) / F.col("_scale"))
-    cells = cross_products(train, [*keys, "_k"])
-    # zero cells for every cutoff, so that a stretch without rows still passes the sum on
-    p = len(model.penalty())
-    width = (p + 1) * (p + 2) // 2
+    products = cross_products(train, [*keys, "_k"])
     series = ranged.groupBy(*keys).agg(F.min("_first").alias("_first"), F.max("_last").alias("_last"))
     cuts = series.select(
         *keys, "_last", F.explode(F.sequence(F.lit(0).cast("bigint"), cutoff_count(*spec) - 1)).alias("_k")
     )
-    zeros = cuts.select(*keys, "_k", F.posexplode(F.array_repeat(F.lit(0.0), width)).alias("pos", "value"))
-    total = cells.unionByName(zeros).groupBy(*keys, "_k", "pos").agg(F.sum("value").alias("value"))
-    later_stretches = W.partitionBy(*keys, "pos").orderBy(F.col("_k").desc())
-    products = total.withColumn("value", F.sum("value").over(later_stretches))
-    fit = solve(products, [*keys, "_k"], model.penalty())
+    fit = solve_running(products, keys, "_k", model.penalty(), cuts)
     ahead = rows.withColumn("_k", F.explode(cutoff_rows(ts, *spec)))
     scored = ahead.join(fit, [*keys, "_k"])
     cutoff = cutoff_ts(F.col("_k"), period_hours, horizon_hours).alias("cutoff")

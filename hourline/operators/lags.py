@@ -89,8 +89,10 @@ def features(df, keys=KEYS, ts="ts", value="value", calendar=True, lag=True, wea
 
 
 def join_weather(load, weather, ts="ts") -> DataFrame:
-    """Inner join on the hour. Weather has one row per hour, so its size is bounded by the time span."""
+    """Inner join on the stamp. Several weather rows of one stamp are averaged first, so no load row is
+    doubled, and the weather's size is bounded by the time span."""
     typed = weather.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
+    typed = typed.groupBy(ts).agg(*[F.avg(c).alias(c) for c in weather.columns if c != ts])
     return load.withColumn(ts, F.col(ts).cast("timestamp_ntz")).join(typed, ts)
 
 

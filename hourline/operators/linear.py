@@ -1,8 +1,8 @@
 """Ridge least squares for many series at once, from summed cross products.
 
 X'X and X'y add up over any split of the rows, so Arrow batches reduce to one small array per series,
-Spark sums those by position, and the only solving is of one p x p system per series. No task sees
-all rows of a series.
+those arrays are added in ``PARTS`` parts of each series, and the only solving is of one p x p system
+per series. No task sees all rows of a series, and at most series x PARTS arrays leave the fit.
 """
 
 from __future__ import annotations
@@ -15,38 +15,74 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def cross_products(rows, keys, x="x", y="y") -> DataFrame:
-    """(keys, pos, value): the upper triangle of [X y]'[X y], numbered by rows, summed over the rows.
+#: Parts in which the arrays of one series are added up before the last sum.
+PARTS = 8
 
-    ``x`` is an ARRAY<DOUBLE> of one length for all rows, ``y`` a DOUBLE; rows must be free of NULL.
+
+def cross_products(rows, keys, x="x", y="y", parts: int = PARTS) -> DataFrame:
+    """(keys, part): the upper triangle of [X y]'[X y] over the rows, by rows, as up to ``parts`` arrays
+    of each series that add up to it.
+
+    ``x`` is an ARRAY<DOUBLE> of one length for all rows, ``y`` a DOUBLE; rows with a NULL are left out.
     """
     keys = list(keys)
+    whole = F.col(y).isNotNull() & F.col(x).isNotNull() & ~F.exists(x, lambda v: v.isNull())
     # rows of one series side by side, so that a batch holds few series
-    kept = rows.select(*keys, F.array_append(x, F.col(y)).alias("_xy")).sortWithinPartitions(*keys)
-    schema = T.StructType([*(kept.schema[k] for k in keys), T.StructField("_part", T.ArrayType(T.DoubleType()))])
+    kept = rows.filter(whole).select(*keys, F.array_append(x, F.col(y)).alias("_xy")).sortWithinPartitions(*keys)
+    schema = T.StructType([*(kept.schema[k] for k in keys), T.StructField("part", T.ArrayType(T.DoubleType()))])
+
+    def runs(batch):
+        """First rows of the runs of equal keys, and the list column as a matrix."""
+        lists = batch.column(batch.num_columns - 1)
+        starts = np.flatnonzero(~batch.select(keys).to_pandas().duplicated().to_numpy())
+        return starts, lists.flatten().to_numpy().reshape(batch.num_rows, -1)
+
+    def arrays(batch, starts, sums):
+        first = pa.array(starts)
+        columns = [*(c.take(first) for c in batch.select(keys).columns), pa.array(list(sums), pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, "part"])
+
+    def multiply(batches):
+        for batch in batches:
+            if batch.num_rows:
+                starts, m = runs(batch)
+                upper = np.triu_indices(m.shape[1])
+                pieces = (m[lo:hi] for lo, hi in zip(starts, [*starts[1:], len(m)]))
+                yield arrays(batch, starts, [(p.T @ p)[upper] for p in pieces])
 
-    def reduce_batches(batches):
+    def add_up(batches):
+        last = None  # the sum of the run that may go on in the next batch
         for batch in batches:
-            if batch.num_rows == 0:
+            if not batch.num_rows:
                 continue
-            # the list column is one flat buffer: rows become a matrix without touching each of them
-            lists = batch.column(batch.num_columns - 1)
-            m = lists.flatten().to_numpy().reshape(batch.num_rows, -1)
-            upper = np.triu_indices(m.shape[1])
-            names = batch.select(keys).to_pandas()
-            # sorted rows: each series is one run
-            starts = np.flatnonzero(~names.duplicated().to_numpy())
-            runs = [m[lo:hi] for lo, hi in zip(starts, [*starts[1:], len(m)])]
-            parts = [(run.T @ run)[upper] for run in runs]
-            first = pa.array(starts)
-            yield pa.RecordBatch.from_arrays(
-                [*(c.take(first) for c in batch.select(keys).columns), pa.array(parts, pa.list_(pa.float64()))],
-                names=[*keys, "_part"],
-            )
-
-    partial = kept.mapInArrow(reduce_batches, schema)
-    cells = partial.select(*keys, F.posexplode("_part").alias("pos", "value"))
-    return cells.groupBy(*keys, "pos").agg(F.sum("value").alias("value"))
+            starts, m = runs(batch)
+            now = arrays(batch, starts, np.add.reduceat(m, starts, axis=0))
+            if last is not None:
+                both = pa.Table.from_batches([last, now]).combine_chunks().to_batches()[0]
+                starts, m = runs(both)
+                now = arrays(both, starts, np.add.reduceat(m, starts, axis=0))
+            if now.num_rows > 1:
+                yield now.slice(0, now.num_rows - 1)
+            last = now.slice(now.num_rows - 1)
+        if last is not None:
+            yield last
+
+    partial = kept.mapInArrow(multiply, schema)
+    dealt = partial.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(parts))).repartition(*keys, "_salt")
+    return dealt.sortWithinPartitions(*keys).mapInArrow(lambda bs: add_up(b.select([*keys, "part"]) for b in bs), schema)
+
+
+def _least_squares(triangle: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, float, float]:
+    p = len(penalty)
+    full = np.zeros((p + 1, p + 1))
+    full[np.triu_indices(p + 1)] = triangle
+    full = full + np.triu(full, 1).T
+    a, b = full[:p, :p], full[:p, p]
+    coef = np.linalg.lstsq(a + np.diag(penalty), b, rcond=None)[0]
+    return coef, max(full[p, p] - 2 * coef @ b + coef @ a @ coef, 0.0), full[0, 0]
+
+
+FIT = "coef ARRAY<DOUBLE>, rss DOUBLE, n DOUBLE"
 
 
 def solve(products, keys, penalty: list[float]) -> DataFrame:
@@ -56,24 +92,37 @@ def solve(products, keys, penalty: list[float]) -> DataFrame:
     the number of rows.
     """
     diagonal = np.asarray(penalty, dtype=float)
-    p = len(diagonal)
-
-    @F.pandas_udf("coef array<double>, rss double, n double")
-    def ridge(flat: pd.Series) -> pd.DataFrame:
-        out = []
-        for cells in flat:
-            full = np.zeros((p + 1, p + 1))
-            full[np.triu_indices(p + 1)] = cells
-            full = full + np.triu(full, 1).T
-            a, b = full[:p, :p], full[:p, p]
-            coef = np.linalg.lstsq(a + np.diag(diagonal), b, rcond=None)[0]
-            rss = full[p, p] - 2 * coef @ b + coef @ a @ coef
-            out.append((coef, max(rss, 0.0), full[0, 0]))
-        return pd.DataFrame(out, columns=["coef", "rss", "n"])
-
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "value")))
-    matrices = products.groupBy(*keys).agg(F.transform(ordered, lambda c: c["value"]).alias("_m"))
-    return matrices.withColumn("_fit", ridge("_m")).select(*keys, "_fit.*")
+
+    @F.pandas_udf(FIT)
+    def ridge(parts: pd.Series) -> pd.DataFrame:
+        fits = [_least_squares(np.sum(np.stack(list(p)), axis=0), diagonal) for p in parts]
+        return pd.DataFrame(fits, columns=["coef", "rss", "n"])
+
+    gathered = products.groupBy(*keys).agg(F.collect_list("part").alias("_parts"))  # PARTS arrays a series
+    return gathered.withColumn("_fit", ridge("_parts")).select(*keys, "_fit.*")
+
+
+def solve_running(products, keys, step: str, penalty: list[float], steps: DataFrame) -> DataFrame:
+    """(keys, step, coef, rss, n): the fit of all products whose ``step`` is at least the row's own.
+
+    ``steps`` lists (keys, step), one row for each fit; a series' steps are gathered in one task, each
+    with one array.
+    """
+    keys, diagonal = list(keys), np.asarray(penalty, dtype=float)
+    asked = steps.select(*keys, step).withColumn("part", F.lit(None).cast("array<double>"))
+    rows = products.select(*keys, step, "part").unionByName(asked)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (rows.schema[k] for k in [*keys, step]))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        out, total = [], None
+        for number, same in sorted(frame.groupby(step), key=lambda g: -g[0]):
+            for part in same["part"].dropna():
+                total = part if total is None else total + part
+            if total is not None and same["part"].isna().any():
+                out.append((*[same[k].iloc[0] for k in keys], number, *_least_squares(total, diagonal)))
+        return pd.DataFrame(out, columns=[*keys, step, "coef", "rss", "n"])
+
+    return rows.groupBy(*keys).applyInPandas(fit, f"{fields}, {FIT}")
 
 
 def dot(x: str, coef: str, start: int, width: int):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hourline.operators.segments import RN, SIZE, attach_series, index_rows
+from hourline.operators.segments import RN, SIZE, index_rows
 
 KEYS = ("series",)
 
@@ -34,7 +34,7 @@ def align(actuals, preds, on) -> DataFrame:
     p = preds.withColumn("_p", F.lit(True))
     both = F.col("_a").isNotNull() & F.col("_p").isNotNull()
     checked = a.join(p, list(on), "full_outer").withColumn(
-        "_ok", F.when(both, True).otherwise(F.raise_error(F.lit("two series don't have the same rows")))
+        "_ok", F.when(both, True).otherwise(F.raise_error(F.lit("actual and forecast keys differ")))
     )
     # the filter keeps the check in the plan
     return checked.filter("_ok").drop("_a", "_p", "_ok")
@@ -51,18 +51,27 @@ def mape(df, keys=KEYS) -> DataFrame:
     )
 
 
+def _scored() -> Column:
+    return F.col("actual").isNotNull() & F.col("pred").isNotNull()
+
+
 def accuracy(df, keys=KEYS) -> DataFrame:
-    """1 - MAE / mean(actual), both over the same rows."""
+    """1 - MAE / mean(actual) over the rows that have both; ``n_missing`` counts the others."""
+    actual = F.when(_scored(), F.col("actual"))
     return df.groupBy(*keys).agg(
-        (F.lit(1) - F.try_divide(F.avg(abs_error()), F.avg("actual"))).alias("accuracy")
+        (F.lit(1) - F.try_divide(F.avg(abs_error()), F.avg(actual))).alias("accuracy"),
+        F.count_if(~_scored()).alias("n_missing"),
     )
 
 
 def r2(df, keys=KEYS) -> DataFrame:
-    """1 - residual sum of squares / total sum of squares."""
+    """1 - residual / total sum of squares over the rows that have both; ``n_missing`` counts the others."""
     e = F.col("actual") - F.col("pred")
-    total = F.var_pop("actual") * F.count("actual")
-    return df.groupBy(*keys).agg((F.lit(1) - F.try_divide(F.sum(e * e), total)).alias("r2"))
+    actual = F.when(_scored(), F.col("actual"))
+    return df.groupBy(*keys).agg(
+        (F.lit(1) - F.try_divide(F.sum(e * e), F.var_pop(actual) * F.count(actual))).alias("r2"),
+        F.count_if(~_scored()).alias("n_missing"),
+    )
 
 
 def pinball(df, q: float, keys=KEYS) -> DataFrame:
@@ -112,23 +121,56 @@ def cumulative(df, metric: str, steps, block: int, keys=KEYS, ts="ts") -> DataFr
     return wide.select(*keys, F.inline(cells))
 
 
-def trimmed_mean(df, value: str, drop: int, order: str, keys=KEYS, rows=4096) -> DataFrame:
-    """Mean without the ``drop`` largest values (ties broken by ``order``, a unique block number).
+def _narrowed(open_rows, keys, value: str, need: int, splits: int = 64) -> DataFrame:
+    """Drop the values that can't be the ``need``-th largest of their series.
 
-    Each map task keeps only its ``drop + 1`` largest rows per series to find the cut, then all rows
-    at or below the cut are averaged; no series is sorted as a whole. A series with at most ``drop``
-    values has no result.
+    Quantile summaries, which merge on the map side, cut a series into ``splits`` stretches. The ranks
+    at their edges are counted exactly, and only the stretch with the wanted rank stays. ``_above``
+    holds the number of larger values that have gone.
+    """
+    shares = F.array(*[F.lit(i / splits) for i in range(1, splits)])
+    edges = open_rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, shares, 20 * splits)).alias("_edges"))
+    # a value on an edge stands alone (odd numbers), values between edges share an even one
+    step = lambda n, x: n + F.when(F.col(value) > x, 2).when(F.col(value) == x, 1).otherwise(0)
+    placed = open_rows.join(edges, list(keys)).withColumn("_place", F.aggregate("_edges", F.lit(0), step)).drop("_edges")
+    sizes = placed.groupBy(*keys, "_place").agg(F.count(F.lit(1)).alias("_size"), F.max("_above").alias("_before"))
+    higher = W.partitionBy(*keys).orderBy(F.col("_place").desc()).rowsBetween(W.unboundedPreceding, -1)
+    above = F.col("_before") + F.coalesce(F.sum("_size").over(higher), F.lit(0))  # 2 x splits rows a series at most
+    stretch = sizes.withColumn("_now", above).filter((F.col("_now") < need) & (F.col("_now") + F.col("_size") >= need))
+    kept = placed.join(stretch.select(*keys, "_place", "_now"), [*keys, "_place"])
+    return kept.select(*keys, value, F.col("_now").alias("_above")).persist()
+
+
+def trimmed_mean(df, value: str, drop: int, keys=KEYS, passes=3) -> DataFrame:
+    """Mean without the ``drop`` largest values. A series with at most ``drop`` values has no result.
+
+    The smallest dropped value is found by narrowing: each pass keeps about one in 64 values of a
+    series, or one value that many rows share, so after three passes a few in a million rows are left.
+    Sums below and at the cut give the mean; no series is sorted. What a pass keeps is cached.
     """
-    ranked = W.partitionBy(*keys).orderBy(F.col(value).desc(), F.col(order).desc())
-    usable = df.filter(F.col(value).isNotNull())
-    cut = (
-        usable.withColumn("_k", F.row_number().over(ranked))
-        .filter(F.col("_k") <= drop + 1).filter(F.col("_k") == drop + 1)
-        .select(*keys, F.struct(value, order).alias("_cut"))
+    usable = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    if drop <= 0:
+        return usable.groupBy(*keys).agg(F.avg(value).alias("trimmed_mean"))
+    open_rows = usable.withColumn("_above", F.lit(0).cast("bigint"))
+    for _ in range(passes):
+        open_rows = _narrowed(open_rows, keys, value, drop)
+    counted = open_rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.max("_above").alias("_above"))
+    left = F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("minus"), "n", "_above")))
+    start = F.struct(F.lit(None).cast("double").alias("cut"), F.lit(0).cast("bigint").alias("seen"))
+
+    def walk(state, x):
+        reached = state["cut"].isNull() & (x["_above"] + state["seen"] + x["n"] >= drop)
+        return F.struct(F.when(reached, -x["minus"]).otherwise(state["cut"]).alias("cut"), (state["seen"] + x["n"]).alias("seen"))
+
+    cuts = counted.groupBy(*keys).agg(F.aggregate(left, start, walk)["cut"].alias("_cut"))
+    v, cut = F.col(value), F.col("_cut")
+    sums = usable.join(cuts, list(keys)).groupBy(*keys).agg(
+        F.sum(F.when(v < cut, v)).alias("_low"), F.count_if(v == cut).alias("_at"), F.count_if(v > cut).alias("_gone"),
+        F.count(F.lit(1)).alias("_n"), F.first("_cut").alias("_cut"),
     )
-    kept = F.struct(value, order) <= F.col("_cut")
-    piece = F.floor(F.col(order) / rows)
-    return attach_series(usable, cut, keys, piece).filter(kept).groupBy(*keys).agg(F.avg(value).alias("trimmed_mean"))
+    stays = F.col("_at") - (F.lit(drop) - F.col("_gone"))
+    total = F.coalesce(F.col("_low"), F.lit(0.0)) + F.when(stays > 0, stays * F.col("_cut")).otherwise(F.lit(0.0))
+    return sums.filter(F.col("_n") > drop).select(*keys, (total / (F.col("_n") - drop)).alias("trimmed_mean"))
 
 
 def forecast_slices(df, ranges, block: int, keys=KEYS, ts="ts") -> DataFrame:
@@ -148,15 +190,15 @@ def forecast_slices(df, ranges, block: int, keys=KEYS, ts="ts") -> DataFrame:
 
 
 def compare_forecasts(actuals, forecasts: dict[str, DataFrame], on=("series", "ts")) -> DataFrame:
-    """Actuals with each model's forecast and error, joined on the key."""
+    """Actuals with each model's forecast and error; a key that one of them lacks has NULL there."""
     out = actuals
     for name, frame in forecasts.items():
-        out = out.join(frame.withColumnRenamed("pred", name), list(on))
+        out = out.join(frame.withColumnRenamed("pred", name), list(on), "full_outer")
     return out.withColumns({f"{name}_err": F.col(name) - F.col("actual") for name in forecasts})
 
 
 def interval_table(mid, lower, upper, on=("series", "ts")) -> DataFrame:
-    """Lower, middle and upper forecast next to the actual, joined on the key."""
+    """Lower, middle and upper forecast next to the actual; a key that one of them lacks has NULL there."""
     low = lower.withColumnRenamed("pred", "lower")
     high = upper.withColumnRenamed("pred", "upper")
-    return mid.join(low, list(on)).join(high, list(on))
+    return mid.join(low, list(on), "full_outer").join(high, list(on), "full_outer")

@@ -13,7 +13,9 @@ KEYS = ("series",)
 
 
 def fit_ar(df, p: int, ridge=0.0, keys=KEYS, ts="ts", value="value") -> DataFrame:
-    """(keys, coef): constant and weights of the last p rows, newest first."""
+    """(keys, coef): constant and weights of the last p rows, newest first.
+
+    A row that lacks its value or one of its lags doesn't take part in the fit."""
     rows = row_lags(df, p, keys, ts, value).select(
         *keys, F.array(F.lit(1.0), *[f"lag_{k}" for k in range(1, p + 1)]).alias("x"), F.col(value).alias("y")
     )
@@ -30,7 +32,7 @@ def last_values(df, n: int, keys=KEYS, ts="ts", value="value") -> DataFrame:
 def recursive_forecast(df, p: int, horizon: int, ridge=0.0, keys=KEYS, ts="ts", value="value") -> DataFrame:
     """(keys, step, pred) for steps 1..horizon of a per-series AR(p) model.
 
-    The loop over the horizon runs inside Spark's ``aggregate`` on an array of p + horizon values.
+    A NULL among the last p values makes the forecast NULL. The loop over the horizon runs inside Spark's ``aggregate`` on an array of p + horizon values.
     """
     model = fit_ar(df, p, ridge, keys, ts, value)
     state = last_values(df, p, keys, ts, value).join(model, list(keys))

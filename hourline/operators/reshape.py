@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourline.functions.parse import date_hour_ts, segment_hour
+from hourline.functions.parse import date_hour_ts, parse_ts, segment_hour
 from hourline.operators.segments import RN, index_rows
 
 SEGMENT_LABELS = [f"seg_{n}" for n in range(4, 100)]
@@ -17,6 +17,21 @@ def melt_segments(df, ids=("Type", "Date"), value="Load") -> DataFrame:
     return df.unpivot(list(ids), rest, "Segment", value)
 
 
+def melt(df, ids, label="label", value="value") -> DataFrame:
+    """Every column but ``ids`` becomes a row with its name and value; NULL cells are kept."""
+    return df.unpivot(list(ids), [c for c in df.columns if c not in ids], label, value)
+
+
+def melt_dates(df, ids, fmt: str, ts="ts", label="label", value="value") -> tuple[DataFrame, DataFrame]:
+    """(good, rejects) of a matrix whose column names are stamps.
+
+    Good rows are (ids, ts, value). Rejects are the cells whose column name isn't a stamp of the format,
+    as (ids, label, value).
+    """
+    long = melt(df, ids, label, value).withColumn(ts, parse_ts(F.col(label), fmt))
+    return long.filter(F.col(ts).isNotNull()).select(*ids, ts, value), long.filter(F.col(ts).isNull()).select(*ids, label, value)
+
+
 def segments_to_hourly(df, ids=("Type",), date="Date", value="Load") -> DataFrame:
     """Long quarter-hour profile to hourly means: label to hour, date and hour to stamp, average."""
     stamped = df.filter(F.col(value).isNotNull()).select(

@@ -36,39 +36,29 @@ SEGMENT_DAYS = 64
 
 
 def segment_of(ts: str, days: int = SEGMENT_DAYS) -> Column:
+    """Segment number. 64 days of hours are 1,536 rows; give fewer days for finer steps."""
     return F.floor(epoch_day(F.col(ts)) / F.lit(days))
 
 
 def raw_piece(ts: str, *columns: str) -> Column:
     """Piece number for rows that are not unique by (series, ts): hour of time x 64 hash buckets.
 
-    For raw observations only totals make sense, not positions, so any cut will do.
+    For raw observations only totals make sense, not positions, so any cut will do. It is never NULL:
+    rows without a stamp count as hour 0.
     """
-    hours = epoch_day(F.col(ts)).cast("bigint") * 24 + F.hour(ts)
+    hours = F.coalesce(epoch_day(F.col(ts)).cast("bigint") * 24 + F.hour(ts), F.lit(0))
     return hours * 64 + F.pmod(F.xxhash64(ts, *columns), F.lit(64))
 
 
-def attach_raw_totals(df, keys, ts, sums=None, mins=None, maxs=None, broadcast_rows=10_000) -> DataFrame:
-    """Totals next to raw observations, which are too many to shuffle.
-
-    The totals are computed first and counted: up to ``broadcast_rows`` series they are broadcast and
-    the observations stay where they are; beyond that both sides meet by piece.
-    """
-    folds = [(F.sum, sums or {}), (F.min, mins or {}), (F.max, maxs or {})]
-    totals = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias(SIZE),
-        *[fold(expr).alias(name) for fold, exprs in folds for name, expr in exprs.items()],
-    )
-    head = totals.limit(broadcast_rows + 1).collect()
-    if len(head) <= broadcast_rows:
-        small = df.sparkSession.createDataFrame(head, totals.schema)
-        return df.join(F.broadcast(small), list(keys))
+def attach_raw_totals(df, keys, ts, sums=None, mins=None, maxs=None) -> DataFrame:
+    """Totals next to raw observations, rows without a stamp included, joined on (keys, piece)."""
     used = [c for c in df.columns if c not in (*keys, ts)]
     return attach_totals(df, keys, ts, sums, mins, maxs, piece=raw_piece(ts, *used), keep=(SIZE,))
 
 
 def in_pieces(df, keys, piece: Column) -> DataFrame:
-    """Adds the piece number; rows without key or stamp drop out.
+    """Adds the piece number; a row without a key belongs to no series and drops out, as does one for
+    which the piece is NULL (a segment needs a stamp).
 
     Joins below use this frame twice. The explicit filter is what Catalyst would infer for one side
     of the join only, and keeps both sides equal, so that they share one scan and aggregation.
@@ -109,11 +99,11 @@ def attach_totals(df, keys, ts, sums=None, mins=None, maxs=None, piece=None, kee
     return out.drop(*[c for c in (SEG, START, SIZE) if c not in keep])
 
 
-def index_rows(df, keys, ts, sums=None, mins=None, maxs=None) -> DataFrame:
+def index_rows(df, keys, ts, sums=None, mins=None, maxs=None, days: int = SEGMENT_DAYS) -> DataFrame:
     """Every row with its exact position ``_rn`` (by ts, from 0) and the series size ``_n``."""
     inside = W.partitionBy(*keys, SEG).orderBy(ts)
     return (
-        attach_totals(df, keys, ts, sums, mins, maxs, keep=(SEG, START, SIZE))
+        attach_totals(df, keys, ts, sums, mins, maxs, piece=segment_of(ts, days), keep=(SEG, START, SIZE))
         .withColumn(RN, F.col(START) + F.row_number().over(inside) - 1)
         .drop(START, SEG)
     )

@@ -44,6 +44,14 @@ def weekly_shapes(
     return complete_weeks(shaped.filter(F.col("_off") == off_units), length).select(*keys, "year", "week", "shape")
 
 
+def daily_shapes(df, length=24, keys=KEYS, ts="ts", value="value") -> DataFrame:
+    """(keys, year, day, shape): days with a value at every step; ``day`` is that of the year."""
+    cells = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(value).alias("v"))))
+    days = df.groupBy(*keys, F.year(ts).alias("year"), F.dayofyear(ts).alias("day")).agg(cells.alias("_cells"))
+    shaped = days.withColumn("shape", F.transform("_cells", lambda c: c["v"]))
+    return complete_weeks(shaped, length).select(*keys, "year", "day", "shape")
+
+
 def complete_weeks(shapes, length: int, shape="shape") -> DataFrame:
     """Shapes of the full length without a missing value."""
     return shapes.filter((F.size(shape) == length) & ~F.exists(shape, lambda v: v.isNull() | F.isnan(v)))
@@ -81,14 +89,15 @@ def dtw_kmeans(shapes, k=4, iters=100, w=4, r=5, keys=KEYS) -> tuple[DataFrame,
     Each round assigns every shape to its nearest centroid in one pass without a shuffle, then
     averages each position over the members. Only the k centroids come back to the driver, so the
     plan does not grow with the rounds and nothing needs a checkpoint: a lost executor recomputes
-    its shapes from the source. A centroid without members stays where it is. Stops early when the
+    its shapes from the source. A centroid without members stays where it is. The envelope r must be at
+    least the band w. A shape that can't be compared has a NULL cluster. Stops early when the
     centroids no longer move. The returned assignments are those the last update was made from.
     """
     shapes = shapes.persist()
     try:
         centroids = seed_centroids(shapes, k, keys)
         used = centroids
-        for _ in range(iters):
+        for _ in range(iters if centroids else 0):
             used = centroids
             moved = {
                 row["cluster"]: list(row["centroid"])
@@ -107,6 +116,8 @@ def dtw_kmeans(shapes, k=4, iters=100, w=4, r=5, keys=KEYS) -> tuple[DataFrame,
 
 
 def assign_clusters(shapes, centroids, w=4, r=5) -> DataFrame:
+    if not centroids:  # no shapes
+        return shapes.withColumns({"cluster": F.lit(None).cast("int"), "dist": F.lit(None).cast("double")})
     nearest = nearest_centroid(F.col("shape"), centroids, w, r)
     return shapes.withColumn("_near", nearest).select("*", "_near.cluster", "_near.dist").drop("_near")
 

@@ -7,6 +7,7 @@ from math import pi
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourline.operators.clean import drop_null_rows
 from hourline.operators.segments import (
     CHUNK, HALO, RN, SIZE, chunk_window, index_rows, with_chunks,
 )
@@ -23,8 +24,10 @@ def fourier_extrapolate(
     The lowest 1 + 2 n_harm frequencies of a real series are the mean and n_harm cosine / sine
     pairs, so plain sums replace a transform of the whole vector: one partial aggregation. Detrending
     removes the least-squares slope (not the intercept) and is folded into the sums by linearity:
-    sum((x - s t) cos) = sum(x cos) - s sum(t cos). Needs n_harm < n / 2.
+    sum((x - s t) cos) = sum(x cos) - s sum(t cos). A series of n points has the frequencies up to n / 2
+    only; that of n / 2 itself stands alone and counts once. Rows without a value are left out first.
     """
+    df = drop_null_rows(df, [value])
     t, x, n = F.col("_t"), F.col("_x"), F.col(SIZE)
     indexed = index_rows(df, keys, ts).select(*keys, SIZE, F.col(RN).cast("double").alias("_t"), F.col(value).alias("_x"))
     # the phase stays small: (k * t) mod n before the multiplication by 2 pi / n
@@ -41,8 +44,9 @@ def fourier_extrapolate(
     model = fit.withColumn("_slope", F.coalesce(slope, F.lit(0.0)) if detrend else F.lit(0.0))
     weights = {}
     for k in angles:
-        weights[f"_c{k}"] = 2 / n * (s(f"xc{k}") - s("slope") * s(f"tc{k}"))
-        weights[f"_s{k}"] = 2 / n * (s(f"xs{k}") - s("slope") * s(f"ts{k}"))
+        share = F.when(2 * k < n, 2 / n).when(2 * k == n, 1 / n).otherwise(F.lit(0.0))
+        weights[f"_c{k}"] = share * (s(f"xc{k}") - s("slope") * s(f"tc{k}"))
+        weights[f"_s{k}"] = share * (s(f"xs{k}") - s("slope") * s(f"ts{k}"))
     model = model.select(
         *keys, SIZE, "_slope", ((s("x") - s("slope") * s("t")) / n).alias("_mean"),
         *[weight.alias(name) for name, weight in weights.items()],
@@ -66,7 +70,7 @@ def fourier_extrapolate(
 def acf(df, lags=48, keys=KEYS, ts="ts", value="value") -> DataFrame:
     """(keys, lag, acf) for lags 0..lags: the biased autocorrelation of consecutive rows.
 
-    Chunks of rows carry ``lags`` rows of the next chunk, and each lag is one column of a single
+    Rows without a value are left out first. Chunks of rows carry ``lags`` rows of the next chunk, and each lag is one column of a single
     window pass, so no row is multiplied by the number of lags.
     """
     wide = _acf_sums(df, lags, keys, ts, value)
@@ -77,7 +81,7 @@ def acf(df, lags=48, keys=KEYS, ts="ts", value="value") -> DataFrame:
 
 
 def _acf_sums(df, lags, keys, ts, value):
-    indexed = index_rows(df, keys, ts, sums={"_sum": F.col(value)})
+    indexed = index_rows(drop_null_rows(df, [value]), keys, ts, sums={"_sum": F.col(value)})
     centred = indexed.select(
         *keys, RN, SIZE, (F.col(value) - F.col("_sum") / F.col(SIZE)).alias("_d")
     )

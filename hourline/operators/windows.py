@@ -73,12 +73,9 @@ def batches(windows, size: int, length: int, delay=0, min_index=0, max_index=Non
     return windows.withColumn("batch_id", batch).filter(inside & (batch < F.greatest(served, F.lit(1))))
 
 
-def sample_windows(windows, fraction: float, seed: int, keys=KEYS, ts="ts") -> DataFrame:
-    """Random windows with replacement, about ``fraction`` of the rows in all.
-
-    Each row is drawn a Poisson number of times, read off a hash of its key and the seed. A lost
-    task therefore draws the same rows again, however they are partitioned.
-    """
+def draws(keys, ts: str, fraction: float, seed: int):
+    """How often a row is drawn: a Poisson number of mean ``fraction``, read off a hash of its key and
+    the seed. A lost task therefore draws the same rows again, however they are partitioned."""
     digest = F.md5(F.concat_ws("|", *keys, F.col(ts).cast("string"), F.lit(seed)))
     uniform = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(16 ** 12))
     copies, term, total = [], exp(-fraction), exp(-fraction)
@@ -86,34 +83,43 @@ def sample_windows(windows, fraction: float, seed: int, keys=KEYS, ts="ts") -> D
         copies.append((uniform >= F.lit(total)).cast("int"))
         term *= fraction / len(copies)
         total += term
-    drawn = reduce(add, copies)
-    rows = windows.withColumn("draw", F.sequence(F.lit(1), F.greatest(drawn, F.lit(1))))
-    return rows.filter(drawn > 0).withColumn("draw", F.explode("draw"))
+    return reduce(add, copies)
+
+
+def sample_windows(df, columns, length: int, fraction: float, seed: int, keys=KEYS, ts="ts") -> DataFrame:
+    """(keys, ts, window, draw): random look-back windows with replacement, about ``fraction`` of the
+    rows in all. Rows are drawn first; a chunk's rows are gathered once and only drawn windows are cut."""
+    chunks = with_chunks(index_rows(df, keys, ts), length)
+    start = F.col(RN).alias("rn")
+    drawn = F.when(~F.col(HALO) & (F.col(RN) >= length), draws(keys, ts, fraction, seed)).otherwise(0)
+    row = F.struct(start, F.col(ts).alias("ts"), drawn.alias("drawn"), F.struct(*columns).alias("w"))
+    gathered = chunks.groupBy(*keys, CHUNK).agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    hits = F.transform("_rows", lambda r, i: F.struct(i.alias("i"), r["ts"].alias("ts"), r["drawn"].alias("drawn")))
+    picked = gathered.select(*keys, "_rows", F.explode(F.filter(hits, lambda h: h["drawn"] > 0)).alias("_hit"))
+    window = F.transform(F.slice("_rows", F.col("_hit.i") - length + 1, length), lambda r: r["w"])
+    cut = picked.select(*keys, F.col("_hit.ts").alias(ts), window.alias("window"), F.col("_hit.drawn").alias("_n"))
+    return cut.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
 
 
 def hopping_frames(df, size: int, hop: int, keys=KEYS, ts="ts", value="value") -> DataFrame:
-    """Frames of ``size`` rows starting every ``hop`` rows: count, first stamp, minimum, maximum."""
-    position = F.col(RN)
-    first = F.greatest(F.lit(0), F.floor((position - size) / hop) + 1)
-    frames = F.sequence(first, F.floor(position / hop))
-    return (
-        index_rows(df, keys, ts)
-        .select(*keys, ts, value, F.explode(frames).alias("frame"))
-        .groupBy(*keys, "frame")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.min(ts).alias("first_ts"),
-            F.min(value).alias("min_value"),
-            F.max(value).alias("max_value"),
-        )
+    """Frames of ``size`` rows starting every ``hop`` rows: count, first stamp, minimum, maximum.
+
+    A frame is a window that looks ahead from its first row; no row is copied for each of its frames.
+    """
+    chunks = with_chunks(index_rows(df, keys, ts).select(*keys, ts, value, RN, SIZE), 0, size - 1)
+    ahead = chunk_window(keys).rowsBetween(0, size - 1)
+    framed = chunks.withColumns({"min_value": F.min(value).over(ahead), "max_value": F.max(value).over(ahead)})
+    starts = framed.filter(~F.col(HALO) & (F.col(RN) % hop == 0))
+    return starts.select(
+        *keys, (F.col(RN) / hop).cast("bigint").alias("frame"), F.least(F.lit(size), F.col(SIZE) - F.col(RN)).cast("bigint").alias("rows"),
+        F.col(ts).alias("first_ts"), "min_value", "max_value",
     )
 
 
 def first_n(df, n: int, keys=KEYS, ts="ts", last=False) -> DataFrame:
-    """The first (or last) n rows of each series; Spark limits each map task to n rows per series."""
-    order = F.col(ts).desc() if last else F.col(ts)
-    ranked = df.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(order)))
-    return ranked.filter(F.col("_k") <= n).drop("_k")
+    """The first (or last) n rows of each series, by position."""
+    wanted = F.col(RN) >= F.col(SIZE) - n if last else F.col(RN) < n
+    return index_rows(df, keys, ts).filter(wanted).drop(RN, SIZE)
 
 
 def teacher_forcing(encode, decode):

@@ -53,7 +53,7 @@ def scan_positions(spark, folder):
 @query("scan_glob", f"WITH {w.HOURLY_LOAD_SQL} SELECT series, ts, value FROM hourly_load")
 def scan_glob(spark, folder):
     path = files.work_path(spark, "native")
-    files.write_csv(w.hourly_load(spark, folder).repartition(4, "series", "ts"), path)
+    files.write_csv(w.hourly_load(spark, folder), path)
     return tidy(files.read_series(spark, f"{path}/part-*.csv", SERIES_SCHEMA))
 
 
@@ -101,7 +101,8 @@ def file_audit(spark, folder):
 @query("sink_roundtrip", f"WITH {w.HOURLY_LOAD_SQL} SELECT series, ts, value FROM hourly_load")
 def sink_roundtrip(spark, folder):
     path = files.work_path(spark, "sink")
-    files.write_table(w.hourly_load(spark, folder), path, partition_by=["series"])
+    load = w.hourly_load(spark, folder).withColumn("year", F.year("ts"))
+    files.write_table(load, path, partition_by=["year"])
     return tidy(spark.read.schema(SERIES_SCHEMA).parquet(path).select("series", "ts", "value"))
 
 
@@ -139,9 +140,23 @@ def parse_ts_query(spark, folder):
     return w.dirty_obs(spark, folder).select("event_id", parse_ts(F.col("date_s")).alias("ts"))
 
 
-@query("fix_hour24", f"WITH {w.HOURLY_LOAD_SQL} SELECT series, ts FROM hourly_load")
+@query(
+    "fix_hour24",
+    f"""WITH {w.HOURLY_LOAD_SQL}
+    SELECT series, ts FROM hourly_load
+    UNION ALL SELECT series || ' bad', CASE hour(ts) % 6 WHEN 5 THEN date_trunc('day', ts) + INTERVAL 59 MINUTE END
+    FROM hourly_load WHERE hour(ts) <> 0""",
+)
 def fix_hour24_query(spark, folder):
-    return w.dirty_load(spark, folder).select("series", fix_hour24(F.col("hour_s")).alias("ts"))
+    """Good clocks, and copies with clocks that don't exist (and 00:59, which does)."""
+    dirty = w.dirty_load(spark, folder).select("series", "hour_s")
+    clocks = F.array(*[F.lit(c) for c in ("24:30", "99:00", "-5:00", "05:75", "x:00", "00:59")])
+    hour = F.substring("hour_s", 12, 2).cast("int")
+    bad = dirty.filter(hour != 24).select(
+        F.concat("series", F.lit(" bad")).alias("series"),
+        F.concat(F.substring("hour_s", 1, 11), F.get(clocks, hour % 6)).alias("hour_s"),
+    )
+    return dirty.unionByName(bad).select("series", fix_hour24(F.col("hour_s")).alias("ts"))
 
 
 @query("fix_thousands", f"WITH {w.HOURLY_LOAD_SQL} SELECT series, ts, round(value * 1000, 1) AS value FROM hourly_load")
@@ -231,13 +246,23 @@ def slice_period(spark, folder):
     return clean.slice_period(orders, "1996", "1998-03", "o_orderdate")
 
 
+@query(
+    "slice_hours",
+    """SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-10 05:00:00' AND ts < TIMESTAMP '2024-01-10 08:00:00'""",
+)
+def slice_hours(spark, folder):
+    """A slice with hour labels, both hours included."""
+    return clean.slice_period(w.table(spark, folder, "events").select("event_id", "ts"), "2024-01-10 05", "2024-01-10 07")
+
+
 @query(
     "time_block",
     f"""WITH {w.HOURLY_LOAD_SQL} SELECT series, ts, value FROM hourly_load
     WHERE ts BETWEEN TIMESTAMP '2024-01-08 00:00:00' AND TIMESTAMP '2024-01-14 23:00:00'""",
 )
 def time_block(spark, folder):
-    return tidy(clean.time_block(w.hourly_load(spark, folder), "2024-01-08 00:00:00", "2024-01-14 23:00:00"))
+    load = w.hourly_load(spark, folder, "2024-01-08 00:00:00", "2024-01-15 00:00:00")
+    return tidy(clean.time_block(load, "2024-01-08 00:00:00", "2024-01-14 23:00:00"))
 
 
 @query(
@@ -310,7 +335,8 @@ def distinct_hours(spark, folder):
     WHERE ts IN (SELECT unnest(generate_series(TIMESTAMP '2024-01-08', TIMESTAMP '2024-01-15', INTERVAL 1 HOUR)))""",
 )
 def range_semi(spark, folder):
-    return tidy(clean.range_semi(w.hourly_load(spark, folder), "2024-01-08 00:00:00", "2024-01-15 00:00:00"))
+    load = w.hourly_load(spark, folder, "2024-01-08 00:00:00", "2024-01-15 01:00:00")
+    return tidy(clean.range_semi(load, "2024-01-08 00:00:00", "2024-01-15 00:00:00"))
 
 
 @query(
@@ -360,6 +386,39 @@ def melt_segments(spark, folder):
     return tidy(reshape.melt_segments(w.profile_wide(spark, folder)))
 
 
+DAYS = [f"2024-01-{d:02d}" for d in range(1, 31)]
+DATE_MATRIX_SQL = f"""cells AS (
+  SELECT event_type AS page, date_trunc('day', ts)::TIMESTAMP AS ts, round(sum(value), 2) AS value FROM events GROUP BY 1, 2),
+days AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS ts)"""
+
+
+def _date_matrix(spark, folder):
+    """A file with one row for each page, one column for each day, and a column that is no day."""
+    events = w.table(spark, folder, "events").select(F.col("event_type").alias("page"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "value")
+    wide = events.groupBy("page").pivot("day", DAYS).agg(F.round(F.sum("value"), 2)).withColumn("total", F.lit(1.5))
+    path = files.work_path(spark, "matrix")
+    files.write_csv(wide, path)
+    return files.read_matrix(spark, f"{path}/part-*.csv", ["page"])
+
+
+@query(
+    "melt_dates",
+    f"""WITH {DATE_MATRIX_SQL}
+    SELECT p.page, d.ts, c.value FROM (SELECT DISTINCT page FROM cells) p CROSS JOIN days d
+    LEFT JOIN cells c ON c.page = p.page AND c.ts = d.ts""",
+)
+def melt_dates(spark, folder):
+    """A matrix with dates as column names becomes a series; empty cells stay as NULL."""
+    good, _ = reshape.melt_dates(_date_matrix(spark, folder), ["page"], "yyyy-MM-dd")
+    return tidy(good)
+
+
+@query("melt_date_rejects", "SELECT 'total' AS label, count(DISTINCT event_type)::BIGINT AS cells FROM events")
+def melt_date_rejects(spark, folder):
+    _, rejects = reshape.melt_dates(_date_matrix(spark, folder), ["page"], "yyyy-MM-dd")
+    return rejects.groupBy("label").agg(F.count(F.lit(1)).alias("cells"))
+
+
 @query(
     "profile_hourly",
     f"""WITH {w.PROFILE_LONG_SQL}
@@ -379,8 +438,6 @@ def profile_hourly(spark, folder):
     ) + " FROM events GROUP BY 1",
 )
 def pivot_mean(spark, folder):
-
-
     events = w.table(spark, folder, "events").withColumn("ts", hour_start(F.col("ts")))
     kinds = ["click", "error", "purchase", "signup", "view"]
     return tidy(reshape.pivot_mean(events, ["ts"], "event_type", kinds, "value"), 9)
@@ -391,8 +448,6 @@ def pivot_mean(spark, folder):
     "SELECT event_type AS series, date_trunc('hour', ts) AS ts, round(avg(value), 9) AS value FROM events GROUP BY 1, 2",
 )
 def long_mean(spark, folder):
-
-
     events = w.table(spark, folder, "events").select(
         F.col("event_type").alias("series"), hour_start(F.col("ts")).alias("ts"), "value"
     )

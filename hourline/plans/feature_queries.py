@@ -38,12 +38,17 @@ OFF_SQL = "greatest((isodow(l.ts) > 5)::INT, (o.ds IS NOT NULL)::INT)::BIGINT"
 
 @query(
     "holiday_flags",
-    f"""WITH {w.HOLIDAYS_SQL}, {w.DAILY_LOAD_SQL}
+    f"""WITH {w.HOLIDAYS_SQL}, {w.DAILY_LOAD_SQL}, shifted AS (
+      SELECT series, ts + to_years(y) AS ts FROM daily_load, (SELECT unnest([0, -80, 160]) AS y))
     SELECT l.series, l.ts, (o.ds IS NOT NULL)::INT::BIGINT AS holiday_flag, {OFF_SQL} AS off_flag
-    FROM daily_load l LEFT JOIN off_days o ON o.ds = l.ts::DATE""",
+    FROM shifted l LEFT JOIN off_days o ON o.ds = l.ts::DATE""",
 )
 def holiday_flags_query(spark, folder):
-    return tidy(holiday_flags(w.daily_load(spark, folder).select("series", "ts")))
+    """The days of the load, and the same days 80 years before and 160 years after."""
+    load = w.daily_load(spark, folder).select("series", "ts")
+    years = F.explode(F.array(*[F.lit(12 * y) for y in (0, -80, 160)]))
+    shifted = load.select("series", F.col("ts").alias("_ts"), years.alias("_m"))
+    return tidy(holiday_flags(shifted.select("series", F.add_months(F.to_date("_ts"), F.col("_m")).cast("timestamp_ntz").alias("ts"))))
 
 
 @query(
@@ -195,6 +200,25 @@ def lookback_windows(spark, folder):
     return _explode_window(windows.lookback(load, ["value", "hour_num"], 24))
 
 
+@query(
+    "lookback_two_weeks",
+    f"""WITH {INDEXED_SQL}
+    SELECT series, ts, first AS first_value, last AS last_value, round(total, 2) AS total, 336::BIGINT AS steps FROM (
+      SELECT series, ts, rn, first_value(value) OVER k AS first, last_value(value) OVER k AS last, sum(value) OVER k AS total
+      FROM indexed WINDOW k AS (PARTITION BY series ORDER BY rn ROWS BETWEEN 336 PRECEDING AND 1 PRECEDING)) WHERE rn >= 336""",
+)
+def lookback_two_weeks(spark, folder):
+    """Windows of 336 hours, each reduced to its ends and its sum."""
+    frames = windows.lookback(w.hourly_load(spark, folder), ["value"], 336)
+    total = F.aggregate("window", F.lit(0.0), lambda t, x: t + x["value"])
+    return tidy(
+        frames.select(
+            "series", "ts", F.get("window", F.lit(0))["value"].alias("first_value"),
+            F.get("window", F.lit(335))["value"].alias("last_value"), total.alias("total"), F.size("window").alias("steps"),
+        ), 2,
+    )
+
+
 @query(
     "window_target",
     f"""WITH {INDEXED_SQL}
@@ -238,8 +262,8 @@ def _poisson_sql(u, mean):
     SELECT series, ts, unnest(range(1, {_poisson_sql('u', 0.25)} + 1))::BIGINT AS draw, 24::BIGINT AS steps FROM u""",
 )
 def sample_windows(spark, folder):
-    frames = windows.lookback(w.hourly_load(spark, folder), ["value"], 24)
-    return tidy(windows.sample_windows(frames, 0.25, seed=7).select("series", "ts", "draw", F.size("window").alias("steps")))
+    frames = windows.sample_windows(w.hourly_load(spark, folder), ["value"], 24, 0.25, seed=7)
+    return tidy(frames.select("series", "ts", "draw", F.size("window").alias("steps")))
 
 
 @query(
@@ -342,6 +366,17 @@ def first_n(spark, folder):
     return tidy(head.unionByName(windows.first_n(load, 24, last=True).withColumn("side", F.lit("tail"))))
 
 
+@query(
+    "first_n_long",
+    f"""WITH {w.DAILY_LOAD_SQL}, k AS (
+      SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) AS rn FROM daily_load)
+    SELECT series, ts, value FROM k WHERE rn <= 1440""",
+)
+def first_n_long(spark, folder):
+    """The first 1,440 days of each series."""
+    return tidy(windows.first_n(w.daily_load(spark, folder), 1440))
+
+
 # --- scaling and sequences -------------------------------------------------------------------
 
 
@@ -415,6 +450,31 @@ def teacher_forcing(spark, folder):
     return tidy(reshape.explode_arrays(reshape.series_arrays(indexed, keys, block=128), keys))
 
 
+@query(
+    "teacher_forcing_arrays",
+    f"""WITH {PARTS_SQL}, enc AS (
+      SELECT series, split, list(value ORDER BY ts) AS e FROM (
+        SELECT *, row_number() OVER (PARTITION BY series, split ORDER BY ts DESC) AS k FROM labelled WHERE part = 'encode')
+      WHERE k <= 168 GROUP BY 1, 2),
+    dec AS (SELECT series, split, list(value ORDER BY ts) AS d FROM labelled WHERE part = 'predict' GROUP BY 1, 2),
+    seq AS (SELECT series, split, list_concat(e, d[:-2]) AS v FROM enc JOIN dec USING (series, split))
+    SELECT series, split, unnest(range(0, len(v)))::BIGINT AS pos, unnest(v) AS value FROM seq""",
+)
+def teacher_forcing_arrays(spark, folder):
+    """The last 168 encode steps followed by the decode steps but the last, as one array each."""
+    keys = ["series", "split"]
+    rows = splits.walk_forward_rows(w.hourly_load(spark, folder), 48)
+
+    def array(part, name):
+        cells = F.array_sort(F.collect_list(F.struct("ts", "value")))
+        return part.groupBy(*keys).agg(F.transform(cells, lambda c: c["value"]).alias(name))
+
+    encode = windows.first_n(rows.filter("part = 'encode'").drop("part"), 168, keys=keys, last=True)
+    both = array(encode, "e").join(array(rows.filter("part = 'predict'"), "d"), keys)
+    forced = windows.teacher_forcing(F.col("e"), F.col("d"))
+    return tidy(both.select(*keys, F.posexplode(forced).alias("pos", "value")))
+
+
 @query("drop_first_targets", f"WITH {INDEXED_SQL} SELECT series, ts, value FROM indexed WHERE rn >= 24")
 def drop_first_targets(spark, folder):
     """Targets aligned with look-back windows: the windows' own rows."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hourline.operators import cv, decompose, lags, recursive, shapes, spectral, splits, trees
+from hourline.operators import clean, cv, decompose, lags, recursive, shapes, spectral, splits, trees, windows
 from hourline.plans import ridge_sql as rs
 from hourline.plans import workload as w
 from hourline.plans.catalog import query, tidy
@@ -20,11 +20,20 @@ INDEXED_SQL = f"""{w.HOURLY_LOAD_SQL}, x AS (
 
 # --- spectral --------------------------------------------------------------------------------
 
+GAPPY_SQL = """SELECT series, ts, value FROM hourly_load WHERE hour(ts) % 7 <> 6
+  UNION ALL SELECT series || ' ' || n, ts, value
+  FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts) AS k FROM hourly_load), (SELECT unnest([1, 4, 6, 7]) AS n)
+  WHERE k <= n"""
+GAPPY_INDEXED_SQL = f"""{w.HOURLY_LOAD_SQL}, gappy AS ({GAPPY_SQL}), x AS (
+  SELECT series, row_number() OVER (PARTITION BY series ORDER BY ts) - 1 AS t, value,
+         count(*) OVER (PARTITION BY series) AS n
+  FROM gappy)"""
+
 
 @query(
     "fourier_extrapolate",
-    f"""WITH {INDEXED_SQL},
-    s AS (SELECT series, n, regr_slope(value, t) AS slope FROM x GROUP BY 1, 2),
+    f"""WITH {GAPPY_INDEXED_SQL},
+    s AS (SELECT series, n, CASE WHEN n > 1 THEN regr_slope(value, t) ELSE 0 END AS slope FROM x GROUP BY 1, 2),
     h AS (SELECT unnest(range(0, 6)) AS k),
     c AS (
       SELECT series, n, slope, k, sum((value - slope * t) * cos(2 * pi() * k * t / n)) AS a,
@@ -32,12 +41,22 @@ INDEXED_SQL = f"""{w.HOURLY_LOAD_SQL}, x AS (
       FROM x JOIN s USING (series, n) CROSS JOIN h GROUP BY ALL),
     p AS (SELECT series, n, slope, unnest(range(0, n + 72)) AS pos FROM s)
     SELECT series, p.pos::BIGINT AS pos,
-           round(sum((CASE WHEN k = 0 THEN 1 ELSE 2 END) / c.n * (a * cos(2 * pi() * k * pos / c.n)
+           round(sum((CASE WHEN k = 0 OR 2 * k = c.n THEN 1 WHEN 2 * k < c.n THEN 2 ELSE 0 END) / c.n * (a * cos(2 * pi() * k * pos / c.n)
              + b * sin(2 * pi() * k * pos / c.n))) + any_value(p.slope) * pos, 5) AS value
     FROM p JOIN c USING (series) GROUP BY series, pos""",
 )
 def fourier_extrapolate(spark, folder):
-    return tidy(spectral.fourier_extrapolate(w.hourly_load(spark, folder), 72, n_harm=5), 5)
+    return tidy(spectral.fourier_extrapolate(gappy_load(spark, folder), 72, n_harm=5), 5)
+
+
+def gappy_load(spark, folder):
+    """The hourly load with a NULL at every seventh hour, and copies cut down to a few points."""
+    load = w.hourly_load(spark, folder)
+    holes = load.withColumn("value", F.when(F.hour("ts") % 7 != 6, F.col("value")))
+    parts = [holes]
+    for n in (1, 4, 6, 7):
+        parts.append(windows.first_n(load, n).withColumn("series", F.concat("series", F.lit(f" {n}"))))
+    return clean.union_by_name(parts)
 
 
 ACF_SQL = f"""{INDEXED_SQL}, m AS (SELECT series, avg(value) AS m FROM x GROUP BY 1),
@@ -206,9 +225,9 @@ spread AS (
 cv AS (
   SELECT c.series, c.cutoff, a.ts, a.value AS actual, b.value AS pred,
          b.value - 1.2815515655446004::DOUBLE * s AS lower, b.value + 1.2815515655446004::DOUBLE * s AS upper
-  FROM cuts c JOIN spread USING (series, cutoff)
+  FROM cuts c LEFT JOIN spread USING (series, cutoff)
   JOIN daily_load a ON a.series = c.series AND a.ts > c.cutoff AND a.ts <= c.cutoff + INTERVAL 28 DAY
-  JOIN daily_load b ON b.series = c.series
+  LEFT JOIN daily_load b ON b.series = c.series
     AND b.ts = a.ts - to_days((ceil(date_diff('day', c.cutoff, a.ts) / 7.0) * 7)::INT))"""
 
 
@@ -223,7 +242,7 @@ def cv_seasonal_naive(spark, folder):
 @query(
     "cv_metrics",
     f"""WITH {CV_SQL}
-    SELECT date_diff('hour', cutoff, ts)::DOUBLE AS horizon_hours, count(*)::BIGINT AS n,
+    SELECT date_diff('hour', cutoff, ts)::DOUBLE AS horizon_hours, count(pred)::BIGINT AS n, (count(*) - count(pred))::BIGINT AS n_missing,
            round(avg((actual - pred) ** 2) / 1e6, 4) AS mse, round(sqrt(avg((actual - pred) ** 2)), 4) AS rmse,
            round(avg(abs(actual - pred)), 4) AS mae,
            round(avg(CASE WHEN actual <> 0 THEN abs((actual - pred) / actual) END), 4) AS mape,
@@ -338,6 +357,15 @@ def _shapes_sql(source, name, length, off):
 
 
 SHIP_SHAPES_SQL = _shapes_sql(w.SHIP_DAILY_SQL, "ship_daily", 7, 2)
+WEEK_SHAPES_SQL = _shapes_sql(w.HOURLY_TOTAL_SQL, "hourly_total", 168, 48)
+DAY_SHAPES_SQL = f"""{w.HOURLY_LOAD_SQL}, shapes AS (
+  SELECT series, year(ts)::BIGINT AS year, dayofyear(ts)::BIGINT AS week, list(value ORDER BY ts) AS shape
+  FROM hourly_load GROUP BY 1, 2, 3 HAVING count(*) = 24)"""
+
+
+def day_shapes(spark, folder):
+    """The days with all 24 hours; the day of the year stands where a weekly shape has its week."""
+    return shapes.daily_shapes(w.hourly_load(spark, folder)).withColumnRenamed("day", "week")
 
 
 def ship_shapes(spark, folder):
@@ -382,12 +410,16 @@ def complete_weeks(spark, folder):
     return tidy(shapes.complete_weeks(weeks, 7).select("series", "year", "week", total.alias("total")), 2)
 
 
-PAIRS_SQL = f"""{SHIP_SHAPES_SQL}, pairs AS (
+def _pairs_sql(source):
+    return f"""{source}, pairs AS (
   SELECT * FROM (
     SELECT series, year, week, shape AS a, lead(shape) OVER (PARTITION BY series ORDER BY year, week) AS b FROM shapes)
   WHERE b IS NOT NULL)"""
 
 
+PAIRS_SQL = _pairs_sql(SHIP_SHAPES_SQL)
+
+
 def _dtw_sql(name, source, keys, band=4):
     """DTW of list columns a and b of ``source``: one recursion step per row of the cost matrix."""
     inside = f"j >= greatest(0, i - {band}) AND j < least(len(b), i + {band})"
@@ -412,25 +444,58 @@ def dtw_pairs(spark, folder):
     return tidy(shapes.dtw_pairs(pairs).select("series", "year", "week", "dtw"))
 
 
-@query(
-    "lb_keogh",
-    f"""WITH {PAIRS_SQL}, cells AS (
-      SELECT series, year, week, unnest(range(1, 8)) AS i, unnest(a) AS x, b FROM pairs),
+def _keogh_sql(pairs, n):
+    return f"""WITH {pairs}, cells AS (
+      SELECT series, year, week, unnest(range(1, {n + 1})) AS i, unnest(a) AS x, b FROM pairs),
     env AS (
-      SELECT *, list_min(b[greatest(i - 5, 1):least(i + 4, 7)]) AS lo, list_max(b[greatest(i - 5, 1):least(i + 4, 7)]) AS hi
+      SELECT *, list_min(b[greatest(i - 5, 1):least(i + 4, {n})]) AS lo, list_max(b[greatest(i - 5, 1):least(i + 4, {n})]) AS hi
       FROM cells)
     SELECT series, year, week, round(sqrt(sum(greatest(x - hi, lo - x, 0) ** 2)), 6) AS lb
-    FROM env GROUP BY 1, 2, 3""",
-)
+    FROM env GROUP BY 1, 2, 3"""
+
+
+@query("lb_keogh", _keogh_sql(PAIRS_SQL, 7))
 def lb_keogh(spark, folder):
     pairs = shapes.week_pairs(ship_shapes(spark, folder))
     return tidy(shapes.lb_pairs(pairs).select("series", "year", "week", "lb"))
 
 
+@query(
+    "dtw_pairs_days",
+    f"WITH RECURSIVE {_pairs_sql(DAY_SHAPES_SQL)}, {_dtw_sql('d', 'pairs', 'series, year, week')} SELECT series, year, week, round(dtw, 6) AS dtw FROM d",
+)
+def dtw_pairs_days(spark, folder):
+    """Distance of each full day of 24 hours to the next one of its series."""
+    pairs = shapes.week_pairs(day_shapes(spark, folder))
+    return tidy(shapes.dtw_pairs(pairs).select("series", "year", "week", "dtw"))
+
+
+@query(
+    "dtw_pairs_weeks",
+    f"WITH RECURSIVE {_pairs_sql(WEEK_SHAPES_SQL)}, {_dtw_sql('d', 'pairs', 'series, year, week')} SELECT series, year, week, round(dtw, 6) AS dtw FROM d",
+)
+def dtw_pairs_weeks(spark, folder):
+    """Distance of each week of 168 hours to the next one."""
+    pairs = shapes.week_pairs(shapes.weekly_shapes(w.hourly_total(spark, folder)))
+    return tidy(shapes.dtw_pairs(pairs).select("series", "year", "week", "dtw"))
+
+
+@query("lb_keogh_days", _keogh_sql(_pairs_sql(DAY_SHAPES_SQL), 24))
+def lb_keogh_days(spark, folder):
+    pairs = shapes.week_pairs(day_shapes(spark, folder))
+    return tidy(shapes.lb_pairs(pairs).select("series", "year", "week", "lb"))
+
+
+@query("lb_keogh_weeks", _keogh_sql(_pairs_sql(WEEK_SHAPES_SQL), 168))
+def lb_keogh_weeks(spark, folder):
+    pairs = shapes.week_pairs(shapes.weekly_shapes(w.hourly_total(spark, folder)))
+    return tidy(shapes.lb_pairs(pairs).select("series", "year", "week", "lb"))
+
+
 def _kmeans_sql(k, rounds):
     """k-means unrolled: each round is a cross product of shapes with the k centroids."""
     parts = [
-        SHIP_SHAPES_SQL,
+        DAY_SHAPES_SQL,
         f"""c0 AS (
           SELECT (row_number() OVER (ORDER BY h, series, year, week) - 1)::BIGINT AS cluster, shape AS centroid
           FROM (SELECT *, md5(series || '|' || year || '|' || week) AS h FROM shapes ORDER BY h, series, year, week LIMIT {k}))""",
@@ -452,21 +517,22 @@ def _kmeans_sql(k, rounds):
               FROM c{n} c LEFT JOIN (
                 SELECT cluster, list(v ORDER BY pos) AS centroid FROM (
                   SELECT cluster, pos, avg(v) AS v FROM (
-                    SELECT cluster, unnest(range(0, 7)) AS pos, unnest(shape) AS v
+                    SELECT cluster, unnest(range(0, 24)) AS pos, unnest(shape) AS v
                     FROM a{n} JOIN shapes USING (series, year, week)) GROUP BY 1, 2) GROUP BY 1) m USING (cluster))"""
         )
     return ",\n".join(parts)
 
 
-KMEANS = dict(k=4, iters=4)
-KMEANS_SQL = _kmeans_sql(4, 4)
+# more rounds than the small tables take until the centroids stand still; further ones change nothing
+ROUNDS = 8
+KMEANS_SQL = _kmeans_sql(4, ROUNDS)
 
 
 def clusters(spark, folder):
-    return shapes.dtw_kmeans(ship_shapes(spark, folder), **KMEANS)
+    return shapes.dtw_kmeans(day_shapes(spark, folder), k=4, iters=100)
 
 
-@query("dtw_kmeans", f"WITH RECURSIVE {KMEANS_SQL} SELECT series, year, week, cluster, round(dtw, 6) AS dist FROM a3")
+@query("dtw_kmeans", f"WITH RECURSIVE {KMEANS_SQL} SELECT series, year, week, cluster, round(dtw, 6) AS dist FROM a{ROUNDS - 1}")
 def dtw_kmeans(spark, folder):
     assigned, _ = clusters(spark, folder)
     return tidy(assigned.select("series", "year", "week", "cluster", "dist"))
@@ -475,7 +541,7 @@ def dtw_kmeans(spark, folder):
 @query(
     "dtw_centroids",
     f"""WITH RECURSIVE {KMEANS_SQL}
-    SELECT cluster, unnest(range(0, 7))::BIGINT AS pos, round(unnest(centroid), 6) AS value FROM c4""",
+    SELECT cluster, unnest(range(0, 24))::BIGINT AS pos, round(unnest(centroid), 6) AS value FROM c{ROUNDS}""",
 )
 def dtw_centroids(spark, folder):
     _, centroids = clusters(spark, folder)
@@ -486,18 +552,18 @@ def dtw_centroids(spark, folder):
     "cluster_weeks",
     f"""WITH RECURSIVE {KMEANS_SQL}, totals AS (
       SELECT series, year, week, round(list_sum(shape), 2) AS total FROM shapes)
-    SELECT series, year, week, cluster, total FROM a3 JOIN totals USING (series, year, week)""",
+    SELECT series, year, week, cluster, total FROM a{ROUNDS - 1} JOIN totals USING (series, year, week)""",
 )
 def cluster_weeks(spark, folder):
     assigned, _ = clusters(spark, folder)
     total = F.aggregate("shape", F.lit(0.0), lambda t, v: t + v)
-    weeks = ship_shapes(spark, folder).select("series", "year", "week", F.round(total, 2).alias("total"))
-    return tidy(shapes.cluster_weeks(assigned, weeks))
+    weeks = day_shapes(spark, folder).select("series", "year", "week", F.round(total, 2).alias("total"))
+    return tidy(shapes.cluster_weeks(assigned, weeks)).orderBy("cluster", "year", "week", "series")
 
 
 @query(
     "cluster_calendar",
-    f"WITH RECURSIVE {KMEANS_SQL} SELECT week, cluster, count(*)::BIGINT AS weeks FROM a3 GROUP BY 1, 2",
+    f"WITH RECURSIVE {KMEANS_SQL} SELECT week, cluster, count(*)::BIGINT AS weeks FROM a{ROUNDS - 1} GROUP BY 1, 2",
 )
 def cluster_calendar(spark, folder):
     assigned, _ = clusters(spark, folder)
@@ -507,13 +573,13 @@ def cluster_calendar(spark, folder):
 @query(
     "unassigned_weeks",
     f"""WITH RECURSIVE {KMEANS_SQL}, every_week AS (
-      SELECT DISTINCT series, year(ts)::BIGINT AS year, weekofyear(ts)::BIGINT AS week FROM ship_daily)
-    SELECT e.series, e.year, e.week FROM every_week e ANTI JOIN a3 USING (series, year, week)""",
+      SELECT DISTINCT series, year(ts)::BIGINT AS year, dayofyear(ts)::BIGINT AS week FROM hourly_load)
+    SELECT e.series, e.year, e.week FROM every_week e ANTI JOIN a{ROUNDS - 1} USING (series, year, week)""",
 )
 def unassigned_weeks(spark, folder):
-    """Weeks of the table that are in no cluster: incomplete ones and those with holidays."""
+    """Days of the table that are in no cluster: the incomplete ones."""
     assigned, _ = clusters(spark, folder)
-    weeks = w.ship_daily(spark, folder).select(
-        "series", F.year("ts").alias("year"), F.weekofyear("ts").alias("week")
+    weeks = w.hourly_load(spark, folder).select(
+        "series", F.year("ts").alias("year"), F.dayofyear("ts").alias("week")
     ).distinct()
     return tidy(shapes.unassigned(weeks, assigned))

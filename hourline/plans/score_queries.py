@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hourline.operators import distribution, metrics, naive, scale
+from hourline.operators import clean, distribution, metrics, naive, scale
 from hourline.operators.lags import calendar_lag, join_weather
 from hourline.plans import workload as w
 from hourline.plans.catalog import query, tidy
@@ -16,12 +16,17 @@ def naive_hourly(spark, folder):
 
 def banded(spark, folder):
     """Year 2000 of the daily load: actual, forecast and the 5 / 50 / 95 % bands of the other years."""
-    load = w.daily_load(spark, folder)
     bands = naive.percentile_bands(
-        load.filter(F.year("ts") != 2000), {"lower": 0.05, "mid": 0.5, "upper": 0.95}
+        w.daily_load(spark, folder, without_year=2000), {"lower": 0.05, "mid": 0.5, "upper": 0.95}
     )
-    forecast = naive.seasonal_naive(load).filter(F.year("ts") == 2000)
-    return naive.with_bands(forecast, bands)
+    # a week before the year for its first forecasts
+    load = w.daily_load(spark, folder, "1999-12-25", "2001-01-01")
+    return naive.with_bands(clean.split_by_year(naive.seasonal_naive(load), 2000), bands)
+
+
+def with_gaps(frame):
+    """The frame with every fifth forecast missing."""
+    return frame.withColumn("pred", F.when(F.dayofyear("ts") % 5 != 0, F.col("pred")))
 
 
 N = f"WITH {w.NAIVE_HOURLY_SQL} "
@@ -50,19 +55,28 @@ def mape(spark, folder):
     return tidy(metrics.mape(naive_hourly(spark, folder)))
 
 
-@query("accuracy", N + "SELECT series, round(1 - avg(abs(actual - pred)) / avg(actual), 6) AS accuracy FROM naive GROUP BY 1")
+@query(
+    "accuracy",
+    N + """SELECT series, round(1 - avg(abs(actual - pred)) / avg(actual), 6) AS accuracy,
+           (count(*) FILTER (WHERE NOT has))::BIGINT AS n_missing
+    FROM (SELECT series, has, CASE WHEN has THEN actual END AS actual, CASE WHEN has THEN pred END AS pred
+          FROM (SELECT *, dayofyear(ts) % 5 <> 0 AS has FROM naive)) GROUP BY 1""",
+)
 def accuracy(spark, folder):
-    return tidy(metrics.accuracy(naive_hourly(spark, folder)))
+    return tidy(metrics.accuracy(with_gaps(naive_hourly(spark, folder))))
 
 
 @query(
     "r2",
-    N + """, m AS (SELECT series, avg(actual) AS m FROM naive GROUP BY 1)
-    SELECT series, round(1 - sum((actual - pred) ** 2) / sum((actual - m) ** 2), 6) AS r2
-    FROM naive JOIN m USING (series) GROUP BY 1""",
+    N + """, k AS (SELECT * FROM naive WHERE dayofyear(ts) % 5 <> 0),
+    m AS (SELECT series, avg(actual) AS m FROM k GROUP BY 1),
+    s AS (SELECT series, round(1 - sum((actual - pred) ** 2) / sum((actual - m) ** 2), 6) AS r2
+          FROM k JOIN m USING (series) GROUP BY 1)
+    SELECT series, any_value(r2) AS r2, (count(*) FILTER (WHERE dayofyear(ts) % 5 = 0))::BIGINT AS n_missing
+    FROM naive LEFT JOIN s USING (series) GROUP BY 1""",
 )
 def r2(spark, folder):
-    return tidy(metrics.r2(naive_hourly(spark, folder)))
+    return tidy(metrics.r2(with_gaps(naive_hourly(spark, folder))))
 
 
 @query(
@@ -87,11 +101,26 @@ def quantile_score(spark, folder):
 
 @query("interval_table", B + "SELECT series, ts, actual, pred, round(lower, 4) AS lower, round(upper, 4) AS upper FROM banded")
 def interval_table(spark, folder):
-    rows = banded(spark, folder)
-    on = ["series", "ts"]
-    low = rows.select(*on, F.col("lower").alias("pred"))
-    high = rows.select(*on, F.col("upper").alias("pred"))
-    return tidy(metrics.interval_table(rows.select(*on, "actual", "pred"), low, high), 4)
+    """The band is part of the banded frame already, so nothing is joined."""
+    return tidy(banded(spark, folder).drop("mid"), 4)
+
+
+@query(
+    "interval_join",
+    f"""WITH {w.HOURLY_LOAD_SQL}, a AS (
+      SELECT a.series, a.ts, a.value AS actual, b.value AS pred FROM hourly_load a
+      JOIN hourly_load b ON b.series = a.series AND b.ts = a.ts - INTERVAL 1 DAY),
+    lo AS (SELECT a.series, a.ts, b.value AS lower FROM hourly_load a
+      JOIN hourly_load b ON b.series = a.series AND b.ts = a.ts - INTERVAL 2 DAY),
+    up AS (SELECT a.series, a.ts, b.value AS upper FROM hourly_load a
+      JOIN hourly_load b ON b.series = a.series AND b.ts = a.ts - INTERVAL 7 DAY)
+    SELECT series, ts, actual, pred, lower, upper FROM a FULL JOIN lo USING (series, ts) FULL JOIN up USING (series, ts)""",
+)
+def interval_join(spark, folder):
+    """Three separate forecasts side by side; hours that only some of them have keep their row."""
+    load = w.hourly_load(spark, folder)
+    low, high = (naive.seasonal_naive(load, days=d).drop("actual") for d in (2, 7))
+    return tidy(metrics.interval_table(naive.seasonal_naive(load, days=1), low, high))
 
 
 @query(
@@ -151,7 +180,18 @@ def mape_daily(spark, folder):
 def trimmed_mean(spark, folder):
     """Mean block MAPE of the daily load without the 30 worst blocks."""
     blocks = metrics.per_block(naive.seasonal_naive(w.daily_load(spark, folder)), "mape", 24)
-    return tidy(metrics.trimmed_mean(blocks, "mape", 30, "step"))
+    return tidy(metrics.trimmed_mean(blocks, "mape", 30))
+
+
+@query(
+    "trimmed_mean_deep",
+    f"""WITH {w.DAILY_LOAD_SQL}, ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY series ORDER BY value DESC) AS k FROM daily_load)
+    SELECT series, round(avg(value), 4) AS trimmed_mean FROM ranked WHERE k > 1500 GROUP BY 1""",
+)
+def trimmed_mean_deep(spark, folder):
+    """Mean daily load without the 1,500 largest days."""
+    return tidy(metrics.trimmed_mean(w.daily_load(spark, folder), "value", 1500), 4)
 
 
 @query(
@@ -180,8 +220,8 @@ def forecast_slices(spark, folder):
     SELECT a.series, a.ts, a.value AS actual, d.value AS day_naive, k.value AS week_naive,
            round(d.value - a.value, 6) AS day_naive_err, round(k.value - a.value, 6) AS week_naive_err
     FROM hourly_load a
-    JOIN hourly_load d ON d.series = a.series AND d.ts = a.ts - INTERVAL 1 DAY
-    JOIN hourly_load k ON k.series = a.series AND k.ts = a.ts - INTERVAL 7 DAY""",
+    LEFT JOIN hourly_load d ON d.series = a.series AND d.ts = a.ts - INTERVAL 1 DAY
+    LEFT JOIN hourly_load k ON k.series = a.series AND k.ts = a.ts - INTERVAL 7 DAY""",
 )
 def compare_forecasts(spark, folder):
     load = w.hourly_load(spark, folder)
@@ -217,7 +257,5 @@ def histogram(spark, folder):
     FROM j JOIN r USING (series) GROUP BY 1, 2, 3""",
 )
 def hist2d(spark, folder):
-
-
     joined = join_weather(w.hourly_load(spark, folder), w.hourly_weather(spark, folder))
     return tidy(distribution.hist2d(joined, "drybulb", "value"))

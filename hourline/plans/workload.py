@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourline.functions.dates import day_start, hour_start
+from hourline.operators import clean
 from hourline.operators.reshape import SEGMENT_LABELS
 
 
@@ -17,6 +18,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _between(df, ts, start, end) -> DataFrame:
+    """Raw rows of [start, end), before anything is derived from the stamp: the scan sees both bounds."""
+    for bound, keep in ((start, lambda b: F.col(ts) >= b), (end, lambda b: F.col(ts) < b)):
+        if bound is not None:
+            df = df.filter(keep(F.lit(bound).cast("timestamp_ntz")))
+    return df
+
+
 def _sums(df, series, ts, value) -> DataFrame:
     """One row per series and step. The NULL filter also keeps the value in every use of the frame, so
     that two branches of one plan share a single scan and aggregation (a reused exchange)."""
@@ -24,18 +33,20 @@ def _sums(df, series, ts, value) -> DataFrame:
     return sums.filter(F.col("value").isNotNull())
 
 
-def hourly_load(spark, folder) -> DataFrame:
-    return _sums(table(spark, folder, "events"), F.col("event_type"), hour_start(F.col("ts")), "value")
+def hourly_load(spark, folder, start=None, end=None) -> DataFrame:
+    events = _between(table(spark, folder, "events"), "ts", start, end)
+    return _sums(events, F.col("event_type"), hour_start(F.col("ts")), "value")
 
 
 def hourly_total(spark, folder) -> DataFrame:
     return _sums(table(spark, folder, "events"), F.lit("total"), hour_start(F.col("ts")), "value")
 
 
-def daily_load(spark, folder) -> DataFrame:
-    return _sums(
-        table(spark, folder, "orders"), F.col("o_orderpriority"), day_start(F.col("o_orderdate")), "o_totalprice"
-    )
+def daily_load(spark, folder, start=None, end=None, without_year=None) -> DataFrame:
+    orders = _between(table(spark, folder, "orders"), "o_orderdate", start, end)
+    if without_year is not None:
+        orders = clean.other_years(orders, without_year, "o_orderdate")
+    return _sums(orders, F.col("o_orderpriority"), day_start(F.col("o_orderdate")), "o_totalprice")
 
 
 def daily_total(spark, folder) -> DataFrame:
@@ -155,7 +166,7 @@ profile_long AS (
   FROM (SELECT DISTINCT "Type", "Date" FROM profile_cells) d
   CROSS JOIN (SELECT unnest(range(4, 100)) AS seg) s
   LEFT JOIN profile_cells c ON c."Type" = d."Type" AND c."Date" = d."Date" AND c.seg = s.seg)"""
-HOLIDAYS_SQL = """hol_years AS (SELECT unnest(range(1969, 2102)) AS y),
+HOLIDAYS_SQL = """hol_years AS (SELECT unnest(range(1899, 2202)) AS y),
 hol_fixed AS (
   SELECT make_date(y, m, d) AS ds, name FROM hol_years,
     (VALUES ('New Year''s Day', 1, 1), ('Independence Day', 7, 4), ('Veterans Day', 11, 11),

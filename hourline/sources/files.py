@@ -63,6 +63,16 @@ def read_ragged(spark, path, fields=tuple(PROFILE_FIELDS), text=("Type", "Date")
     return spark.read.csv(path, schema=schema, header=True, enforceSchema=True, mode="PERMISSIVE")
 
 
+def read_matrix(spark, path, ids) -> DataFrame:
+    """A wide CSV file (or glob) whose header names its columns: ``ids`` are text, all others numbers.
+
+    The driver reads one header line for the schema; the rows are one distributed scan.
+    """
+    header = spark.read.csv(path, header=True).columns
+    kinds = [T.StructField(c, T.StringType() if c in ids else T.DoubleType()) for c in header]
+    return spark.read.csv(path, schema=T.StructType(kinds), header=True, enforceSchema=True)
+
+
 def audit_files(spark, path, sep=",") -> DataFrame:
     """(file, n_fields, lines): the widths found in each file."""
     lines = spark.read.text(path).select(

@@ -27,6 +27,15 @@ def test_hour_24_rolls_over(spark):
     ]
 
 
+def test_clocks_that_do_not_exist(spark):
+    texts = ["99:00", "-5:00", "05:75", "24:30", "24:00", "23:59", "5", "5:", "x:00", ""]
+    df = spark.createDataFrame([(f"01/01/2017 {t}",) for t in texts], "t STRING")
+    day = dt.datetime(2017, 1, 1)
+    assert first_column(df.select(fix_hour24(F.col("t")))) == [
+        None, None, None, None, dt.datetime(2017, 1, 2), day.replace(hour=23, minute=59), day.replace(hour=5), None, None, None,
+    ]
+
+
 def test_numbers_and_stamps(spark):
     df = spark.createDataFrame([("1,234,567.5", "2016-02-29 07:51"), ("*", "x")], "n STRING, t STRING")
     assert first_column(df.select(fix_thousands(F.col("n")))) == [1234567.5, None]
@@ -78,6 +87,30 @@ def test_partial_dates_include_both_ends(spark, start, end, first, last):
     assert [str(v.date()) for v in span] == [first, last]
 
 
+def test_hour_labels(frame):
+    df = frame([(f"2010-01-31 {h:02d}:{m:02d}:00",) for h in range(24) for m in (0, 30)], "ts TIMESTAMP_NTZ")
+    span = clean.slice_period(df, "2010-01-31 05", "2010-01-31T07").agg(F.min("ts"), F.max("ts"), F.count("*")).first()
+    assert tuple(span) == (dt.datetime(2010, 1, 31, 5), dt.datetime(2010, 1, 31, 7, 30), 6)
+    with pytest.raises(ValueError):
+        clean.slice_period(df, "2010-01 05", "2010-01 07")
+
+
+@pytest.mark.parametrize("bounds", [("2024-01-08 00:00:00", "2024-01-15 00:00:00")])
+def test_a_range_reaches_the_scan_of_a_derived_series(spark, bounds):
+    from hourline.plans import workload
+
+    plan = workload.hourly_load(spark, "/root/testdata/sf0.001", *bounds)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts,2024-01-08T00:00)" in plan and "LessThan(ts,2024-01-15T00:00)" in plan
+
+
+def test_date_columns_become_stamps(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("page,2016-01-01,2016-01-02,total\np,1.5,,9\nq,2,3,9\n")
+    good, rejects = reshape.melt_dates(files.read_matrix(spark, str(tmp_path / "m.csv"), ["page"]), ["page"], "yyyy-MM-dd")
+    day = dt.datetime(2016, 1, 1)
+    assert sorted((tuple(r) for r in good.collect()), key=str) == sorted([("p", day, 1.5), ("p", day.replace(day=2), None), ("q", day, 2.0), ("q", day.replace(day=2), 3.0)], key=str)
+    assert {tuple(r) for r in rejects.collect()} == {("p", "total", 9.0), ("q", "total", 9.0)}
+
+
 def test_year_split_prunes_and_is_complete(spark, tmp_path):
     df = spark.sql("SELECT explode(sequence(date'1999-12-25', date'2001-01-05')) AS d")
     path = str(tmp_path / "t")
@@ -120,6 +153,23 @@ def test_holidays(spark):
     assert {d[:4] for d, _ in table} == {str(y) for y in range(2010, 2018)}
 
 
+def test_rules_agree_with_the_table_in_any_year(spark):
+    """Every day of some far years, by rule and by table."""
+    for first, last in ((1599, 1601), (1948, 1955), (2149, 2156)):
+        days = spark.sql(f"SELECT explode(sequence(date'{first}-01-01', date'{last}-12-31')) AS d")
+        flagged = holiday_flags(days.select(F.col("d").cast("timestamp_ntz").alias("ts"))).filter("holiday_flag = 1")
+        by_rule = {str(r["ts"].date()) for r in flagged.collect()}
+        assert by_rule == {str(r["ds"]) for r in holiday_table(spark, first, last).collect()}
+
+
+def test_weather_with_two_rows_an_hour_doubles_no_load(spark, hourly):
+    from hourline.operators.lags import join_weather
+
+    load = hourly([1.0, 2.0])
+    weather = load.select("ts", F.lit(10.0).alias("drybulb")).union(load.select("ts", F.lit(20.0).alias("drybulb")))
+    assert [tuple(r)[2:] for r in join_weather(load, weather).orderBy("ts").select("series", "ts", "value", "drybulb").collect()] == [(1.0, 15.0), (2.0, 15.0)]
+
+
 def test_off_flag(frame):
     df = frame([("2016-07-04 05:00:00",), ("2016-07-05 05:00:00",), ("2016-07-09 05:00:00",)], "ts TIMESTAMP_NTZ")
     out = holiday_flags(df).orderBy("ts").collect()

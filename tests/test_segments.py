@@ -79,7 +79,7 @@ def test_order_and_partitioning_do_not_matter(skewed):
     for op in (
         lambda d: windows.window_target(d, ["value"], "value", 24, delay=5).select("series", "ts", "target"),
         lambda d: splits.split_tail(d, 100),
-        lambda d: windows.sample_windows(d, 0.3, seed=2),
+        lambda d: windows.sample_windows(d, ["value"], 24, 0.3, seed=2),
         lambda d: reshape.explode_arrays(reshape.series_arrays(d, block=100)),
     ):
         a, b = op(skewed), op(other)
@@ -94,18 +94,21 @@ def test_attach_series_meets_every_row(skewed):
     assert out.join(totals.withColumnRenamed("total", "t2"), "series").filter("total <> t2").isEmpty()
 
 
-def test_raw_totals_agree_with_and_without_broadcast(skewed):
-    def run(limit):
-        out = attach_raw_totals(
-            skewed, ["series"], "ts", mins={"lo": F.col("value")}, maxs={"hi": F.col("value")},
-            broadcast_rows=limit,
-        )
-        return out.select("series", "ts", "value", "lo", "hi", SIZE)
+def test_raw_totals_keep_rows_without_a_stamp(spark):
+    rows = [("a", None, 5.0), ("a", dt.datetime(2024, 1, 1), 1.0), ("a", None, 9.0), ("b", None, 2.0), ("b", dt.datetime(2024, 5, 1), 3.0)]
+    df = spark.createDataFrame(rows, "series STRING, ts TIMESTAMP_NTZ, value DOUBLE")
+    out = attach_raw_totals(df, ["series"], "ts", mins={"lo": F.col("value")}, maxs={"hi": F.col("value")}).collect()
+    assert sorted((r["series"], r["value"], r["lo"], r["hi"], r[SIZE]) for r in out) == [
+        ("a", 1.0, 1.0, 9.0, 3), ("a", 5.0, 1.0, 9.0, 3), ("a", 9.0, 1.0, 9.0, 3), ("b", 2.0, 2.0, 3.0, 2), ("b", 3.0, 2.0, 3.0, 2),
+    ]
+    assert distribution.histogram(df, bins=2).agg(F.sum("n")).first()[0] == 5
+
 
-    a, b = run(10), run(2)
-    assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
-    assert a.count() == skewed.count()
-    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+def test_histogram_leaves_out_what_is_no_number(spark):
+    values = [0.0, 1.0, 2.0, float("nan"), float("inf"), -float("inf"), None]
+    df = spark.createDataFrame([("a", dt.datetime(2024, 1, 1), v) for v in values], "series STRING, ts TIMESTAMP_NTZ, value DOUBLE")
+    assert [tuple(r) for r in distribution.histogram(df, bins=2).orderBy("bin").collect()] == [("a", 1, 0.0, 1.0, 1), ("a", 2, 1.0, 2.0, 2)]
+    assert distribution.histogram_rejects(df, ["value"]).first()["n"] == 4
 
 
 def test_blocks_partition_the_rows(skewed):
@@ -116,17 +119,41 @@ def test_blocks_partition_the_rows(skewed):
         assert r["mae"] == pytest.approx(1.0)
 
 
-def test_trimmed_mean_by_hand(skewed):
-    indexed = index_rows(skewed, ["series"], "ts").select("series", F.col(RN).alias("step"), "value")
-    got = {r["series"]: r["trimmed_mean"] for r in metrics.trimmed_mean(indexed, "value", 30, "step", rows=64).collect()}
+@pytest.mark.parametrize("drop", [0, 1, 30, 700, 1500, 5000])
+def test_trimmed_mean_by_hand(skewed, drop):
+    """Many ties, as the values are whole numbers up to 500."""
+    got = {r["series"]: r["trimmed_mean"] for r in metrics.trimmed_mean(skewed, "value", drop).collect()}
     for series, rows in by_series(skewed).items():
-        kept = sorted(r["value"] for r in rows)[:-30]
+        kept = sorted(r["value"] for r in rows)[: max(0, len(rows) - drop)]
         if kept:
             assert got[series] == pytest.approx(sum(kept) / len(kept))
         else:
             assert series not in got
 
 
+def test_trimmed_mean_sorts_no_series(skewed):
+    wide = skewed.withColumn("value", F.col("value") + F.rand(3))
+    plan = metrics.trimmed_mean(wide, "value", 1500)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan
+    want = sorted((r["value"] for r in wide.filter("series = 'hot'").collect()), reverse=True)[1500:]
+    got = {r["series"]: r["trimmed_mean"] for r in metrics.trimmed_mean(wide, "value", 1500).collect()}
+    assert got["hot"] == pytest.approx(sum(want) / len(want))
+
+
+def test_first_n_ranks_no_whole_series(skewed):
+    df = windows.first_n(skewed, 1440)
+    assert df.groupBy("series").count().collect() and "WindowGroupLimit" not in df._jdf.queryExecution().executedPlan().toString()
+    for series, rows in by_series(windows.first_n(skewed, 1440, last=True)).items():
+        assert [r["ts"] for r in rows] == [r["ts"] for r in by_series(skewed)[series]][-1440:]
+
+
+def test_sampled_windows_are_the_windows_of_drawn_rows(skewed):
+    whole = {(r["series"], r["ts"]): [x["value"] for x in r["window"]] for r in windows.lookback(skewed, ["value"], 24).collect()}
+    drawn = windows.sample_windows(skewed, ["value"], 24, 0.3, seed=2).collect()
+    assert all([x["value"] for x in r["window"]] == whole[r["series"], r["ts"]] for r in drawn)
+    assert 0.2 < len(drawn) / len(whole) < 0.4
+
+
 def test_histogram_counts_every_row(skewed):
     hist = distribution.histogram(skewed, "value", 25, density=True)
     sizes = {r["series"]: r["n"] for r in hist.groupBy("series").agg(F.sum("n").alias("n")).collect()}
