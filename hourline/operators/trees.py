@@ -1,10 +1,14 @@
 """Tree forecasts on a feature table with a ``split`` column.
 
-Rows with split 'train' fit the model; every row is scored, so train and test share one frame.
+Rows with split 'train' fit the model; every row is scored, so train and test share one frame. One
+model serves the frame it is given: several series need their own frames, or the series as a feature.
 """
 
 from __future__ import annotations
 
+import warnings
+from math import ceil
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor
@@ -14,19 +18,27 @@ from pyspark.sql import functions as F
 from hourline.sources.files import ensure_checkpoint_dir
 
 TRAIN = "split = 'train'"
+#: The deepest tree that Spark's learner can grow.
+DEEPEST = 30
 
 
 def _pipeline(features, estimator) -> Pipeline:
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features"), estimator])
 
 
-def fit_tree(df, features, label="value", min_leaf=20, max_depth=15, max_bins=256, seed=0) -> PipelineModel:
-    """Regression tree grown until leaves hold ``min_leaf`` rows or ``max_depth`` is reached."""
+def fit_tree(df, features, label="value", min_leaf=20, max_depth=DEEPEST, max_bins=256, seed=0) -> PipelineModel:
+    """Regression tree grown until no leaf can be split into two of ``min_leaf`` rows.
+
+    The learner's own limit is ``DEEPEST`` levels; a warning tells if a tree reaches it.
+    """
     tree = DecisionTreeRegressor(
         featuresCol="_features", labelCol=label, predictionCol="pred", seed=seed,
         minInstancesPerNode=min_leaf, maxDepth=max_depth, maxBins=max_bins,
     )
-    return _pipeline(features, tree).fit(df.filter(TRAIN))
+    model = _pipeline(features, tree).fit(df.filter(TRAIN))
+    if max_depth == DEEPEST == model.stages[-1].depth:
+        warnings.warn(f"the tree has {DEEPEST} levels, the learner's limit; some leaves may be coarser than asked", stacklevel=2)
+    return model
 
 
 def fit_gbt(
@@ -53,45 +65,84 @@ def gbt_forecast(df, features, label="value", **params) -> DataFrame:
     return score(fit_gbt(df, features, label, **params), df)
 
 
-def quantile_gbt(
-    df, features, alpha: float, label="value", rounds=100, rate=0.1, max_depth=3, min_leaf=10,
-    max_bins=64, accuracy=100_000, checkpoint_every=10, seed=0,
+def _ranked(rows, places: dict, buckets: int = 1024) -> dict:
+    """{group: the place-th smallest ``r``} of rows (g, r), exactly.
+
+    Counts in equal-width buckets combine on the map side; the bucket that holds the place is cut again
+    until it holds one value. At most ``buckets`` rows a group come to the driver in a pass.
+    """
+    spans = {x["g"]: (x["lo"], x["hi"], places[x["g"]]) for x in rows.groupBy("g").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).collect()}
+    found = {g: lo for g, (lo, hi, _) in spans.items() if lo == hi}
+    while len(found) < len(spans):
+        todo = {g: s for g, s in spans.items() if g not in found}
+        span = F.create_map(*[F.lit(v) for g, (lo, hi, _) in todo.items() for v in (g, F.array(F.lit(lo), F.lit(hi)))])
+        cut = rows.withColumn("_s", F.element_at(span, F.col("g")))
+        lo, hi = F.get("_s", F.lit(0)), F.get("_s", F.lit(1))
+        inside = cut.filter(F.col("_s").isNotNull() & (F.col("r") >= lo) & (F.col("r") <= hi))
+        bucket = F.floor((F.col("r") - lo) / (hi - lo) * buckets).alias("b")
+        counts = inside.groupBy("g", bucket).agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("lo"), F.max("r").alias("hi")).collect()
+        for g, (_, _, place) in todo.items():
+            for x in sorted((x for x in counts if x["g"] == g), key=lambda x: x["b"]):
+                if place <= x["n"]:
+                    spans[g] = (x["lo"], x["hi"], place)
+                    if x["lo"] == x["hi"] or place in (1, x["n"]):
+                        found[g] = x["lo"] if place == 1 else x["hi"]
+                    break
+                place -= x["n"]
+    return found
+
+
+def quantile_forecasts(
+    df, features, alphas: dict[str, float], label="value", rounds=100, rate=0.1, max_depth=3, min_leaf=10,
+    max_bins=64, checkpoint_every=10, seed=0,
 ) -> DataFrame:
-    """Boosted trees for the ``alpha`` quantile; adds ``pred`` to every row.
-
-    Each round fits a tree to the pinball gradient of the current fit, then gives each leaf the
-    alpha quantile of its residuals. Leaf quantiles are mergeable summaries (rank error 1/accuracy,
-    exact for fewer rows), so a leaf may hold any share of the rows. Only the at most
-    2^max_depth leaf values come to the driver, and they return as a literal map: apart from the
-    tree fit and that aggregation a round has no shuffle. The row state is checkpointed every few
-    rounds, which also cuts its plan.
+    """Boosted trees for several quantiles at once; adds a forecast column for each name of ``alphas``.
+
+    Each round fits a tree to the pinball gradient of the current fit, then gives each leaf the quantile
+    of its residuals, exactly and for all trees of the round together. Only the at most 2^max_depth leaf
+    values of each tree come to the driver, and they return as a literal map. The row state is
+    checkpointed every few rounds and at the end, so that what is returned is not computed again.
     """
+    ensure_checkpoint_dir(df.sparkSession)
     assembler = VectorAssembler(inputCols=list(features), outputCol="_features")
-    rows = assembler.transform(df).persist()
-    spread = F.lit(accuracy)
-    start = rows.filter(TRAIN).agg(F.percentile_approx(label, alpha, spread)).first()[0]
-    state = rows.withColumn("pred", F.lit(float(start)))
+    rows = assembler.transform(df).checkpoint()
+    usable = F.expr(TRAIN) & F.col(label).isNotNull()
+    n = rows.filter(usable).count()
+    if not n:
+        raise ValueError("no training rows")
+    each = F.explode(F.array(*[F.lit(name) for name in alphas])).alias("g")
+    start = _ranked(rows.filter(usable).select(each, F.col(label).alias("r")), {name: max(1, ceil(a * n)) for name, a in alphas.items()})
+    state = rows.withColumns({name: F.lit(float(start[name])) for name in alphas}).persist()
     for done in range(1, rounds + 1):
-        if done > 1 and (done - 1) % checkpoint_every == 0:
-            ensure_checkpoint_dir(df.sparkSession)
-            state = state.checkpoint()
-        gradient = F.when(F.col(label) > F.col("pred"), F.lit(alpha)).otherwise(F.lit(alpha - 1.0))
-        tree = DecisionTreeRegressor(
-            featuresCol="_features", labelCol="_gradient", predictionCol="_tree", leafCol="_leaf",
-            maxDepth=max_depth, minInstancesPerNode=min_leaf, maxBins=max_bins, seed=seed,
-        ).fit(state.filter(TRAIN).withColumn("_gradient", gradient))
-        placed = tree.transform(state)
-        residual = F.percentile_approx(F.col(label) - F.col("pred"), alpha, spread)
-        leaves = placed.filter(TRAIN).groupBy("_leaf").agg(residual.alias("q")).collect()
-        step = F.create_map(*[F.lit(v) for leaf in leaves for v in (leaf["_leaf"], float(leaf["q"]))])
-        moved = F.col("pred") + F.lit(rate) * F.element_at(step, F.col("_leaf"))
-        state = placed.withColumn("pred", moved).drop("_tree", "_leaf")
-    rows.unpersist()
+        train = state.filter(usable)
+        for name, alpha in alphas.items():
+            gradient = F.when(F.col(label) > F.col(name), F.lit(alpha)).otherwise(F.lit(alpha - 1.0))
+            tree = DecisionTreeRegressor(
+                featuresCol="_features", labelCol="_gradient", predictionCol="_tree", leafCol=f"_leaf_{name}",
+                maxDepth=max_depth, minInstancesPerNode=min_leaf, maxBins=max_bins, seed=seed,
+            ).fit(train.withColumn("_gradient", gradient))
+            state = tree.transform(state).drop("_tree")
+        placed = state.persist()
+        pairs = [F.struct(F.concat(F.lit(name + " "), F.col(f"_leaf_{name}").cast("int").cast("string")).alias("g"), (F.col(label) - F.col(name)).alias("r")) for name in alphas]
+        residuals = placed.filter(usable).select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
+        sizes = {x["g"]: x["count"] for x in residuals.groupBy("g").count().collect()}
+        leaves = _ranked(residuals, {g: max(1, ceil(alphas[g.rpartition(" ")[0]] * k)) for g, k in sizes.items()})
+        step = F.create_map(*[F.lit(v) for g, value in leaves.items() for v in (g, float(value))])
+        moved = {}
+        for name in alphas:
+            leaf = F.concat(F.lit(name + " "), F.col(f"_leaf_{name}").cast("int").cast("string"))
+            moved[name] = F.col(name) + F.lit(rate) * F.coalesce(F.element_at(step, leaf), F.lit(0.0))
+        state = placed.withColumns(moved).drop(*[f"_leaf_{name}" for name in alphas])
+        state = state.checkpoint() if done % checkpoint_every == 0 or done == rounds else state
+        state = state.persist()
     return state.drop("_features")
 
 
-def quantile_band(df, features, alpha=0.99, label="value", on=("series", "ts"), **params) -> DataFrame:
-    """Lower and upper quantile forecasts (1 - alpha and alpha) next to the actual."""
-    upper = quantile_gbt(df, features, alpha, label, **params)
-    lower = quantile_gbt(df, features, 1.0 - alpha, label, **params).select(*on, F.col("pred").alias("lower"))
-    return upper.withColumnRenamed("pred", "upper").join(lower, list(on))
+def quantile_gbt(df, features, alpha: float, label="value", **params) -> DataFrame:
+    """Boosted trees for the ``alpha`` quantile; adds ``pred`` to every row."""
+    return quantile_forecasts(df, features, {"pred": alpha}, label, **params)
+
+
+def quantile_band(df, features, alpha=0.99, label="value", **params) -> DataFrame:
+    """Lower, middle and upper quantile forecasts (1 - alpha, 0.5, alpha) next to the actual."""
+    return quantile_forecasts(df, features, {"lower": 1.0 - alpha, "mid": 0.5, "upper": alpha}, label, **params)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hourline.operators import clean, cv, decompose, lags, recursive, shapes, spectral, splits, trees, windows
+from hourline.operators import clean, cv, decompose, lags, metrics, recursive, shapes, spectral, splits, trees, windows
+from hourline.operators.calendar import calendar_features
 from hourline.plans import ridge_sql as rs
 from hourline.plans import workload as w
 from hourline.plans.catalog import query, tidy
@@ -108,15 +109,157 @@ def tree_forecast(spark, folder):
     return tidy(trees.tree_forecast(labelled_features(spark, folder), FEATURES).selectExpr(*SCORED))
 
 
+@query("tree_leaves", "SELECT 0::BIGINT AS small_leaves, 0::BIGINT AS off_mean WHERE (SELECT count(*) FROM lineitem) > 0")
+def tree_leaves(spark, folder):
+    """What must hold of every leaf: at least 20 training rows, and their mean as its forecast."""
+    table = labelled_features(spark, folder)
+    model = trees.fit_tree(table, FEATURES)
+    leaves = trees.score(model, table.filter("split = 'train'")).groupBy("pred").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")
+    )
+    off = F.abs(F.col("mean") - F.col("pred")) > 1e-6 * F.abs(F.col("mean"))
+    return leaves.agg(F.count_if(F.col("n") < 20).alias("small_leaves"), F.count_if(off).alias("off_mean"))
+
+
 @query("gbt_forecast")
 def gbt_forecast(spark, folder):
-    return tidy(trees.gbt_forecast(labelled_features(spark, folder), FEATURES, rounds=20).selectExpr(*SCORED))
+    return tidy(trees.gbt_forecast(labelled_features(spark, folder), FEATURES).selectExpr(*SCORED))
+
+
+STUMP_FEATURES = ["day_num", "month", "day", "week_year", "day_year"]
+
+
+def stump_features(spark, folder):
+    """Calendar features of the daily total: few different whole numbers, so every split is tried."""
+    table = calendar_features(w.daily_total(spark, folder), only=STUMP_FEATURES)
+    return splits.label_year(table, 2000).repartition("series")
+
+
+STUMP_ROWS_SQL = f"""{w.DAILY_TOTAL_SQL}, rows_0 AS (
+  SELECT series, ts, value, year(ts) <> 2000 AS train, (isodow(ts) - 1)::BIGINT AS day_num, month(ts)::BIGINT AS month,
+         day(ts)::BIGINT AS day, weekofyear(ts)::BIGINT AS week_year, dayofyear(ts)::BIGINT AS day_year
+  FROM daily_total)"""
+
+
+def _stump_sql(k, target, min_leaf):
+    """CTEs: ``best_<k>`` has the feature, value and sides of the best split of ``target`` over rows_<k>."""
+    cells = " UNION ALL ".join(
+        f"SELECT {i} AS f, {name} AS v, count(*) AS n, sum({target}) AS s FROM rows_{k} WHERE train GROUP BY {name}"
+        for i, name in enumerate(STUMP_FEATURES)
+    )
+    left = "CASE f " + " ".join(f"WHEN {i} THEN {name}" for i, name in enumerate(STUMP_FEATURES)) + " END <= cut"
+    return f"""cells_{k} AS ({cells}),
+    sums_{k} AS (
+      SELECT f, v, sum(n) OVER (PARTITION BY f ORDER BY v) AS n, sum(s) OVER (PARTITION BY f ORDER BY v) AS s,
+             sum(n) OVER (PARTITION BY f) AS total, sum(s) OVER (PARTITION BY f) AS whole FROM cells_{k}),
+    best_{k} AS (
+      SELECT f, v AS cut, s / n AS low, (whole - s) / (total - n) AS high FROM sums_{k}
+      WHERE n >= {min_leaf} AND total - n >= {min_leaf}
+      ORDER BY s * s / n + (whole - s) * (whole - s) / (total - n) DESC, f, v LIMIT 1),
+    placed_{k} AS (SELECT r.*, {left} AS is_low, low, high FROM rows_{k} r, best_{k})"""
+
+
+STUMP = dict(max_depth=1, max_bins=400)
+
+
+@query(
+    "tree_stump",
+    f"""WITH {STUMP_ROWS_SQL}, {_stump_sql(0, 'value', 20)}
+    SELECT series, ts, CASE WHEN train THEN 'train' ELSE 'test' END AS split, value AS actual,
+           round(CASE WHEN is_low THEN low ELSE high END, 2) AS pred FROM placed_0""",
+)
+def tree_stump(spark, folder):
+    """A tree of one split, which SQL can search for exhaustively."""
+    return tidy(trees.tree_forecast(stump_features(spark, folder), STUMP_FEATURES, **STUMP).selectExpr(*SCORED), 2)
+
+
+def _boosted_sql(rounds):
+    """The first tree fits the value; later ones twice the residual, at a tenth."""
+    parts = [STUMP_ROWS_SQL, _stump_sql(0, "value", 10)]
+    pred = "CASE WHEN is_low THEN low ELSE high END"
+    for k in range(1, rounds):
+        before = f"{pred} AS p" if k == 1 else f"p + 0.1::DOUBLE * {pred} AS p"
+        columns = ", ".join(["series", "ts", "value", "train", *STUMP_FEATURES])
+        parts.append(f"rows_{k} AS (SELECT {columns}, {before} FROM placed_{k - 1})")
+        parts.append(_stump_sql(k, "2 * (value - p)", 10))
+    return f"""WITH {", ".join(parts)}
+    SELECT series, ts, CASE WHEN train THEN 'train' ELSE 'test' END AS split, value AS actual,
+           round(p + 0.1::DOUBLE * {pred}, 2) AS pred FROM placed_{rounds - 1}"""
+
+
+@query("gbt_stumps", _boosted_sql(4))
+def gbt_stumps(spark, folder):
+    """Four boosted trees of one split."""
+    out = trees.gbt_forecast(stump_features(spark, folder), STUMP_FEATURES, rounds=4, **STUMP)
+    return tidy(out.selectExpr(*SCORED), 2)
+
+
+@query(
+    "quantile_stump",
+    f"""WITH {STUMP_ROWS_SQL.replace("rows_0 AS", "raw AS")}, ranked AS (
+      SELECT value, row_number() OVER (ORDER BY value) AS k, count(*) OVER () AS n FROM raw WHERE train),
+    begin AS (SELECT min(value) AS p FROM ranked WHERE k >= ceil(0.9::DOUBLE * n)),
+    rows_0 AS (SELECT raw.*, p FROM raw, begin),
+    {_stump_sql(0, "CASE WHEN value > p THEN 0.9::DOUBLE ELSE 0.9::DOUBLE - 1 END", 10)},
+    inside AS (
+      SELECT is_low, value - p AS r, row_number() OVER (PARTITION BY is_low ORDER BY value - p) AS k, count(*) OVER (PARTITION BY is_low) AS n
+      FROM placed_0 WHERE train),
+    leaf AS (SELECT is_low, min(r) AS q FROM inside WHERE k >= ceil(0.9::DOUBLE * n) GROUP BY 1)
+    SELECT series, ts, CASE WHEN train THEN 'train' ELSE 'test' END AS split, value AS actual, round(p + 0.5::DOUBLE * q, 2) AS pred
+    FROM placed_0 JOIN leaf USING (is_low)""",
+)
+def quantile_stump(spark, folder):
+    """One round of quantile boosting with one split."""
+    out = trees.quantile_gbt(stump_features(spark, folder), STUMP_FEATURES, 0.9, rounds=1, rate=0.5, **STUMP)
+    return tidy(out.selectExpr(*SCORED), 2)
+
+
+#: Rounds of the band in the queries below. The operator's own default is 100; every round takes some
+#: fifteen small Spark jobs.
+BAND_ROUNDS = 15
+_bands: dict = {}
+
+
+def band(spark, folder):
+    """Lower, middle and upper forecasts of the daily total, fitted once in a session and kept as a table."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _bands:
+        path = files.work_path(spark, "band")
+        trees.quantile_band(labelled_features(spark, folder), FEATURES, alpha=0.95, rounds=BAND_ROUNDS).select(
+            "series", "ts", "split", F.col("value").alias("actual"), "lower", "mid", "upper"
+        ).write.parquet(path)
+        _bands[key] = path
+    return spark.read.parquet(_bands[key])
 
 
 @query("quantile_gbt")
 def quantile_gbt(spark, folder):
-    band = trees.quantile_band(labelled_features(spark, folder), FEATURES, alpha=0.95, rounds=5)
-    return tidy(band.select("series", "ts", "split", F.col("value").alias("actual"), "lower", "upper"))
+    return tidy(band(spark, folder).drop("mid"))
+
+
+@query("tree_interval")
+def tree_interval(spark, folder):
+    """The interval table of the test year: lower, middle, upper and actual."""
+    return tidy(band(spark, folder).filter("split = 'test'").drop("split"))
+
+
+@query("tree_breaches")
+def tree_breaches(spark, folder):
+    """Breach counts and rates of the band, in the training years and in the test year."""
+    return tidy(metrics.interval_breaches(band(spark, folder), ["series", "split"]))
+
+
+@query("lagged_pipeline")
+def lagged_pipeline(spark, folder):
+    """Load and weather to scores: features, whole-number casts, split by date, tree, R2 and MAPE by day."""
+    table = lags.features(w.hourly_load(spark, folder), weather=w.hourly_weather(spark, folder))
+    table = clean.cast_columns(table, {"drybulb": "int", "humidity": "int"})
+    late = F.col("ts") >= F.lit("2024-01-24 00:00:00").cast("timestamp_ntz")
+    table = table.withColumn("split", F.when(late, "test").otherwise("train"))
+    scored = trees.tree_forecast(table, [*FEATURES, *lags.WEATHER_GROUP]).withColumnRenamed("value", "actual").filter("split = 'test'")
+    daily = metrics.mean_of_blocks(metrics.per_block(scored, "mape", 24), "mape").withColumnRenamed("mape", "mape_daily")
+    first = metrics.cumulative(scored, "mape", [1], 24).select("series", F.col("mape").alias("mape_24h"))
+    return tidy(metrics.r2(scored).join(first, "series").join(daily, "series", "left"))
 
 
 @query(

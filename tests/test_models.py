@@ -298,6 +298,21 @@ def test_quantile_coverage(tree_data):
     assert len(rows) == 1600
     assert np.mean([r["value"] > r["upper"] for r in rows]) == pytest.approx(0.05, abs=0.02)
     assert np.mean([r["value"] < r["lower"] for r in rows]) == pytest.approx(0.05, abs=0.02)
+    assert np.mean([r["value"] < r["mid"] for r in rows]) == pytest.approx(0.5, abs=0.05)
+
+
+def test_ranks_are_exact(spark):
+    rng = random.Random(2)
+    groups = {"a": [rng.gauss(0, 1) for _ in range(3000)], "b": [1.0] * 50, "c": [1e9, *[rng.random() for _ in range(200)]], "d": [5.0], "e": [1.0, 1.0, 2.0, 2.0]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g STRING, r DOUBLE").repartition(6)
+    for share in (0.0, 0.1, 0.5, 0.95, 1.0):
+        places = {g: max(1, math.ceil(share * len(v))) for g, v in groups.items()}
+        assert trees._ranked(rows, places, buckets=16) == {g: sorted(v)[places[g] - 1] for g, v in groups.items()}
+
+
+def test_quantiles_need_training_rows(tree_data):
+    with pytest.raises(ValueError):
+        trees.quantile_gbt(tree_data.filter("split = 'test'"), ["a"], 0.5)
 
 
 # --- shapes ----------------------------------------------------------------------------------
