@@ -232,6 +232,11 @@ def band(spark, folder):
     return spark.read.parquet(_bands[key])
 
 
+def forget_bands() -> None:
+    """Fit the band anew the next time."""
+    _bands.clear()
+
+
 @query("quantile_gbt")
 def quantile_gbt(spark, folder):
     return tidy(band(spark, folder).drop("mid"))

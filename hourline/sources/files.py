@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,26 +16,47 @@ from hourline.functions.parse import parse_ts
 from hourline.operators.reshape import SEGMENT_LABELS
 
 PROFILE_FIELDS = ["Type", "Date", *SEGMENT_LABELS]
+_work_paths: list[str] = []
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a local session, as in tests) a temporary folder is made.
+    Only in a session on this machine alone and without the setting is a temporary folder made; it
+    goes when Python ends. Any other session without the setting is refused.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        folder = spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="hourline-")
+        folder = tempfile.mkdtemp(prefix="hourline-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder, for tables that outlive the plan they come from."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _work_paths.append(path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a work path, wherever the shared folder is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    if path in _work_paths:
+        _work_paths.remove(path)
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete all work paths of this process. Frames that read them can't be evaluated any more."""
+    for path in list(_work_paths):
+        remove_path(spark, path)
 
 
 def read_series(spark, path, schema, drop_index=False) -> DataFrame:

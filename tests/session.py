@@ -1,6 +1,8 @@
 """The local test session."""
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -8,6 +10,8 @@ from pyspark.sql import SparkSession
 
 def make_session(cores: str | None = None) -> SparkSession:
     cores = cores or os.environ.get("BENCH_CPUS", "8")
+    folder = tempfile.mkdtemp(prefix="hourline-check-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("hourline")
@@ -15,7 +19,7 @@ def make_session(cores: str | None = None) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="hourline-check-"))
+        .config("spark.checkpoint.dir", folder)
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -206,6 +206,16 @@ def test_load_file_with_text_stamps(spark, tmp_path):
     assert [tuple(r) for r in scaled.collect()] == [(dt.datetime(2016, 1, 1, 1), 7.0005)]
 
 
+def test_work_paths_are_removed(spark):
+    import os
+
+    path = files.work_path(spark, "probe")
+    files.write_table(spark.range(3), path)
+    assert os.path.exists(path)
+    files.remove_path(spark, path)
+    assert not os.path.exists(path)
+
+
 def test_zone_independence(spark, frame):
     """A wall clock inside a clock change of the session zone stays as written."""
     from hourline.functions.dates import hour_start
