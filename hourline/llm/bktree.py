@@ -1,4 +1,7 @@
-"""BK-trees over 64-bit fingerprints, queried by many fingerprints at a time."""
+"""BK-trees over fingerprints of one or more 64-bit words, queried by many fingerprints at a time.
+
+Fingerprints are rows of a matrix of uint64 words.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,11 @@ import numpy as np
 LEAF = 64
 
 
+def distances(ones: np.ndarray, twos: np.ndarray) -> np.ndarray:
+    """Hamming distances along the last axis."""
+    return np.bitwise_count(ones ^ twos).sum(axis=-1, dtype=np.int64)
+
+
 class BkTree:
     """A pivot, and below it one child for each integer Hamming distance to the pivot."""
 
@@ -19,7 +27,7 @@ class BkTree:
         if len(self.members) > LEAF:
             self.pivot = int(self.members[0])
             rest = self.members[1:]
-            distance = np.bitwise_count(prints[rest] ^ prints[self.pivot])
+            distance = distances(prints[rest], prints[self.pivot])
             order = np.argsort(distance, kind="stable")
             cuts = np.flatnonzero(np.diff(distance[order])) + 1
             for group in np.split(order, cuts):
@@ -34,7 +42,7 @@ class BkTree:
         if not self.children:
             yield from _compare(prints, asked, self.members, radius)
             return
-        distance = np.bitwise_count(prints[asked] ^ prints[self.pivot]).astype(np.int64)
+        distance = distances(prints[asked], prints[self.pivot])
         hit = asked[distance <= radius]
         yield hit, np.full(len(hit), self.pivot)
         for edge, child in self.children.items():
@@ -49,9 +57,9 @@ class _Leaf(BkTree):
 
 
 def _compare(prints: np.ndarray, asked: np.ndarray, members: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    step = max(1, (1 << 20) // max(1, len(members)))
+    step = max(1, (1 << 20) // max(1, prints[members].size))
     for k in range(0, len(asked), step):
-        rows, columns = np.nonzero(np.bitwise_count(prints[asked[k : k + step], None] ^ prints[None, members]) <= radius)
+        rows, columns = np.nonzero(distances(prints[asked[k : k + step], None], prints[None, members]) <= radius)
         yield asked[k + rows], members[columns]
 
 

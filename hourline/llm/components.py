@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourline.llm.frames import stored
+from hourline.llm.frames import drop_stored, stored
 
 
 def _to_least(pairs: DataFrame) -> DataFrame:
@@ -36,4 +36,5 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = _to_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _to_least(large)  # large holds pairs with u > v only
         pairs = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = stored(pairs.filter("u != v").distinct(), "edges")
+        done, now = now, stored(pairs.filter("u != v").distinct(), "edges")
+        drop_stored(done)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourline.sources.files import work_path
+from hourline.sources.files import remove_path, work_path
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -20,7 +20,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared work folder and read back: computed once, lineage cut."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    kept = df.sparkSession.read.schema(df.schema).parquet(path)
+    kept._work_path = path
+    return kept
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Delete the table behind a frame that ``stored`` gave, once nothing reads it any more."""
+    remove_path(df.sparkSession, df._work_path)
 
 
 def utf8(column: pa.Array) -> list[bytes]:

@@ -12,12 +12,13 @@ each shard only a spanning forest leaves, never all pairs, and the forests' comp
 all links.
 
 ``similar_groups`` links texts whose shingle sets have a Jaccard similarity of 0.8 or more, which
-fingerprints can only propose: such texts differ in about ten bits and up to ``REACH``, too many for
-blocks. Its shards are ``TABLES`` fixed choices of ``KEY_BITS`` bits; each text proposes its nearest
-partners in each shard, and proposals are decided on the whole shingle sets. Fingerprints at 11 bits
-meet in some shard with probability 0.998, at 13 with 0.97, at 15 with 0.9, and groups are found through any of
-their pairs. Texts of a few shingles are found less often: a single one turns many of their bits. A shard of over ``CROWD`` members is parted by further bits: it is a dense group, in which
-each text has many partners.
+fingerprints can only propose. There a fingerprint has two words: such texts differ in about 19 of 128
+bits and nearly always in ``REACH`` at most, unlike texts in some 60. That is too many for blocks, so the
+shards are ``TABLES`` fixed choices of ``KEY_BITS`` bits; each text proposes its nearest partners in each
+shard, and proposals are decided on the whole shingle sets. Fingerprints at 19 bits meet in some shard
+with probability 0.998, at 28 with 0.88, and groups are found through any of their pairs. Texts of a few
+shingles are found less often: a single one turns many of their bits. A shard of over ``CROWD`` members is
+parted by further bits.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, which links
 like any other; a text with fewer words than a shingle counts as one shingle. Repeated rows give
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from hourline.llm.bktree import LEAF, BkTree, links
+from hourline.llm.bit_filter import BitFilter
+from hourline.llm.bktree import LEAF, BkTree, distances, links
 from hourline.llm.components import connected_components
 from hourline.llm.frames import col, stored, utf8
 
@@ -46,16 +48,15 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RADIUS = 3
 SEED = 42
-#: Bits that similar texts differ in at most, but for a few in a hundred of those close to SIMILARITY.
-#: Of unlike texts one pair in a hundred thousand is that near.
-REACH = 15
-TABLES, KEY_BITS, CROWD, PARTNERS = 64, 12, 1 << 14, 2
+#: Bits of 128 that similar texts differ in at most, but for one or two in a hundred of those at SIMILARITY.
+REACH = 28
+TABLES, KEY_BITS, CROWD, PARTNERS = 40, 12, 1 << 14, 2
 #: Shingles whose bits are counted at once.
 _STEP = 1 << 14
 
 
-def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
-    """XXH64 of each word shingle of a UTF-8 text, repeats included, some thousands at a time. Words are
+def shingle_hashes(text: bytes, shingle: int, seeds: tuple[int, ...] = (SEED,)) -> Iterator[np.ndarray]:
+    """XXH64, one row for each seed, of each word shingle of a UTF-8 text, repeats included, some thousands at a time. Words are
     parted by ASCII white space, A-Z count as a-z; fewer words than a shingle count as one."""
     words = text.lower().split()  # bytes: ASCII only
     if not words:
@@ -65,26 +66,31 @@ def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
     starts = [0, *(ends + 1).tolist()]
     stops = ends[min(shingle, len(words)) - 1 :].tolist()
     for k in range(0, n, _STEP):
-        yield np.array([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[k : min(k + _STEP, n)], stops[k : k + _STEP], strict=False)], dtype="<u8")
+        parts = [joined[a:b] for a, b in zip(starts[k : min(k + _STEP, n)], stops[k : k + _STEP], strict=False)]
+        yield np.array([[xxh64_intdigest(part, seed) for part in parts] for seed in seeds], dtype="<u8")
 
 
-def fingerprint(text: bytes, shingle: int) -> int:
-    """The SimHash of a UTF-8 text: bit k is 1 if it is set in over half of the shingles' hashes."""
-    counts, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, shingle):
-        counts += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        n += len(hashes)
-    return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
+def fingerprint(text: bytes, shingle: int, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
+    """The SimHash of a UTF-8 text, a word for each seed: bit k is 1 if it is set in over half of the
+    shingles' hashes."""
+    counts, n = np.zeros((len(seeds), 64), np.int64), 0
+    for hashes in shingle_hashes(text, shingle, seeds):
+        bits = np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(len(seeds), -1, 64)
+        counts += bits.sum(axis=1, dtype=np.int64)
+        n += hashes.shape[1]
+    return np.packbits(counts * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0].tolist()
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, fingerprint BIGINT) of each row."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fingerprint", T.LongType())])
+def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """(id, fingerprint BIGINT, and for further seeds fingerprint_1 ...) of each row."""
+    names = [f"fingerprint_{i}" if i else "fingerprint" for i in range(len(seeds))]
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(n, T.LongType()) for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t, shingle) for t in utf8(batch.column(1))], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=schema.names)
+            prints = np.array([fingerprint(t, shingle, seeds) for t in utf8(batch.column(1))], dtype=np.uint64).reshape(-1, len(seeds))
+            words = [pa.array(np.ascontiguousarray(w).view(np.int64)) for w in prints.T]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *words], names=schema.names)
 
     return docs.select(col(id_col), col(text_col).cast("string")).mapInArrow(run, schema)
 
@@ -107,7 +113,7 @@ def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
 
     def forest(shard: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         members = np.concatenate(shard)
-        low, high = links(members.view(np.uint64), radius)
+        low, high = links(members.view(np.uint64)[:, None], radius)
         return members[low], members[high]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,11 +158,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return named.select(F.col("id").alias(id_col), text, F.col("least").alias("component_id"))
 
 
-def _tables() -> list[int]:
-    """The key bits of each table, as masks."""
+def _tables() -> list[tuple[int, int]]:
+    """The key bits of each table, as masks of the two words."""
     rng = np.random.default_rng(SEED)
-    masks = [sum(1 << int(b) for b in rng.choice(64, KEY_BITS, replace=False)) for _ in range(TABLES)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
+    masks = []
+    for _ in range(TABLES):
+        bits = [int(b) for b in rng.choice(128, KEY_BITS, replace=False)]
+        words = [sum(1 << (b % 64) for b in bits if b // 64 == w) for w in (0, 1)]
+        masks.append(tuple(m - (1 << 64) if m >> 63 else m for m in words))
+    return masks
 
 
 def _nearest(prints: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +195,7 @@ def _nearest(prints: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndar
         here = here[shard[here] == shard[here - step]]
         if not len(here):
             break
-        distance = np.bitwise_count(prints[here] ^ prints[here - step]).astype(np.int64)
+        distance = distances(prints[here], prints[here - step])
         near = distance <= REACH
         offer(here[near], here[near] - step, distance[near])
     for begin, length in zip(begins[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
@@ -193,7 +203,7 @@ def _nearest(prints: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndar
             for ones, twos in BkTree(prints, group).near(prints, group, REACH):
                 earlier = twos < ones
                 ones, twos = ones[earlier], twos[earlier]
-                distance = np.bitwise_count(prints[ones] ^ prints[twos]).astype(np.int64)
+                distance = distances(prints[ones], prints[twos])
                 order = np.lexsort((distance, ones))
                 ones, twos, distance = ones[order], twos[order], distance[order]
                 place = np.arange(len(ones)) - np.searchsorted(ones, ones)
@@ -208,8 +218,9 @@ def _parted(prints: np.ndarray, members: np.ndarray, bit: int = 0) -> Iterator[n
     """A crowd by further bits, until each part has CROWD members or the bits end; then cut in order."""
     if len(members) <= CROWD:
         yield members
-    elif bit < 64:
-        one = (prints[members] >> np.uint64(bit * 37 % 64) & np.uint64(1)).astype(bool)
+    elif bit < 128:
+        at = bit * 37 % 128
+        one = (prints[members, at // 64] >> np.uint64(at % 64) & np.uint64(1)).astype(bool)
         for part in (members[~one], members[one]):
             if len(part):
                 yield from _parted(prints, part, bit + 1)
@@ -219,9 +230,12 @@ def _parted(prints: np.ndarray, members: np.ndarray, bit: int = 0) -> Iterator[n
 
 
 def _proposals(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of texts (content, fingerprint) that may be similar, each pair once."""
-    keys = F.explode(F.array(*[F.struct(F.lit(t).cast("smallint").alias("t"), F.col("fingerprint").bitwiseAND(F.lit(m).cast("bigint")).alias("key")) for t, m in enumerate(_tables())]))
-    dealt = nodes.select("content", "fingerprint", keys.alias("k")).select("k.*", "fingerprint", "content").repartition("t", "key").sortWithinPartitions("t", "key", "fingerprint", "content")
+    """(a, b): pairs of nodes (node, fingerprint, fingerprint_1) that may be similar, each pair once."""
+    masks = np.array(_tables(), dtype=np.int64)
+    tables = F.explode(F.array(*[F.lit(t).cast("smallint") for t in range(TABLES)]))
+    words = ("fingerprint", "fingerprint_1")
+    keys = [F.col(w).bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("bigint") for m in masks[:, i].tolist()]), F.col("t") + 1)) for i, w in enumerate(words)]
+    dealt = nodes.select(tables.alias("t"), *words, "node").repartition("t", *keys).sortWithinPartitions("t", *keys, *words, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None  # the last shard of a batch may go on in the next one
@@ -229,7 +243,7 @@ def _proposals(nodes: DataFrame) -> DataFrame:
             columns = [c.to_numpy() for c in batch.columns]
             if held is not None:
                 columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            new = (np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)
+            new = shard_starts(columns)
             last = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
             held = [c[last:] for c in columns]
             if last:
@@ -237,12 +251,18 @@ def _proposals(nodes: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield pairs(held)
 
+    def shard_starts(columns: list[np.ndarray]) -> np.ndarray:
+        """Whether the shard changes behind each row but the last."""
+        t, one, two, _ = columns
+        return (np.diff(t) != 0) | (np.diff(one & masks[t, 0]) != 0) | (np.diff(two & masks[t, 1]) != 0)
+
     def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
-        t, key, prints, content = columns
-        shard = np.cumsum(np.append(0, (np.diff(t) != 0) | (np.diff(key) != 0)))
+        _, one, two, node = columns
+        prints = np.stack([one, two], axis=1).view(np.uint64)
+        shard = np.cumsum(np.append(0, shard_starts(columns)))
         crowded = np.isin(shard, np.flatnonzero(np.bincount(shard) > 1))
-        ones, twos = _nearest(prints[crowded].view(np.uint64), shard[crowded]) if crowded.any() else (np.empty(0, int), np.empty(0, int))
-        a, b = content[crowded][ones], content[crowded][twos]
+        ones, twos = _nearest(prints[crowded], shard[crowded]) if crowded.any() else (np.empty(0, int), np.empty(0, int))
+        a, b = node[crowded][ones], node[crowded][twos]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
@@ -253,7 +273,7 @@ def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(np.concatenate([np.empty(0, "<u8"), *shingle_hashes(t, shingle)])).view("<i8") for t in utf8(batch.column(1))]
+            sets = [np.unique(np.concatenate([np.empty(0, "<u8"), *(h[0] for h in shingle_hashes(t, shingle))])).view("<i8") for t in utf8(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["content", "shingles"])
 
     return texts.mapInArrow(run, "content BIGINT, shingles ARRAY<BIGINT>")
@@ -269,23 +289,40 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = SHING
     """(content, group): texts by hash (see ``_content``) and their group, named by one of its texts.
     Texts that are similar to no other are left out."""
     texts = docs.select(_content(col(text_col)).alias("content"), col(text_col).cast("string").alias("text"))
-    nodes = stored(fingerprints(texts, "content", "text", shingle).select(F.col("id").alias("content"), "fingerprint"), "fingerprints").distinct()
+    prints = stored(fingerprints(texts, "content", "text", shingle, (SEED, SEED + 1)), "fingerprints")
+    # numbers instead of hashes: what each table repeats is shorter
+    nodes = stored(prints.withColumnRenamed("id", "content").dropDuplicates(["content"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
     proposed = stored(_proposals(nodes), "proposals")
-    asked = proposed.select(F.col("a").alias("content")).unionByName(proposed.select(F.col("b").alias("content"))).distinct()
-    wanted = texts.join(asked, "content").dropDuplicates(["content"])
-    sets = stored(_shingle_sets(wanted, shingle), "shingles")
-    both = proposed.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("content").alias("b"), F.col("shingles").alias("y")), "b")
+    asked = proposed.select(F.col("a").alias("node")).unionByName(proposed.select(F.col("b").alias("node"))).distinct()
+    asked = stored(asked.join(nodes, "node").select("node", "content"), "asked")
+    maybe = BitFilter(asked.select("content")).rows(texts, F.col("content"))
+    wanted = maybe.join(asked.select("content"), "content").dropDuplicates(["content"])
+    sets = stored(_shingle_sets(wanted, shingle).join(asked, "content").select("node", "shingles"), "shingles")
+    both = proposed.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     alike = both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("sum")).filter(F.col("n") >= F.lit(similarity) * (F.col("sum") - F.col("n")))
-    return connected_components(alike.select("a", "b")).select(F.col("node").alias("content"), F.col("component").alias("group"))
+    found = connected_components(alike.select("a", "b"))
+    # a group is named by its least node, whose content is one of the group's
+    names = found.join(nodes.select("node", "content"), "node").join(nodes.select(F.col("node").alias("component"), F.col("content").alias("group")), "component")
+    return names.select("content", "group")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, with one row of each group of similar texts."""
+    """The rows of ``docs``, all columns, with one row of each group of similar texts.
+
+    Rows whose text is in no group of several rows are told by a filter of fixed size and stay where
+    they are; the others meet the first rows of all groups."""
     groups = stored(similar_groups(docs, text_col, shingle, similarity), "groups")
     key = F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), F.xxhash64(*[col(c) for c in docs.columns]).alias("row"))
     slim = docs.select(key.alias("key"), _content(col(text_col)).alias("content")).join(groups, "content", "left")
-    first = slim.groupBy(F.coalesce("group", "content").alias("group")).agg(F.min("key").alias("key")).select(F.col("key.id").alias("first_id"), F.col("key.row").alias("first_row"))
-    tagged = docs.select(col(id_col).alias("id"), F.xxhash64(*[col(c) for c in docs.columns]).alias("hash"), F.struct("*").alias("row"))
-    kept = tagged.join(stored(first, "first"), (F.col("hash") == F.col("first_row")) & F.col("id").eqNullSafe(F.col("first_id")))
-    return kept.dropDuplicates(["first_id", "first_row"]).select("row.*")
+    slim = slim.select("content", "key", F.coalesce("group", "content").alias("group"))
+    first = stored(slim.groupBy("group").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")), "first")
+    several = first.filter("n > 1").select("group")
+    contents = groups.join(several, "group").select("content").unionByName(several.select(F.col("group").alias("content")))
+    in_several = BitFilter(contents)
+    alone = in_several.rows(docs, _content(col(text_col)), hit=False)
+    others = in_several.rows(docs, _content(col(text_col)))
+    tagged = others.select(col(id_col).alias("id"), F.xxhash64(*[col(c) for c in docs.columns]).alias("hash"), F.struct("*").alias("row"))
+    named = first.select(F.col("key.id").alias("first_id"), F.col("key.row").alias("first_row"))
+    kept = tagged.join(named, (F.col("hash") == F.col("first_row")) & F.col("id").eqNullSafe(F.col("first_id")))
+    return alone.unionByName(kept.dropDuplicates(["first_id", "first_row"]).select("row.*"))
