@@ -5,8 +5,7 @@ pre-split words; ``decode`` emits the labels of the arcs that the ids name. The
 "tokenizers" JSON of kind BPE with an end-of-word mark, lower-casing and a byte alphabet; its path is
 a parameter and it is read in the tasks.
 
-Words recur, so each Python worker keeps the ids of the words it met, up to a bound, and starts anew
-when it is full. A text is never held in more than one piece per step, and costs linear time.
+Words recur, so each Python worker keeps the ids of the words it met last, up to a bound. A text is never held in more than one piece per step, and costs linear time.
 
 Defined results: a null text counts as empty and has no ids; strings of special tokens inside a text
 become their special id, as the library does by default; repeated rows, null ids and further columns
@@ -30,49 +29,13 @@ from tokenizers import Tokenizer
 
 from hourline.llm.automaton import Encoder, TokenAutomaton
 from hourline.llm.frames import fresh, utf8, with_added
+from hourline.llm.words import Kept, PreSplit
 
-#: Words a worker keeps; their ids are found again when it has started anew.
-KEPT_WORDS = 400_000
-_LONG_WORD = 64
-#: Lower-case letters of Latin-1, then marks: for these the lower case of any library is the same.
-_PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?]*)")
-#: UTF-8 bytes, read as Latin-1, to the byte alphabet: the bytes of letters and marks above ASCII that
-#: aren't printable in Latin-1 (0x80-0xA0 and 0xAD) stand from U+0100 on, after the 33 control codes.
-_ALPHABET = {b: 0x100 + 33 + b - 0x7F for b in range(0x7F, 0xA1)} | {0xAD: 0x100 + 33 + 34}
+#: Words a worker keeps, and as many older ones.
+KEPT_WORDS = 250_000
 _END = "\0"  # stands for the end-of-word mark within symbol strings
 
 
-class WordIds(dict):
-    """Chunk of UTF-8 between ASCII white space -> ids as little-endian 32-bit integers; filled when asked."""
-
-    def __init__(self, library: Tokenizer, encoder: Encoder) -> None:
-        super().__init__()
-        self._clean, self._split, self._encoder = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str, encoder
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        ids: list[int] = []
-        for word in self._words(chunk.decode()):
-            found = self._encoder.path(word + _END)
-            if found is None:
-                raise ValueError(f"no path spells {word!r}: the vocabulary lacks a byte")
-            ids += found
-        packed = pack("<%dI" % len(ids), *ids)
-        if len(chunk) <= _LONG_WORD:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[chunk] = packed
-        return packed
-
-
-    def _words(self, chunk: str) -> list[str]:
-        """The pre-split words of a chunk in the byte alphabet. Letters of Latin-1 with marks behind
-        them, which is most chunks, need no Unicode tables."""
-        plain = _PLAIN.fullmatch(chunk.lower())
-        if plain:
-            return [w.encode().decode("latin-1").translate(_ALPHABET) for w in plain.groups() if w]
-        return [w for w, _ in self._split(self._clean(chunk))]
-
-
 class BpeTokenizer:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
@@ -85,15 +48,25 @@ class BpeTokenizer:
         automaton = TokenAutomaton(rules, lambda left, right: ranks.get((left, right)))
         if spec["decoder"] or not mark or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("this kind of vocabulary file isn't supported")
-        self.words = WordIds(Tokenizer.from_file(path), Encoder(automaton, ids))
+        self._split, self._encoder = PreSplit(Tokenizer.from_file(path)), Encoder(automaton, ids)
+        self._ids = Kept(self._chunk_ids, KEPT_WORDS)  # chunks between ASCII white space
         self.special = {t["content"].encode(): np.array([t["id"]], dtype="<u4").tobytes() for t in spec["added_tokens"]}
         self._special = re.compile(b"(" + b"|".join(map(re.escape, self.special)) + b")")
         labels = {i: t for t, i in model["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.labels = [labels.get(i, "") for i in range(max(labels) + 1)]
 
+    def _chunk_ids(self, chunk: bytes) -> bytes:
+        ids: list[int] = []
+        for word in self._split(chunk):
+            found = self._encoder.path(word + _END)
+            if found is None:
+                raise ValueError(f"no path spells {word!r}: the vocabulary lacks a byte")
+            ids += found
+        return pack("<%dI" % len(ids), *ids)
+
     def encode(self, text: bytes) -> bytes:
         """Ids of a UTF-8 text as little-endian 32-bit integers."""
-        ids = self.words.__getitem__
+        ids = self._ids.__getitem__
         if not self._special.search(text):
             return b"".join(map(ids, text.split()))
         parts = self._special.split(text)

@@ -30,9 +30,12 @@ def drop_stored(df: DataFrame) -> None:
     remove_path(df.sparkSession, df._work_path)
 
 
-def utf8(column: pa.Array) -> list[bytes]:
-    """The texts of a string column as UTF-8 bytes; null counts as empty."""
-    return [b if b is not None else b"" for b in column.cast(pa.binary()).to_pylist()]
+def utf8(column: pa.Array) -> Iterator[bytes]:
+    """The texts of a string column as UTF-8 bytes, one at a time; null counts as empty. Memory of earlier
+    batches goes back to the system first."""
+    pa.default_memory_pool().release_unused()
+    for value in column.cast(pa.binary()):
+        yield value.as_py() or b""
 
 
 def map_batches(df: DataFrame, schema: str, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]) -> DataFrame:

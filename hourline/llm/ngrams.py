@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Bytes handled at once; longer texts go through in pieces that hand on their last word.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15 | 1, dtype=np.uint64))
 _SPACE, _WORD, _SIGN = 0, 1, 2
 
@@ -49,7 +49,7 @@ def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[word], _mix(sums[word])
 
 
-def ngram_buckets(texts: list[bytes], n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def ngram_buckets(texts: Iterable[bytes], n_buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(text number, bucket) of every word and every pair of neighbouring words of the texts.
 
     Short texts share a piece, with a zero byte between them; a text over PIECE bytes is cut after

@@ -34,13 +34,13 @@ from pyspark.sql import types as T
 
 from hourline.llm.automaton import TokenAutomaton
 from hourline.llm.frames import col
+from hourline.llm.words import Kept
 
 MARK = "▁"  # stands for a space
 #: Characters of a chunk. Longer texts are counted by several tasks.
 CHUNK = 1 << 16
-KEPT_UNITS = 400_000
+KEPT_UNITS = 250_000
 KEPT_TRANSITIONS = 1_000_000
-_LONG_UNIT = 64
 
 
 class CountTransducer:
@@ -71,7 +71,7 @@ class CountTransducer:
         self.alone = "".join(sorted(c for c in map(chr, range(128)) if c not in joined and c != " "))
         #: Ends of units: a word mark behind another character, and lone control characters.
         self._units = re.compile(f"{MARK}+[^{MARK}{re.escape(self.alone)}]*|[^{MARK}{re.escape(self.alone)}]+|[{re.escape(self.alone)}]")
-        self._kept: dict[str, int] = _Counts(self)
+        self._kept = Kept(self.count_unit, KEPT_UNITS)
         self._reset()
 
     def _reset(self) -> None:
@@ -155,22 +155,6 @@ class CountTransducer:
         return head, n + self.count(between) + n2, tail2, True
 
 
-class _Counts(dict):
-    """Unit -> token count; filled when asked."""
-
-    def __init__(self, transducer: CountTransducer) -> None:
-        super().__init__()
-        self._count = transducer.count_unit
-
-    def __missing__(self, unit: str) -> int:
-        n = self._count(unit)
-        if len(unit) <= _LONG_UNIT:
-            if len(self) >= KEPT_UNITS:
-                self.clear()
-            self[unit] = n
-        return n
-
-
 @lru_cache(maxsize=2)
 def transducer(path: str) -> CountTransducer:
     """One machine for each worker and file."""

@@ -22,9 +22,12 @@ empty table gives no shards.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +36,13 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from hourline.llm.frames import col, utf8
+from hourline.llm.words import Kept, PreSplit
 
 #: Ids of a shard; a shard ends with the document that reaches it, or with the last of equal keys.
 SHARD_IDS = 4_000_000
 #: Shards of a file: their first keys are broadcast for keyed reads. More need larger shards.
 MAX_SHARDS = 1 << 20
-KEPT_WORDS = 400_000
+KEPT_WORDS = 250_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _NULL = np.uint64(0x5DEECE66D)
 SHARD_SCHEMA = (
@@ -47,35 +51,36 @@ SHARD_SCHEMA = (
 )
 
 
-class _LibraryIds(dict):
-    """Chunk of UTF-8 between ASCII white space -> ids by the library; filled when asked."""
+class LibraryEncoder:
+    """Ids by the library: its normalizer and pre-tokenizer part a chunk into words, its model gives each
+    word's ids. Special tokens, and what isn't known how to take apart, go through the whole library."""
 
     def __init__(self, path: str, width: int) -> None:
-        super().__init__()
-        self._library, self._kind = Tokenizer.from_file(path), f"<u{width}"
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each core has a task of its own
+        self._library, self._kind = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
         self._library.no_truncation()
         self._library.no_padding()
+        encode = self._library.encode
+        if encode("a \n b", add_special_tokens=False).ids != encode("a", add_special_tokens=False).ids + encode("b", add_special_tokens=False).ids:
+            raise ValueError("a vocabulary that keeps white space can't be encoded chunk by chunk")
+        self._model, self._split = self._library.model, PreSplit(self._library)
+        self._added = re.compile(b"|".join(re.escape(t.content.encode()) for t in self._library.get_added_tokens_decoder().values()) or b"(?!)")
+        self._ids = Kept(self._chunk_ids, KEPT_WORDS)
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        packed = np.array(self._library.encode(chunk.decode(), add_special_tokens=False).ids, dtype=self._kind).tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[chunk] = packed
-        return packed
+    def _chunk_ids(self, chunk: bytes) -> bytes:
+        if self._added.search(chunk):
+            ids = self._library.encode(chunk.decode(), add_special_tokens=False).ids
+        else:
+            ids = [token.id for word in self._split(chunk) for token in self._model.tokenize(word)]
+        return pack(f"<{len(ids)}{self._kind}", *ids)
 
-
-@lru_cache(maxsize=2)
-def _library(path: str, width: int) -> _LibraryIds:
-    if not _drops_space(path):
-        raise ValueError("a vocabulary that keeps white space can't be encoded chunk by chunk")
-    return _LibraryIds(path, width)
+    def encode(self, text: bytes) -> bytes:
+        return b"".join(map(self._ids.__getitem__, text.split()))
 
 
-def _drops_space(path: str) -> bool:
-    """Whether the ids of a text are those of its parts between white space."""
-    encode = Tokenizer.from_file(path).encode
-    return encode("a \n b", add_special_tokens=False).ids == encode("a", add_special_tokens=False).ids + encode("b", add_special_tokens=False).ids
+@lru_cache(maxsize=2)
+def _library(path: str, width: int) -> LibraryEncoder:
+    return LibraryEncoder(path, width)
 
 
 def key_hash(keys: np.ndarray, nulls: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
@@ -159,9 +164,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col
     bounds = np.unique(np.array(found or [], dtype=np.int64))  # at most a key for each shuffle partition
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, end = _library(tokenizer, width).__getitem__, np.array([end_id], dtype=f"<u{width}").tobytes()
+        library, end = _library(tokenizer, width), np.array([end_id], dtype=f"<u{width}").tobytes()
         for batch in batches:
-            ids = [b"".join(map(ids_of, text.split())) + end for text in utf8(batch.column(1))]
+            ids = [library.encode(text) + end for text in utf8(batch.column(1))]
             nulls = np.array(batch.column(0).is_null().to_pylist(), dtype=bool)
             keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             part = np.where(nulls, 0, np.searchsorted(bounds, keys, side="left"))

@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 from hourline.llm import bpe, token_counts, token_files
 from hourline.llm.automaton import Encoder, TokenAutomaton
 from hourline.llm.queries import BPE_FILE, END_ID, PIECE_FILE
+from hourline.llm.words import Kept
 
 TEXTS = [
     "", None, "Hello world", "  two  spaces\nand\tlines \r\n", "I'm we'll don't 'S", "aaaaaaaaaaaaaaaaaaaaaaaa " * 5, "ñ" * 300, "a<|endoftext|>b <|startoftext|>", "x\x00y \x1c z\x85w",
@@ -162,6 +163,20 @@ def test_token_file_of_an_empty_table(spark, docs, tmp_path):
     assert token_files.lookup(spark, path, spark.createDataFrame([(1,)], "doc_id BIGINT")).count() == 0
 
 
+@given(st.text(max_size=60))
+@settings(max_examples=200, deadline=None)
+def test_library_words_are_the_library_text(text):
+    clean = text.encode("utf-8", "ignore")
+    assert token_files._library(BPE_FILE, 4).encode(clean) == packed(library_ids(clean.decode()))
+
+
+def test_kept_results_come_from_the_function():
+    asked = []
+    kept = Kept(lambda k: asked.append(k) or len(k), 3, longest=4)
+    assert [kept[k] for k in ("a", "bb", "a", "ccccc", "ccccc", "d", "e", "a")] == [1, 2, 1, 5, 5, 1, 1, 1]
+    assert asked == ["a", "bb", "ccccc", "ccccc", "d", "e"] and len(kept) <= 3
+
+
 def test_token_file_refuses_a_vocabulary_that_keeps_space(docs, tmp_path):
     with pytest.raises(ValueError):
         token_files._library(public_tokenizers.path("byte_bpe_50k.json"), 2)
