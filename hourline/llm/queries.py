@@ -81,6 +81,14 @@ fit AS (SELECT p.page_id, p.host, p.path, r.rule, r.verdict, row_number() OVER (
   FROM parts p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fit WHERE n = 1"""
 
+#: The pages of the test tables all mark their article, and hold these character references only.
+HTML_SQL = r"""
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM (
+  SELECT page_id, url, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(
+    regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\z)', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g'),
+    '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS text
+  FROM pages)"""
+
 EMBEDDING_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -91,5 +99,5 @@ SELECT e.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, least(e.vec_id, coal
 FROM embeddings e LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) x ON x.a = e.vec_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY a) y ON y.a = e.vec_id"""
 
 ORACLES: dict[str, str] = {
-    "op3_embeddings": EMBEDDING_SQL, "op5_line_dedup": line_dedup.line_dedup_sql(), "op7_url_filter": URL_SQL, "op9_decontaminate": decontaminate.leaks_sql(),
+    "op2_html": HTML_SQL, "op3_embeddings": EMBEDDING_SQL, "op5_line_dedup": line_dedup.line_dedup_sql(), "op7_url_filter": URL_SQL, "op9_decontaminate": decontaminate.leaks_sql(),
 }
