@@ -15,10 +15,13 @@ all links.
 fingerprints can only propose. There a fingerprint has two words: such texts differ in about 19 of 128
 bits and nearly always in ``REACH`` at most, unlike texts in some 60. That is too many for blocks, so the
 shards are ``TABLES`` fixed choices of ``KEY_BITS`` bits; each text proposes its nearest partners in each
-shard, and proposals are decided on the whole shingle sets. Fingerprints at 19 bits meet in some shard
-with probability 0.998, at 28 with 0.88, and groups are found through any of their pairs. Texts of a few
-shingles are found less often: a single one turns many of their bits. A shard of over ``CROWD`` members is
-parted by further bits.
+shard, and proposals are decided on the whole shingle sets. That goes in rounds: in shards where a text
+may have further partners in ``REACH``, each text proposes ``MORE`` times as many, now of other groups than
+its own only, until no text has further ones. So any two texts in ``REACH`` that share a shard are compared
+or in one group anyway. Fingerprints at 19 bits meet in some shard with probability 0.998, at 28 with
+0.88, and groups are found through any of their pairs. Texts of a few shingles are found less often: a
+single one turns many of their bits. The first round parts a shard of over ``CROWD`` members by further
+bits; the later ones cut it into blocks, and each two blocks meet in a task.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, which links
 like any other; a text with fewer words than a shingle counts as one shingle. Repeated rows give
@@ -51,6 +54,10 @@ SEED = 42
 #: Bits of 128 that similar texts differ in at most, but for one or two in a hundred of those at SIMILARITY.
 REACH = 28
 TABLES, KEY_BITS, CROWD, PARTNERS = 40, 12, 1 << 14, 2
+#: Each round asks for so many times the partners of the round before.
+MORE = 8
+#: Pairs of members that are compared at once.
+_PAIRS = 1 << 21
 #: Shingles whose bits are counted at once.
 _STEP = 1 << 14
 
@@ -229,41 +236,102 @@ def _parted(prints: np.ndarray, members: np.ndarray, bit: int = 0) -> Iterator[n
             yield members[k : k + CROWD]  # neighbours share a member
 
 
-def _proposals(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes (node, fingerprint, fingerprint_1) that may be similar, each pair once."""
-    masks = np.array(_tables(), dtype=np.int64)
+def _in_tables(nodes: DataFrame) -> DataFrame:
+    """A row of the node (node, fingerprint, fingerprint_1 and more) for each table, with its ``shard`` there."""
+    masks = _tables()
     tables = F.explode(F.array(*[F.lit(t).cast("smallint") for t in range(TABLES)]))
     words = ("fingerprint", "fingerprint_1")
-    keys = [F.col(w).bitwiseAND(F.element_at(F.array(*[F.lit(m).cast("bigint") for m in masks[:, i].tolist()]), F.col("t") + 1)) for i, w in enumerate(words)]
-    dealt = nodes.select(tables.alias("t"), *words, "node").repartition("t", *keys).sortWithinPartitions("t", *keys, *words, "node")
+    keys = [F.col(w).bitwiseAND(F.element_at(F.array(*[F.lit(m[i]).cast("bigint") for m in masks]), F.col("t") + 1)) for i, w in enumerate(words)]
+    return nodes.select(tables.alias("t"), "*").withColumn("shard", F.xxhash64("t", *keys)).drop("t")
+
+
+def _whole_shards(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(columns, number of each row's shard) of sorted rows; the first ``n_keys`` columns name a shard, and none is cut."""
+    held: list[np.ndarray] | None = None  # the last shard of a batch may go on in the next one
+    for batch in batches:
+        columns = [c.to_numpy() for c in batch.columns]
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        new = np.any([np.diff(c) != 0 for c in columns[:n_keys]], axis=0)
+        last = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
+        held = [c[last:] for c in columns]
+        if last:
+            yield [c[:last] for c in columns], np.cumsum(np.append(0, new[: last - 1]))
+    if held is not None and len(held[0]):
+        yield held, np.zeros(len(held[0]), dtype=np.int64)
+
+
+def _first_proposals(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of nodes (node, fingerprint, fingerprint_1) that may be similar, each pair once: the PARTNERS
+    nearest of each node in each shard. A row without b names a shard, as a, that may hold further ones."""
+    words = ("fingerprint", "fingerprint_1")
+    dealt = _in_tables(nodes).select("shard", *words, "node").repartition("shard").sortWithinPartitions("shard", *words, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None  # the last shard of a batch may go on in the next one
-        for batch in batches:
-            columns = [c.to_numpy() for c in batch.columns]
-            if held is not None:
-                columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            new = shard_starts(columns)
-            last = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
-            held = [c[last:] for c in columns]
-            if last:
-                yield pairs([c[:last] for c in columns])
-        if held is not None and len(held[0]):
-            yield pairs(held)
-
-    def shard_starts(columns: list[np.ndarray]) -> np.ndarray:
-        """Whether the shard changes behind each row but the last."""
-        t, one, two, _ = columns
-        return (np.diff(t) != 0) | (np.diff(one & masks[t, 0]) != 0) | (np.diff(two & masks[t, 1]) != 0)
-
-    def pairs(columns: list[np.ndarray]) -> pa.RecordBatch:
-        _, one, two, node = columns
-        prints = np.stack([one, two], axis=1).view(np.uint64)
-        shard = np.cumsum(np.append(0, shard_starts(columns)))
-        crowded = np.isin(shard, np.flatnonzero(np.bincount(shard) > 1))
-        ones, twos = _nearest(prints[crowded], shard[crowded]) if crowded.any() else (np.empty(0, int), np.empty(0, int))
-        a, b = node[crowded][ones], node[crowded][twos]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        for columns, shard in _whole_shards(batches, 1):
+            crowded = np.isin(shard, np.flatnonzero(np.bincount(shard) > 1))
+            if crowded.any():
+                name, one, two, node = (c[crowded] for c in columns)
+                ones, twos = _nearest(np.stack([one, two], axis=1).view(np.uint64), shard[crowded])
+                full = np.bincount(ones, minlength=len(node)) == PARTNERS
+                large = np.bincount(shard)[shard[crowded]] > CROWD
+                further = np.unique(name[full | large])
+                a, b = node[ones], node[twos]
+                yield _pairs(np.minimum(a, b), np.maximum(a, b), further)
+
+    return dealt.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
+
+
+def _pairs(a: np.ndarray, b: np.ndarray, shards: np.ndarray) -> pa.RecordBatch:
+    none = pa.nulls(len(shards), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, shards])), pa.concat_arrays([pa.array(b), none])], names=["a", "b"])
+
+
+def _others(prints: np.ndarray, group: np.ndarray, block: np.ndarray, partners: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(member, other, whether a member has more) for the ``partners`` nearest members in REACH that are of
+    another group and, in a shard of two blocks, of the other block. Members of the largest group are only
+    others: a pair of two groups has an end outside it."""
+    names, at, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    asked = np.flatnonzero(at != sizes.argmax())
+    if not len(asked):
+        return
+    two, tree = block.min() != block.max(), BkTree(prints)
+    step = max(1, _PAIRS // len(prints))
+    for k in range(0, len(asked), step):
+        ones, twos = (np.concatenate(x) for x in zip(*tree.near(prints, asked[k : k + step], REACH), strict=True))
+        good = (at[ones] != at[twos]) & (block[ones] != block[twos] if two else True)
+        ones, twos = ones[good], twos[good]
+        order = np.lexsort((twos, distances(prints[ones], prints[twos]), ones))
+        ones, twos = ones[order], twos[order]
+        place = np.arange(len(ones)) - np.searchsorted(ones, ones)
+        some = place < partners
+        yield ones[some], twos[some], not some.all()
+
+
+def _further_proposals(nodes: DataFrame, shards: DataFrame, partners: int) -> DataFrame:
+    """As ``_first_proposals``, for the given shards (a) and nodes with the ``group`` that each is in so far: the
+    ``partners`` nearest of other groups. A shard of over CROWD nodes is cut into blocks, and each two meet."""
+    rows = _in_tables(nodes)
+    sizes = rows.join(shards.select(F.col("a").alias("shard")), "shard", "left_semi").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own")
+    met = rows.join(sizes, "shard").select("*", own).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
+    keys = ("shard", "low", "high")
+    dealt = met.select("shard", low, high, "own", "fingerprint", "fingerprint_1", "node", "group").repartition(*keys).sortWithinPartitions(*keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns, shard in _whole_shards(batches, 3):
+            name, low, high, own, one, two, node, group = columns
+            prints = np.stack([one, two], axis=1).view(np.uint64)
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if low[begin] != high[begin] and own[begin:end].min() == own[begin:end].max():
+                    continue  # one of the blocks is empty
+                here = slice(begin, end)
+                for ones, twos, more in _others(prints[here], group[here], own[here], partners):
+                    if len(ones):
+                        a, b = node[here][ones], node[here][twos]
+                        yield _pairs(np.minimum(a, b), np.maximum(a, b), name[begin : begin + 1] if more else name[:0])
 
     return dealt.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
 
@@ -292,16 +360,31 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = SHING
     prints = stored(fingerprints(texts, "content", "text", shingle, (SEED, SEED + 1)), "fingerprints")
     # numbers instead of hashes: what each table repeats is shorter
     nodes = stored(prints.withColumnRenamed("id", "content").dropDuplicates(["content"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    proposed = stored(_proposals(nodes), "proposals")
-    asked = proposed.select(F.col("a").alias("node")).unionByName(proposed.select(F.col("b").alias("node"))).distinct()
-    asked = stored(asked.join(nodes, "node").select("node", "content"), "asked")
-    maybe = BitFilter(asked.select("content")).rows(texts, F.col("content"))
-    wanted = maybe.join(asked.select("content"), "content").dropDuplicates(["content"])
-    sets = stored(_shingle_sets(wanted, shingle).join(asked, "content").select("node", "shingles"), "shingles")
-    both = proposed.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("sum")).filter(F.col("n") >= F.lit(similarity) * (F.col("sum") - F.col("n")))
-    found = connected_components(alike.select("a", "b"))
+    proposed, partners = stored(_first_proposals(nodes), "proposals"), PARTNERS
+    found = nodes.sparkSession.createDataFrame([], "node BIGINT, component BIGINT")
+    tried = sets = None
+    while True:
+        pairs = proposed.filter("b IS NOT NULL")
+        tried, pairs = (pairs, pairs) if tried is None else (tried.unionByName(pairs).distinct(), stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"))
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        asked = stored((asked if sets is None else asked.join(sets, "node", "left_anti")).join(nodes, "node").select("node", "content"), "asked")
+        if sets is None or asked.head(1):
+            maybe = BitFilter(asked.select("content")).rows(texts, F.col("content"))
+            wanted = maybe.join(asked.select("content"), "content").dropDuplicates(["content"])
+            new = stored(_shingle_sets(wanted, shingle).join(asked, "content").select("node", "shingles"), "shingles")
+            sets = new if sets is None else sets.unionByName(new)
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+        shared = F.size(F.array_intersect("x", "y"))
+        alike = both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("sum")).filter(F.col("n") >= F.lit(similarity) * (F.col("sum") - F.col("n")))
+        alike = stored(alike.select("a", "b"), "alike")
+        if alike.head(1):
+            found = connected_components(alike.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        shards = proposed.filter("b IS NULL")
+        if not shards.head(1):
+            break
+        partners *= MORE
+        grouped = nodes.join(found, "node", "left").select("node", "fingerprint", "fingerprint_1", F.coalesce("component", "node").alias("group"))
+        proposed = stored(_further_proposals(stored(grouped, "grouped"), shards, partners), "proposals")
     # a group is named by its least node, whose content is one of the group's
     names = found.join(nodes.select("node", "content"), "node").join(nodes.select(F.col("node").alias("component"), F.col("content").alias("group")), "component")
     return names.select("content", "group")

@@ -160,6 +160,44 @@ def test_nearest_members():
         assert sorted(found.get(m, [])) == near[: simhash.PARTNERS]
 
 
+def family():
+    """Texts that share much wording, each two at a similarity of some 0.7, and to each a true near copy."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(5))
+    base, texts = [word() for _ in range(300)], []
+    edit = lambda words, at: [word() if i in at else w for i, w in enumerate(words)]
+    for _ in range(60):
+        own = edit(base, set(r.sample(range(300), 6)))
+        texts += [" ".join(own), " ".join(edit(own, set(r.sample(range(300), 4))))]
+    r.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("crowd", [simhash.CROWD, 20])
+def test_true_pairs_in_a_family_of_unlike_texts(docs, monkeypatch, crowd):
+    """Nearer-looking texts that fail don't take a partner's place, nor do blocks of a large shard part them."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    texts = family()
+    prints = np.array([simhash.fingerprint(t.encode(), 5, (simhash.SEED, simhash.SEED + 1)) for t in texts], dtype=np.uint64)
+    masks = np.array(simhash._tables(), dtype=np.int64).view(np.uint64)
+    meet = lambda i, j: not ((prints[i] ^ prints[j]) & masks).any(axis=1).all()
+    links = alike(texts, 5)
+    shared = [(i, j) for i, j in links if meet(i, j) and simhash.distances(prints[i], prints[j]) <= simhash.REACH]
+    assert len(links) >= 60 and len(shared) >= len(links) - 1
+    assert {r.doc_id for r in simhash.keep_first(docs(texts)).collect()} == set(groups_of(len(texts), shared))
+
+
+def test_others_are_all_of_other_groups():
+    rng = np.random.default_rng(6)
+    prints = np.array([[3, 5]], dtype=np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, (150, 2), dtype=np.uint64))
+    group, block = rng.integers(0, 4, 150), rng.integers(0, 2, 150)
+    for blocks in (block, block * 0):
+        cross = {(i, j) for i in range(150) for j in range(i) if group[i] != group[j] and (blocks[i] != blocks[j] or not blocks.any())}
+        found = {(max(a, b), min(a, b)) for x, y, more in simhash._others(prints, group, blocks, 150) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+        assert found == cross
+        assert all(more and np.bincount(x).max() == 3 for x, _, more in simhash._others(prints, group, blocks, 3))
+
+
 def vectors(seed=2, n=60):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n, 16))
