@@ -5,8 +5,10 @@ text: words in links count nothing, nor does anything in elements that are never
 Sums over a sliding window of ``WINDOW`` lines rise where running text begins (a surge) and fall to
 nothing where it ends (a dive); lines between a surge and its dive are kept, so a short paragraph
 between long ones stays. Elements that hold no article text (menus, headers, footers, sidebars,
-notices, adverts, forms, comments, scripts, styles) are told by their tag, role, class or id and leave
-a gap of empty lines as wide as the window, which ends any run. If the page marks its article or main
+notices, adverts, forms, comments, scripts, styles) are told by their tag or the last word of a role,
+class or id and leave a gap of empty lines as wide as the window, which ends any run; such that
+hold ``BULK`` of the running text (of the marked article, if there is one), alone or with all told by the
+same name, are taken as part of the article, unless they are hidden. If the page marks its article or main
 part, the lines in it are the ones the distribution is taken over, and there even a single short line
 is a surge of its own.
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +36,8 @@ from hourline.llm.frames import col
 WINDOW = 3
 #: A window's words at which text surges outside a marked article.
 SURGE = 12
+#: Elements that hold this share of the running text are never dropped for their tag or name.
+BULK = 0.8
 
 # Fixed values of HTML: elements whose content is no text, or never part of an article; elements
 # without content; elements that run on within a block of text.
@@ -43,7 +48,7 @@ INLINE = (
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span",
     "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
 )
-#: Words of a class, id or role that name a part outside the article.
+#: Last words of a class, id or role that name a part outside the article.
 NAMES = (
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "commentlist", "contentinfo", "consent", "cookie", "cookies",
     "disqus", "disclaimer", "footer", "gdpr", "header", "login", "masthead", "menu", "menubar", "modal", "nav", "navbar", "navigation", "navigations", "newsletter", "notice", "notices", "pager",
@@ -54,6 +59,8 @@ NAMES = (
 OTHER_ARTICLES = ("ad", "ads", "advert", "advertisement", "comment", "comments", "notice", "promo", "related", "reply", "sponsored", "teaser", "widget")
 #: First words of names that tell of an element's surroundings.
 ABOUT = ("has", "with", "without", "no")
+#: Elements that are followed to their end wherever they stand.
+_KEPT_OPEN = frozenset(("article", "main", "a", "div", "section", "td", "tr", "table", "ul", "ol", "body"))
 _OTHER_ARTICLES, _ABOUT = frozenset(OTHER_ARTICLES), frozenset(ABOUT)
 _RAW, _ASIDE, _VOID, _INLINE, _NAMES = map(frozenset, (RAW, ASIDE, VOID, INLINE, NAMES))
 
@@ -67,19 +74,90 @@ _EMPTY = re.compile(r"""(?:^|[\s"'])/$""")  # "<div/>", but not "<a href=/>"
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 
 
-def _outside(tag: str, rest: str) -> bool:
-    """Whether an element is no part of an article."""
+def _outside(tag: str, rest: str) -> str:
+    """What tells that an element is no part of an article: its tag, words of its names, or that it is hidden."""
     if tag in _ASIDE:
-        return True
+        return f"<{tag}>"
     if not rest or tag in ("html", "body", "main"):
-        return False
+        return ""
     words: set[str] = set()
     for m in _NAME.finditer(rest):
         for name in (m[1] or m[2] or m[3] or "").split():
-            parts = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower())
-            if parts[0] not in _ABOUT:  # "has-sidebar" is said of what stands beside one
-                words.update(parts)
-    return bool(words & (_OTHER_ARTICLES if tag == "article" else _NAMES)) or _HIDDEN.search(rest) is not None
+            parts = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if w]
+            if parts and parts[0] not in _ABOUT:  # "has-sidebar" is said of what stands beside one
+                words.add(parts[-1])  # "widget-container" is a container
+    return " ".join(sorted(words & (_OTHER_ARTICLES if tag == "article" else _NAMES))) or "hidden" * _hidden(tag, rest)
+
+
+def _hidden(tag: str, rest: str) -> bool:
+    return bool(rest) and tag not in ("html", "body", "main") and _HIDDEN.search(rest) is not None
+
+
+def _bulk(page: str) -> set[int]:
+    """Where the elements begin that are told as outside but hold ``BULK`` of the running text, alone or with
+    all that are told by the same: of that in articles if there is some, else in the main part, else of the page."""
+    totals = [0, 0, 0]  # characters of the page, in the main part, in articles
+    held: list[tuple[int, str, bool, list[int]]] = []  # start, what tells it, whether in one that the same tells, characters
+    stack: list[tuple[str, int, str, list[int], bool, bool]] = []  # tag, start, what tells it, totals before, hidden, article
+    told: Counter[str] = Counter()
+    mains = articles = links = hidden = 0
+    at = 0
+
+    def add(text: str) -> None:
+        if not links and not hidden:
+            n = len("".join(text.split()))
+            totals[0] += n
+            totals[1] += n if mains else 0
+            totals[2] += n if articles else 0
+
+    def close() -> str:
+        nonlocal mains, articles, links, hidden
+        tag, start, by, before, is_hidden, is_article = stack.pop()
+        mains -= tag == "main"
+        articles -= is_article
+        links -= tag == "a"
+        hidden -= is_hidden
+        if by:
+            told[by] -= 1
+            held.append((start, by, told[by] > 0, [now - then for now, then in zip(totals, before, strict=True)]))
+        return tag
+
+    while found := _TOKEN.search(page, at):
+        add(page[at : found.start()])
+        at = max(found.end(), found.start() + 1)
+        tag = (found["tag"] or "").lower()
+        if not tag:
+            continue
+        if found["end"]:
+            if any(t[0] == tag for t in stack):
+                while close() != tag:
+                    pass
+        elif tag in _RAW:
+            if not _EMPTY.search(found["rest"]):
+                ends = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+                at = ends.end() if ends else len(page)
+        elif tag not in _VOID and not _EMPTY.search(found["rest"]):
+            is_hidden = _hidden(tag, found["rest"])
+            by = "" if is_hidden else _outside(tag, found["rest"])
+            if is_hidden or hidden or by or +told or tag in _KEPT_OPEN:
+                stack.append((tag, found.start(), by, list(totals), is_hidden, tag == "article" and not by))
+                if by:
+                    told[by] += 1
+                mains += tag == "main"
+                articles += tag == "article" and not by
+                links += tag == "a"
+                hidden += is_hidden
+    add(page[at:])
+    while stack:
+        close()
+    kind = 2 if totals[2] else 1 if totals[1] else 0
+    least = max(1, BULK * totals[kind])
+    alone = [(start, by) for start, by, _, n in held if n[kind] >= least]
+    sums: Counter[str] = Counter()
+    for _, by, inner, n in held:
+        sums[by] += 0 if inner else n[kind]
+    together = {by for by, n in sums.items() if n >= least} - {by for _, by in alone}
+    return {start for start, _ in alone} | {start for start, by, _, _ in held if by in together}
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
@@ -91,6 +169,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     stack: list[tuple[str, bool]] = []  # open elements that matter, and whether they are outside
     outside = inside = links = 0
     at = 0
+    bulk = _bulk(page)
 
     def end_line() -> None:
         nonlocal linked
@@ -137,10 +216,10 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                     if name == tag:
                         break
         elif tag not in _VOID and not _EMPTY.search(found["rest"]):
-            is_outside = _outside(tag, found["rest"])
+            is_outside = bool(_outside(tag, found["rest"])) and found.start() not in bulk
             if is_outside and not outside:
                 end_line()
-            if is_outside or outside or tag in ("article", "main", "a", "div", "section", "td", "tr", "table", "ul", "ol", "body"):
+            if is_outside or outside or tag in _KEPT_OPEN:
                 stack.append((tag, is_outside))
                 outside += is_outside
                 inside += tag in ("article", "main")

@@ -41,6 +41,27 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+BODY = "".join(f"<p>{LONG} {i}</p>" for i in range(6))
+TEXT = " ".join(f"{LONG} {i}" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<body>" + "".join(f"<div class='elementor-widget elementor-widget-text'><div class=elementor-widget-container><p>{LONG} {i}</p></div></div>" for i in range(6)) + "</body>", TEXT),
+        (f"<div class=layout-sidebar-right>{BODY}</div><div class=sidebar><p>{LONG}</p></div>", TEXT),
+        (f"<section id=discussion>{BODY}</section><div class=footer>no</div>", TEXT),
+        (f"<article><p class=share-price>Up</p><div class=popular-science>{BODY}</div><div class=share>no</div></article>", f"Up {TEXT}"),
+        (f"<body><form action=/><div>{BODY}</div><div class=menu>no</div></form></body>", TEXT),
+        (f"<form><article>{BODY}</article><div class='comments'><p>{LONG}</p></div></form>", TEXT),
+        (f"<div class=widget><article>{BODY}</article></div><aside><article>card</article></aside>", TEXT),
+        (f"<article><p>x</p><div hidden class=widget>{BODY}</div></article>", "x"),
+    ],
+)
+def test_names_and_tags_lose_no_article(page, text):
+    assert main_text(page) == text
+
+
 def test_nothing_of_a_long_article_is_cut():
     blocks = [f"{LONG} {i}" if i % 3 else f"s{i}." for i in range(5000)]
     page = "<header>no</header><article>" + "".join(f"<p>\n {b}  </p>" for b in blocks) + "</article>"
