@@ -19,7 +19,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=8)
 def _power_table(base: int, n: int) -> np.ndarray:
     table = np.full(n, np.uint64(base))
     table[0] = 1
