@@ -1,16 +1,16 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to one line for each block of the page. A line's length counts its words of running
-text: words in links count nothing, nor does anything in elements that are never part of an article.
+Markup is stripped to one line for each block of the page. A line's length counts its characters of running
+text: text in links counts nothing, nor does anything in elements that are never part of an article.
 Sums over a sliding window of ``WINDOW`` lines rise where running text begins (a surge) and fall to
 nothing where it ends (a dive); lines between a surge and its dive are kept, so a short paragraph
-between long ones stays. Elements that hold no article text (menus, headers, footers, sidebars,
+between long ones stays. So do short runs between two surges, such as a paragraph between two adverts. Elements that hold no article text (menus, headers, footers, sidebars,
 notices, adverts, forms, comments, scripts, styles) are told by their tag or the last word of a role,
 class or id and leave a gap of empty lines as wide as the window, which ends any run; such that
 hold ``BULK`` of the running text (of the marked article, if there is one), alone or with all told by the
 same name, are taken as part of the article, unless they are hidden. If the page marks its article or main
-part, the lines in it are the ones the distribution is taken over, and there even a single short line
-is a surge of its own.
+part, and at least half of the page's running text stands in it, the lines in it are the ones the distribution is taken over, and there
+even a single short line is a surge of its own; a mark around less, such as a teaser's, decides nothing.
 
 Defined results: a null page counts as empty and has an empty text. Any markup is read: unclosed and
 misnested tags, comments without end, and a page cut off in a tag. Character references are decoded,
@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 from hourline.llm.frames import col
 
 WINDOW = 3
-#: A window's words at which text surges outside a marked article.
-SURGE = 12
+#: A window's characters, spaces apart, at which text surges outside a marked article.
+SURGE = 40
 #: Elements that hold this share of the running text are never dropped for their tag or name.
 BULK = 0.8
 
@@ -96,11 +96,12 @@ def _hidden(tag: str, rest: str) -> bool:
 def _bulk(page: str) -> set[int]:
     """Where the elements begin that are told as outside but hold ``BULK`` of the running text, alone or with
     all that are told by the same: of that in articles if there is some, else in the main part, else of the page."""
-    totals = [0, 0, 0]  # characters of the page, in the main part, in articles
+    totals = [0, 0, 0, 0]  # characters of the page, in the main part, in articles, and beside these outside of what is told
     held: list[tuple[int, str, bool, list[int]]] = []  # start, what tells it, whether in one that the same tells, characters
     stack: list[tuple[str, int, str, list[int], bool, bool]] = []  # tag, start, what tells it, totals before, hidden, article
     told: Counter[str] = Counter()
-    mains = articles = links = hidden = 0
+    open_: Counter[str] = Counter()  # open elements by tag: an end tag that ends none costs nothing
+    mains = articles = links = hidden = n_told = 0
     at = 0
 
     def add(text: str) -> None:
@@ -109,16 +110,19 @@ def _bulk(page: str) -> set[int]:
             totals[0] += n
             totals[1] += n if mains else 0
             totals[2] += n if articles else 0
+            totals[3] += n if not (mains or articles or n_told) else 0
 
     def close() -> str:
-        nonlocal mains, articles, links, hidden
+        nonlocal mains, articles, links, hidden, n_told
         tag, start, by, before, is_hidden, is_article = stack.pop()
+        open_[tag] -= 1
         mains -= tag == "main"
         articles -= is_article
         links -= tag == "a"
         hidden -= is_hidden
         if by:
             told[by] -= 1
+            n_told -= 1
             held.append((start, by, told[by] > 0, [now - then for now, then in zip(totals, before, strict=True)]))
         return tag
 
@@ -129,7 +133,7 @@ def _bulk(page: str) -> set[int]:
         if not tag:
             continue
         if found["end"]:
-            if any(t[0] == tag for t in stack):
+            if open_[tag]:
                 while close() != tag:
                     pass
         elif tag in _RAW:
@@ -139,10 +143,12 @@ def _bulk(page: str) -> set[int]:
         elif tag not in _VOID and not _EMPTY.search(found["rest"]):
             is_hidden = _hidden(tag, found["rest"])
             by = "" if is_hidden else _outside(tag, found["rest"])
-            if is_hidden or hidden or by or +told or tag in _KEPT_OPEN:
+            if is_hidden or hidden or by or n_told or tag in _KEPT_OPEN:
                 stack.append((tag, found.start(), by, list(totals), is_hidden, tag == "article" and not by))
+                open_[tag] += 1
                 if by:
                     told[by] += 1
+                    n_told += 1
                 mains += tag == "main"
                 articles += tag == "article" and not by
                 links += tag == "a"
@@ -150,7 +156,7 @@ def _bulk(page: str) -> set[int]:
     add(page[at:])
     while stack:
         close()
-    kind = 2 if totals[2] else 1 if totals[1] else 0
+    kind = next((k for k in (2, 1) if totals[k] and totals[k] >= totals[3]), 0)  # a mark around less than what stands beside it says little
     least = max(1, BULK * totals[kind])
     alone = [(start, by) for start, by, _, n in held if n[kind] >= least]
     sums: Counter[str] = Counter()
@@ -160,13 +166,18 @@ def _bulk(page: str) -> set[int]:
     return {start for start, _ in alone} | {start for start, by, _, _ in held if by in together}
 
 
+def _size(text: str) -> int:
+    return len("".join(text.split()))
+
+
 def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, words of running text, whether it is in a marked article) of each block of a page; an
+    """(text, characters of running text, whether it is in a marked article) of each block of a page; an
     element outside the article gives ``WINDOW`` empty lines."""
     out: list[tuple[str, int, bool]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool]] = []  # open elements that matter, and whether they are outside
+    open_: Counter[str] = Counter()
     outside = inside = links = 0
     at = 0
     bulk = _bulk(page)
@@ -175,7 +186,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            out.append((text, max(0, len(text.split()) - linked), inside > 0))
+            out.append((text, max(0, _size(text) - linked), inside > 0))
         parts.clear()
         linked = 0
 
@@ -184,7 +195,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if text and not outside:
             parts.append(text)
             if links:
-                linked += len(text.split())
+                linked += _size(html.unescape(text))
 
     while True:
         found = _TOKEN.search(page, at)
@@ -204,10 +215,10 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         if tag not in _INLINE:
             end_line()
         if found["end"]:
-            names = [t for t, _ in stack]
-            if tag in names:
+            if open_[tag]:
                 while stack:
                     name, was_outside = stack.pop()
+                    open_[name] -= 1
                     outside -= was_outside
                     inside -= name in ("article", "main")
                     links -= name == "a"
@@ -221,6 +232,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                 end_line()
             if is_outside or outside or tag in _KEPT_OPEN:
                 stack.append((tag, is_outside))
+                open_[tag] += 1
                 outside += is_outside
                 inside += tag in ("article", "main")
                 links += tag == "a"
@@ -231,25 +243,26 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str) -> str:
     """The lines between surges and dives, joined by one space."""
     found = lines(page)
-    marked = any(text and inside for text, _, inside in found)
+    inner = sum(_size(text) for text, _, inside in found if inside)
+    marked = inner > 0 and inner >= sum(n for _, n, inside in found if not inside)
     if marked:
-        found = [(text, len(text.split()), True) if inside else ("", 0, False) for text, _, inside in found]
+        found = [(text, _size(text), True) if inside else ("", 0, False) for text, _, inside in found]
     if not found:
         return ""
-    words = np.array([n for _, n, _ in found])
-    sums = np.convolve(words, np.ones(WINDOW, dtype=np.int64))  # block i: lines i - WINDOW + 1 to i
-    keep = np.zeros(len(found), dtype=bool)
+    sizes = np.array([n for _, n, _ in found])
+    sums = np.convolve(sizes, np.ones(WINDOW, dtype=np.int64))  # block i: lines i - WINDOW + 1 to i
+    runs: list[tuple[int, int, bool]] = []  # from a rise to the last line before its dive, and whether it surges
     begin = None
     for i, total in enumerate([*sums.tolist(), 0]):
         if begin is None and total > 0:
-            begin = i  # text may surge from here
+            begin = i
         elif begin is not None and total == 0:
-            end = min(i - WINDOW + 1, len(found))  # the dive: the last line with text is before it
-            if marked or sums[begin:i].max() >= SURGE:
-                keep[begin:end] = True
+            runs.append((begin, min(i - WINDOW + 1, len(found)), marked or sums[begin:i].max() >= SURGE))
             begin = None
-    if not marked and not keep.any():  # no surge: the whole page is short
-        keep[:] = words > 0
+    surging = [k for k, run in enumerate(runs) if run[2]]
+    keep = np.zeros(len(found), dtype=bool)
+    for begin, end, _ in runs[surging[0] : surging[-1] + 1] if surging else runs:  # no surge: the whole page is short
+        keep[begin:end] = sizes[begin:end] > 0 if not surging else True
     return " ".join(text for (text, _, _), ok in zip(found, keep, strict=True) if ok and text)
 
 

@@ -62,6 +62,34 @@ def test_names_and_tags_lose_no_article(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        # a teaser's mark doesn't take the body's place
+        (f"<div class=story>{BODY}</div><article class=card>Other story short blurb here</article>", f"{TEXT} Other story short blurb here"),
+        (f"<div class=story>{BODY}</div><div class=related><article>Other story</article></div>", TEXT),
+        # a short paragraph between two adverts on an unmarked page
+        (f"<div>{BODY}<div class=ad>no</div><p>Five words are here too.</p><div class=ad>no</div>{BODY}</div>", f"{TEXT} Five words are here too. {TEXT}"),
+        # text without spaces
+        ("<div><a href=/>首页</a></div><div><p>" + "这是一段没有空格的正文" * 5 + "</p></div><div class=footer>版权</div>", "这是一段没有空格的正文" * 5),
+    ],
+)
+def test_distribution_decides_where_marks_do_not(page, text):
+    assert main_text(page) == text
+
+
+def test_end_tags_cost_the_same_however_many_are_open():
+    import time
+
+    def seconds(n):
+        page = "<article>" + "<div>" * n + "</b>" * n + "text</article>"
+        start = time.process_time()
+        assert main_text(page) == "text"
+        return time.process_time() - start
+
+    assert seconds(16_000) < 12 * seconds(4_000) + 0.2
+
+
 def test_nothing_of_a_long_article_is_cut():
     blocks = [f"{LONG} {i}" if i % 3 else f"s{i}." for i in range(5000)]
     page = "<header>no</header><article>" + "".join(f"<p>\n {b}  </p>" for b in blocks) + "</article>"
