@@ -1,10 +1,12 @@
 """Line dedup with a log-template tree, in DataFrame operations only.
 
 A line is parsed down a tree of fixed depth: its number of fields, then its ``LEADING`` first fields.
-In a leaf, fields with a digit count as variable, and every template that a line fits is a key: the
+In a leaf, fields with a digit count as variable if the line has at least ``LITERAL`` others and at least as many others as variable
+ones: tables of numbers and numbered headings keep their values. Every template that a line fits is a key: the
 line's fields as they are, and, from ``MIN_FIELDS`` fields on, the line with one block of a fifth of
-its fields left open. Two lines share a template exactly if they agree in at least four of five fields
-and what differs stands together; so a recurring line is found with any one passage of it changed.
+its fields left open. Open blocks begin at fields ``LEADING``, ``LEADING`` + width and so on. So two lines of as many fields share a template if
+their leading fields agree and what differs lies in one such block; a change that reaches over a border, stands among the leading
+fields, or adds or takes a field makes other templates. Passages that recur inside longer lines are what ``repeats`` finds.
 
 A template recurs if lines of different documents fit it. Its lines are dropped from every document
 but the first, by id. Templates are hashed (32 bits for the leaf, 64 for the rest) and counted with a map-side combine, so a line
@@ -26,16 +28,23 @@ from hourline.llm.frames import col, stored
 
 LEADING = 3
 MIN_FIELDS = 8
+#: Fields without a digit that a line has at least, if its others are to count as variable.
+LITERAL = 2
 #: Blocks that a line's fields make: at most a share of 1 / BLOCKS differs.
 BLOCKS = 5
 
 
 def fields(line: F.Column) -> F.Column:
-    """A line's fields; those with a digit are variable. Most lines need no rewriting."""
+    """A line's fields; those with a digit are variable in a line with enough others. Most lines need no rewriting."""
     spaced = F.translate(line, "\t\r\f\v", "    ")
-    masked = F.regexp_replace(spaced, r"[^ ]*[0-9][^ ]*", "<*>")
-    plain = F.when(line.rlike("[0-9\t\r\f\x0b]"), masked).otherwise(line)
-    return F.array_remove(F.split(plain, " "), "")
+    plain = F.array_remove(F.split(F.when(line.rlike("[\t\r\f\x0b]"), spaced).otherwise(line), " "), "")
+
+    def masked(f: F.Column) -> F.Column:
+        n = F.size(F.filter(f, lambda x: x.rlike("[0-9]")))
+        literal = F.size(f) - n
+        return F.when((literal >= LITERAL) & (literal >= n), F.transform(f, lambda x: F.when(x.rlike("[0-9]"), "<*>").otherwise(x))).otherwise(f)
+
+    return F.when(line.rlike("[0-9]"), F.get(F.transform(F.array(plain), masked), F.lit(0))).otherwise(plain)
 
 
 def template_keys(f: F.Column, hashes: F.Column) -> F.Column:
@@ -99,9 +108,10 @@ def line_dedup_sql() -> str:
     return rf"""
 WITH line AS (
   SELECT doc_id, k, f, len(f) AS n, len(f) // {BLOCKS} AS w FROM (
-    SELECT doc_id, k, string_split_regex(regexp_replace(trim(translate(line, chr(9) || chr(13) || chr(12) || chr(11), '    ')), '\S*[0-9]\S*', '<*>', 'g'), ' +') AS f
-    FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents)
-    WHERE regexp_matches(line, '\S'))),
+    SELECT doc_id, k, CASE WHEN len(list_filter(g, lambda x: NOT regexp_matches(x, '[0-9]'))) >= greatest({LITERAL}, len(list_filter(g, lambda x: regexp_matches(x, '[0-9]'))))
+      THEN list_transform(g, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) ELSE g END AS f
+    FROM (SELECT doc_id, k, string_split_regex(trim(translate(line, chr(9) || chr(13) || chr(12) || chr(11), '    ')), ' +') AS g FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM documents)
+    WHERE regexp_matches(line, '\S')))),
 keyed AS (
   SELECT doc_id, k, n || ':0:' || array_to_string(f, ' ') AS key FROM line
   UNION ALL

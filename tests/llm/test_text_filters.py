@@ -75,6 +75,7 @@ def test_quality_weights_and_sample(spark, clashing):
     want = brute_weights(docs, {i for i, h in ids.items() if not h}, quality.BUCKETS)
     out = {r.doc_id: r for r in kept.collect()}
     assert all(abs(r._log_weight - want[i]) < 1e-9 for i, r in out.items())
+    assert "evidence" not in kept.columns
     lowest = np.percentile([want[i] for i, h in ids.items() if h], 100 * (1 - quality.RECALL))
     k = sum(w >= lowest - 1e-12 for w in want.values())
     keys = {r.doc_id: r.key for r in rows.select("doc_id", (F.lit(0.0) + quality._noise("doc_id", "text", 7)).alias("key")).collect()}
@@ -83,6 +84,44 @@ def test_quality_weights_and_sample(spark, clashing):
     assert sum(i % 5 != 0 for i in out) >= 0.9 * 320 and sum(i % 5 == 0 for i in out) <= 8
 
 
+def toxic_corpus(n=600):
+    r = random.Random(14)
+    good = [a + b for a in ("ri", "va", "mo", "le", "su") for b in ("ver", "lley", "unt", "af", "n")]
+    bad = ["idiot", "scum", "moron"]
+    docs, labels = [], []
+    for i in range(n):
+        words = [r.choice(good) for _ in range(r.randrange(30, 400))]
+        toxic = i % 6 == 0
+        for _ in range(3 if toxic else 0):
+            words.insert(r.randrange(len(words)), r.choice(bad))
+        docs.append((i, " ".join(words)))
+        if i % 2 == 0 or i % 7 == 0:
+            labels.append((i, 1, int(toxic)))
+    return docs, labels
+
+
+def test_toxic_documents_go_and_clean_ones_stay(spark, docs):
+    rows, labels = toxic_corpus()
+    marks = spark.createDataFrame(labels, "doc_id BIGINT, quality INT, toxic INT")
+    kept = {r.doc_id for r in quality.resample(docs(rows).repartition(5), marks).collect()}
+    toxic = {i for i, _ in rows if i % 6 == 0}
+    assert not kept & toxic
+    assert len(kept) >= 0.95 * (len(rows) - len(toxic))
+    bad, clean = (quality.target_ids(marks, good=f"toxic = {t}") for t in (1, 0))
+    grams, ratios = quality.telling_grams(docs(rows), bad, clean)
+    told = {g for w in (b"idiot", b"scum", b"moron") for _, found in ngrams.ngram_buckets([w], quality.GRAMS) for g in found.tolist()}
+    assert told <= set(grams.tolist()) and (ratios >= quality.TELLING).all() and (np.diff(grams) > 0).all()
+
+
+def test_toxic_labels_of_the_given_documents(spark):
+    """Held against the labels that the models weren't fitted on."""
+    folder = "/root/testdata/sf0.01"
+    rows, marks = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    kept = {r.doc_id for r in quality.resample(rows.select("doc_id", "text"), marks).collect()}
+    toxic, good = ({r.doc_id for r in marks.filter(c).collect()} for c in ("toxic = 1", "toxic = 0 AND quality = 1"))
+    assert len(kept & toxic) <= 0.15 * len(toxic) and len(kept & good) >= 0.98 * len(good)
+
+
 def test_gumbel_noise_is_standard(spark):
     rows = spark.range(20000).select(F.col("id"), F.lit("t").alias("text"))
     mean, var = rows.select(quality._noise("id", "text", 3).alias("g")).agg(F.avg("g"), F.var_samp("g")).first()
@@ -111,7 +150,10 @@ def test_quality_edges(spark, docs):
 
 
 def template_keys(line):
-    f = [("<*>" if re.search("[0-9]", w) else w) for w in re.sub("[\t\r\f\v]", " ", line).split(" ") if w]
+    f = [w for w in re.sub("[\t\r\f\v]", " ", line).split(" ") if w]
+    n = sum(bool(re.search("[0-9]", w)) for w in f)
+    if len(f) - n >= max(2, n):
+        f = [("<*>" if re.search("[0-9]", w) else w) for w in f]
     keys = [(len(f), 0, tuple(f))]
     if len(f) >= 8:
         w = len(f) // 5
@@ -166,6 +208,25 @@ def test_changed_passage_is_found_and_clean_lines_stay(docs):
     assert out == {0: " ".join(words), 1: "", 2: " ".join(apart), 3: " ".join(words[:59])}
 
 
+def test_numbers_keep_their_values_without_enough_words(docs):
+    lines = ["12 45", "99 77", "Chapter 3", "Chapter 9", "user 7 logged in at 10:02", "user 9 logged in at 11:30", "Chapter 3"]
+    out = {r.doc_id: r.text for r in line_dedup.drop_recurring(docs(lines)).collect()}
+    assert out == {0: "12 45", 1: "99 77", 2: "Chapter 3", 3: "Chapter 9", 4: lines[4], 5: "", 6: ""}
+
+
+def test_what_the_grid_of_open_blocks_finds(docs):
+    """Changes within a block, over a border, in the leading fields, and an added field."""
+    line = "a b c d e f g h i j k l m"  # blocks of two, from the fourth field on
+    out = {r.doc_id: r.text for r in line_dedup.drop_recurring(docs([line, line.replace("d e", "X Y"), line.replace("e f", "X Y"), line.replace("b", "X"), line + " n"])).collect()}
+    assert out[1] == "" and all(out[i] for i in (0, 2, 3, 4))
+
+
+def test_very_long_lines(docs):
+    long = " ".join(f"word{chr(97 + i % 26)}" for i in range(20_000))
+    out = {r.doc_id: r.text for r in line_dedup.drop_recurring(docs([long + "\nown", "other\n" + long, long])).collect()}
+    assert out == {0: long + "\nown", 1: "other", 2: ""}
+
+
 def test_line_edges(docs):
     rows = [(None, "same old line"), (None, "same old line"), (4, "same old line"), (4, "same old line\nown"), (2, "twice\ntwice")]
     out = sorted(((r.doc_id, r.text) for r in line_dedup.drop_recurring(docs(rows)).collect()), key=str)
@@ -191,11 +252,11 @@ def leaks(docs, items):
         for j, s in items:
             b = words(s)
             best = 0
-            for lie in range(-len(b), len(d)) if len(b) >= 5 else ():
+            for lie in range(-len(b), len(d)):
                 same = [0 <= lie + k < len(d) and d[lie + k] == b[k] for k in range(len(b))]
                 w = min(13, len(b))
                 best = max(best, max(sum(same[k : k + w]) for k in range(len(b) - w + 1)))
-            if len(b) >= 5 and best >= math.ceil(min(13, len(b)) * 0.8):
+            if b and best >= math.ceil(min(13, len(b)) * 0.8):
                 out[i, j] = best
     return out
 
@@ -237,6 +298,16 @@ def test_leaks(spark, clashing, max_seeds):
     assert {r.doc_id for r in kept.collect()} == {i for i, _ in corpus} - {i for i, _ in want}
 
 
+@pytest.mark.parametrize("n", range(1, 12))
+def test_items_of_few_words_with_a_change_anywhere(spark, docs, n):
+    item = [f"item{k}" for k in range(n)]
+    texts = [" ".join(["some", "own", *[("changed" if k == j else w) for j, w in enumerate(item)], "words"]) for k in range(-1, n)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id BIGINT, text STRING")
+    found = {r.doc for r in decontaminate.find_leaks(docs(texts), bench).collect()}
+    assert found == {i for i, _ in leaks(list(enumerate(texts)), [(1, " ".join(item))])}
+    assert found == (set(range(n + 1)) if n >= 5 else {0})
+
+
 def test_leak_edges(spark, docs):
     bench = spark.createDataFrame([(1, "one two three four five six seven")] * 2 + [(None, "one two three four five six seven")], "item_id BIGINT, text STRING")
     rows = docs([(None, "one two three four five six seven"), (3, "one two three four five six seven"), (3, "one two three four five six seven"), (3, "nothing")])
