@@ -30,6 +30,30 @@ def dtw_batch(a: np.ndarray, b: np.ndarray, w: int) -> np.ndarray:
     return np.sqrt(above[:, m])
 
 
+def align_batch(a: np.ndarray, b: np.ndarray, w: int) -> np.ndarray:
+    """(rows x m) sums and counts, stacked, of the steps of each row of ``a`` that the cheapest path joins to each step of the vector ``b``."""
+    n, m, k = a.shape[1], len(b), len(a)
+    w = max(w, abs(n - m))
+    cost = np.full((k, n + 1, m + 1), np.inf)
+    cost[:, 0, 0] = 0.0
+    for i in range(n):
+        for j in range(max(0, i - w), min(m, i + w)):
+            before = np.minimum(np.minimum(cost[:, i, j + 1], cost[:, i + 1, j]), cost[:, i, j])
+            cost[:, i + 1, j + 1] = (a[:, i] - b[j]) ** 2 + before
+    sums, rows = np.zeros((2, k, m)), np.arange(k)
+    i, j = np.full(k, n), np.full(k, m)
+    open_ = np.isfinite(cost[:, n, m])
+    while open_.any():
+        at = rows[open_]
+        np.add.at(sums, (0, at, j[at] - 1), a[at, i[at] - 1])
+        np.add.at(sums, (1, at, j[at] - 1), 1.0)
+        steps = np.stack([cost[at, i[at] - 1, j[at] - 1], cost[at, i[at] - 1, j[at]], cost[at, i[at], j[at] - 1]])
+        way = steps.argmin(axis=0)  # both back, the first on ties
+        i[at], j[at] = i[at] - (way != 2), j[at] - (way != 1)
+        open_[at] = (i[at] > 0) & (j[at] > 0)
+    return sums
+
+
 def keogh_batch(a: np.ndarray, centre: np.ndarray, r: int) -> np.ndarray:
     """LB_Keogh of each row of ``a`` against one vector; the envelope at i spans [i - r, i + r)."""
     spans = [centre[max(0, i - r): i + r] for i in range(a.shape[1])]

@@ -33,14 +33,22 @@ def fix_hour24(stamp: Column, date_fmt: str = "MM/dd/yyyy") -> Column:
 
     NULL unless the hour is 0 to 24, the minute 0 to 59, and 0 in hour 24.
     """
-    parts = F.split(F.trim(stamp), " +")
-    clock = F.split(F.get(parts, F.lit(1)), ":")
-    written = F.get(clock, F.lit(1))
-    hour = F.get(clock, F.lit(0)).try_cast("int")
-    minute = F.when(written.isNull(), F.lit(0)).otherwise(written.try_cast("int"))
-    valid = hour.between(0, 24) & minute.between(0, 59) & ((hour < 24) | (minute == 0))
-    stamped = date_hour_ts(F.get(parts, F.lit(0)), hour, date_fmt) + F.make_dt_interval(F.lit(0), F.lit(0), minute)
-    return F.when(valid, stamped)
+
+    def once(value: Column, use) -> Column:
+        """``use`` of a value that is computed once, however often it is named."""
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def fields(parts: Column) -> Column:
+        clock = F.split(F.get(parts, F.lit(1)), ":")
+        written = F.get(clock, F.lit(1))
+        minute = F.when(written.isNull(), F.lit(0)).otherwise(written.try_cast("int"))
+        return F.struct(F.get(parts, F.lit(0)).alias("day"), F.get(clock, F.lit(0)).try_cast("int").alias("hour"), minute.alias("minute"))
+
+    def stamped(f: Column) -> Column:
+        valid = f["hour"].between(0, 24) & f["minute"].between(0, 59) & ((f["hour"] < 24) | (f["minute"] == 0))
+        return F.when(valid, date_hour_ts(f["day"], f["hour"], date_fmt) + F.make_dt_interval(F.lit(0), F.lit(0), f["minute"]))
+
+    return once(once(F.split(F.trim(stamp), " +"), fields), stamped)
 
 
 def fix_thousands(text: Column) -> Column:

@@ -1,7 +1,8 @@
 """Additive decomposition: piecewise-linear trend, Fourier seasonality and holidays.
 
 The model family of Taylor and Letham (2018), fitted as a ridge regression per series: the prior
-scale of each term group becomes its penalty. Fitting sums cross products (see ``linear``), so all
+scale of each term group becomes its penalty. With ``sparse`` the trend's changes have the Laplace prior, an
+absolute penalty, so that most of them are exactly zero. Fitting sums cross products (see ``linear``), so all
 series, and all cutoffs of a cross-validation, are fitted in one distributed pass.
 """
 
@@ -12,7 +13,8 @@ from functools import reduce
 from math import pi
 from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourline.functions.dates import HOLIDAY_NAMES, epoch_second, holiday_name, hours_interval
@@ -36,6 +38,7 @@ class Additive:
     holidays_prior_scale: float = 10.0
     holidays: bool = True
     noise: float = 0.1
+    sparse: bool = False
 
     def groups(self) -> dict[str, int]:
         """Width of each term group, in design order."""
@@ -45,11 +48,18 @@ class Additive:
 
     def penalty(self) -> list[float]:
         """Noise variance over prior variance; offset and growth have the wide scale 5."""
-        scales = [5.0, 5.0] + [self.changepoint_prior_scale] * self.changepoints
+        scales = [5.0, 5.0] + [float("inf") if self.sparse else self.changepoint_prior_scale] * self.changepoints
         scales += [self.seasonality_prior_scale] * sum(2 * o for _, o in self.seasons.values())
         scales += [self.holidays_prior_scale] * (len(HOLIDAY_NAMES) if self.holidays else 0)
         return [self.noise ** 2 / s ** 2 for s in scales]
 
+    def lasso(self) -> list[float]:
+        """Noise variance over the Laplace prior's scale, for the trend's changes of a ``sparse`` model."""
+        weights = [0.0] * len(self.penalty())
+        if self.sparse:
+            weights[2 : 2 + self.changepoints] = [self.noise ** 2 / self.changepoint_prior_scale] * self.changepoints
+        return weights
+
 
 def design(df, model: Additive, ts="ts") -> DataFrame:
     """Adds ``x``, the design row; needs ``_first`` and ``_last`` (the history range) on each row."""
@@ -101,14 +111,10 @@ def _predict(scored, model: Additive, keep) -> DataFrame:
     )
 
 
-def decompose(
-    df, model: Additive | None = None, periods=0, step_hours=1, keys=KEYS, ts="ts", value="value"
-) -> DataFrame:
-    """(keys, ts, value, <components>, yhat, yhat_lower, yhat_upper) in sample and ``periods`` ahead.
-
-    Future rows have a NULL value. Bounds are the central 80 % of the residual spread.
-    """
-    model = model or Additive()
+def fitted(
+    df, model: Additive, periods=0, step_hours=1, keys=KEYS, ts="ts", value="value"
+) -> tuple[DataFrame, DataFrame]:
+    """(rows, fit): history and ``periods`` more stamps with their design ``x`` and ``_scale``, and the coefficients of each series."""
     observed = df.filter(F.col(value).isNotNull()).select(*keys, ts, value)
     frame = observed
     if periods:
@@ -121,11 +127,66 @@ def decompose(
     scaled = ranged.withColumn("_scale", F.when(F.col("_peak") > 0, F.col("_peak")).otherwise(F.lit(1.0)))
     rows = design(scaled, model, ts)
     train = rows.filter(F.col(value).isNotNull()).withColumn("y", F.col(value) / F.col("_scale"))
-    fit = solve(cross_products(train, keys), keys, model.penalty())
+    return rows, solve(cross_products(train, keys), keys, model.penalty(), model.lasso())
+
+
+def decompose(
+    df, model: Additive | None = None, periods=0, step_hours=1, keys=KEYS, ts="ts", value="value"
+) -> DataFrame:
+    """(keys, ts, value, <components>, yhat, yhat_lower, yhat_upper) in sample and ``periods`` ahead.
+
+    Future rows have a NULL value. Bounds are the central 80 % of the residual spread.
+    """
+    model = model or Additive()
+    rows, fit = fitted(df, model, periods, step_hours, keys, ts, value)
     scored = attach_series(rows, fit, keys, segment_of(ts))
     return _predict(scored, model, [*keys, ts, value])
 
 
+def _uniform(*parts) -> Column:
+    """A number between 0 and 1 that follows from the parts' text: a rerun gives the same ones."""
+    head = F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8)
+    return (F.conv(head, 16, 10).cast("double") + 0.5) / F.lit(2.0**32)
+
+
+def trend_paths(
+    df, model: Additive | None = None, periods=168, step_hours=1, paths=200, low=0.1, high=0.9, keys=KEYS, ts="ts", value="value"
+) -> DataFrame:
+    """(keys, ts, step, yhat, yhat_lower, yhat_upper) of ``periods`` future steps, with bounds that widen.
+
+    Future trends change as the fitted one did: on each path a step has a change with the fitted rate of changes, of a size drawn from
+    a Laplace distribution with the fitted changes' mean size. Noise with the residual spread is added, and the bounds are quantiles
+    over the ``paths``, exact ones, as a stamp has one value from each. All draws are hashes of (keys, path, step). A path is one group of ``periods``
+    rows.
+    """
+    model, keys = model or Additive(), list(keys)
+    rows, fit = fitted(df, model, periods, step_hours, keys, ts, value)
+    ahead = rows.filter(F.col(value).isNull() & (F.col(ts) > F.col("_last")))
+    scored = attach_series(ahead, fit, keys, segment_of(ts))
+    changes = F.slice("coef", 3, model.changepoints)
+    size = F.aggregate(changes, F.lit(0.0), lambda t, c: t + F.abs(c)) / F.lit(float(max(1, model.changepoints)))
+    span = epoch_second(F.col("_last")) - epoch_second(F.col("_first"))
+    dt = F.lit(step_hours * 3600.0) / span
+    since = epoch_second(F.col(ts)) - epoch_second(F.col("_last"))
+    yhat = dot("x", "coef", 0, len(model.penalty())) * F.col("_scale")
+    steps = scored.select(
+        *keys, ts, F.round(since / F.lit(step_hours * 3600)).cast("bigint").alias("step"), yhat.alias("yhat"), "_scale",
+        size.alias("_size"), dt.alias("_dt"), F.sqrt(F.col("rss") / F.col("n")).alias("_sigma"), F.explode(F.sequence(F.lit(1), F.lit(paths))).alias("_path"),
+    )
+    draw = [_uniform(*[F.col(k) for k in keys], F.col("_path"), F.col("step"), F.lit(i)) for i in range(4)]
+    side = draw[1] - 0.5
+    change = F.when(draw[0] < F.lit(float(model.changepoints)) * F.col("_dt"), -F.col("_size") * F.signum(side) * F.log(1 - 2 * F.abs(side))).otherwise(0.0)
+    noise = F.col("_sigma") * F.sqrt(-2 * F.log(draw[2])) * F.cos(F.lit(2 * pi) * draw[3])
+    path = W.partitionBy(*keys, "_path").orderBy("step")
+    before = path.rowsBetween(W.unboundedPreceding, -1)
+    slopes = steps.withColumns({"_change": change, "_noise": noise}).withColumn("_slope", F.sum("_change").over(path))
+    off = F.coalesce(F.sum(F.col("_slope") * F.col("_dt")).over(before), F.lit(0.0))  # a change tells from the next step on
+    drawn = slopes.withColumn("_drawn", F.col("yhat") + F.col("_scale") * (off + F.col("_noise")))
+    return drawn.groupBy(*keys, ts, "step").agg(
+        F.first("yhat").alias("yhat"), F.percentile("_drawn", low).alias("yhat_lower"), F.percentile("_drawn", high).alias("yhat_upper")
+    )
+
+
 def cross_validate(
     df, initial_hours: int, period_hours: int, horizon_hours: int, model: Additive | None = None,
     keys=KEYS, ts="ts", value="value",
@@ -154,7 +215,7 @@ def cross_validate(
     cuts = series.select(
         *keys, "_last", F.explode(F.sequence(F.lit(0).cast("bigint"), cutoff_count(*spec) - 1)).alias("_k")
     )
-    fit = solve_running(products, keys, "_k", model.penalty(), cuts)
+    fit = solve_running(products, keys, "_k", model.penalty(), cuts, model.lasso())
     ahead = rows.withColumn("_k", F.explode(cutoff_rows(ts, *spec)))
     scored = ahead.join(fit, [*keys, "_k"])
     cutoff = cutoff_ts(F.col("_k"), period_hours, horizon_hours).alias("cutoff")

@@ -72,43 +72,69 @@ def cross_products(rows, keys, x="x", y="y", parts: int = PARTS) -> DataFrame:
     return dealt.sortWithinPartitions(*keys).mapInArrow(lambda bs: add_up(b.select([*keys, "part"]) for b in bs), schema)
 
 
-def _least_squares(triangle: np.ndarray, penalty: np.ndarray) -> tuple[np.ndarray, float, float]:
+def _least_squares(triangle: np.ndarray, penalty: np.ndarray, lasso: np.ndarray) -> tuple[np.ndarray, float, float]:
     p = len(penalty)
     full = np.zeros((p + 1, p + 1))
     full[np.triu_indices(p + 1)] = triangle
     full = full + np.triu(full, 1).T
     a, b = full[:p, :p], full[:p, p]
-    coef = np.linalg.lstsq(a + np.diag(penalty), b, rcond=None)[0]
+    if lasso.any():
+        coef = sparse_solution(a + np.diag(penalty), b, lasso)
+    else:
+        coef = np.linalg.lstsq(a + np.diag(penalty), b, rcond=None)[0]
     return coef, max(full[p, p] - 2 * coef @ b + coef @ a @ coef, 0.0), full[0, 0]
 
 
+def sparse_solution(a: np.ndarray, b: np.ndarray, lasso: np.ndarray, rounds: int = 200, sweeps: int = 25) -> np.ndarray:
+    """The x with the least x'ax / 2 - b'x + sum(lasso |x|), by coordinate descent.
+
+    After every few sweeps the terms that aren't zero, with their signs, make a linear system. Its solution is the answer, exactly,
+    once no sign changes and no other term's gradient is beyond its ``lasso``."""
+    x, free, scale = np.zeros(len(b)), np.flatnonzero(np.diag(a) > 0), np.abs(b).max(initial=1e-300)
+    for _ in range(rounds):
+        for _ in range(sweeps):
+            for j in free:
+                gradient = b[j] - a[j] @ x + a[j, j] * x[j]
+                x[j] = np.sign(gradient) * max(abs(gradient) - lasso[j], 0.0) / a[j, j]
+        held = free[(x[free] != 0) | (lasso[free] == 0)]
+        signs = np.sign(x[held]) * (lasso[held] > 0)
+        exact = np.zeros(len(b))
+        exact[held] = np.linalg.lstsq(a[np.ix_(held, held)], b[held] - lasso[held] * signs, rcond=None)[0]
+        kept = np.all(np.sign(exact[held]) * (lasso[held] > 0) == signs)
+        if kept and np.all(np.abs(b - a @ exact) <= lasso + 1e-9 * scale):
+            return exact
+    return x
+
+
 FIT = "coef ARRAY<DOUBLE>, rss DOUBLE, n DOUBLE"
 
 
-def solve(products, keys, penalty: list[float]) -> DataFrame:
+def solve(products, keys, penalty: list[float], lasso: list[float] | None = None) -> DataFrame:
     """(keys, coef, rss, n): ridge coefficients, residual sum of squares and the first cross product.
 
-    ``penalty`` has one entry per column of X. Column 0 should be the constant 1, so that ``n`` is
-    the number of rows.
+    ``penalty`` has one entry per column of X, ``lasso`` the weights of absolute values, if any. Column 0 should be the
+    constant 1, so that ``n`` is the number of rows.
     """
     diagonal = np.asarray(penalty, dtype=float)
+    sparse = np.asarray(lasso if lasso is not None else np.zeros(len(diagonal)), dtype=float)
 
     @F.pandas_udf(FIT)
     def ridge(parts: pd.Series) -> pd.DataFrame:
-        fits = [_least_squares(np.sum(np.stack(list(p)), axis=0), diagonal) for p in parts]
+        fits = [_least_squares(np.sum(np.stack(list(p)), axis=0), diagonal, sparse) for p in parts]
         return pd.DataFrame(fits, columns=["coef", "rss", "n"])
 
     gathered = products.groupBy(*keys).agg(F.collect_list("part").alias("_parts"))  # PARTS arrays a series
     return gathered.withColumn("_fit", ridge("_parts")).select(*keys, "_fit.*")
 
 
-def solve_running(products, keys, step: str, penalty: list[float], steps: DataFrame) -> DataFrame:
+def solve_running(products, keys, step: str, penalty: list[float], steps: DataFrame, lasso: list[float] | None = None) -> DataFrame:
     """(keys, step, coef, rss, n): the fit of all products whose ``step`` is at least the row's own.
 
     ``steps`` lists (keys, step), one row for each fit; a series' steps are gathered in one task, each
     with one array.
     """
     keys, diagonal = list(keys), np.asarray(penalty, dtype=float)
+    sparse = np.asarray(lasso if lasso is not None else np.zeros(len(diagonal)), dtype=float)
     asked = steps.select(*keys, step).withColumn("part", F.lit(None).cast("array<double>"))
     rows = products.select(*keys, step, "part").unionByName(asked)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (rows.schema[k] for k in [*keys, step]))
@@ -119,7 +145,7 @@ def solve_running(products, keys, step: str, penalty: list[float], steps: DataFr
             for part in same["part"].dropna():
                 total = part if total is None else total + part
             if total is not None and same["part"].isna().any():
-                out.append((*[same[k].iloc[0] for k in keys], number, *_least_squares(total, diagonal)))
+                out.append((*[same[k].iloc[0] for k in keys], number, *_least_squares(total, diagonal, sparse)))
         return pd.DataFrame(out, columns=[*keys, step, "coef", "rss", "n"])
 
     return rows.groupBy(*keys).applyInPandas(fit, f"{fields}, {FIT}")

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from hourline.operators.segments import RN, SIZE, index_rows
 
 KEYS = ("series",)
+#: Share of a series that its quantile summary may be off by, twice over.
+SHARE = 2e-4
 
 
 def abs_error(actual="actual", pred="pred") -> Column:
@@ -121,48 +123,25 @@ def cumulative(df, metric: str, steps, block: int, keys=KEYS, ts="ts") -> DataFr
     return wide.select(*keys, F.inline(cells))
 
 
-def _narrowed(open_rows, keys, value: str, need: int, splits: int = 64) -> DataFrame:
-    """Drop the values that can't be the ``need``-th largest of their series.
-
-    Quantile summaries, which merge on the map side, cut a series into ``splits`` stretches. The ranks
-    at their edges are counted exactly, and only the stretch with the wanted rank stays. ``_above``
-    holds the number of larger values that have gone.
-    """
-    shares = F.array(*[F.lit(i / splits) for i in range(1, splits)])
-    edges = open_rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, shares, 20 * splits)).alias("_edges"))
-    # a value on an edge stands alone (odd numbers), values between edges share an even one
-    step = lambda n, x: n + F.when(F.col(value) > x, 2).when(F.col(value) == x, 1).otherwise(0)
-    placed = open_rows.join(edges, list(keys)).withColumn("_place", F.aggregate("_edges", F.lit(0), step)).drop("_edges")
-    sizes = placed.groupBy(*keys, "_place").agg(F.count(F.lit(1)).alias("_size"), F.max("_above").alias("_before"))
-    higher = W.partitionBy(*keys).orderBy(F.col("_place").desc()).rowsBetween(W.unboundedPreceding, -1)
-    above = F.col("_before") + F.coalesce(F.sum("_size").over(higher), F.lit(0))  # 2 x splits rows a series at most
-    stretch = sizes.withColumn("_now", above).filter((F.col("_now") < need) & (F.col("_now") + F.col("_size") >= need))
-    kept = placed.join(stretch.select(*keys, "_place", "_now"), [*keys, "_place"])
-    return kept.select(*keys, value, F.col("_now").alias("_above")).persist()
-
-
-def trimmed_mean(df, value: str, drop: int, keys=KEYS, passes=3) -> DataFrame:
+def trimmed_mean(df, value: str, drop: int, keys=KEYS) -> DataFrame:
     """Mean without the ``drop`` largest values. A series with at most ``drop`` values has no result.
 
-    The smallest dropped value is found by narrowing: each pass keeps about one in 64 values of a
-    series, or one value that many rows share, so after three passes a few in a million rows are left.
-    Sums below and at the cut give the mean; no series is sorted. What a pass keeps is cached.
+    One pass counts a series and summarises its quantiles, which combine on the map side; from them follows a bound that the smallest
+    dropped value reaches. The different values from the bound on, with their counts, are some ``drop`` and a share of ``SHARE`` of the series; a running count over them
+    gives the cut, exactly. Sums below and at the cut give the mean; no series is sorted.
     """
     usable = df.filter(F.col(value).isNotNull()).select(*keys, value)
     if drop <= 0:
         return usable.groupBy(*keys).agg(F.avg(value).alias("trimmed_mean"))
-    open_rows = usable.withColumn("_above", F.lit(0).cast("bigint"))
-    for _ in range(passes):
-        open_rows = _narrowed(open_rows, keys, value, drop)
-    counted = open_rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), F.max("_above").alias("_above"))
-    left = F.array_sort(F.collect_list(F.struct((-F.col(value)).alias("minus"), "n", "_above")))
-    start = F.struct(F.lit(None).cast("double").alias("cut"), F.lit(0).cast("bigint").alias("seen"))
-
-    def walk(state, x):
-        reached = state["cut"].isNull() & (x["_above"] + state["seen"] + x["n"] >= drop)
-        return F.struct(F.when(reached, -x["minus"]).otherwise(state["cut"]).alias("cut"), (state["seen"] + x["n"]).alias("seen"))
-
-    cuts = counted.groupBy(*keys).agg(F.aggregate(left, start, walk)["cut"].alias("_cut"))
+    tails = [2.0**-k for k in range(1, 13)]
+    summary = F.percentile_approx(value, F.array(*[F.lit(1 - t) for t in tails]), int(2 / SHARE))
+    stats = usable.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), summary.alias("_marks"))
+    bound = F.coalesce(*[F.when(F.lit(t - SHARE) * F.col("_rows") > drop, F.get("_marks", F.lit(k))) for k, t in reversed(list(enumerate(tails)))])
+    high = usable.join(stats.select(*keys, bound.alias("_bound")), list(keys)).filter(F.col("_bound").isNull() | (F.col(value) >= F.col("_bound")))
+    counted = high.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_size"))
+    seen = F.sum("_size").over(W.partitionBy(*keys).orderBy(F.col(value).desc()))
+    reached = counted.withColumn("_seen", seen).filter((F.col("_seen") >= drop) & (F.col("_seen") - F.col("_size") < drop))
+    cuts = reached.select(*keys, F.col(value).alias("_cut"))
     v, cut = F.col(value), F.col("_cut")
     sums = usable.join(cuts, list(keys)).groupBy(*keys).agg(
         F.sum(F.when(v < cut, v)).alias("_low"), F.count_if(v == cut).alias("_at"), F.count_if(v > cut).alias("_gone"),

@@ -41,19 +41,24 @@ def segment_of(ts: str, days: int = SEGMENT_DAYS) -> Column:
 
 
 def raw_piece(ts: str, *columns: str) -> Column:
-    """Piece number for rows that are not unique by (series, ts): hour of time x 64 hash buckets.
+    """Piece number for rows that are not unique by (series, ts): segment of time x 64 hash buckets.
 
     For raw observations only totals make sense, not positions, so any cut will do. It is never NULL:
-    rows without a stamp count as hour 0.
+    rows without a stamp count as segment 0. A series has at most 64 pieces for each segment of its span.
     """
-    hours = F.coalesce(epoch_day(F.col(ts)).cast("bigint") * 24 + F.hour(ts), F.lit(0))
-    return hours * 64 + F.pmod(F.xxhash64(ts, *columns), F.lit(64))
+    return F.coalesce(segment_of(ts).cast("bigint"), F.lit(0)) * 64 + F.pmod(F.xxhash64(ts, *columns), F.lit(64))
 
 
 def attach_raw_totals(df, keys, ts, sums=None, mins=None, maxs=None) -> DataFrame:
-    """Totals next to raw observations, rows without a stamp included, joined on (keys, piece)."""
+    """Totals next to raw observations, rows without a stamp included, joined on (keys, piece).
+
+    The totals are mergeable, so they are summed by series on the map side; no summary of pieces is gathered."""
     used = [c for c in df.columns if c not in (*keys, ts)]
-    return attach_totals(df, keys, ts, sums, mins, maxs, piece=raw_piece(ts, *used), keep=(SIZE,))
+    folds = [(F.sum, sums or {}), (F.min, mins or {}), (F.max, maxs or {})]
+    named = [fold(expr).alias(name) for fold, exprs in folds for name, expr in exprs.items()]
+    whole = df.filter(reduce(and_, [F.col(k).isNotNull() for k in keys]))
+    totals = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias(SIZE), *named)
+    return attach_series(df, totals, keys, raw_piece(ts, *used))
 
 
 def in_pieces(df, keys, piece: Column) -> DataFrame:

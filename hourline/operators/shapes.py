@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hourline.functions.dtw import dtw_distance, lb_keogh, nearest_centroid
+from hourline.functions.dtw import align_batch, dtw_distance, lb_keogh, nearest_centroid
 from hourline.operators.calendar import holiday_flags
 
 KEYS = ("series",)
@@ -83,29 +84,32 @@ def seed_centroids(shapes, k: int, keys=KEYS) -> list[list[float]]:
     return [list(row["shape"]) for row in shapes.orderBy(key, *keys, "year", "week").limit(k).collect()]
 
 
-def dtw_kmeans(shapes, k=4, iters=100, w=4, r=5, keys=KEYS) -> tuple[DataFrame, DataFrame]:
+def dtw_kmeans(shapes, k=4, iters=100, w=4, r=5, keys=KEYS, barycentres=False) -> tuple[DataFrame, DataFrame]:
     """(assignments, centroids) of k-means under DTW.
 
     Each round assigns every shape to its nearest centroid in one pass without a shuffle, then
-    averages each position over the members. Only the k centroids come back to the driver, so the
+    averages each position over the members. Such means need not lower the distances, so the centroids may
+    go round without end; ``barycentres`` averages the steps that the cheapest paths join to a position (Petitjean et al., 2011), which
+    does lower them, until nothing moves. Only the k centroids come back to the driver, so the
     plan does not grow with the rounds and nothing needs a checkpoint: a lost executor recomputes
     its shapes from the source. A centroid without members stays where it is. The envelope r must be at
     least the band w. A shape that can't be compared has a NULL cluster. Stops early when the
-    centroids no longer move. The returned assignments are those the last update was made from.
+    centroids no longer move or were there before. The returned assignments are those the last update was made from.
     """
     shapes = shapes.persist()
     try:
         centroids = seed_centroids(shapes, k, keys)
-        used = centroids
+        used, seen = centroids, set()
         for _ in range(iters if centroids else 0):
             used = centroids
-            moved = {
-                row["cluster"]: list(row["centroid"])
-                for row in mean_shapes(assign_clusters(shapes, used, w, r)).collect()
-            }
+            assigned = assign_clusters(shapes, used, w, r)
+            means = barycentre_shapes(assigned, used, w) if barycentres else mean_shapes(assigned)
+            moved = {row["cluster"]: list(row["centroid"]) for row in means.collect()}
             centroids = [moved.get(c, used[c]) for c in range(len(used))]
-            if np.allclose(centroids, used, rtol=1e-12, atol=0.0):
+            state = tuple(float(f"{v:.9e}") for centre in centroids for v in centre)
+            if state in seen or np.allclose(centroids, used, rtol=1e-12, atol=0.0):
                 break
+            seen.add(state)
     finally:
         shapes.unpersist()
     spark = shapes.sparkSession
@@ -130,6 +134,25 @@ def mean_shapes(assigned) -> DataFrame:
     return means.groupBy("cluster").agg(F.transform(ordered, lambda c: c["v"]).alias("centroid"))
 
 
+def barycentre_shapes(assigned, centroids, w=4) -> DataFrame:
+    """(cluster, centroid): the mean, at each position, of the members' steps that the cheapest path joins to it."""
+    centres = [np.asarray(c, dtype=float) for c in centroids]
+
+    def paths(batches):
+        for batch in batches:
+            cluster = batch.column(0).to_numpy(zero_copy_only=False)
+            for c in np.unique(cluster):
+                x = np.stack([v.values.to_numpy(zero_copy_only=False) for v in batch.column(1).take(pa.array(np.flatnonzero(cluster == c)))])
+                sums, counts = align_batch(x, centres[c], w).sum(axis=1)
+                columns = [pa.array(np.full(len(sums), c), pa.int32()), pa.array(np.arange(len(sums)), pa.int32()), pa.array(sums), pa.array(counts)]
+                yield pa.RecordBatch.from_arrays(columns, names=["cluster", "pos", "s", "n"])
+
+    cells = assigned.filter(F.col("cluster") >= 0).select("cluster", "shape").mapInArrow(paths, "cluster INT, pos INT, s DOUBLE, n DOUBLE")
+    means = cells.groupBy("cluster", "pos").agg((F.sum("s") / F.sum("n")).alias("v"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "v")))
+    return means.groupBy("cluster").agg(F.transform(ordered, lambda c: c["v"]).alias("centroid"))
+
+
 def cluster_weeks(assigned, weeks, keys=KEYS) -> DataFrame:
     """Assignments joined to the week table on (keys, year, week)."""
     on = [*keys, "year", "week"]

@@ -6,7 +6,7 @@ from functools import reduce
 from math import exp
 from operator import add
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -101,6 +101,42 @@ def sample_windows(df, columns, length: int, fraction: float, seed: int, keys=KE
     return cut.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n")
 
 
+def permuted(position: Column, size: Column, epoch: Column, rounds: int = 4) -> Column:
+    """Where a position of 0 .. size - 1 stands in the epoch's order: a keyed bijection, so that no rows are sorted or drawn twice.
+
+    Positions are pairs (left, right) of a grid of a = ceil(sqrt(size)) columns with as many rows as are needed; each round adds to one of them a
+    function of the other one and the epoch. The few pairs beyond ``size`` go round once more, until they are inside.
+    """
+    width = F.ceil(F.sqrt(size.cast("double"))).cast("bigint")
+    height = F.ceil(size / width).cast("bigint")
+
+    def mixed(value: Column, number: int) -> Column:
+        return ((value + 1) * (F.lit(48271 + 2 * number) + epoch * 7919) % 2147483647 * 69621 + epoch * 40692) % 2147483647
+
+    def once(x: Column) -> Column:
+        state = F.struct((x % width).alias("l"), F.floor(x / width).cast("bigint").alias("r"))
+        for n in range(rounds):
+            step = (lambda n: lambda s: F.struct(F.pmod(s["l"] + mixed(s["r"], n), width).alias("l"), s["r"].alias("r")) if n % 2 == 0
+                    else F.struct(s["l"].alias("l"), F.pmod(s["r"] + mixed(s["l"], n), height).alias("r")))(n)
+            state = F.get(F.transform(F.array(state), step), F.lit(0))
+        return F.get(F.transform(F.array(state), lambda s: s["r"] * width + s["l"]), F.lit(0))
+
+    first = once(position)
+    # at most ``width`` pairs are beyond the size, so that many steps always lead back inside
+    inside = F.aggregate(F.sequence(F.lit(1).cast("bigint"), width), first, lambda y, _: F.when(y < size, y).otherwise(once(y)))
+    return F.when(first < size, first).otherwise(inside)
+
+
+def shuffled_batches(df, batch: int, epochs: int, first_epoch: int = 0, keys=KEYS, ts="ts") -> DataFrame:
+    """Every row once for each epoch, with its ``epoch``, ``batch`` and ``slot`` in an order that differs by epoch: batch b has the rows with the
+    order's numbers b x batch to (b + 1) x batch - 1, the last one may be short. Rows are addressed by position; nothing is sorted."""
+    indexed = index_rows(df, keys, ts)
+    each = indexed.withColumn("epoch", F.explode(F.sequence(F.lit(first_epoch).cast("bigint"), F.lit(first_epoch + epochs - 1).cast("bigint"))))
+    placed = each.withColumn("_place", permuted(F.col(RN).cast("bigint"), F.col(SIZE).cast("bigint"), F.col("epoch")))
+    out = placed.withColumns({"batch": F.floor(F.col("_place") / batch).cast("bigint"), "slot": F.pmod("_place", F.lit(batch)).cast("bigint")})
+    return out.drop("_place", RN, SIZE)
+
+
 def hopping_frames(df, size: int, hop: int, keys=KEYS, ts="ts", value="value") -> DataFrame:
     """Frames of ``size`` rows starting every ``hop`` rows: count, first stamp, minimum, maximum.
 

@@ -358,11 +358,10 @@ def clean_load(spark, folder):
 
     The raw text doubles the hour 1 of each day; the first copy has no number.
     """
-    raw = w.dirty_load(spark, folder).withColumn("ord", F.lit(2))
-    copies = raw.filter(F.col("hour_s").endswith(" 01:00")).withColumn("ord", F.lit(1)).withColumn("value_s", F.lit("*"))
-    parsed = clean.union_by_name([copies, raw]).select(
-        "series", fix_hour24(F.col("hour_s")).alias("ts"), fix_thousands(F.col("value_s")).alias("value"), "ord"
-    )
+    copies = F.when(F.col("hour_s").endswith(" 01:00"), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(2)))
+    raw = w.dirty_load(spark, folder).withColumn("ord", F.explode(copies))
+    value = F.when(F.col("ord") == 1, F.lit("*")).otherwise(F.col("value_s"))
+    parsed = raw.select("series", fix_hour24(F.col("hour_s")).alias("ts"), fix_thousands(value).alias("value"), "ord")
     scaled = clean.rescale_units(parsed, ["value"])
     return tidy(clean.drop_null_rows(clean.dedupe_ts(scaled, ["series", "ts"], ["value"], "ord")), 4)
 

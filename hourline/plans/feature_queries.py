@@ -266,6 +266,31 @@ def sample_windows(spark, folder):
     return tidy(frames.select("series", "ts", "draw", F.size("window").alias("steps")))
 
 
+def _mixed_sql(value, number):
+    return f"((({value} + 1) * ({48271 + 2 * number} + epoch * 7919) % 2147483647 * 69621 + epoch * 40692) % 2147483647)"
+
+
+@query(
+    "shuffled_epochs",
+    f"""WITH RECURSIVE {INDEXED_SQL}, sized AS (
+      SELECT series, ts, value, rn, count(*) OVER (PARTITION BY series) AS n FROM indexed),
+    grid AS (SELECT *, ceil(sqrt(n))::BIGINT AS w FROM sized),
+    walk AS (
+      SELECT series, ts, value, epoch, n, w, ceil(n / w)::BIGINT AS h, rn::BIGINT AS y, 0 AS k FROM grid, (SELECT unnest([0, 1, 2])::BIGINT AS epoch)
+      UNION ALL
+      SELECT series, ts, value, epoch, n, w, h, r2 * w + l2, k + 1 FROM (
+        SELECT *, (r1 + {_mixed_sql('l2', 3)}) % h AS r2 FROM (
+          SELECT *, (l1 + {_mixed_sql('r1', 2)}) % w AS l2 FROM (
+            SELECT *, (y // w + {_mixed_sql('l1', 1)}) % h AS r1 FROM (
+              SELECT *, (y % w + {_mixed_sql('(y // w)', 0)}) % w AS l1 FROM walk WHERE k = 0 OR y >= n))))
+    )
+    SELECT series, ts, value, epoch, y // 32 AS batch, y % 32 AS slot FROM walk WHERE k > 0 AND y < n""",
+)
+def shuffled_epochs(spark, folder):
+    """Three epochs of the hourly load in batches of 32, each in an order of its own."""
+    return tidy(windows.shuffled_batches(w.hourly_load(spark, folder), 32, 3))
+
+
 @query(
     "split_by_index",
     f"""WITH {INDEXED_SQL}

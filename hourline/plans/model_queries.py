@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from math import pi
+
 from pyspark.sql import functions as F
 
-from hourline.operators import clean, cv, decompose, lags, metrics, recursive, shapes, spectral, splits, trees, windows
+from hourline.operators import clean, cv, decompose, forest, lags, metrics, quantile_lines, recursive, segments, sequence, shapes, spectral, splits, trees, windows
 from hourline.operators.calendar import calendar_features
 from hourline.plans import ridge_sql as rs
 from hourline.plans import workload as w
@@ -214,27 +216,15 @@ def quantile_stump(spark, folder):
     return tidy(out.selectExpr(*SCORED), 2)
 
 
-#: Rounds of the band in the queries below. The operator's own default is 100; every round takes some
-#: fifteen small Spark jobs.
-BAND_ROUNDS = 15
-_bands: dict = {}
+#: The band of the queries below: quantiles 0.01 and 0.99 around the squared-loss forecast.
+BAND = dict(alpha=0.99, rounds=100)
 
 
 def band(spark, folder):
-    """Lower, middle and upper forecasts of the daily total, fitted once in a session and kept as a table."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _bands:
-        path = files.work_path(spark, "band")
-        trees.quantile_band(labelled_features(spark, folder), FEATURES, alpha=0.95, rounds=BAND_ROUNDS).select(
-            "series", "ts", "split", F.col("value").alias("actual"), "lower", "mid", "upper"
-        ).write.parquet(path)
-        _bands[key] = path
-    return spark.read.parquet(_bands[key])
-
-
-def forget_bands() -> None:
-    """Fit the band anew the next time."""
-    _bands.clear()
+    """Lower, middle and upper forecasts of the hourly load, a model for each series."""
+    late = F.col("ts") >= F.lit("2024-01-24 00:00:00").cast("timestamp_ntz")
+    table = lags.features(w.hourly_load(spark, folder)).withColumn("split", F.when(late, "test").otherwise("train"))
+    return forest.band_by_series(table, FEATURES, **BAND).select("series", "ts", "split", F.col("value").alias("actual"), "lower", "mid", "upper")
 
 
 @query("quantile_gbt")
@@ -244,16 +234,99 @@ def quantile_gbt(spark, folder):
 
 @query("tree_interval")
 def tree_interval(spark, folder):
-    """The interval table of the test year: lower, middle, upper and actual."""
+    """The interval table of the last days: lower, middle, upper and actual."""
     return tidy(band(spark, folder).filter("split = 'test'").drop("split"))
 
 
 @query("tree_breaches")
 def tree_breaches(spark, folder):
-    """Breach counts and rates of the band, in the training years and in the test year."""
+    """Breach counts and rates of the band, in the training days and in the last ones."""
     return tidy(metrics.interval_breaches(band(spark, folder), ["series", "split"]))
 
 
+SERIES_STUMP_FEATURES = ["day_num", "month", "day", "week_year"]
+
+
+def series_stump_features(spark, folder):
+    """Calendar features of the daily load: few different whole numbers, so every split is tried."""
+    return splits.label_year(calendar_features(w.daily_load(spark, folder), only=SERIES_STUMP_FEATURES), 2000)
+
+
+SERIES_ROWS_SQL = f"""{w.DAILY_LOAD_SQL}, raw AS (
+  SELECT series, ts, value, year(ts) <> 2000 AS train, (isodow(ts) - 1)::BIGINT AS day_num, month(ts)::BIGINT AS month,
+         day(ts)::BIGINT AS day, weekofyear(ts)::BIGINT AS week_year
+  FROM daily_load)"""
+
+
+def _series_stump_sql(k, total, min_leaf):
+    """CTEs: ``placed_<k>`` has each row of rows_<k> and the mean ``low`` or ``high`` of its side of its series' best split; ``total`` is the
+    sum of gradients of a group of rows."""
+    cells = " UNION ALL ".join(
+        f"SELECT series, {i} AS f, {name} AS v, {part} FROM rows_{k} WHERE train GROUP BY series, {name}"
+        for i, name in enumerate(SERIES_STUMP_FEATURES) for part in [f"count(*) AS n, {total[0]} AS c"]
+    )
+    left = "CASE f " + " ".join(f"WHEN {i} THEN {name}" for i, name in enumerate(SERIES_STUMP_FEATURES)) + " END <= cut"
+    return f"""cells_{k} AS ({cells}),
+    sums_{k} AS (
+      SELECT series, f, v, n, total, {total[1].format(c='c', n='n')} AS s, {total[1].format(c='every', n='total')} AS whole FROM (
+        SELECT series, f, v, sum(n) OVER w AS n, sum(c) OVER w AS c, sum(n) OVER (PARTITION BY series, f) AS total, sum(c) OVER (PARTITION BY series, f) AS every
+        FROM cells_{k} WINDOW w AS (PARTITION BY series, f ORDER BY v))),
+    best_{k} AS (
+      SELECT series, f, v AS cut, s / n AS low, (whole - s) / (total - n) AS high FROM sums_{k}
+      WHERE n >= {min_leaf} AND total - n >= {min_leaf}
+      QUALIFY row_number() OVER (PARTITION BY series ORDER BY s * s / n + (whole - s) * (whole - s) / (total - n) DESC, f, v) = 1),
+    placed_{k} AS (SELECT r.*, {left} AS is_low, low, high FROM rows_{k} r JOIN best_{k} USING (series))"""
+
+
+def _series_boosted_sql(rounds):
+    columns = ", ".join(["series", "ts", "value", "train", *SERIES_STUMP_FEATURES])
+    parts = [SERIES_ROWS_SQL, "rows_0 AS (SELECT raw.*, p FROM raw JOIN (SELECT series, avg(value) AS p FROM raw WHERE train GROUP BY 1) USING (series))"]
+    for k in range(rounds):
+        if k:
+            parts.append(f"rows_{k} AS (SELECT {columns}, p + 0.1::DOUBLE * CASE WHEN is_low THEN low ELSE high END AS p FROM placed_{k - 1})")
+        parts.append(_series_stump_sql(k, ("sum(value - p)", "{c}"), 10))
+    return f"""WITH {", ".join(parts)}
+    SELECT series, ts, CASE WHEN train THEN 'train' ELSE 'test' END AS split, value AS actual,
+           round(p + 0.1::DOUBLE * CASE WHEN is_low THEN low ELSE high END, 2) AS pred FROM placed_{rounds - 1}"""
+
+
+@query("series_stumps", _series_boosted_sql(4))
+def series_stumps(spark, folder):
+    """Four boosted trees of one split for each series."""
+    out = forest.gbt_by_series(series_stump_features(spark, folder), SERIES_STUMP_FEATURES, rounds=4, max_depth=1, max_bins=60)
+    return tidy(out.selectExpr(*SCORED), 2)
+
+
+@query(
+    "series_quantile_stumps",
+    f"""WITH {SERIES_ROWS_SQL}, ranked AS (
+      SELECT series, value, row_number() OVER (PARTITION BY series ORDER BY value) AS k, count(*) OVER (PARTITION BY series) AS n FROM raw WHERE train),
+    rows_0 AS (SELECT raw.*, p FROM raw JOIN (SELECT series, min(value) AS p FROM ranked WHERE k >= ceil(0.9::DOUBLE * n) GROUP BY 1) USING (series)),
+    {_series_stump_sql(0, ("count(*) FILTER (WHERE value <= p)", "(0.9::DOUBLE * {n} - {c})"), 10)},
+    inside AS (
+      SELECT series, is_low, value - p AS r, row_number() OVER (PARTITION BY series, is_low ORDER BY value - p) AS k, count(*) OVER (PARTITION BY series, is_low) AS n
+      FROM placed_0 WHERE train),
+    leaf AS (SELECT series, is_low, min(r) AS q FROM inside WHERE k >= ceil(0.9::DOUBLE * n) GROUP BY 1, 2)
+    SELECT series, ts, CASE WHEN train THEN 'train' ELSE 'test' END AS split, value AS actual, round(p + 0.5::DOUBLE * q, 2) AS pred
+    FROM placed_0 JOIN leaf USING (series, is_low)""",
+)
+def series_quantile_stumps(spark, folder):
+    """One round of quantile boosting with one split for each series."""
+    growth = forest.Growth({"pred": 0.9}, rounds=1, rate=0.5, max_depth=1, max_bins=60)
+    table = series_stump_features(spark, folder)
+    model = forest.fit_forest(table, SERIES_STUMP_FEATURES, growth)
+    return tidy(forest.score_forest(model, table, SERIES_STUMP_FEATURES, growth).selectExpr(*SCORED), 2)
+
+
+@query("series_trees", f"""WITH {w.DAILY_LOAD_SQL} SELECT count(DISTINCT series)::BIGINT AS series, 0::BIGINT AS small_leaves, 0::BIGINT AS off_mean FROM daily_load""")
+def series_trees(spark, folder):
+    """A tree for each series, as deep as it goes: every leaf has 20 training rows or more, and their mean as its forecast."""
+    scored = forest.tree_by_series(series_stump_features(spark, folder), SERIES_STUMP_FEATURES).filter("split = 'train'")
+    leaves = scored.groupBy("series", F.round("pred", 6).alias("pred")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
+    off = F.abs(F.col("mean") - F.col("pred")) > 1e-6 * F.abs(F.col("mean"))
+    return leaves.agg(F.count_distinct("series").alias("series"), F.count_if(F.col("n") < 20).alias("small_leaves"), F.count_if(off).alias("off_mean"))
+
+
 @query("lagged_pipeline")
 def lagged_pipeline(spark, folder):
     """Load and weather to scores: features, whole-number casts, split by date, tree, R2 and MAPE by day."""
@@ -285,6 +358,43 @@ def model_roundtrip(spark, folder):
     )
 
 
+# --- linear quantiles ------------------------------------------------------------------------
+
+LINES = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
+
+
+def line_rows(spark, folder):
+    """The daily load with a constant, the trend, the weekly and the yearly wave and the weekend, scaled to the series' mean."""
+    table = w.daily_load(spark, folder)
+    mean = table.groupBy("series").agg(F.avg("value").alias("mean"))
+    scaled = segments.attach_series(table, mean, ["series"], segments.segment_of("ts"))
+    day = F.unix_date(F.to_date("ts")).cast("double")
+    waves = [f(F.lit(2 * pi / period) * day) for period in (7.0, 365.25) for f in (F.cos, F.sin)]
+    x = F.array(F.lit(1.0), day / 3650.0 - 2.5, *waves, (F.weekday("ts") > 4).cast("double"))
+    return scaled.select("series", "ts", x.alias("x"), (F.col("value") / F.col("mean")).alias("y"), "value", "mean")
+
+
+@query("quantile_lines")
+def quantile_lines_query(spark, folder):
+    """Linear forecasts of the 5 %, 50 % and 95 % quantile, for each series."""
+    rows = line_rows(spark, folder)
+    scored = quantile_lines.predict_quantiles(rows, quantile_lines.fit_quantile_lines(rows, list(LINES.values())), LINES)
+    return tidy(scored.select("series", "ts", F.col("value").alias("actual"), *[(F.col(n) * F.col("mean")).alias(n) for n in LINES]))
+
+
+@query(
+    "quantile_lines_best",
+    f"""WITH {w.DAILY_LOAD_SQL} SELECT series, q::DOUBLE AS q, 7::BIGINT AS terms, 0::BIGINT AS better
+    FROM (SELECT DISTINCT series FROM daily_load), (SELECT unnest([0.05, 0.5, 0.95]) AS q)""",
+)
+def quantile_lines_best(spark, folder):
+    """What must hold of a least pinball loss: no single coefficient's change lowers it."""
+    rows = line_rows(spark, folder)
+    changes = quantile_lines.better_changes(rows, quantile_lines.fit_quantile_lines(rows, list(LINES.values())))
+    better = F.least("lower", "higher") < F.col("loss") * (1 - 1e-4)
+    return changes.groupBy("series", "q").agg(F.count(F.lit(1)).alias("terms"), F.count_if(better).alias("better"))
+
+
 # --- decomposition and cross-validation ------------------------------------------------------
 
 CV = dict(initial_hours=365 * 24, period_hours=100 * 24, horizon_hours=28 * 24)
@@ -342,6 +452,86 @@ def decompose_hourly(spark, folder):
     return tidy(decompose.decompose(w.hourly_load(spark, folder), HOURLY_MODEL, periods=168), 4)
 
 
+SPARSE_MODEL = decompose.Additive(changepoint_prior_scale=0.05, sparse=True)
+
+
+@query("sparse_trend")
+def sparse_trend(spark, folder):
+    """The decomposition with a trend whose changes are mostly exactly zero."""
+    return tidy(decompose.decompose(w.daily_load(spark, folder), SPARSE_MODEL, periods=30, step_hours=24), 2)
+
+
+@query(
+    "sparse_trend_conditions",
+    f"""WITH {w.DAILY_LOAD_SQL} SELECT series, {len(SPARSE_MODEL.penalty())}::BIGINT AS terms, 0::BIGINT AS off, true AS has_zeros FROM daily_load GROUP BY 1""",
+)
+def sparse_trend_conditions(spark, folder):
+    """What must hold of the least absolute-penalty solution: a term that isn't zero has a gradient of exactly its penalty, a zero one at most that.
+
+    The gradients are summed over the rows, apart from the fit."""
+    rows, fit = decompose.fitted(w.daily_load(spark, folder), SPARSE_MODEL)
+    path = files.work_path(spark, "design")
+    rows.write.parquet(path)
+    rows = spark.read.parquet(path)
+    scored = segments.attach_series(rows, fit, ["series"], segments.segment_of("ts"))
+    residual = F.col("value") / F.col("_scale") - quantile_lines.dot("x", "coef")
+    cells = scored.select("series", "coef", residual.alias("r"), F.posexplode("x").alias("j", "v"))
+    penalties = [F.array(*[F.lit(p) for p in each]) for each in (SPARSE_MODEL.penalty(), SPARSE_MODEL.lasso())]
+    sums = cells.groupBy("series", "j").agg(F.sum(F.col("r") * F.col("v")).alias("g"), F.first(F.get("coef", F.col("j"))).alias("c"))
+    sums = sums.select("series", "c", F.get(penalties[1], F.col("j")).alias("lasso"), (F.col("g") - F.get(penalties[0], F.col("j")) * F.col("c")).alias("g"))
+    good = F.when(F.col("c") == 0, F.abs("g") <= F.col("lasso") + 1e-6).otherwise(F.abs(F.col("g") - F.col("lasso") * F.signum("c")) <= 1e-6)
+    return sums.groupBy("series").agg(
+        F.count(F.lit(1)).alias("terms"), F.count_if(~good).alias("off"), (F.count_if((F.col("c") == 0) & (F.col("lasso") > 0)) > 0).alias("has_zeros")
+    )
+
+
+PATHS = dict(periods=30, paths=60)
+
+
+def _paths_sql(source, name, model, periods, paths):
+    p = len(model.penalty())
+    draws = ", ".join(
+        f"(('0x' || substr(md5(series || '|' || path || '|' || step || '|{i}'), 1, 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS u{i}" for i in range(4)
+    )
+    c = model.changepoints
+    return f"""WITH RECURSIVE {source}, {w.HOLIDAYS_SQL}, {rs.NAMED_DAYS_SQL},
+    span AS (SELECT series, min(ts) AS f, max(ts) AS l, max(abs(value)) AS peak FROM {name} GROUP BY 1),
+    frame AS (
+      SELECT series, ts, value, 0 AS step FROM {name}
+      UNION ALL SELECT series, l + to_days(k::INT), NULL, k FROM span, (SELECT unnest(range(1, {periods + 1})) AS k)),
+    designed AS (
+      SELECT fr.series, fr.ts, fr.value, fr.step, peak, {rs.design_sql(model, 'fr.ts')} AS x
+      FROM frame fr JOIN span USING (series) LEFT JOIN named_days d ON d.ds = fr.ts::DATE),
+    train AS (SELECT series, list_append(x, value / peak) AS xy FROM designed WHERE value IS NOT NULL),
+    {rs.gram_sql('gram', 'train', 'series', p)}, {rs.penalty_sql(model.penalty())},
+    cells AS (
+      SELECT g.series, g.i, g.j, g.v + CASE WHEN g.i = g.j THEN w ELSE 0 END AS v FROM gram g JOIN penalty USING (i)),
+    {rs.solve_sql('fit', 'cells', 'series', p)},
+    scored AS (SELECT *, {rs.dot_sql('x', 'coef', 1, p)} AS yhat FROM designed JOIN fit USING (series)),
+    spread AS (SELECT series, sqrt(avg((value / peak - yhat) ** 2)) AS sigma FROM scored WHERE value IS NOT NULL GROUP BY 1),
+    sizes AS (
+      SELECT fit.series, list_sum(list_transform(coef[3:{2 + c}], lambda v: abs(v))) / {c} AS size, 86400.0::DOUBLE / (epoch(l) - epoch(f)) AS dt, sigma
+      FROM fit JOIN span USING (series) JOIN spread USING (series)),
+    drawn AS (
+      SELECT series, ts, step, yhat, peak, size, dt, sigma, path, {draws}
+      FROM scored JOIN sizes USING (series), (SELECT unnest(range(1, {paths + 1})) AS path) WHERE step > 0),
+    moved AS (
+      SELECT *, CASE WHEN u0 < {c} * dt THEN -size * sign(u1 - 0.5::DOUBLE) * ln(1 - 2 * abs(u1 - 0.5::DOUBLE)) ELSE 0 END AS change,
+             sigma * sqrt(-2 * ln(u2)) * cos(2 * pi() * u3) AS noise FROM drawn),
+    slopes AS (SELECT *, sum(change) OVER (PARTITION BY series, path ORDER BY step) AS slope FROM moved),
+    paths AS (
+      SELECT *, coalesce(sum(slope * dt) OVER (PARTITION BY series, path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM slopes)
+    SELECT series, ts, step::BIGINT AS step, round(any_value(yhat * peak), 2) AS yhat,
+           round(quantile_cont(peak * (yhat + off + noise), 0.1), 2) AS yhat_lower, round(quantile_cont(peak * (yhat + off + noise), 0.9), 2) AS yhat_upper
+    FROM paths GROUP BY 1, 2, 3"""
+
+
+@query("trend_paths", _paths_sql(w.DAILY_LOAD_SQL, "daily_load", DAILY_MODEL, **PATHS))
+def trend_paths(spark, folder):
+    """A forecast whose bounds widen, as the trend may go on changing."""
+    return tidy(decompose.trend_paths(w.daily_load(spark, folder), DAILY_MODEL, step_hours=24, **PATHS), 2)
+
+
 @query(
     "future_frame",
     f"""WITH {w.HOURLY_LOAD_SQL}, l AS (SELECT series, max(ts) AS m FROM hourly_load GROUP BY 1)
@@ -491,6 +681,21 @@ def forecast_tail(spark, folder):
     return tidy(recursive.forecast_tail(w.hourly_load(spark, folder), 48, 24), 3)
 
 
+NETWORK = sequence.Network(layers=5, filters=8, hidden=16, epochs=12, batches=2, rate=0.01)
+
+
+@query("sequence_forecast")
+def sequence_forecast(spark, folder):
+    """The last 48 hours, held out, beside the forecasts of the trained sequence model and of the linear one."""
+    indexed = segments.index_rows(w.hourly_load(spark, folder), ["series"], "ts")
+    ahead = F.col(segments.RN) - F.col(segments.SIZE) + 48
+    history = indexed.filter(ahead < 0).select("series", "ts", "value")
+    actual = indexed.filter(ahead >= 0).select("series", (ahead + 1).cast("int").alias("step"), F.col("value").alias("actual"))
+    net = sequence.sequence_forecast(history, 96, 24, 48, 12, NETWORK).withColumnRenamed("pred", "network")
+    linear = recursive.recursive_forecast(history, 24, 48).withColumnRenamed("pred", "linear")
+    return tidy(actual.join(net, ["series", "step"], "left").join(linear, ["series", "step"], "left"), 4)
+
+
 # --- weekly shapes ---------------------------------------------------------------------------
 
 
@@ -671,13 +876,13 @@ def _kmeans_sql(k, rounds):
     return ",\n".join(parts)
 
 
-# more rounds than the small tables take until the centroids stand still; further ones change nothing
+# the same rounds on both sides, at any scale
 ROUNDS = 8
 KMEANS_SQL = _kmeans_sql(4, ROUNDS)
 
 
 def clusters(spark, folder):
-    return shapes.dtw_kmeans(day_shapes(spark, folder), k=4, iters=100)
+    return shapes.dtw_kmeans(day_shapes(spark, folder), k=4, iters=ROUNDS)
 
 
 @query("dtw_kmeans", f"WITH RECURSIVE {KMEANS_SQL} SELECT series, year, week, cluster, round(dtw, 6) AS dist FROM a{ROUNDS - 1}")
@@ -696,6 +901,17 @@ def dtw_centroids(spark, folder):
     return tidy(centroids.select("cluster", F.posexplode("centroid").alias("pos", "value")))
 
 
+@query("barycentres", f"WITH {DAY_SHAPES_SQL} SELECT least(4, count(*))::BIGINT AS clusters, count(*)::BIGINT AS days, true AS settled FROM shapes")
+def barycentres(spark, folder):
+    """Clusters around barycentres: a further round assigns no day anew."""
+    days = day_shapes(spark, folder)
+    assigned, centroids = shapes.dtw_kmeans(days, k=4, iters=100, barycentres=True)
+    centres = [row["centroid"] for row in centroids.orderBy("cluster").collect()]
+    again = shapes.assign_clusters(days, centres).select("series", "year", "week", F.col("cluster").alias("again"))
+    both = assigned.select("series", "year", "week", "cluster").join(again, ["series", "year", "week"])
+    return both.agg(F.lit(len(centres)).cast("bigint").alias("clusters"), F.count(F.lit(1)).alias("days"), (F.count_if(F.col("cluster") != F.col("again")) == 0).alias("settled"))
+
+
 @query(
     "cluster_weeks",
     f"""WITH RECURSIVE {KMEANS_SQL}, totals AS (
