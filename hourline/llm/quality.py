@@ -44,7 +44,7 @@ HELD_OUT = 5
 #: Share of the held-out documents whose weights are at least the k-th one.
 RECALL = 0.998
 #: Log ratio from which an n-gram tells of a class, and how many such n-grams are broadcast at most, the strongest ones.
-TELLING, MAX_TELLING = 2.0, 100_000
+TELLING, MAX_TELLING = 1.5, 100_000
 #: N-grams are known by so many hash values; ``BUCKETS`` divides it.
 GRAMS = 1 << 40
 #: Counts added to an n-gram's target count and to what the raw model expects there.
