@@ -7,22 +7,11 @@ given for them.
 
 ``near_copies`` links fingerprints that differ in at most ``radius`` bits, all of them: such two differ
 in at most ``radius`` of ``radius + 2`` bit blocks and so agree on two, and each pair of blocks makes a
-shard. Equal fingerprints are one node, so a group of exact copies costs one row whatever its size. Of
-each shard only a spanning forest leaves, never all pairs, and the forests' components are those of
+shard. Equal fingerprints are one node, so a group of exact copies costs one row whatever its size. A shard of over
+``CROWD`` nodes is cut into blocks, by a hash, and each two blocks meet in a task of their own, so that no task holds more
+than two blocks. Of each task only a spanning forest leaves, never all pairs, and the forests' components are those of
 all links.
 
-``similar_groups`` links texts whose shingle sets have a Jaccard similarity of 0.8 or more, which
-fingerprints can only propose. There a fingerprint has two words: such texts differ in about 19 of 128
-bits and nearly always in ``REACH`` at most, unlike texts in some 60. That is too many for blocks, so the
-shards are ``TABLES`` fixed choices of ``KEY_BITS`` bits; each text proposes its nearest partners in each
-shard, and proposals are decided on the whole shingle sets. That goes in rounds: in shards where a text
-may have further partners in ``REACH``, each text proposes ``MORE`` times as many, now of other groups than
-its own only, until no text has further ones. So any two texts in ``REACH`` that share a shard are compared
-or in one group anyway. Fingerprints at 19 bits meet in some shard with probability 0.998, at 28 with
-0.88, and groups are found through any of their pairs. Texts of a few shingles are found less often: a
-single one turns many of their bits. The first round parts a shard of over ``CROWD`` members by further
-bits; the later ones cut it into blocks, and each two blocks meet in a task.
-
 Defined results: a null text counts as empty; a text without words has fingerprint zero, which links
 like any other; a text with fewer words than a shingle counts as one shingle. Repeated rows give
 repeated rows. The component of a group is its smallest id; ids that are null don't count, and a group
@@ -43,21 +32,15 @@ from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
 from hourline.llm.bit_filter import BitFilter
-from hourline.llm.bktree import LEAF, BkTree, distances, links
+from hourline.llm.bktree import links
 from hourline.llm.components import connected_components
 from hourline.llm.frames import col, stored, utf8
 
-SHINGLE = 5
-SIMILARITY = 0.8
-RADIUS = 3
+SHINGLE = 4
+RADIUS = 4
 SEED = 42
-#: Bits of 128 that similar texts differ in at most, but for one or two in a hundred of those at SIMILARITY.
-REACH = 28
-TABLES, KEY_BITS, CROWD, PARTNERS = 40, 12, 1 << 14, 2
-#: Each round asks for so many times the partners of the round before.
-MORE = 8
-#: Pairs of members that are compared at once.
-_PAIRS = 1 << 21
+#: Nodes of a shard that are compared in one task.
+CROWD = 1 << 14
 #: Shingles whose bits are counted at once.
 _STEP = 1 << 14
 
@@ -114,9 +97,20 @@ def _shards(prints: DataFrame, radius: int) -> DataFrame:
     return prints.select("fingerprint", F.explode(F.array(*pairs)).alias("s")).select("s.*", "fingerprint")
 
 
-def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
+def _block_pairs(shards: DataFrame, crowd: int) -> DataFrame:
+    """(pair, x, y, low, high, fingerprint): small shards as they are, with blocks 0 and 0; of larger ones each node goes to its block's meetings with
+    all blocks of its shard."""
+    sizes = shards.groupBy("pair", "x", "y").agg(F.ceil(F.count(F.lit(1)) / F.lit(crowd)).alias("blocks")).filter("blocks > 1")
+    sized = shards.join(stored(sizes, "crowds"), ["pair", "x", "y"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("bigint")))
+    own = sized.withColumn("own", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    return met.select("pair", "x", "y", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fingerprint")
+
+
+def fingerprint_links(prints: DataFrame, radius: int, crowd: int = CROWD) -> DataFrame:
     """Edges (a, b) between different fingerprints (one row each) that hold all groups together."""
-    dealt = _shards(prints, radius).repartition("pair", "x", "y").sortWithinPartitions("pair", "x", "y", "fingerprint")
+    keys = ("pair", "x", "y", "low", "high")
+    dealt = _block_pairs(_shards(prints, radius), crowd).repartition(*keys).sortWithinPartitions(*keys, "fingerprint")
 
     def forest(shard: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         members = np.concatenate(shard)
@@ -127,18 +121,18 @@ def fingerprint_links(prints: DataFrame, radius: int) -> DataFrame:
         key, held = None, []  # the last shard of a batch may go on in the next one
         for batch in batches:
             columns = [c.to_numpy() for c in batch.columns]
-            new = np.any([np.diff(c) != 0 for c in columns[:3]], axis=0)
+            new = np.any([np.diff(c) != 0 for c in columns[: len(keys)]], axis=0)
             cuts = [0, *(np.flatnonzero(new) + 1).tolist(), batch.num_rows]
             ones, twos = [], []
             for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
-                this = tuple(c[begin] for c in columns[:3])
+                this = tuple(c[begin] for c in columns[: len(keys)])
                 if this != key:
                     if sum(map(len, held)) > 1:
                         a, b = forest(held)
                         ones.append(a)
                         twos.append(b)
                     key, held = this, []
-                held.append(columns[3][begin:end])
+                held.append(columns[-1][begin:end])
             if ones:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ones, twos)], names=["a", "b"])
         if sum(map(len, held)) > 1:
@@ -165,247 +159,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return named.select(F.col("id").alias(id_col), text, F.col("least").alias("component_id"))
 
 
-def _tables() -> list[tuple[int, int]]:
-    """The key bits of each table, as masks of the two words."""
-    rng = np.random.default_rng(SEED)
-    masks = []
-    for _ in range(TABLES):
-        bits = [int(b) for b in rng.choice(128, KEY_BITS, replace=False)]
-        words = [sum(1 << (b % 64) for b in bits if b // 64 == w) for w in (0, 1)]
-        masks.append(tuple(m - (1 << 64) if m >> 63 else m for m in words))
-    return masks
-
-
-def _nearest(prints: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(member, earlier member) for the PARTNERS nearest earlier members of the same shard in REACH.
-
-    Members come by shard. Those of small shards are compared by their distance in the list, all shards
-    at once; large ones have a BK-tree each.
-    """
-    n = len(prints)
-    begins = np.flatnonzero(np.diff(shard, prepend=shard[0] - 1))
-    sizes = np.diff(np.append(begins, n))
-    size = np.repeat(sizes, sizes)
-    far = 65
-    best, partner = np.full((PARTNERS, n), far), np.full((PARTNERS, n), -1)
-
-    def offer(members: np.ndarray, earlier: np.ndarray, distance: np.ndarray) -> None:
-        for rank in range(PARTNERS):
-            nearer = distance < best[rank, members]
-            at = members[nearer]
-            best[rank, at], distance[nearer] = distance[nearer], best[rank, at]
-            partner[rank, at], earlier[nearer] = earlier[nearer], partner[rank, at]
-
-    small = np.flatnonzero(size <= LEAF)
-    for step in range(1, LEAF):
-        here = small[(size[small] > step) & (small >= step)]
-        here = here[shard[here] == shard[here - step]]
-        if not len(here):
-            break
-        distance = distances(prints[here], prints[here - step])
-        near = distance <= REACH
-        offer(here[near], here[near] - step, distance[near])
-    for begin, length in zip(begins[sizes > LEAF].tolist(), sizes[sizes > LEAF].tolist(), strict=True):
-        for group in _parted(prints, np.arange(begin, begin + length)):
-            for ones, twos in BkTree(prints, group).near(prints, group, REACH):
-                earlier = twos < ones
-                ones, twos = ones[earlier], twos[earlier]
-                distance = distances(prints[ones], prints[twos])
-                order = np.lexsort((distance, ones))
-                ones, twos, distance = ones[order], twos[order], distance[order]
-                place = np.arange(len(ones)) - np.searchsorted(ones, ones)
-                for rank in range(PARTNERS):
-                    some = place == rank
-                    offer(ones[some], twos[some], distance[some])
-    found = [np.flatnonzero(p >= 0) for p in partner]
-    return np.concatenate(found), np.concatenate([p[f] for p, f in zip(partner, found, strict=True)])
-
-
-def _parted(prints: np.ndarray, members: np.ndarray, bit: int = 0) -> Iterator[np.ndarray]:
-    """A crowd by further bits, until each part has CROWD members or the bits end; then cut in order."""
-    if len(members) <= CROWD:
-        yield members
-    elif bit < 128:
-        at = bit * 37 % 128
-        one = (prints[members, at // 64] >> np.uint64(at % 64) & np.uint64(1)).astype(bool)
-        for part in (members[~one], members[one]):
-            if len(part):
-                yield from _parted(prints, part, bit + 1)
-    else:  # equal fingerprints of different texts
-        for k in range(0, len(members), CROWD - 1):
-            yield members[k : k + CROWD]  # neighbours share a member
-
-
-def _in_tables(nodes: DataFrame) -> DataFrame:
-    """A row of the node (node, fingerprint, fingerprint_1 and more) for each table, with its ``shard`` there."""
-    masks = _tables()
-    tables = F.explode(F.array(*[F.lit(t).cast("smallint") for t in range(TABLES)]))
-    words = ("fingerprint", "fingerprint_1")
-    keys = [F.col(w).bitwiseAND(F.element_at(F.array(*[F.lit(m[i]).cast("bigint") for m in masks]), F.col("t") + 1)) for i, w in enumerate(words)]
-    return nodes.select(tables.alias("t"), "*").withColumn("shard", F.xxhash64("t", *keys)).drop("t")
-
-
-def _whole_shards(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
-    """(columns, number of each row's shard) of sorted rows; the first ``n_keys`` columns name a shard, and none is cut."""
-    held: list[np.ndarray] | None = None  # the last shard of a batch may go on in the next one
-    for batch in batches:
-        columns = [c.to_numpy() for c in batch.columns]
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        new = np.any([np.diff(c) != 0 for c in columns[:n_keys]], axis=0)
-        last = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
-        held = [c[last:] for c in columns]
-        if last:
-            yield [c[:last] for c in columns], np.cumsum(np.append(0, new[: last - 1]))
-    if held is not None and len(held[0]):
-        yield held, np.zeros(len(held[0]), dtype=np.int64)
-
-
-def _first_proposals(nodes: DataFrame) -> DataFrame:
-    """(a, b): pairs of nodes (node, fingerprint, fingerprint_1) that may be similar, each pair once: the PARTNERS
-    nearest of each node in each shard. A row without b names a shard, as a, that may hold further ones."""
-    words = ("fingerprint", "fingerprint_1")
-    dealt = _in_tables(nodes).select("shard", *words, "node").repartition("shard").sortWithinPartitions("shard", *words, "node")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, shard in _whole_shards(batches, 1):
-            crowded = np.isin(shard, np.flatnonzero(np.bincount(shard) > 1))
-            if crowded.any():
-                name, one, two, node = (c[crowded] for c in columns)
-                ones, twos = _nearest(np.stack([one, two], axis=1).view(np.uint64), shard[crowded])
-                full = np.bincount(ones, minlength=len(node)) == PARTNERS
-                large = np.bincount(shard)[shard[crowded]] > CROWD
-                further = np.unique(name[full | large])
-                a, b = node[ones], node[twos]
-                yield _pairs(np.minimum(a, b), np.maximum(a, b), further)
-
-    return dealt.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
-
-
-def _pairs(a: np.ndarray, b: np.ndarray, shards: np.ndarray) -> pa.RecordBatch:
-    none = pa.nulls(len(shards), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, shards])), pa.concat_arrays([pa.array(b), none])], names=["a", "b"])
-
-
-def _others(prints: np.ndarray, group: np.ndarray, block: np.ndarray, partners: int) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """(member, other, whether a member has more) for the ``partners`` nearest members in REACH that are of
-    another group and, in a shard of two blocks, of the other block. Members of the largest group are only
-    others: a pair of two groups has an end outside it."""
-    names, at, sizes = np.unique(group, return_inverse=True, return_counts=True)
-    asked = np.flatnonzero(at != sizes.argmax())
-    if not len(asked):
-        return
-    two, tree = block.min() != block.max(), BkTree(prints)
-    step = max(1, _PAIRS // len(prints))
-    for k in range(0, len(asked), step):
-        ones, twos = (np.concatenate(x) for x in zip(*tree.near(prints, asked[k : k + step], REACH), strict=True))
-        good = (at[ones] != at[twos]) & (block[ones] != block[twos] if two else True)
-        ones, twos = ones[good], twos[good]
-        order = np.lexsort((twos, distances(prints[ones], prints[twos]), ones))
-        ones, twos = ones[order], twos[order]
-        place = np.arange(len(ones)) - np.searchsorted(ones, ones)
-        some = place < partners
-        yield ones[some], twos[some], not some.all()
-
-
-def _further_proposals(nodes: DataFrame, shards: DataFrame, partners: int) -> DataFrame:
-    """As ``_first_proposals``, for the given shards (a) and nodes with the ``group`` that each is in so far: the
-    ``partners`` nearest of other groups. A shard of over CROWD nodes is cut into blocks, and each two meet."""
-    rows = _in_tables(nodes)
-    sizes = rows.join(shards.select(F.col("a").alias("shard")), "shard", "left_semi").groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(CROWD)).alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("own")
-    met = rows.join(sizes, "shard").select("*", own).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    low, high = F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    keys = ("shard", "low", "high")
-    dealt = met.select("shard", low, high, "own", "fingerprint", "fingerprint_1", "node", "group").repartition(*keys).sortWithinPartitions(*keys)
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of ``docs``, all columns, with one row of each group of near-copies.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns, shard in _whole_shards(batches, 3):
-            name, low, high, own, one, two, node, group = columns
-            prints = np.stack([one, two], axis=1).view(np.uint64)
-            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
-            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
-                if low[begin] != high[begin] and own[begin:end].min() == own[begin:end].max():
-                    continue  # one of the blocks is empty
-                here = slice(begin, end)
-                for ones, twos, more in _others(prints[here], group[here], own[here], partners):
-                    if len(ones):
-                        a, b = node[here][ones], node[here][twos]
-                        yield _pairs(np.minimum(a, b), np.maximum(a, b), name[begin : begin + 1] if more else name[:0])
-
-    return dealt.mapInArrow(run, "a BIGINT, b BIGINT").distinct()
-
-
-def _shingle_sets(texts: DataFrame, shingle: int) -> DataFrame:
-    """(content, shingles): the distinct shingle hashes of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(np.concatenate([np.empty(0, "<u8"), *(h[0] for h in shingle_hashes(t, shingle))])).view("<i8") for t in utf8(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["content", "shingles"])
-
-    return texts.mapInArrow(run, "content BIGINT, shingles ARRAY<BIGINT>")
-
-
-def _content(text: F.Column) -> F.Column:
-    """A text's hash; texts without words are all alike."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.when(text.rlike("[^ \\t-\\r]"), F.xxhash64(text)).otherwise(F.lit(0).cast("bigint"))
-
-
-def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(content, group): texts by hash (see ``_content``) and their group, named by one of its texts.
-    Texts that are similar to no other are left out."""
-    texts = docs.select(_content(col(text_col)).alias("content"), col(text_col).cast("string").alias("text"))
-    prints = stored(fingerprints(texts, "content", "text", shingle, (SEED, SEED + 1)), "fingerprints")
-    # numbers instead of hashes: what each table repeats is shorter
-    nodes = stored(prints.withColumnRenamed("id", "content").dropDuplicates(["content"]).withColumn("node", F.monotonically_increasing_id()), "nodes")
-    proposed, partners = stored(_first_proposals(nodes), "proposals"), PARTNERS
-    found = nodes.sparkSession.createDataFrame([], "node BIGINT, component BIGINT")
-    tried = sets = None
-    while True:
-        pairs = proposed.filter("b IS NOT NULL")
-        tried, pairs = (pairs, pairs) if tried is None else (tried.unionByName(pairs).distinct(), stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"))
-        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        asked = stored((asked if sets is None else asked.join(sets, "node", "left_anti")).join(nodes, "node").select("node", "content"), "asked")
-        if sets is None or asked.head(1):
-            maybe = BitFilter(asked.select("content")).rows(texts, F.col("content"))
-            wanted = maybe.join(asked.select("content"), "content").dropDuplicates(["content"])
-            new = stored(_shingle_sets(wanted, shingle).join(asked, "content").select("node", "shingles"), "shingles")
-            sets = new if sets is None else sets.unionByName(new)
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        shared = F.size(F.array_intersect("x", "y"))
-        alike = both.select("a", "b", shared.alias("n"), (F.size("x") + F.size("y")).alias("sum")).filter(F.col("n") >= F.lit(similarity) * (F.col("sum") - F.col("n")))
-        alike = stored(alike.select("a", "b"), "alike")
-        if alike.head(1):
-            found = connected_components(alike.unionByName(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-        shards = proposed.filter("b IS NULL")
-        if not shards.head(1):
-            break
-        partners *= MORE
-        grouped = nodes.join(found, "node", "left").select("node", "fingerprint", "fingerprint_1", F.coalesce("component", "node").alias("group"))
-        proposed = stored(_further_proposals(stored(grouped, "grouped"), shards, partners), "proposals")
-    # a group is named by its least node, whose content is one of the group's
-    names = found.join(nodes.select("node", "content"), "node").join(nodes.select(F.col("node").alias("component"), F.col("content").alias("group")), "component")
-    return names.select("content", "group")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs``, all columns, with one row of each group of similar texts.
-
-    Rows whose text is in no group of several rows are told by a filter of fixed size and stay where
-    they are; the others meet the first rows of all groups."""
-    groups = stored(similar_groups(docs, text_col, shingle, similarity), "groups")
-    key = F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), F.xxhash64(*[col(c) for c in docs.columns]).alias("row"))
-    slim = docs.select(key.alias("key"), _content(col(text_col)).alias("content")).join(groups, "content", "left")
-    slim = slim.select("content", "key", F.coalesce("group", "content").alias("group"))
-    first = stored(slim.groupBy("group").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")), "first")
-    several = first.filter("n > 1").select("group")
-    contents = groups.join(several, "group").select("content").unionByName(several.select(F.col("group").alias("content")))
-    in_several = BitFilter(contents)
-    alone = in_several.rows(docs, _content(col(text_col)), hit=False)
-    others = in_several.rows(docs, _content(col(text_col)))
-    tagged = others.select(col(id_col).alias("id"), F.xxhash64(*[col(c) for c in docs.columns]).alias("hash"), F.struct("*").alias("row"))
-    named = first.select(F.col("key.id").alias("first_id"), F.col("key.row").alias("first_row"))
-    kept = tagged.join(named, (F.col("hash") == F.col("first_row")) & F.col("id").eqNullSafe(F.col("first_id")))
-    return alone.unionByName(kept.dropDuplicates(["first_id", "first_row"]).select("row.*"))
+    Rows that are alone in their group are told by a filter of fixed size and stay where they are; the others meet the first rows of
+    all groups."""
+    whole = F.xxhash64(*[col(c) for c in docs.columns])
+    asked = docs.select(F.struct(col(id_col).isNull().alias("none"), col(id_col).alias("id"), whole.alias("row")).alias("key"), col(text_col).cast("string").alias("text"))
+    slim = stored(fingerprints(asked, "key", "text", shingle).withColumnRenamed("id", "key"), "fingerprints")
+    prints = slim.select("fingerprint").distinct()
+    found = connected_components(fingerprint_links(prints, radius))
+    groups = stored(found.select(F.col("node").alias("fingerprint"), F.col("component").alias("group")), "groups")
+    named = slim.join(groups, "fingerprint", "left").select("key", F.coalesce("group", "fingerprint").alias("group"))
+    first = stored(named.groupBy("group").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first")
+    members = stored(named.join(first, "group").select(F.col("key.id").alias("id"), F.col("key.row").alias("row"), (F.col("key") == F.col("first")).alias("first")).distinct(), "members")
+    in_several = BitFilter(members.select("row"))
+    alone = in_several.rows(docs, whole, hit=False)
+    others = in_several.rows(docs, whole).select(col(id_col).alias("id"), whole.alias("hash"), F.struct("*").alias("row"))
+    told = members.select(F.col("id").alias("member_id"), F.col("row").alias("member_row"), "first")
+    met = stored(others.join(told, (F.col("hash") == F.col("member_row")) & F.col("id").eqNullSafe(F.col("member_id")), "left"), "others")
+    passed = met.filter("first IS NULL").select("row.*")
+    kept = met.filter("first").dropDuplicates(["id", "hash"]).select("row.*")
+    return alone.unionByName(passed).unionByName(kept)

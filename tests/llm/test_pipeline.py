@@ -12,7 +12,7 @@ import corpus_pipeline
 from hourline.llm import decontaminate, line_dedup
 from hourline.llm.html_text import main_text
 from hourline.llm.queries import BPE_FILE, QUERIES
-from tests.llm.test_near_copies import alike, groups_of
+from tests.llm.test_near_copies import groups_of, near
 from tests.llm.test_text_filters import leaks, without_recurring
 from tools.check import compare, duck
 
@@ -25,7 +25,7 @@ def con():
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
@@ -58,7 +58,7 @@ def test_stages(spark):
 
     before, after = made["SimHash near-dedup"]
     held = sorted((r.doc_id, r.text) for r in before.collect())
-    groups = groups_of(len(held), alike([t for _, t in held], 5))
+    groups = groups_of(len(held), near([t for _, t in held], 4, 4))
     first = {held[g][0] for g in groups}
     assert rows(after) == [r for r in rows(before) if r.doc_id in first]
 
@@ -74,6 +74,19 @@ def test_stages(spark):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
 
 
+def test_run_on_odd_tables(spark, monkeypatch, tmp_path):
+    """Null ids and texts, repeated rows, further columns and an empty table go through all stages."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(60)
+    first = docs.first()
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, first.text, "en", "s", 1), (first.doc_id, first.text, first.lang, first.source, first.n_chars), (900001, "", "en", "s", 0)], docs.schema)
+    for name, table in (("odd", docs.unionByName(odd).withColumns({"id": F.lit("x"), "key": F.lit(1), "ids": F.lit("y")})), ("empty", docs.limit(0))):
+        for other in ("labels", "benchmark"):
+            spark.read.parquet(f"{FOLDER}/{other}.parquet").write.parquet(f"{tmp_path}/{name}/{other}.parquet")
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert out.count() > 0 if name == "odd" else out.count() == 0
+
+
 def test_run_writes_every_stage(spark):
     out = corpus_pipeline.run(spark, FOLDER)
     assert out.count() > 100 and out.filter(F.col("n_tokens") < 0).count() == 0
