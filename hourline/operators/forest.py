@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hourline.operators.series_blocks import binary_matrix, blocks_of, column_of, places_in, series_id, to_binary
 from hourline.sources.files import remove_path, work_path
 
 KEYS = ("series",)
@@ -91,23 +92,6 @@ class _Forest:
         return np.arange(n, n + 2 * k)
 
 
-def _column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
-
-
-def _bytes_matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
-    """A BINARY column of equal lengths as a matrix."""
-    offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
-    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(len(column), width)
-
-
-def _binary(matrix: np.ndarray) -> pa.Array:
-    matrix = np.ascontiguousarray(matrix)
-    width = matrix.strides[0] if len(matrix) else 0
-    offsets = np.arange(len(matrix) + 1, dtype=np.int32) * width
-    return pa.Array.from_buffers(pa.binary(), len(matrix), [None, pa.py_buffer(offsets), pa.py_buffer(matrix.tobytes())])
-
-
 def _bin(values: list[np.ndarray], at: np.ndarray, edges: list[list[np.ndarray]]) -> np.ndarray:
     """Bin numbers of the features' values: 0 without a number, else 1 + the edges of the row's series that are smaller."""
     out = np.zeros((len(at), len(values)), np.uint8)
@@ -120,34 +104,10 @@ def _bin(values: list[np.ndarray], at: np.ndarray, edges: list[list[np.ndarray]]
     return out
 
 
-def _places(ids: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """Where each id stands in the sorted ``ids``; -1 if it isn't there."""
-    at = np.minimum(np.searchsorted(ids, wanted), max(0, len(ids) - 1))
-    return np.where(ids[at] == wanted, at, -1) if len(ids) else np.full(len(wanted), -1)
-
-
 def _numbers(features) -> list:
     return [F.col(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)]
 
 
-def _id(keys):
-    """A series as one number; NULL unless all keys are there."""
-    whole = F.lit(True)
-    for k in keys:
-        whole = whole & F.col(k).isNotNull()
-    return F.when(whole, F.xxhash64(*[F.col(k) for k in keys]))
-
-
-def _blocks(df: DataFrame, n: int) -> list[DataFrame]:
-    """The rows of each block by their ``_id``, written once if there are several."""
-    if n == 1:
-        return [df]
-    path = work_path(df.sparkSession, "blocks")
-    df.withColumn("_block", F.pmod("_id", F.lit(n))).write.partitionBy("_block").parquet(path)
-    whole = df.sparkSession.read.parquet(path)
-    return [whole.filter(F.col("_block") == b).select(*df.columns) for b in range(n)]
-
-
 def _series_of(train: DataFrame, n_features: int, growth: Growth, keys) -> DataFrame:
     """(keys, _id, edges, start): for each series the cut values of each feature and what its models start from."""
     # values that are rarer than one in four times the bins may share a bin with a neighbour
@@ -211,12 +171,12 @@ class _Rows:
             held = None  # (slots, sums, counts) that may go on in the next batch
 
             def out(held) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(held[0], pa.int32()), _binary(held[1]), _binary(held[2])], names=["slot", "sums", "counts"])
+                return pa.RecordBatch.from_arrays([pa.array(held[0], pa.int32()), to_binary(held[1]), to_binary(held[2])], names=["slot", "sums", "counts"])
 
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                series, bins = _column(batch, "series").astype(np.int64), _bytes_matrix(batch.column(1), "u1", n_features)
+                series, bins = column_of(batch, "series").astype(np.int64), binary_matrix(batch.column(1), "u1", n_features)
                 for g in range(n_models):
                     slot = slots[trees.walk(series * n_models + g, bins)]
                     open_, weight = np.flatnonzero(slot >= 0), gradient(batch, g)
@@ -243,7 +203,7 @@ class _Rows:
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                now = _column(batch, "slot"), _bytes_matrix(batch.column(1), "f8", width), _bytes_matrix(batch.column(2), "i8", width)
+                now = column_of(batch, "slot"), binary_matrix(batch.column(1), "f8", width), binary_matrix(batch.column(2), "i8", width)
                 if held is not None:
                     now = tuple(np.concatenate(x) for x in zip(held, now, strict=True))
                 first = np.flatnonzero(np.append(True, np.diff(now[0]) != 0))
@@ -265,7 +225,7 @@ class _Rows:
         losses, names = self.losses, self.names
 
         def gradient(batch: pa.RecordBatch, g: int) -> np.ndarray:
-            y, p = _column(batch, "y"), _column(batch, names[g])
+            y, p = column_of(batch, "y"), column_of(batch, names[g])
             return y - p if losses[g] is None else (y <= p).astype(float)
 
         return gradient
@@ -279,10 +239,10 @@ class _Rows:
 
         def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                series, bins, y = _column(batch, "series").astype(np.int64), _bytes_matrix(batch.column(1), "u1", n_features), _column(batch, "y")
+                series, bins, y = column_of(batch, "series").astype(np.int64), binary_matrix(batch.column(1), "u1", n_features), column_of(batch, "y")
                 for g in asked:
                     leaf = shared.value.walk(series * n_models + g, bins)
-                    yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(y - _column(batch, names[g]))], names=["leaf", "r"])
+                    yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(y - column_of(batch, names[g]))], names=["leaf", "r"])
 
         shares = sorted({self.losses[g] for g in asked})
         residuals = self.frame.mapInArrow(leaves, "leaf INT, r DOUBLE")
@@ -298,8 +258,8 @@ class _Rows:
 
         def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                series, bins = _column(batch, "series").astype(np.int64), _bytes_matrix(batch.column(1), "u1", n_features) if batch.num_rows else np.empty((0, n_features), np.uint8)
-                moved = [pa.array(_column(batch, p) + rate * shared.value.value[shared.value.walk(series * n_models + g, bins)]) for g, p in enumerate(names)]
+                series, bins = column_of(batch, "series").astype(np.int64), binary_matrix(batch.column(1), "u1", n_features) if batch.num_rows else np.empty((0, n_features), np.uint8)
+                moved = [pa.array(column_of(batch, p) + rate * shared.value.value[shared.value.walk(series * n_models + g, bins)]) for g, p in enumerate(names)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *moved], names=batch.schema.names)
 
         before, self.frame = self.frame, self.frame.mapInArrow(move, self.schema)
@@ -350,7 +310,7 @@ def _grow(rows: _Rows, n_trees: int, growth: Growth) -> _Forest:
 
 
 def _prepared(df: DataFrame, features, label: str | None, keys) -> DataFrame:
-    columns = [_id(keys).alias("_id"), *_numbers(features)]
+    columns = [series_id(keys).alias("_id"), *_numbers(features)]
     if label is not None:
         columns.append(F.when(F.expr(TRAIN) & ~F.isnan(F.col(label).cast("double")), F.col(label).cast("double")).alias("_y"))
     return df.select("*", *columns)
@@ -368,7 +328,7 @@ def fit_forest(df: DataFrame, features, growth: Growth, label="value", keys=KEYS
     blocks = -(-2 * leaves * growth.rounds * len(losses) * sizes["series"] // MAX_NODES)
     path = work_path(spark, "forest")
     schema = None
-    for part in _blocks(train, max(1, blocks)):
+    for part in blocks_of(train, max(1, blocks)):
         series = _series_of(part, len(features), growth, keys).orderBy("_id").toArrow()
         ids = series["_id"].to_numpy()
         if len(np.unique(ids)) != len(ids):
@@ -381,10 +341,10 @@ def fit_forest(df: DataFrame, features, growth: Growth, label="value", keys=KEYS
         def to_bins(batches: Iterator[pa.RecordBatch], shared=shared, n_features=n_features) -> Iterator[pa.RecordBatch]:
             ids, edges, start = shared.value
             for batch in batches:
-                at = _places(ids, _column(batch, "_id"))
-                values = [_column(batch, f"_f{i}").astype(float) for i in range(n_features)]
+                at = places_in(ids, column_of(batch, "_id"))
+                values = [column_of(batch, f"_f{i}").astype(float) for i in range(n_features)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(at, pa.int32()), _binary(_bin(values, at, edges)), batch.column(batch.schema.get_field_index("_y")), *(pa.array(np.ascontiguousarray(p)) for p in start[at].T)],
+                    [pa.array(at, pa.int32()), to_binary(_bin(values, at, edges)), batch.column(batch.schema.get_field_index("_y")), *(pa.array(np.ascontiguousarray(p)) for p in start[at].T)],
                     names=["series", "bins", "y", *(f"p{g}" for g in range(start.shape[1]))],
                 )
 
@@ -434,14 +394,14 @@ def score_forest(model: DataFrame, df: DataFrame, features, growth: Growth, keys
     """``df`` with a forecast column for each model of ``growth.losses``; walks every row down its series' trees."""
     features, keys, names = list(features), list(keys), list(growth.losses)
     n_models, n_features, rate, boosted = len(names), len(features), growth.rate, growth.boosted
-    known = model.withColumn("_id", _id(keys))
+    known = model.withColumn("_id", series_id(keys))
     nodes = known.agg(F.sum(F.size("feature")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-nodes // MAX_NODES))
     rows = _prepared(df, features, None, keys)
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
     out = None
     models = [known] if n_blocks == 1 else [known.filter(F.pmod("_id", F.lit(n_blocks)) == b) for b in range(n_blocks)]
-    for part, own in zip(_blocks(rows, n_blocks), models, strict=True):
+    for part, own in zip(blocks_of(rows, n_blocks), models, strict=True):
         table = own.orderBy("_id").toArrow()
         edges = [[np.array(e) for e in row] for row in table["edges"].to_pylist()]
         arrays = [{c: np.array(table[c][s].as_py()) for c in ("start", "roots", "feature", "cut", "left", "right", "value")} for s in range(table.num_rows)]
@@ -451,10 +411,10 @@ def score_forest(model: DataFrame, df: DataFrame, features, growth: Growth, keys
             ids, edges, arrays = shared.value
             for batch in batches:
                 wanted = batch.column(batch.schema.get_field_index("_id"))
-                at = _places(ids, wanted.fill_null(0).to_numpy())
+                at = places_in(ids, wanted.fill_null(0).to_numpy())
                 at[wanted.is_null().to_numpy(zero_copy_only=False)] = -1
                 here = np.flatnonzero(at >= 0)
-                values = [_column(batch, f"_f{i}").astype(float)[here] for i in range(n_features)]
+                values = [column_of(batch, f"_f{i}").astype(float)[here] for i in range(n_features)]
                 bins = _bin(values, at[here], edges)
                 preds = np.full((n_models, batch.num_rows), np.nan)
                 for s in np.unique(at[here]):

@@ -7,6 +7,8 @@ per series. No task sees all rows of a series, and at most series x PARTS arrays
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -127,28 +129,56 @@ def solve(products, keys, penalty: list[float], lasso: list[float] | None = None
     return gathered.withColumn("_fit", ridge("_parts")).select(*keys, "_fit.*")
 
 
+def _added(frame: pd.DataFrame) -> np.ndarray | None:
+    parts = frame["part"].dropna()
+    return np.sum(np.stack(list(parts)), axis=0) if len(parts) else None
+
+
 def solve_running(products, keys, step: str, penalty: list[float], steps: DataFrame, lasso: list[float] | None = None) -> DataFrame:
-    """(keys, step, coef, rss, n): the fit of all products whose ``step`` is at least the row's own.
+    """(keys, step, coef, rss, n): the fit of all products whose ``step`` (from 0) is at least the row's own.
 
-    ``steps`` lists (keys, step), one row for each fit; a series' steps are gathered in one task, each
-    with one array.
+    ``steps`` lists (keys, step), one row for each fit. The running sum goes in blocks of some sqrt(steps): a block's products add up,
+    the sums of the later blocks of a series are carried to it, and it runs over its own steps. So a group holds the arrays of one
+    block, or one array for each block of a series.
     """
     keys, diagonal = list(keys), np.asarray(penalty, dtype=float)
     sparse = np.asarray(lasso if lasso is not None else np.zeros(len(diagonal)), dtype=float)
-    asked = steps.select(*keys, step).withColumn("part", F.lit(None).cast("array<double>"))
-    rows = products.select(*keys, step, "part").unionByName(asked)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (rows.schema[k] for k in [*keys, step]))
+    most = steps.agg(F.max(step)).first()[0] or 0
+    block = F.floor(F.col(step) / F.lit(max(1, ceil(sqrt(most + 1))))).cast("bigint").alias("_block")
+    own = products.select(*keys, F.col(step).cast("bigint").alias("_step"), block, "part")
+    names = ", ".join(f"`{k}` {products.schema[k].dataType.simpleString()}" for k in keys)
 
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+    def block_sums(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(*[frame[k].iloc[0] for k in keys], frame["_block"].iloc[0], _added(frame))], columns=[*keys, "_block", "part"])
+
+    sums = own.groupBy(*keys, "_block").applyInPandas(block_sums, f"{names}, _block BIGINT, part ARRAY<DOUBLE>")
+    # each block also gets what the later ones of its series hold; blocks without products of their own, too
+    asked = steps.select(*keys, F.col(step).cast("bigint").alias("_step"), block, F.lit(None).cast("array<double>").alias("part"))
+    every = sums.unionByName(asked.select(*keys, "_block").distinct().withColumn("part", F.lit(None).cast("array<double>")))
+
+    def carry_all(frame: pd.DataFrame) -> pd.DataFrame:
         out, total = [], None
-        for number, same in sorted(frame.groupby(step), key=lambda g: -g[0]):
-            for part in same["part"].dropna():
-                total = part if total is None else total + part
+        for number, same in sorted(frame.groupby("_block"), key=lambda g: -g[0]):
+            if total is not None:
+                out.append((*[same[k].iloc[0] for k in keys], number, total))
+            part = _added(same)
+            total = part if total is None else total if part is None else total + part
+        return pd.DataFrame(out, columns=[*keys, "_block", "part"])
+
+    carry = every.groupBy(*keys).applyInPandas(carry_all, f"{names}, _block BIGINT, part ARRAY<DOUBLE>")
+    rows = own.unionByName(asked).unionByName(carry.withColumn("_step", F.lit(None).cast("bigint")))
+
+    def fit(frame: pd.DataFrame) -> pd.DataFrame:
+        out, total = [], _added(frame[frame["_step"].isna()])
+        for number, same in sorted(frame[frame["_step"].notna()].groupby("_step"), key=lambda g: -g[0]):
+            part = _added(same)
+            total = part if total is None else total if part is None else total + part
             if total is not None and same["part"].isna().any():
                 out.append((*[same[k].iloc[0] for k in keys], number, *_least_squares(total, diagonal, sparse)))
         return pd.DataFrame(out, columns=[*keys, step, "coef", "rss", "n"])
 
-    return rows.groupBy(*keys).applyInPandas(fit, f"{fields}, {FIT}")
+    fitted = rows.groupBy(*keys, "_block").applyInPandas(fit, f"{names}, `{step}` BIGINT, {FIT}")
+    return fitted.withColumn(step, F.col(step).cast(steps.schema[step].dataType))
 
 
 def dot(x: str, coef: str, start: int, width: int):

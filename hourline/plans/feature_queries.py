@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from hourline.functions import feasts
 from hourline.operators import clean, lags, reshape, scale, shapes, splits, windows
 from hourline.operators.calendar import calendar_features, holiday_flags, holidays_in
 from hourline.operators.segments import RN, SIZE, index_rows
@@ -266,6 +267,32 @@ def sample_windows(spark, folder):
     return tidy(frames.select("series", "ts", "draw", F.size("window").alias("steps")))
 
 
+_COMPUTUS_SQL = """years AS (SELECT DISTINCT year(ts)::INT AS y FROM daily_load),
+moons AS (SELECT y, y % 19 AS a, y // 100 AS b, y % 100 AS c, (19 * (y % 19) + y // 100 - y // 400 - (y // 100 - (y // 100 + 8) // 25 + 1) // 3 + 15) % 30 AS h FROM years),
+weeks AS (SELECT *, (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7 AS l FROM moons),
+easters AS (SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m + 114) % 31 + 1) AS easter FROM (SELECT *, (a + 11 * h + 22 * l) // 451 AS m FROM weeks)),
+months AS (SELECT y, m, unnest(generate_series(make_date(y, m, 1)::TIMESTAMP, last_day(make_date(y, m, 1))::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM years, (SELECT unnest([5, 8]) AS m)),
+mondays AS (SELECT y, m, min(d) AS first_monday, max(d) AS last_monday FROM months WHERE isodow(d) = 1 GROUP BY 1, 2),
+bank AS (
+  SELECT make_date(y, 1, 1) AS d FROM years UNION SELECT make_date(y, 12, 25) FROM years UNION SELECT make_date(y, 12, 26) FROM years
+  UNION SELECT easter - 2 FROM easters UNION SELECT easter + 1 FROM easters UNION SELECT first_monday FROM mondays WHERE m = 5 UNION SELECT last_monday FROM mondays
+  UNION SELECT make_date(y, 1, 1) + (8 - isodow(make_date(y, 1, 1)))::INT FROM years WHERE isodow(make_date(y, 1, 1)) > 5
+  UNION SELECT make_date(y, 12, d) + 2 FROM years, (SELECT unnest([25, 26]) AS d) WHERE isodow(make_date(y, 12, d)) > 5),
+german AS (
+  SELECT make_date(y, m, d) AS d FROM years, (VALUES (1, 1), (5, 1), (10, 3), (12, 25), (12, 26)) AS f(m, d)
+  UNION SELECT easter + n FROM easters, (SELECT unnest([-2, 1, 39, 50]) AS n))"""
+
+
+@query(
+    "country_holidays",
+    f"""WITH {w.DAILY_LOAD_SQL}, {_COMPUTUS_SQL}
+    SELECT series, ts, value, (ts::DATE IN (SELECT d FROM german))::INT::BIGINT AS german, (ts::DATE IN (SELECT d FROM bank))::INT::BIGINT AS bank FROM daily_load""",
+)
+def country_holidays(spark, folder):
+    """The daily load with the German and the English holidays."""
+    return tidy(feasts.with_country_flag(feasts.with_country_flag(w.daily_load(spark, folder), "DE", "german"), "GB", "bank"))
+
+
 def _mixed_sql(value, number):
     return f"((({value} + 1) * ({48271 + 2 * number} + epoch * 7919) % 2147483647 * 69621 + epoch * 40692) % 2147483647)"
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from hourline.functions import dtw
+from hourline.functions import dtw, feasts
 from hourline.operators import decompose, distribution, forest, linear, metrics, quantile_lines, segments, sequence, shapes, windows
 
 # --- trees -------------------------------------------------------------------------------------
@@ -266,3 +266,53 @@ def test_histogram_limits_need_no_window(spark, hourly):
     for out in (distribution.histogram(df), distribution.hist2d(df.withColumn("x", F.col("value") * 2), "x", "value")):
         assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
     assert segments.attach_raw_totals(df, ["series"], "ts", mins={"lo": F.col("value")}).count() == 50
+
+
+# --- running fits, countries ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [1, 7, 60])
+def test_running_fits_in_blocks(spark, n):
+    """Each step's fit has the rows of its own and all later steps, wherever the blocks are cut."""
+    rng = np.random.default_rng(n)
+    rows = [(s, int(rng.integers(0, n + 3)), [1.0, float(rng.normal())], float(rng.normal())) for s in ("a", "b") for _ in range(5 * n + 10)]
+    df = spark.createDataFrame(rows, "series STRING, k INT, x ARRAY<DOUBLE>, y DOUBLE")
+    steps = spark.createDataFrame([(s, k) for s in ("a", "b", "none") for k in range(n)], "series STRING, k INT")
+    out = linear.solve_running(linear.cross_products(df, ["series", "k"]), ["series"], "k", [0.1, 0.1], steps)
+    assert dict(out.dtypes)["k"] == "int"
+    got = {(r["series"], r["k"]): r for r in out.collect()}
+    assert set(got) == {(s, k) for s in "ab" for k in range(n)}
+    for (s, k), r in got.items():
+        own = [(x, y) for t, j, x, y in rows if t == s and j >= k]
+        x, y = np.array([o[0] for o in own]), np.array([o[1] for o in own])
+        want = np.linalg.solve(x.T @ x + 0.1 * np.eye(2), x.T @ y)
+        assert np.allclose(r["coef"], want) and r["n"] == len(own) and r["rss"] == pytest.approx(((y - x @ want) ** 2).sum())
+
+
+def test_country_days(spark):
+    from datetime import date, timedelta
+
+    from dateutil.easter import easter
+
+    years = spark.range(1950, 2151).withColumnRenamed("id", "year").withColumn("year", F.col("year").cast("int"))
+    found = {(r["year"], r["e"]) for r in years.withColumn("e", feasts.easter(F.col("year"))).collect()}
+    assert found == {(y, easter(y)) for y in range(1950, 2151)}
+    german, english = ({r["ds"] for r in feasts.country_days(years, c).collect()} for c in ("DE", "GB"))
+    want_german, want_english = set(), set()
+    for y in range(1950, 2151):
+        sunday = easter(y)
+        want_german |= {date(y, m, d) for m, d in ((1, 1), (5, 1), (10, 3), (12, 25), (12, 26))} | {sunday + timedelta(n) for n in (-2, 1, 39, 50)}
+        mondays = {m: [date(y, m, d) for d in range(1, 32) if date(y, m, d).weekday() == 0] for m in (5, 8)}
+        want_english |= {sunday - timedelta(2), sunday + timedelta(1), mondays[5][0], mondays[5][-1], mondays[8][-1], date(y, 1, 1), date(y, 12, 25), date(y, 12, 26)}
+        free = date(y, 1, 1)
+        while free.weekday() > 4:
+            free += timedelta(1)
+        want_english.add(free)
+        taken = {d for d in (date(y, 12, 25), date(y, 12, 26)) if d.weekday() < 5}
+        for d in (date(y, 12, 25), date(y, 12, 26)):
+            day = d
+            while d.weekday() > 4 and (day.weekday() > 4 or day in taken):
+                day += timedelta(1)
+            taken.add(day)
+        want_english |= taken
+    assert german == want_german and english == want_english
