@@ -15,8 +15,12 @@ Reading a key costs two hashes and one slice; a key that isn't there is told by
 the key list where the caller wants to be sure. Nothing is sorted by one task: ranges come from key
 quantiles, encoding happens before the shuffle, and only ids are shuffled.
 
+A key, or null, that has more rows than a range should hold is dealt over several ranges, and a shard ends anywhere, also between
+equal keys. So neither a task nor a cell grows with a key's rows; each shard indexes what it holds of a key, and a keyed read
+asks all shards that may hold some.
+
 Defined results: a null text counts as empty and holds the end id alone. Documents of equal key stay
-together, ordered by their ids; a null key sorts before all others and is a key like any other. An
+together, ordered by their ids within a range; a null key sorts before all others and is a key like any other. An
 empty table gives no shards.
 """
 
@@ -27,22 +31,24 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import WhitespaceSplit
 
 from hourline.llm.frames import col, utf8
-from hourline.llm.words import Kept, PreSplit
+from hourline.llm.words import PLAIN, in_alphabet
 
-#: Ids of a shard; a shard ends with the document that reaches it, or with the last of equal keys.
+#: Ids of a shard; a shard ends with the document that reaches it.
 SHARD_IDS = 4_000_000
 #: Shards of a file: their first keys are broadcast for keyed reads. More need larger shards.
 MAX_SHARDS = 1 << 20
-KEPT_WORDS = 250_000
+#: Chunks whose ids a task keeps, and bytes of texts that it encodes at once.
+KEPT_WORDS, PIECE = 600_000, 1 << 22
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _NULL = np.uint64(0x5DEECE66D)
 SHARD_SCHEMA = (
@@ -51,36 +57,120 @@ SHARD_SCHEMA = (
 )
 
 
+class _Lists:
+    """Lists of ids by number, side by side in one array; number 0 is an empty one."""
+
+    def __init__(self) -> None:
+        self._ids, self._ends = np.empty(0, np.int64), np.zeros(2, np.int64)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self._ends = np.append(self._ends, self._ends[-1] + np.cumsum(sizes))
+        self._ids = np.append(self._ids, ids)
+
+    def sizes(self, numbers: np.ndarray) -> np.ndarray:
+        return self._ends[numbers + 1] - self._ends[numbers]
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The lists of these numbers, one after another."""
+        size = self.sizes(numbers)
+        upto = np.cumsum(size)
+        return self._ids[np.arange(upto[-1] if len(upto) else 0) + np.repeat(self._ends[numbers] - (upto - size), size)]
+
+
 class LibraryEncoder:
-    """Ids by the library: its normalizer and pre-tokenizer part a chunk into words, its model gives each
-    word's ids. Special tokens, and what isn't known how to take apart, go through the whole library."""
+    """Ids by the library, chunk by chunk: a text is cut at ASCII white space, each different chunk of many texts has a number, and the ids of a
+    chunk are kept by its number.
+
+    Most new chunks are letters of Latin-1 with marks behind them. Their words and marks need no Unicode tables, and those that are new
+    go through the library's model in one call. Other chunks go through the whole library, in one call too, but for those with added tokens."""
 
-    def __init__(self, path: str, width: int) -> None:
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # each core has a task of its own
-        self._library, self._kind = Tokenizer.from_file(path), {2: "H", 4: "I"}[width]
+        self._library = Tokenizer.from_file(path)
         self._library.no_truncation()
         self._library.no_padding()
         encode = self._library.encode
         if encode("a \n b", add_special_tokens=False).ids != encode("a", add_special_tokens=False).ids + encode("b", add_special_tokens=False).ids:
             raise ValueError("a vocabulary that keeps white space can't be encoded chunk by chunk")
-        self._model, self._split = self._library.model, PreSplit(self._library)
+        self._words = Tokenizer(self._library.model)  # takes words as the normalizer and pre-tokenizer leave them
+        self._words.pre_tokenizer = WhitespaceSplit()
         self._added = re.compile(b"|".join(re.escape(t.content.encode()) for t in self._library.get_added_tokens_decoder().values()) or b"(?!)")
-        self._ids = Kept(self._chunk_ids, KEPT_WORDS)
+        self._forget()
+
+    def _forget(self) -> None:
+        self._number: dict[bytes, int] = {}
+        self._part: dict[str, int] = {"": 0}
+        self._chunks, self._parts = _Lists(), _Lists()
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Number new chunks and keep their ids."""
+        plain, others = [], []
+        for chunk in chunks:
+            found = PLAIN.fullmatch(chunk.decode().lower())
+            if found is None:
+                others.append(chunk)
+            else:
+                plain.append((chunk, found[1], found[2]))
+        if plain:
+            new = [p for p in dict.fromkeys(p for _, word, marks in plain for p in (word, marks)) if p not in self._part]
+            if new:
+                found = self._words.encode(" ".join(in_alphabet(p) for p in new), add_special_tokens=False)
+                self._part.update(zip(new, range(len(self._part), len(self._part) + len(new)), strict=True))
+                self._parts.add(np.array(found.ids, np.int64), np.bincount(np.array(found.word_ids, np.int64), minlength=len(new)))
+            pairs = np.array([(self._part[word], self._part[marks]) for _, word, marks in plain], np.int64)
+            self._keep([c for c, _, _ in plain], self._parts.gather(pairs.ravel()), self._parts.sizes(pairs).sum(axis=1))
+        for chunk in [c for c in others if self._added.search(c)]:
+            ids = np.array(self._library.encode(chunk.decode(), add_special_tokens=False).ids, np.int64)
+            self._keep([chunk], ids, np.array([len(ids)]))
+        others = [c for c in others if not self._added.search(c)]
+        if others:
+            texts = [c.decode() for c in others]
+            found = self._library.encode(" ".join(texts), add_special_tokens=False)
+            begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+            at = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.ids))
+            self._keep(others, np.array(found.ids, np.int64), np.diff(np.searchsorted(at, begins)))
+
+    def _keep(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n = len(self._number) + 1
+        self._number.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        self._chunks.add(ids, sizes)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, where each text's end)."""
+        if len(self._number) > KEPT_WORDS:
+            self._forget()
+        words = [t.split() for t in texts]
+        known = self._number.get
+        numbers = [np.fromiter(map(known, w, repeat(-1)), np.int64, len(w)) for w in words]
+        missing = [(k, np.flatnonzero(n < 0)) for k, n in enumerate(numbers)]
+        new = dict.fromkeys(words[k][i] for k, at in missing for i in at.tolist())
+        if new:
+            self._learn(list(new))
+            known = self._number.__getitem__
+            for k, at in missing:
+                numbers[k][at] = [known(words[k][i]) for i in at.tolist()]
+        whole = np.concatenate([np.empty(0, np.int64), *numbers])
+        ids = self._chunks.gather(whole)
+        text_ends = np.append(0, np.cumsum(self._chunks.sizes(whole)))[np.cumsum([len(w) for w in words])]
+        return ids, text_ends
 
-    def _chunk_ids(self, chunk: bytes) -> bytes:
-        if self._added.search(chunk):
-            ids = self._library.encode(chunk.decode(), add_special_tokens=False).ids
-        else:
-            ids = [token.id for word in self._split(chunk) for token in self._model.tokenize(word)]
-        return pack(f"<{len(ids)}{self._kind}", *ids)
 
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self._ids.__getitem__, text.split()))
+@lru_cache(maxsize=2)
+def _library(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
 
 
-@lru_cache(maxsize=2)
-def _library(path: str, width: int) -> LibraryEncoder:
-    return LibraryEncoder(path, width)
+def _some(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    """Texts that are encoded at once: PIECE bytes or one."""
+    held, size = [], 0
+    for text in texts:
+        if held and size + len(text) > PIECE:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
 
 
 def key_hash(keys: np.ndarray, nulls: np.ndarray, seed: np.ndarray | int) -> np.ndarray:
@@ -159,24 +249,35 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col
     spark = docs.sparkSession
     rows = docs.select(col(id_col).cast("bigint").alias("key"), col(text_col).cast("string").alias("text"))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shares = F.array(*[F.lit(i / n_parts) for i in range(1, n_parts)])
-    found = docs.select(col(id_col).cast("bigint").alias("key")).agg(F.percentile_approx("key", shares, 10_000)).first()[0] if n_parts > 1 else []
-    bounds = np.unique(np.array(found or [], dtype=np.int64))  # at most a key for each shuffle partition
+    shares = F.array(*[F.lit(i / n_parts) for i in range(1, max(2, n_parts))])
+    found = docs.select(col(id_col).cast("bigint").alias("key")).agg(F.percentile_approx("key", shares, 10_000), F.count("key"), F.count(F.lit(1))).first()
+    bounds = np.array(found[0] or [], dtype=np.int64)  # a key for each shuffle partition but the last; frequent keys several times
+    null_parts = max(1, -(-(found[2] - found[1]) * n_parts // max(1, found[2])))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library, end = _library(tokenizer, width), np.array([end_id], dtype=f"<u{width}").tobytes()
+        library, end, rows_seen = _library(tokenizer), np.array([end_id], dtype=f"<u{width}").tobytes(), 0
         for batch in batches:
-            ids = [library.encode(text) + end for text in utf8(batch.column(1))]
+            ids = []
+            for texts in _some(utf8(batch.column(1))):
+                found, ends = library.encode(texts)
+                if found.size and int(found.max()) >= 1 << 8 * width:
+                    raise ValueError(f"an id doesn't fit in {width} bytes")
+                payload, ends = found.astype(f"<u{width}").tobytes(), (ends * width).tolist()
+                ids += [payload[a:b] + end for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             nulls = np.array(batch.column(0).is_null().to_pylist(), dtype=bool)
             keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            part = np.where(nulls, 0, np.searchsorted(bounds, keys, side="left"))
+            low, high = (np.searchsorted(bounds, keys, side=side) for side in ("left", "right"))
+            width_of = np.where(nulls, null_parts, np.maximum(1, high - low))  # ranges of the key
+            salt = (np.arange(rows_seen, rows_seen + len(keys), dtype=np.uint64) * _MIX[0] >> np.uint64(40)).astype(np.int64)
+            part = np.where(nulls, 0, null_parts + low) + salt % width_of
+            rows_seen += len(keys)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch.column(0), pa.array(ids, pa.binary())], names=["part", "key", "ids"])
 
     def to_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, start, size, held = -1, 0, 0, 0, []
         for batch in batches:
             for p, key, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and (p != part or size >= shard_ids and key != held[-1][0]):
+                if held and (p != part or size >= shard_ids):
                     yield _one_row(_shard(part, number, start, width, held))
                     number, start, size, held = (0, 0, 0, []) if p != part else (number + 1, start + size, 0, [])
                 part = p
@@ -186,7 +287,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int, id_col
             yield _one_row(_shard(part, number, start, width, held))
 
     encoded = rows.mapInArrow(encode, "part INT, key BIGINT, ids BINARY")
-    dealt = encoded.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("key"), "ids")
+    dealt = encoded.repartitionById(null_parts + len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("key"), "ids")
     dealt.mapInArrow(to_shards, SHARD_SCHEMA).write.parquet(f"{path}/shards")
     sums = spark.read.parquet(f"{path}/shards").groupBy("part").agg(F.sum("n_ids").alias("n_ids"), F.count(F.lit(1)).alias("n_shards"))
     before, parts = 0, []
@@ -253,7 +354,7 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_
     heads = shards.select("first_null", "first_key", "part", "shard").limit(MAX_SHARDS + 1).collect()
     if len(heads) > MAX_SHARDS:
         raise ValueError(f"over {MAX_SHARDS} shards: write the file with larger ones")
-    heads.sort(key=lambda r: (not r.first_null, r.first_key))
+    heads.sort(key=lambda r: (not r.first_null, r.first_key, r.part, r.shard))
     names = [(r.part, r.shard) for r in heads]
     first = np.array([r.first_key for r in heads if not r.first_null], dtype=np.int64)
     n_null = len(heads) - len(first)
@@ -262,11 +363,13 @@ def lookup(spark: SparkSession, path: str, keys: DataFrame, key_col: str = "doc_
         for batch in batches:
             values = batch.column(0)
             nulls = np.array(values.is_null().to_pylist(), dtype=bool)
-            at = np.searchsorted(first, values.fill_null(0).to_numpy(zero_copy_only=False), side="right") - 1 + n_null
-            at = np.where(nulls, 0 if n_null else -1, at)
-            good = np.flatnonzero(at >= 0)
-            parts = np.array([names[i] for i in at[good]], dtype=np.int32).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([values.take(pa.array(good)), pa.array(parts[:, 0]), pa.array(parts[:, 1])], names=["key", "part", "shard"])
+            asked = values.fill_null(0).to_numpy(zero_copy_only=False)
+            begin = np.where(nulls, 0, np.maximum(0, np.searchsorted(first, asked, side="left") - 1 + n_null))
+            end = np.where(nulls, n_null, np.searchsorted(first, asked, side="right") + n_null)
+            size = np.maximum(0, end - begin)  # all shards that may hold some of the key's documents
+            at = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+            parts = np.array([names[i] for i in at], dtype=np.int32).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([values.take(pa.array(np.repeat(np.arange(len(size)), size))), pa.array(parts[:, 0]), pa.array(parts[:, 1])], names=["key", "part", "shard"])
 
     wanted = keys.select(col(key_col).cast("bigint").alias("key")).distinct().mapInArrow(address, "key BIGINT, part INT, shard INT")
 

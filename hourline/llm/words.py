@@ -9,12 +9,17 @@ from typing import Any
 from tokenizers import Tokenizer
 
 #: Lower-case letters of Latin-1, then marks: for these the lower case of any library is the same.
-_PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?]*)")
+PLAIN = re.compile("([a-z\xdf-\xf6\xf8-\xff]+)([.,;:!?]*)")
 #: UTF-8 bytes, read as Latin-1, to the byte alphabet: the bytes of letters and marks above ASCII that
 #: aren't printable in Latin-1 (0x80-0xA0 and 0xAD) stand from U+0100 on, after the 33 control codes.
 _ALPHABET = {b: 0x100 + 33 + b - 0x7F for b in range(0x7F, 0xA1)} | {0xAD: 0x100 + 33 + 34}
 
 
+def in_alphabet(word: str) -> str:
+    """A word's UTF-8 bytes in the byte alphabet."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
+
+
 class Kept(dict):
     """key -> ``make(key)``, kept for later. When ``limit`` keys are kept, they become the old ones and
     those that had been old go; an old key that is asked for is kept again."""
@@ -46,7 +51,7 @@ class PreSplit:
 
     def __call__(self, chunk: bytes) -> list[str]:
         text = chunk.decode()
-        plain = _PLAIN.fullmatch(text.lower())
+        plain = PLAIN.fullmatch(text.lower())
         if plain:
-            return [w.encode().decode("latin-1").translate(_ALPHABET) for w in plain.groups() if w]
+            return [in_alphabet(w) for w in plain.groups() if w]
         return [w for w, _ in self._split(self._clean(text))]

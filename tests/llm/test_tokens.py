@@ -167,7 +167,38 @@ def test_token_file_of_an_empty_table(spark, docs, tmp_path):
 @settings(max_examples=200, deadline=None)
 def test_library_words_are_the_library_text(text):
     clean = text.encode("utf-8", "ignore")
-    assert token_files._library(BPE_FILE, 4).encode(clean) == packed(library_ids(clean.decode()))
+    ids, ends = token_files._library(BPE_FILE).encode([clean, b"", clean + b" and\nmore <|endoftext|>", clean])
+    texts = [clean.decode(), "", clean.decode() + " and\nmore <|endoftext|>", clean.decode()]
+    assert ends.tolist() == np.cumsum([len(library_ids(t)) for t in texts]).tolist()
+    assert ids.tolist() == [i for t in texts for i in library_ids(t)]
+
+
+def test_chunks_are_forgotten_and_learned_anew(monkeypatch):
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 3)
+    library = token_files.LibraryEncoder(BPE_FILE)
+    for text in ["one two three", "four five", "one six", "six six one", ""]:
+        ids, ends = library.encode([text.encode()])
+        assert ids.tolist() == library_ids(text) and ends.tolist() == [len(ids)]
+
+
+@pytest.mark.parametrize("key", [7, None])
+def test_hot_key_is_dealt_over_shards(spark, docs, tmp_path, key):
+    """One key, or null, on a third of the rows and more."""
+    rows = [(key if i % 2 == 0 else i, f"text number {i} " * (i % 5)) for i in range(400)]
+    path = str(tmp_path / "hot")
+    token_files.write_tokens(docs(rows).repartition(4), BPE_FILE, path, END_ID, shard_ids=300)
+    shards = spark.read.parquet(f"{path}/shards")
+    held = shards.filter(F.col("first_null") if key is None else F.col("first_key") == key)
+    assert held.count() > 5 and held.select("part").distinct().count() > 1
+    assert shards.agg(F.max("n_ids")).first()[0] <= 300 + 20
+    out = token_files.read_documents(spark, path).orderBy("start").collect()
+    assert [r.start for r in out] == np.cumsum([0, *(r.n_tokens for r in out)])[:-1].tolist()
+    kind = lambda x: (x[0] is not None, x[0] or 0, x[1])
+    got = [(r.doc_id, r.ids_crc32) for r in out]
+    assert [k for k, _ in got] == [k for k, _ in sorted(got, key=kind)]
+    assert sorted(got, key=kind) == sorted(((k, zlib.crc32(packed([*library_ids(t), END_ID]))) for k, t in rows), key=kind)
+    found = token_files.lookup(spark, path, spark.createDataFrame([(key,), (1,), (2,)], "doc_id BIGINT")).collect()
+    assert sorted(str(r.ids) for r in found) == sorted(str([*library_ids(t), END_ID]) for k, t in rows if k == key or k == 1)
 
 
 def test_kept_results_come_from_the_function():
@@ -179,7 +210,7 @@ def test_kept_results_come_from_the_function():
 
 def test_token_file_refuses_a_vocabulary_that_keeps_space(docs, tmp_path):
     with pytest.raises(ValueError):
-        token_files._library(public_tokenizers.path("byte_bpe_50k.json"), 2)
+        token_files._library(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_files_are_scanned_for_their_columns_only(spark, tmp_path):
