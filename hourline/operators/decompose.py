@@ -18,12 +18,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hourline.functions.dates import HOLIDAY_NAMES, epoch_second, holiday_name, hours_interval
-from hourline.operators.cv import cutoff_count, cutoff_rows, cutoff_ts, training_interval
+from hourline.operators.cv import Z80, cutoff_count, cutoff_rows, cutoff_ts, training_interval
 from hourline.operators.linear import cross_products, dot, solve, solve_running
 from hourline.operators.segments import attach_series, attach_totals, segment_of
 
 KEYS = ("series",)
-Z80 = 1.2815515655446004  # fixed value: half-width of the central 80 % of a standard normal
 
 
 @dataclass(frozen=True)

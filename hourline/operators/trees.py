@@ -114,7 +114,7 @@ def quantile_forecasts(
     start = _ranked(rows.filter(usable).select(each, F.col(label).alias("r")), {name: max(1, ceil(a * n)) for name, a in alphas.items()})
     state = rows.withColumns({name: F.lit(float(start[name])) for name in alphas}).persist()
     for done in range(1, rounds + 1):
-        train = state.filter(usable)
+        before, train = state, state.filter(usable)
         for name, alpha in alphas.items():
             gradient = F.when(F.col(label) > F.col(name), F.lit(alpha)).otherwise(F.lit(alpha - 1.0))
             tree = DecisionTreeRegressor(
@@ -133,8 +133,13 @@ def quantile_forecasts(
             leaf = F.concat(F.lit(name + " "), F.col(f"_leaf_{name}").cast("int").cast("string"))
             moved[name] = F.col(name) + F.lit(rate) * F.coalesce(F.element_at(step, leaf), F.lit(0.0))
         state = placed.withColumns(moved).drop(*[f"_leaf_{name}" for name in alphas])
-        state = state.checkpoint() if done % checkpoint_every == 0 or done == rounds else state
-        state = state.persist()
+        if done % checkpoint_every == 0 or done == rounds:
+            state = state.checkpoint()
+        else:
+            state = state.persist()
+            state.count()  # before what it is made from goes
+        placed.unpersist()
+        before.unpersist()
     return state.drop("_features")
 
 

@@ -6,7 +6,7 @@ from math import pi
 
 from pyspark.sql import functions as F
 
-from hourline.operators import clean, cv, decompose, forest, lags, metrics, quantile_lines, recursive, segments, sequence, shapes, spectral, splits, trees, windows
+from hourline.operators import clean, cv, decompose, forest, lags, metrics, nearest, quantile_lines, recursive, segments, sequence, shapes, spectral, splits, trees, windows
 from hourline.operators.calendar import calendar_features
 from hourline.plans import ridge_sql as rs
 from hourline.plans import workload as w
@@ -845,6 +845,20 @@ def lb_keogh_weeks(spark, folder):
     return tidy(shapes.lb_pairs(pairs).select("series", "year", "week", "lb"))
 
 
+@query(
+    "nearest_weeks",
+    f"""WITH RECURSIVE {SHIP_SHAPES_SQL}, met AS (
+      SELECT q.series, q.year, q.week, s.series AS near_series, s.year AS near_year, s.week AS near_week, q.shape AS a, s.shape AS b
+      FROM shapes q JOIN shapes s ON q.week = 20 AND (q.series, q.year, q.week) <> (s.series, s.year, s.week)),
+    {_dtw_sql('d', 'met', 'series, year, week, near_series, near_year, near_week')},
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY series, year, week ORDER BY dtw, near_series, near_year, near_week) AS rank FROM d)
+    SELECT series, year, week, rank::BIGINT AS rank, near_series, near_year, near_week, round(dtw, 6) AS dist FROM ranked WHERE rank <= 3""",
+)
+def nearest_weeks(spark, folder):
+    """The three weeks nearest to each week 20, of any series and year."""
+    return tidy(nearest.nearest_shapes(ship_shapes(spark, folder), F.col("week") == 20, 3))
+
+
 def _kmeans_sql(k, rounds):
     """k-means unrolled: each round is a cross product of shapes with the k centroids."""
     parts = [

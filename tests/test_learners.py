@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hourline.functions import dtw, feasts
-from hourline.operators import decompose, distribution, forest, linear, metrics, quantile_lines, segments, sequence, shapes, windows
+from hourline.operators import decompose, distribution, forest, linear, metrics, nearest, quantile_lines, segments, sequence, shapes, windows
 
 # --- trees -------------------------------------------------------------------------------------
 
@@ -268,6 +268,24 @@ def test_histogram_limits_need_no_window(spark, hourly):
     assert segments.attach_raw_totals(df, ["series"], "ts", mins={"lo": F.col("value")}).count() == 50
 
 
+@pytest.mark.parametrize("capacity,block", [(64, 20_000), (3, 7)])
+def test_nearest_shapes_equal_all_pairs(spark, capacity, block):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(90, 9)).cumsum(axis=1), np.repeat(rng.normal(size=(1, 9)), 12, axis=0)])
+    days = spark.createDataFrame([("s", 2024, i, v.tolist()) for i, v in enumerate(x)] + [("s", 2025, 0, None)], "series STRING, year INT, week INT, shape ARRAY<DOUBLE>")
+    out = nearest.nearest_shapes(days.repartition(4), F.col("week") % 9 == 0, 4, w=2, capacity=capacity, block=block).collect()
+    got = {(r["week"], r["rank"]): (r["near_week"], r["dist"]) for r in out}
+    asked = [i for i in range(102) if i % 9 == 0]
+    assert len(got) == 4 * len(asked) == len(out)
+    for i in asked:
+        dist = dtw.dtw_batch(np.repeat(x[i : i + 1], len(x), axis=0), x, 2)
+        order = [j for j in sorted(range(len(x)), key=lambda j: (dist[j], j)) if j != i][:4]
+        assert [got[i, k + 1][0] for k in range(4)] == order and np.allclose([got[i, k + 1][1] for k in range(4)], dist[order])
+    assert nearest.nearest_shapes(days.limit(0), F.lit(True), 2).count() == 0
+    few = nearest.nearest_shapes(days.filter("week < 3"), F.lit(True), 5, w=2)
+    assert few.count() == 6  # fewer neighbours than asked for
+
+
 # --- running fits, countries ---------------------------------------------------------------------
 
 
