@@ -4,7 +4,7 @@ Every series has models of its own: one for each loss, which is squared error or
 quantile. Feature values become bin numbers. A level of all trees of all series is one pass: tasks walk
 their rows down the trees so far, add up gradients and counts by (node, feature, bin) in arrays, and the
 arrays of a node meet to find its best split. So a round of depth d takes d passes, one more where
-quantiles are fitted, and one that moves the forecasts, whatever the number of series, losses and nodes; a series' rows are never gathered,
+quantiles are fitted, whatever the number of series, losses and nodes; a series' rows are never gathered,
 and the arrays of a node that meet are one for each task at most. A tree without a depth limit goes on
 until no leaf can be split.
 
@@ -133,7 +133,7 @@ class _Rows:
     """The training rows of a block: series, bins, label and a forecast of each model so far."""
 
     def __init__(self, frame: DataFrame, n_features: int, n_bins: int, growth: Growth) -> None:
-        self.frame, self.path, self.age = frame, None, 0
+        self.frame, self.path, self.age, self.stale = frame, None, 0, []
         self.n_features, self.n_bins, self.growth = n_features, n_bins, growth
         self.losses = list(growth.losses.values())
         self.names = [f"p{g}" for g in range(len(self.losses))]
@@ -154,6 +154,7 @@ class _Rows:
         self.age += 1
 
     def done(self) -> None:
+        self.release()
         self.frame.unpersist()
         remove_path(self.spark, self.path)
 
@@ -262,11 +263,16 @@ class _Rows:
                 moved = [pa.array(column_of(batch, p) + rate * shared.value.value[shared.value.walk(series * n_models + g, bins)]) for g, p in enumerate(names)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *moved], names=batch.schema.names)
 
-        before, self.frame = self.frame, self.frame.mapInArrow(move, self.schema)
+        self.release()
+        self.stale = [self.frame, shared]
+        self.frame = self.frame.mapInArrow(move, self.schema)
         self.keep()
-        self.frame.count()
-        before.unpersist()
-        shared.unpersist()
+
+    def release(self) -> None:
+        """Let go of what the present state was made from; the passes since have cached it."""
+        for each in self.stale:
+            each.unpersist()
+        self.stale = []
 
 
 def _best(slot, sums, counts, n_features: int, n_bins: int, min_leaf: int, quantile: np.ndarray) -> pa.RecordBatch:
