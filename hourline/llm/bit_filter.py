@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,16 @@ def _place(key: F.Column) -> F.Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(BITS), key), 64 - BITS)
 
 
+def place(key: F.Column) -> F.Column:
+    """A key's bit in any filter."""
+    return _place(key)
+
+
+def held(words: Broadcast, places: np.ndarray) -> np.ndarray:
+    """Which of the places are held."""
+    return (words.value[places >> 6] >> (places & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 class BitFilter:
     def __init__(self, keys: DataFrame) -> None:
         """``keys`` has one column."""
@@ -32,14 +43,37 @@ class BitFilter:
         held[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
         self._words = keys.sparkSession.sparkContext.broadcast(held)
 
+    @property
+    def words(self) -> Broadcast:
+        """The bits, for tasks that test places (see ``place``) themselves."""
+        return self._words
+
     def rows(self, df: DataFrame, key: F.Column, hit: bool = True) -> DataFrame:
         """The rows of ``df`` whose key may be held, or those whose key isn't."""
         words = self._words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = batch.column(batch.num_columns - 1).to_numpy()
-                found = (words.value[x >> 6] >> (x & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+                pa.default_memory_pool().release_unused()  # what earlier batches took
+                found = held(words, batch.column(batch.num_columns - 1).to_numpy())
                 yield batch.select(range(batch.num_columns - 1)).filter(pa.array(found == hit))
 
         return df.select("*", _place(key).alias("__place")).mapInArrow(run, df.schema)
+
+
+class Sieve:
+    """The same for keys that are 64-bit hashes themselves, which tasks test by their first bits."""
+
+    def __init__(self, keys: DataFrame) -> None:
+        """``keys`` has a BIGINT ``key``."""
+        place = F.shiftrightunsigned("key", 64 - BITS).alias("place")
+        bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))").alias("bit")
+        words = keys.select(place).select(F.shiftrightunsigned("place", 6).alias("word"), bit)
+        table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** (BITS - 6) rows at most
+        held = np.zeros(1 << (BITS - 6), dtype=np.uint64)
+        held[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+        self.bits: Broadcast = keys.sparkSession.sparkContext.broadcast(held)
+
+    def stay(self, keys: np.ndarray) -> np.ndarray:
+        place = keys >> np.uint64(64 - BITS)
+        return (self.bits.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)

@@ -1,10 +1,10 @@
 """Source divergence audit: how the sources of a language differ in their words.
 
 The terms of a language that occur in at least ``min_docs`` of its documents are found as an iceberg:
-for prefixes of 4, then 8, then 16 bytes, each level counts the documents that hold a term with the
+for prefixes of 6, then 12 bytes, each level counts the documents that hold a term with the
 prefix, and prefixes under the threshold go with all their longer ones, so that the many rare terms are
 never shuffled in whole. A level's prefixes are known by a 64-bit hash, and those that stay go into a filter
-of fixed size (2 ** FILTER_BITS bits), which is all that is broadcast; what a collision or a full filter lets
+of fixed size, which is all that is broadcast; what a collision or a full filter lets
 through is counted by whole terms in the end, which decide exactly.
 
 Term counts by source are smoothed into shares p = 1 + floor(10^9 (count + 1) / (N + V)) of the V kept terms, and
@@ -25,21 +25,20 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from hourline.llm.bit_filter import Sieve
 from hourline.llm.frames import col, stored, utf8
 from hourline.llm.rolling import ODD, Rolling, mix
 
 #: Bytes of the prefixes of each level.
-LEVELS = (4, 8, 16)
+LEVELS = (6, 12)
 MIN_DOCS, TOP = 3, 200
 SCALE = 1_000_000_000
-FILTER_BITS = 26
 #: Bytes of texts that are parsed at once, sums that a task holds, pairs of sources that are counted at once.
-PIECE, HELD, PAIRS = 1 << 21, 1 << 19, 1 << 21
+PIECE, HELD, PAIRS = 1 << 21, 1 << 20, 1 << 21
 _LETTER = np.array([b >= 0x80 or chr(b).isascii() and chr(b).isalpha() for b in range(256)])
 _LOWER = np.array([b + 32 if ord("A") <= b <= ord("Z") else b for b in range(256)], dtype=np.uint8)
 
@@ -53,8 +52,8 @@ class Terms:
         edges = np.flatnonzero(letter[1:] != letter[:-1]) + 1
         self.start, ends = edges[::2], edges[1::2]
         self.length = ends - self.start
-        begins = np.cumsum([1, *(len(t) + 1 for t in texts[:-1])])
-        self.row = np.asarray(rows)[np.searchsorted(begins, self.start, side="right") - 1]
+        begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        self.row = np.repeat(np.asarray(rows), np.diff(np.searchsorted(self.start, begins)))
         self._rolling = Rolling(self.data)
 
     def hashes(self, longest: int | None = None) -> np.ndarray:
@@ -101,107 +100,162 @@ def _seeds(names: list[str]) -> np.ndarray:
     return mix(np.array([seen[n] for n in names], dtype=np.uint64) + ODD)
 
 
-def _doc_counts(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, times) of the different pairs."""
-    order = np.lexsort((row, key))
-    row, key = row[order], key[order]
-    first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])) if len(row) else np.empty(0, bool))
-    return row[first], key[first], np.diff(np.append(first, len(row)))
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """The first place of each run of equal values."""
+    new = np.zeros(max(0, len(columns[0]) - 1), dtype=bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.append(True, new)) if len(columns[0]) else np.empty(0, np.int64)
 
 
-class Sieve:
-    """Which prefix keys stay: one bit for each value of a key's first bits."""
+class _Sums:
+    """Counts by key that a task has seen and not yet given on."""
 
-    def __init__(self, keys: DataFrame) -> None:
-        place = F.shiftrightunsigned("key", 64 - FILTER_BITS).alias("place")
-        bit = F.expr("shiftleft(1L, CAST(place & 63 AS INT))").alias("bit")
-        words = keys.select(place).select(F.shiftrightunsigned("place", 6).alias("word"), bit)
-        table = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # 2 ** (FILTER_BITS - 6) rows at most
-        held = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
-        held[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
-        self.bits: Broadcast = keys.sparkSession.sparkContext.broadcast(held)
+    def __init__(self) -> None:
+        self._parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self._size = 0
 
-    def stay(self, keys: np.ndarray) -> np.ndarray:
-        place = keys >> np.uint64(64 - FILTER_BITS)
-        return (self.bits.value[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    def add(self, keys: np.ndarray, n: np.ndarray) -> bool:
+        """Whether it is time to give them on."""
+        self._parts.append((keys, n))
+        self._size += len(keys)
+        if self._size <= 2 * HELD:
+            return False
+        self._parts = [self._added()]
+        self._size = len(self._parts[0][0])
+        return self._size > HELD
+
+    def _added(self) -> tuple[np.ndarray, np.ndarray]:
+        keys, n = (np.concatenate(x) for x in zip(*self._parts, strict=True))
+        order = np.argsort(keys, kind="stable")
+        first = _firsts(keys[order])
+        return keys[order][first], np.add.reduceat(n[order], first) if len(first) else n
+
+    def take(self) -> pa.RecordBatch:
+        keys, n = self._added() if self._parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        self._parts, self._size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
 
 
 def _prefixes(docs: DataFrame, length: int, above: tuple[int, Sieve] | None) -> DataFrame:
     """(key, n): documents, by task, that hold a term of theirs with each prefix of ``length`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-        def out(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
-
+        sums = _Sums()
         for batch in batches:
             seeds, open_ = _seeds(batch.column(0).to_pylist()), np.empty(0, np.uint64)
             for texts, rows, goes_on in _pieces(utf8(batch.column(2))):
                 terms = Terms(texts, rows)
                 if above is not None:
                     terms.take(above[1].stay(terms.hashes(above[0]) ^ seeds[terms.row]))
-                row, key, _ = _doc_counts(terms.row, terms.hashes(length) ^ seeds[terms.row])
-                if len(open_):  # what the first text's earlier parts held
+                row, key = terms.row, terms.hashes(length) ^ seeds[terms.row]
+                if goes_on or len(open_):  # a text in parts: what they hold counts once
                     mine = row == rows[0]
-                    first = np.union1d(open_, key[mine])
-                    key, open_ = np.concatenate([first, key[~mine]]), np.empty(0, np.uint64)
-                if goes_on:
-                    open_ = key
-                    continue
-                found, times = np.unique(key, return_counts=True)
-                keys, at = np.unique(np.concatenate([sums[0], found]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([sums[1], times]), len(keys)).astype(np.int64)
-                sums = keys, n
-                if len(keys) > HELD:
-                    yield out(*sums)
-                    sums = np.empty(0, np.uint64), np.empty(0, np.int64)
-        yield out(*sums)
+                    open_ = np.union1d(open_, key[mine])
+                    if goes_on:
+                        continue
+                    row, key, open_ = np.append(row[~mine], np.full(len(open_), rows[0])), np.append(key[~mine], open_), np.empty(0, np.uint64)
+                code, keys = pd.factorize(key)
+                pairs = pd.unique(row.astype(np.int64) * max(1, len(keys)) + code)
+                if sums.add(keys, np.bincount(pairs % max(1, len(keys)), minlength=len(keys))):
+                    yield sums.take()
+        yield sums.take()
 
     return docs.mapInArrow(run, "key BIGINT, n BIGINT")
 
 
+class _Held:
+    """Counts of (language and source, term) that a task has seen, in arrays, and each different term once."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple[str, str], int] = {}
+        self.known, self.marks, self.words = np.empty(0, np.uint64), np.empty(0, np.uint64), pa.array([], pa.string())
+        self._parts: list[tuple[np.ndarray, ...]] = []  # key, term, group, docs, count
+
+    def learn(self, terms: Terms, at: np.ndarray, hashes: np.ndarray) -> None:
+        """Keep the bytes of new terms; terms of equal hash must be alike."""
+        marks = _marks(terms, at)
+        place = np.minimum(np.searchsorted(self.known, hashes), max(0, len(self.known) - 1))
+        old = self.known[place] == hashes if len(self.known) else np.zeros(len(hashes), bool)
+        if not np.array_equal(self.marks[place[old]], marks[old]):
+            raise ArithmeticError(_SHARED)
+        known = np.append(self.known, hashes[~old])
+        order = np.argsort(known, kind="stable")
+        words = pa.chunked_array([self.words, terms.words(at[~old])]).combine_chunks()
+        self.known, self.marks, self.words = known[order], np.append(self.marks, marks[~old])[order], words.take(pa.array(order))
+
+    def add(self, term: np.ndarray, group: np.ndarray, docs: np.ndarray, count: np.ndarray) -> bool:
+        """Whether it is time to give the counts on."""
+        self._parts.append((mix(term ^ (group.astype(np.uint64) + np.uint64(1)) * ODD), term, group, docs, count))
+        if sum(len(p[0]) for p in self._parts) > HELD:
+            self._parts = [self._added()]
+        return len(self._parts[0][0]) > HELD
+
+    def _added(self) -> tuple[np.ndarray, ...]:
+        key, term, group, docs, count = (np.concatenate(x) for x in zip(*self._parts, strict=True))
+        order = np.argsort(key, kind="stable")
+        first = _firsts(key[order])
+        rep = order[first]
+        return key[rep], term[rep], group[rep], np.add.reduceat(docs[order], first), np.add.reduceat(count[order], first)
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        if self._parts and sum(len(p[0]) for p in self._parts):
+            _, term, group, docs, count = self._added()
+            names = [pa.array([g[i] for g in self.groups], pa.string()) for i in (0, 1)]
+            for k in range(0, len(term), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                columns = [*(n.take(pa.array(group[part])) for n in names), self.words.take(pa.array(np.searchsorted(self.known, term[part]))), pa.array(docs[part]), pa.array(count[part])]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "docs", "count"])
+        self.__init__()
+
+
 def _whole_terms(docs: DataFrame, length: int, sieve: Sieve) -> DataFrame:
     """(lang, source, term, docs, count) by task, of terms whose prefix stayed."""
-    names = ["lang", "source", "term", "docs", "count"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
         for batch in batches:
-            seeds = _seeds(batch.column(0).to_pylist())
-            codes = [batch.column(i).dictionary_encode().indices.to_numpy().astype(np.int64) for i in (0, 1)]
-            code = codes[0] * (codes[1].max() + 1) + codes[1]
-            _, groups, of = np.unique(code, return_index=True, return_inverse=True)
+            langs, sources = (batch.column(i).to_pylist() for i in (0, 1))
+            seeds = _seeds(langs)
             before: set[bytes] = set()  # terms of earlier parts of a text that goes on
             for texts, rows, goes_on in _pieces(utf8(batch.column(2))):
+                of = {r: held.groups.setdefault((langs[r], sources[r]), len(held.groups)) for r in rows}
                 terms = Terms(texts, rows)
                 terms.take(sieve.stay(terms.hashes(length) ^ seeds[terms.row]))
-                _, first, term = np.unique(terms.hashes(), return_index=True, return_inverse=True)
-                _same(terms, first[term])
-                row, which, times = _doc_counts(terms.row, term)
-                each, place, count = np.ones(len(row), np.int64), of[row], times
+                term, hashes = pd.factorize(terms.hashes())
+                first = np.full(len(hashes), len(term))
+                np.minimum.at(first, term, np.arange(len(term)))
+                marks = _marks(terms, np.arange(len(term)))
+                if not np.array_equal(marks, marks[first[term]]):
+                    raise ArithmeticError(_SHARED)
+                held.learn(terms, first, hashes)
+                pair, which = pd.factorize(terms.row.astype(np.int64) * max(1, len(hashes)) + term)
+                count, row, which = np.bincount(pair, minlength=len(which)), which // max(1, len(hashes)), which % max(1, len(hashes))
+                each = np.ones(len(which), np.int64)
                 if before or goes_on:
                     words = terms.words(first[which]).cast(pa.binary()).to_pylist()
-                    each = np.array([r != rows[0] or w not in before for r, w in zip(row, words, strict=True)], dtype=np.int64)
-                    before = before | set(words) if goes_on else set()
-                both, at = np.unique(which * len(groups) + place, return_inverse=True)
-                at_term, at_group = both // len(groups), groups[both % len(groups)]
-                sums = [pa.array(np.bincount(at, x, len(both)).astype(np.int64)) for x in (each, count)]
-                texts_of = [batch.column(i).take(pa.array(at_group)) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*texts_of, terms.words(first[at_term]), *sums], names=names)
+                    each = np.array([r != rows[0] or w not in before for r, w in zip(row.tolist(), words, strict=True)], dtype=np.int64)
+                    before = before | {w for r, w in zip(row.tolist(), words, strict=True) if r == rows[-1]} if goes_on else set()
+                group = np.array([of[r] for r in rows])[np.searchsorted(rows, row)]
+                if held.add(hashes[which], group, each, count):
+                    yield from held.take()
+        yield from held.take()
 
     return docs.mapInArrow(run, "lang STRING, source STRING, term STRING, docs BIGINT, count BIGINT")
 
 
-def _same(terms: Terms, like: np.ndarray) -> None:
-    """Terms of equal hash must be equal: lengths, and the bytes 0-7 from either end."""
+_SHARED = "two terms share a 64-bit hash: change the bytes' numbers in rolling.py"
+
+
+def _marks(terms: Terms, at: np.ndarray) -> np.ndarray:
+    """A second hash, of a term's length and its first and last eight bytes."""
     padded = np.concatenate([np.zeros(8, np.uint8), terms.data, np.zeros(8, np.uint8)])
     eight = np.ndarray(len(padded) - 7, "<u8", padded.tobytes(), strides=(1,))
-    ends = terms.start + terms.length
-    short = np.minimum(terms.length, 8).astype(np.uint64) * np.uint64(8)
-    head = np.where(short == 64, eight[terms.start + 8], eight[terms.start + 8] & ((np.uint64(1) << (short & np.uint64(63))) - np.uint64(1)))
-    tail = np.where(short == 64, eight[ends], 0)
-    if not all(np.array_equal(x, x[like]) for x in (terms.length, head, tail)):
-        raise ArithmeticError("two terms share a 64-bit hash: change the bytes' numbers in rolling.py")
+    start, length = terms.start[at], terms.length[at]
+    short = np.minimum(length, 8).astype(np.uint64) * np.uint64(8)
+    head = np.where(short == 64, eight[start + 8], eight[start + 8] & ((np.uint64(1) << (short & np.uint64(63))) - np.uint64(1)))
+    tail = np.where(short == 64, eight[start + length], 0)
+    return mix(head) ^ mix(tail + length.astype(np.uint64) * ODD)
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, levels: tuple[int, ...] = LEVELS) -> DataFrame:
@@ -209,9 +263,10 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, levels: tuple[int, ...
     (source, count) of the sources that hold it."""
     above = None
     for length in levels:
-        sums = _prefixes(docs, length, above).groupBy("key").agg(F.sum("n").alias("n"))
+        sums = _prefixes(docs, length, above).repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
         above = length, Sieve(sums.filter(F.col("n") >= min_docs))
-    counts = _whole_terms(docs, *above).groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("count"))
+    # tasks have added up already; one exchange by term serves both sums
+    counts = _whole_terms(docs, *above).repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("count"))
     by = F.collect_list(F.struct("source", "count")).alias("by")
     terms = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("count").alias("total"), by)
     return terms.filter(F.col("docs") >= min_docs).drop("docs")
@@ -259,8 +314,10 @@ def _met(kept: DataFrame) -> DataFrame:
 
 def _share(count: Column, size: Column, kept: Column) -> Column:
     """p of a count: 0 where nothing is kept, as then nothing is summed."""
-    whole = ((count + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")).alias("x")
-    return F.when(kept > 0, 1 + F.call_function("div", whole, (size + kept).cast("decimal(20,0)"))).otherwise(0)
+    whole = (count + 1).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)")
+    small = count < F.lit((1 << 63) // SCALE - 1)  # the product is a BIGINT
+    share = F.when(small, F.call_function("div", (count + 1) * F.lit(SCALE), size + kept)).otherwise(F.call_function("div", whole, (size + kept).cast("decimal(20,0)")))
+    return F.when(kept > 0, 1 + share).otherwise(0)
 
 
 def _apart(p: Column, q: Column) -> Column:
@@ -280,7 +337,7 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     groups = stored(groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("size", "kept", "whole")]), "sources")
 
     # terms in both sources; those that one of them lacks follow from its own counts
-    no = F.lit(0)
+    no = F.lit(0).cast("bigint")
     one, two = (groups.select("lang", F.col("source").alias(s), F.col("size").alias(f"size_{s}"), *k) for s, k in (("a", ["kept"]), ("b", [])))
     with_sizes = _met(kept).join(one, ["lang", "a"]).join(two, ["lang", "b"])
     pa_, qa = (_share(c, F.col("size_a"), F.col("kept")) for c in (F.col("i"), no))

@@ -31,7 +31,7 @@ stay whole. An empty table gives no rows. A long text goes through in pieces tha
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -39,8 +39,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourline.llm.bit_filter import BitFilter
-from hourline.llm.frames import col, stored
+from hourline.llm.bit_filter import BitFilter, Sieve, held, place
+from hourline.llm.frames import col, stored, utf8
 from hourline.llm.rolling import ODD, Rolling, mix
 
 WINDOW, GRAM, CELL = 400, 12, 128
@@ -117,20 +117,53 @@ def parse(piece: list[tuple[int, bytes, int, int, int]], window: int, cell: int)
     return {"key": key.view(np.int64), "whole": whole.view(np.int64), "row": row[part], "at": core - low + offset[part], "lo": core - starts[last], "hi": core - starts[run]}
 
 
-def _cores(texts: DataFrame, window: int, cell: int) -> DataFrame:
-    """(key, whole, t1, t2, at, lo, hi) of texts (t1, t2, bytes)."""
+class Texts:
+    """Different texts (t1, t2, bytes): rows of which some are copies, and one row for each text that has copies. A filter tells
+    the rows of texts that have copies, a few others with them, which are then among the latter."""
+
+    def __init__(self, rows: DataFrame, several: BitFilter, one: DataFrame) -> None:
+        columns = ("t1", "t2", "bytes", place(F.col("t1")).alias("place"))
+        self._rows, self._one, self._several = rows.select(*columns), one.select(*columns), several.words
+
+    def map(self, make: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, wanted: BitFilter | None = None) -> DataFrame:
+        """What ``make`` gives for the batches of texts; only those that may be ``wanted``, by t1."""
+        asked = wanted.words if wanted is not None else None
+
+        def over(several):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    pa.default_memory_pool().release_unused()  # what earlier batches took
+                    places = batch.column(3).to_numpy()
+                    good = np.ones(len(places), dtype=bool) if several is None else ~held(several, places)
+                    if asked is not None:
+                        good &= held(asked, places)
+                    if good.any():
+                        yield from make(batch if good.all() else batch.filter(pa.array(good)))
+
+            return run
+
+        return self._rows.mapInArrow(over(self._several), schema).unionByName(self._one.mapInArrow(over(None), schema))
+
+    def asked(self, wanted: BitFilter) -> DataFrame:
+        return self.map(lambda batch: iter([batch.select([0, 1, 2])]), "t1 BIGINT, t2 BIGINT, bytes BINARY", wanted)
+
+
+def _cores(texts: Texts, window: int, cell: int, sieve: Sieve | None = None) -> DataFrame:
+    """(key, whole, t1, t2, at, lo, hi) of texts; only those whose key may be in the ``sieve``."""
     names = ["key", "whole", *_OCCURRENCE]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in _pieces((v.as_py() for v in batch.column(2)), window):
-                found = parse(piece, window, cell)
-                rows = pa.array(found["row"])
-                yield pa.RecordBatch.from_arrays([
-                    *(pa.array(found[n]) for n in ("key", "whole")), *(batch.column(i).take(rows) for i in (0, 1)),
-                    *(pa.array(found[n], pa.int64()) for n in ("at", "lo", "hi"))], names=names)
+    def make(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(utf8(batch.column(2)), window):
+            found = parse(piece, window, cell)
+            if sieve is not None:
+                stay = sieve.stay(found["key"].view(np.uint64))
+                found = {n: x[stay] for n, x in found.items()}
+            rows = pa.array(found["row"])
+            yield pa.RecordBatch.from_arrays([
+                *(pa.array(found[n]) for n in ("key", "whole")), *(batch.column(i).take(rows) for i in (0, 1)),
+                *(pa.array(found[n], pa.int64()) for n in ("at", "lo", "hi"))], names=names)
 
-    return texts.select("t1", "t2", "bytes").mapInArrow(run, ", ".join(f"{n} BIGINT" for n in names))
+    return texts.map(make, ", ".join(f"{n} BIGINT" for n in names))
 
 
 # --- counting ----------------------------------------------------------------------------------
@@ -284,15 +317,16 @@ def _halves(members: DataFrame, cell: int) -> DataFrame:
 # --- whole texts --------------------------------------------------------------------------------
 
 
-def _with_bytes(members: DataFrame, texts: DataFrame, window: int, cell: int) -> DataFrame:
-    """Members with the bytes around their core, from texts (t1, t2, bytes)."""
+def _with_bytes(members: DataFrame, texts: Texts, window: int, cell: int) -> DataFrame:
+    """Members with the bytes around their core."""
     own = ["key", "whole", "at", "lo", "hi", "twice", "size"]
     asked = members.groupBy("t1", "t2").agg(F.collect_list(F.struct(*own)).alias("asked"))  # of one text each
-    met = BitFilter(members.select("t1")).rows(texts, F.col("t1")).join(asked, ["t1", "t2"]).select("t1", "t2", "bytes", "asked")
+    met = texts.asked(BitFilter(members.select("t1"))).join(asked, ["t1", "t2"]).select("t1", "t2", "bytes", "asked")
     length = window - cell + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             for row in range(batch.num_rows):
                 text, lists = batch.column(2)[row].as_py(), batch.column(3).slice(row, 1).flatten()
                 at = lists.field(own.index("at")).to_numpy().tolist()
@@ -305,11 +339,10 @@ def _with_bytes(members: DataFrame, texts: DataFrame, window: int, cell: int) ->
     return met.mapInArrow(run, schema)
 
 
-def repeated_windows(texts: DataFrame, window: int = WINDOW, cell: int = CELL, group: int = GROUP) -> DataFrame:
-    """(t1, t2, first, last): the starts of windows of different texts (t1, t2, bytes) that occur at another place as well."""
-    cores = _cores(texts, window, cell)
-    kinds = stored(_kinds(cores), "kinds")
-    found = stored(BitFilter(kinds.select("key")).rows(cores, F.col("key")).join(kinds, "key"), "cores")
+def repeated_windows(texts: Texts, window: int = WINDOW, cell: int = CELL, group: int = GROUP) -> DataFrame:
+    """(t1, t2, first, last): the starts of windows of the texts that occur at another place as well."""
+    kinds = stored(_kinds(_cores(texts, window, cell)), "kinds")
+    found = stored(_cores(texts, window, cell, Sieve(kinds)).join(kinds, "key"), "cores")
     again, members = _members(found.filter("NOT alike"))
     out = [_windows(found.filter("alike")), again]
     members = stored(_with_bytes(stored(members, "members"), texts, window, cell), "surroundings")
@@ -330,6 +363,7 @@ def _cut(texts: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            pa.default_memory_pool().release_unused()
             out = []
             for row in range(batch.num_rows):
                 text, lists = batch.column(2)[row].as_py(), batch.column(3).slice(row, 1).flatten()
@@ -360,12 +394,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     long = rows.filter(F.length("bytes") >= window).select("id", "t1", "t2", "bytes")
     several = BitFilter(copies.select("t1"))
     one = several.rows(long, F.col("t1")).join(copies, ["t1", "t2"], "left").filter(F.col("n").isNull() | F.col("id").eqNullSafe(F.col("first")))
-    texts = several.rows(long, F.col("t1"), hit=False).select("t1", "t2", "bytes").unionByName(one.select("t1", "t2", "bytes"))
+    texts = Texts(long, several, one)
 
     windows = repeated_windows(texts, window, cell, group)
     of_text = stored(windows.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("windows")), "windows")
     alone = of_text.join(copies, ["t1", "t2"], "left_anti")  # of a text with copies nothing stays
-    cut = _cut(BitFilter(alone.select("t1")).rows(texts, F.col("t1")).join(alone, ["t1", "t2"]), window).dropDuplicates(["t1", "t2"])
+    cut = _cut(texts.asked(BitFilter(alone.select("t1"))).join(alone, ["t1", "t2"]), window).dropDuplicates(["t1", "t2"])
     named = slim.join(cut, ["t1", "t2"], "left").join(copies.select("t1", "t2", "n"), ["t1", "t2"], "left")
     all_gone = (F.col("n") > 1) & (F.col("n_bytes") >= window)
     return named.select(
