@@ -31,6 +31,8 @@ from hourline.llm.frames import col, stored
 
 ARITY = 3
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+#: Levels after which the way down is written, so that a plan joins no more of them.
+CUT = 3
 #: The tree over the subroots; trees of sources have the names that ``_tree`` gives.
 _TOP = "root"
 
@@ -101,7 +103,7 @@ def paths(levels: list[DataFrame], above: DataFrame | None, arity: int) -> DataF
     """(tree, place, path) of the leaves: the siblings before and after each node on the way up, the leaf's own first. ``above`` has
     the path (tree, rest) of each tree's last node."""
     known = None
-    for level in reversed(levels):
+    for height, level in reversed(list(enumerate(levels))):
         last = level.filter("n = 1").select("tree", "place")
         here = last.join(above, "tree") if above is not None else last.withColumn("rest", F.array().cast("array<struct<before:string,after:string>>"))
         here = here.select("tree", "place", F.col("rest").alias("path"))
@@ -111,7 +113,7 @@ def paths(levels: list[DataFrame], above: DataFrame | None, arity: int) -> DataF
             inner = level.filter("n > 1").select("tree", "place", "before", "after", parent).join(parents, ["tree", "parent"])
             own = F.array(F.struct("before", "after"))
             here = here.unionByName(inner.select("tree", "place", F.concat(own, "rest").alias("path")))
-        known = here
+        known = stored(here, "paths") if height % CUT == CUT - 1 else here
     return known
 
 
