@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,18 @@ def drop_stored(df: DataFrame) -> None:
     remove_path(df.sparkSession, df._work_path)
 
 
+@contextmanager
+def wide_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What runs inside passes whole texts to Python in Arrow batches of at most ``rows`` rows, so that a batch stays small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def utf8(column: pa.Array) -> Iterator[bytes]:
     """The texts of a string column as UTF-8 bytes, one at a time; null counts as empty. Memory of earlier
     batches goes back to the system first."""

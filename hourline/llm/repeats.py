@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourline.llm.bit_filter import BitFilter, Sieve, held, place
-from hourline.llm.frames import col, stored, utf8
+from hourline.llm.frames import col, stored, utf8, wide_rows
 from hourline.llm.rolling import ODD, Rolling, mix
 
 WINDOW, GRAM, CELL = 400, 12, 128
@@ -389,17 +389,18 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = F.sha2(content, 256)
     rows = docs.select(col(id_col).alias("id"), content.alias("bytes"), whole.alias("sha"))
     rows = rows.select("id", "bytes", "sha", F.xxhash64(F.substring("sha", 1, 32)).alias("t1"), F.xxhash64(F.substring("sha", 33, 32)).alias("t2"))
-    slim = stored(rows.select("id", "t1", "t2", "sha", F.length("bytes").cast("bigint").alias("n_bytes")), "texts")
-    copies = stored(slim.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1"), "copies")
-    long = rows.filter(F.length("bytes") >= window).select("id", "t1", "t2", "bytes")
-    several = BitFilter(copies.select("t1"))
-    one = several.rows(long, F.col("t1")).join(copies, ["t1", "t2"], "left").filter(F.col("n").isNull() | F.col("id").eqNullSafe(F.col("first")))
-    texts = Texts(long, several, one)
-
-    windows = repeated_windows(texts, window, cell, group)
-    of_text = stored(windows.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("windows")), "windows")
-    alone = of_text.join(copies, ["t1", "t2"], "left_anti")  # of a text with copies nothing stays
-    cut = _cut(texts.asked(BitFilter(alone.select("t1"))).join(alone, ["t1", "t2"]), window).dropDuplicates(["t1", "t2"])
+    with wide_rows(docs.sparkSession):
+        slim = stored(rows.select("id", "t1", "t2", "sha", F.length("bytes").cast("bigint").alias("n_bytes")), "texts")
+        copies = stored(slim.groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).filter("n > 1"), "copies")
+        long = rows.filter(F.length("bytes") >= window).select("id", "t1", "t2", "bytes")
+        several = BitFilter(copies.select("t1"))
+        one = several.rows(long, F.col("t1")).join(copies, ["t1", "t2"], "left").filter(F.col("n").isNull() | F.col("id").eqNullSafe(F.col("first")))
+        texts = Texts(long, several, one)
+
+        windows = repeated_windows(texts, window, cell, group)
+        of_text = stored(windows.groupBy("t1", "t2").agg(F.collect_list(F.struct("first", "last")).alias("windows")), "windows")
+        alone = of_text.join(copies, ["t1", "t2"], "left_anti")  # of a text with copies nothing stays
+        cut = stored(_cut(texts.asked(BitFilter(alone.select("t1"))).join(alone, ["t1", "t2"]), window).dropDuplicates(["t1", "t2"]), "cut")
     named = slim.join(cut, ["t1", "t2"], "left").join(copies.select("t1", "t2", "n"), ["t1", "t2"], "left")
     all_gone = (F.col("n") > 1) & (F.col("n_bytes") >= window)
     return named.select(
