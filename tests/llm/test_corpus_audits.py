@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hourline.llm import divergence, merkle, repeats
+from hourline.llm import divergence, merkle, queries, repeats
 
 FOLDER = "/root/testdata/sf0.001"
 LOWER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -117,6 +117,36 @@ def test_repeats_of_odd_tables(spark, docs, clashing):
     assert [r[2] for r in dropped(named, id_col="a.b", text_col="t1")] == [500, 500]
 
 
+def test_repeats_give_runs_and_what_is_left(docs):
+    """Runs and bytes themselves, next to the digests made from them; a run that ends inside a character, and copies that go whole."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = word(99)
+    texts = [word(50) + passage + "ä" + word(30), passage + "ö" + word(10), passage + "z" + word(70) + passage, passage[:63], word(90), "", None, *[word(80)] * 2]
+    rows = list(enumerate([*texts, texts[0]]))
+    df = docs(rows)
+    got = repeats.cut_repeats(df, window=64, cell=32).select("*", *(c.alias(f"d{i}") for i, c in enumerate(repeats.digests())), repeats.kept_text().alias("left")).collect()
+    assert sorted(((r.doc_id, r.d0, r.d1, r.d2, r.d3) for r in got), key=str) == without_repeats(rows, 64)
+    by = {r.doc_id: r for r in got}
+    for i, t in rows:
+        data, at, kept = (t or "").encode(), 0, b""
+        for begin, end in by[i].spans:
+            assert at <= begin < end <= len(data)
+            kept, at = kept + data[at:begin], end
+        assert bytes(by[i].kept) == kept + data[at:] and by[i].left == (kept + data[at:]).decode(errors="replace") and by[i].n_bytes == len(data)
+    assert [len(by[i].spans) for i in range(10)] == [1, 1, 2, 0, 0, 0, 0, 1, 1, 1]
+    assert by[1].left.startswith("\ufffd") and by[3].left == passage[:63] and by[7].left == by[9].left == ""
+
+
+def test_repeats_query_shows_the_text_that_is_left(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+    got = queries.op11_repeats(spark, FOLDER).collect()
+    assert sorted((r.doc_id for r in got)) == sorted(docs)
+    assert all((r.text == docs[r.doc_id]) == (r.n_removed == 0) and r.n_bytes == len(docs[r.doc_id].encode()) for r in got)
+    cut = [r for r in got if r.n_removed and "\ufffd" not in r.text]
+    assert cut and all(len(r.text.encode()) == r.n_bytes - r.n_removed and hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256 for r in cut)
+
+
 # --- source divergence -------------------------------------------------------------------------
 
 
